@@ -15,9 +15,10 @@ Groups. Each class joins the group of the most central class among those it shar
 GROUP members is dealt into several), and is verified against that class. Links found so make components.
 
 Queries. A class queries a group if they share a matrix token, a member is of a larger component than its own, and
-sizes allow it. The group's token union bounds the overlap; a group that reaches the bound is opened and its members
-are verified exactly, until one of each other component is linked. Pairs within a component need no verification,
-so a group of near copies costs a star and not its square."""
+sizes allow it. A set's row of the matrix is stored as a signature of BITS bits, a group's as the union of its members':
+each bit of a query that the union lacks is a token that no member has. A group whose union leaves room for the
+threshold is opened, its members are bounded by their own signatures, and what is left is verified with whole sets.
+Pairs within a component need no verification, so a group of near copies costs a star and not its square."""
 
 from __future__ import annotations
 
@@ -38,6 +39,8 @@ WORDS, PERCENT = 5, 80
 CELLS, BLOCKS = 1 << 20, 64
 #: Members of a group, and queries that are held against it in one task.
 GROUP, QUERIES = 256, 512
+#: Bits of a set's signature, a row of the token-group matrix.
+BITS = 4096
 _MEMO = 200_000
 _MUL = (np.array([3, 5, 7, 11, 13, 17, 19, 23], np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -73,6 +76,17 @@ def _key(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
 
 
+def _signature(tokens: np.ndarray) -> bytes:
+    bits = np.zeros(BITS, np.uint8)
+    bits[(tokens >> np.uint64(44)).astype(np.int64) & (BITS - 1)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def _without(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many bits of signature a are not in b: so many of a's tokens at least are not among b's. b may be many."""
+    return np.bitwise_count(a & ~b).sum(axis=-1, dtype=np.int64)
+
+
 def _least(n, percent: int):
     """The smallest overlap that a set of n tokens can have with a set it links to."""
     return -(-n * percent // 100)
@@ -88,16 +102,17 @@ def _count(words: int):
                 cells += np.bincount((tokens >> np.uint64(24)).astype(np.int64) & (CELLS - 1), minlength=CELLS)
                 task = int(tokens[0] >> np.uint64(1))
             none = [None] * len(sets)
-            yield _rows(batch.column(0).to_pylist(), [len(s) for s in sets], [_key(s) for s in sets], none, none, none)
+            signs = [_signature(s) if len(s) else None for s in sets]
+            yield _rows(batch.column(0).to_pylist(), [len(s) for s in sets], [_key(s) for s in sets], signs, none, none, none)
         blocks = np.minimum(cells, 0xFFFF).astype("<u2").reshape(BLOCKS, -1)
         used = [k for k in range(BLOCKS) if blocks[k].any()]
         none = [None] * len(used)
-        yield _rows(none, none, none, used, [task % 16] * len(used), [blocks[k].tobytes() for k in used])
+        yield _rows(none, none, none, none, used, [task % 16] * len(used), [blocks[k].tobytes() for k in used])
 
     return run
 
 
-_COUNTED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("block", pa.int32()), ("salt", pa.int32()), ("cells", pa.binary())])
+_COUNTED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("sign", pa.binary()), ("block", pa.int32()), ("salt", pa.int32()), ("cells", pa.binary())])
 
 
 def _rows(*columns: list) -> pa.RecordBatch:
@@ -173,33 +188,49 @@ def _sets(words: int, wanted):
     return run
 
 
+def _may_link(percent: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Pairs (a, b, n, m, sign, other) whose signatures leave room for the threshold."""
+        for p in batches:
+            if len(p):
+                a, b = (np.frombuffer(b"".join(p[c]), np.uint64).reshape(len(p), -1) for c in ("sign", "other"))
+                n, m = p["n"].to_numpy(), p["m"].to_numpy()
+                most = np.minimum(n - _without(a, b), m - _without(b, a))
+                p = p[100 * most >= percent * (n + m - most)]
+            yield p[["a", "b"]]
+
+    return run
+
+
 def _open(percent: int):
     def run(members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        """Links of one group's members with queries."""
-        found: list[tuple[int, int]] = []
-        if len(members) and len(queries):
-            members = members.drop_duplicates("key")
-            sets = [np.asarray(t, np.int64) for t in members["tokens"]]
-            union, index = np.unique(np.concatenate(sets), return_inverse=True)
-            sizes = np.array([len(s) for s in sets])
-            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            keys, roots = members["key"].to_numpy(), members["root"].to_numpy()
-            weight = list(zip(members["weight"].tolist(), roots.tolist(), strict=True))
-            for key, root, w, tokens in queries.drop_duplicates("key")[["key", "root", "weight", "tokens"]].itertuples(index=False):
-                q = np.asarray(tokens, np.int64)
-                at = np.minimum(np.searchsorted(union, q), len(union) - 1)
-                mark = np.zeros(len(union), bool)
-                mark[at[union[at] == q]] = True
-                if 100 * int(mark.sum()) < percent * len(q):  # not even the union has enough of the query
-                    continue
-                common = np.add.reduceat(mark[index], starts, dtype=np.int64)
-                linked = np.flatnonzero(100 * common >= percent * (sizes + len(q) - common))
-                done: set[int] = set()
-                for m in linked.tolist():
-                    if weight[m] > (w, root) and int(roots[m]) not in done:
-                        done.add(int(roots[m]))
-                        found.append((key, int(keys[m])))
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+        """Pairs of members and queries of the same groups that neither the group's bound nor their own excludes."""
+        none = pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        if not len(members) or not len(queries):
+            return none
+        by = ["home", "part", "lot"]
+        members, queries = (x.drop_duplicates([*by, "key"]).sort_values(by, kind="stable") for x in (members, queries))
+        signs = np.frombuffer(b"".join(members["sign"]), np.uint64).reshape(len(members), -1)
+        sizes, keys, roots, weights = (members[c].to_numpy() for c in ("n", "key", "root", "weight"))
+        groups = list(zip(*(members[c].tolist() for c in by), strict=True))
+        first = [k for k in range(len(groups)) if not k or groups[k] != groups[k - 1]]
+        place = {groups[a]: (a, z) for a, z in zip(first, [*first[1:], len(groups)], strict=True)}
+        unions = np.bitwise_or.reduceat(signs, first, axis=0)
+        union_of = {groups[a]: u for a, u in zip(first, unions, strict=True)}
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for home, part, lot, key, n, root, weight, sign in queries[[*by, "key", "n", "root", "weight", "sign"]].itertuples(index=False):
+            q = np.frombuffer(sign, np.uint64)
+            if (home, part, lot) not in place or n - int(_without(q, union_of[home, part, lot])) < _least(n, percent):
+                continue  # not even the union has enough of the query
+            own = slice(*place[home, part, lot])
+            most = np.minimum(n - _without(q, signs[own]), sizes[own] - _without(signs[own], q))
+            fits = 100 * most >= percent * (n + sizes[own] - most)
+            fits &= (weights[own] > weight) | ((weights[own] == weight) & (roots[own] > root))
+            if fits.any():
+                found.append((np.full(int(fits.sum()), key), keys[own][fits]))
+        if not found:
+            return none
+        return pd.DataFrame({"a": np.concatenate([a for a, _ in found]), "b": np.concatenate([b for _, b in found])})
 
     return run
 
@@ -213,14 +244,17 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     is never a component's id unless no member has one. Columns besides doc_id and text are not read."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    counted = cut(docs.mapInArrow(_count(words), "doc_id long, n long, key long, block int, salt int, cells binary"))
+    counted = cut(docs.mapInArrow(_count(words), "doc_id long, n long, key long, sign binary, block int, salt int, cells binary"))
     meta = counted.where("block is null").select("doc_id", "n", "key")
     frequent = spark.sparkContext.broadcast(np.packbits(_frequent(counted)).tobytes())
 
-    # the matrix's tokens: those that two classes have among their first
+    # the matrix's tokens: those that two classes, of sizes that can link, have among their first
     rows = docs.select("text").mapInArrow(_prefixes(words, percent, frequent), "token long, key long, n long")
     rows = rows.repartition("token").dropDuplicates(["token", "key"])
-    rows = cut(rows.withColumn("of", F.count("*").over(Window.partitionBy("token"))).where("of > 1").drop("of"))
+    # of a token's classes by size, each is kept if the next smaller or larger one is near enough in size to link
+    sized = Window.partitionBy("token").orderBy("n")
+    rows = rows.withColumns({"less": F.lag("n").over(sized), "more": F.lead("n").over(sized)})
+    rows = cut(rows.where(f"100 * less >= {percent} * n or 100 * n >= {percent} * more").select("token", "key", "n"))
     degree = rows.groupBy("key").agg(F.count("*").alias("degree"))
     centre = F.max_by(F.struct("degree", "key", "n"), F.struct("degree", "key"))
     rows = rows.join(degree, "key")
@@ -229,18 +263,27 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     stars = shared.select("key", "n", F.col("head.key").alias("head"), F.col("head.n").alias("m")).where("key <> head").distinct()
     stars = stars.where(f"100 * least(n, m) >= {percent} * greatest(n, m)")
 
-    # token sets of the classes in the matrix, from one row of each class
+    # one row of each class has its set; signatures of the classes in the matrix
     firsts = meta.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("first"))
-    wanted = cut(firsts.join(shared.select("key").distinct(), "key", "left_semi"))
-    bits = spark.sparkContext.broadcast(bitmap(wanted, "first"))
-    sets = docs.select("doc_id", "text", slot_of("doc_id").alias("slot")).mapInArrow(_sets(words, bits), "doc_id long, key long, tokens array<long>")
-    sets = sets.join(wanted, (sets["doc_id"].eqNullSafe(wanted["first"])) & (sets["key"] == wanted["key"]), "left_semi").select("key", "tokens")
-    sets = cut(sets)
-
-    common = F.size(F.array_intersect("tokens", "others"))
-    others = sets.select(F.col("key").alias("head"), F.col("tokens").alias("others"))
-    linked = stars.join(sets, "key").join(others, "head").where(100 * common >= percent * (F.col("n") + F.col("m") - common))
-    links = cut(linked.select(F.col("key").alias("a"), F.col("head").alias("b")))
+    within = shared.select("key").distinct()
+    signs = counted.where("block is null and n > 0").select("key", "sign").join(within, "key", "left_semi")
+    signs = cut(signs.groupBy("key").agg(F.first("sign").alias("sign")))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that link, by their whole sets."""
+        ends = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+        bits = spark.sparkContext.broadcast(bitmap(firsts.join(ends, "key", "left_semi"), "first"))
+        sets = docs.select("doc_id", "text", slot_of("doc_id").alias("slot")).mapInArrow(_sets(words, bits), "doc_id long, key long, tokens array<long>")
+        # a hash that only shares its bit with a wanted one adds a set that no pair asks for, or a second one of a class
+        sets = cut(sets.select("key", "tokens").repartition("key"))
+        mine, others = sets.withColumnsRenamed({"key": "a"}), sets.select(F.col("key").alias("b"), F.col("tokens").alias("others"))
+        common = F.size(F.array_intersect("tokens", "others"))
+        near = 100 * common >= percent * (F.size("tokens") + F.size("others") - common)
+        return pairs.join(mine, "a").join(others, "b").where(near).select("a", "b").distinct()
+
+    other = signs.select(F.col("key").alias("b"), F.col("sign").alias("other"))
+    stars = stars.select(F.col("key").alias("a"), F.col("head").alias("b"), "n", "m").join(signs.withColumnRenamed("key", "a"), "a").join(other, "b")
+    links = cut(verified(cut(stars.mapInPandas(_may_link(percent), "a long, b long"))))
     roots = cut(connected_components(links))
 
     # groups, and the queries that the first links leave open
@@ -254,16 +297,16 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     cells = shared.select("token", "key").join(classes, "key").withColumn("rank", F.struct("weight", "root"))
     groups = cells.groupBy("token", "home", "part").agg(F.max("rank").alias("top"), F.min("n").alias("low"), F.max("n").alias("high"))
     asked = cells.select("token", "key", "n", "root", "weight", "rank").join(groups, "token").where("top > rank")
-    asked = asked.where(f"100 * n >= {percent} * low and 100 * high >= {percent} * n").select("key", "home", "part", "root", "weight").distinct()
+    asked = asked.where(f"100 * n >= {percent} * low and 100 * high >= {percent} * n").select("key", "home", "part", "n", "root", "weight").distinct()
     asked = cut(asked)
     lots = asked.groupBy("home", "part").agg(F.ceil(F.count("*") / QUERIES).alias("lots"))
-    queries = asked.join(lots, ["home", "part"]).withColumn("lot", F.pmod(F.xxhash64("key"), F.col("lots"))).join(sets, "key")
-    members = classes.join(lots, ["home", "part"]).withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1))).join(sets, "key")
-    by = ["home", "part", "lot"]
-    members, queries = (x.toDF(*x.columns) for x in (members, queries))  # both have columns of the same tables
-    opened = members.groupBy(by).cogroup(queries.groupBy(by)).applyInPandas(_open(percent), "a long, b long")
+    queries = asked.join(lots, ["home", "part"]).withColumn("lot", F.pmod(F.xxhash64("key"), F.col("lots"))).join(signs, "key")
+    members = classes.join(lots, ["home", "part"]).withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1))).join(signs, "key")
+    deal = F.pmod(F.xxhash64("home", "part", "lot"), F.lit(asked.count() // 2_000 + 1)).alias("deal")  # several groups go to one call
+    members, queries = (x.select("*", deal).toDF(*x.columns, "deal") for x in (members, queries))
+    opened = members.groupBy("deal").cogroup(queries.groupBy("deal")).applyInPandas(_open(percent), "a long, b long")
 
-    links = links.unionByName(opened)
+    links = links.unionByName(verified(cut(opened)))
     roots = cut(connected_components(links))
     ids = roots.join(firsts, roots["node"] == firsts["key"]).select("node", "root", "first")
     least = ids.groupBy("root").agg(F.min("first").alias("least"))

@@ -176,12 +176,12 @@ def spans(text: Column, rule: Rule, kind: int) -> Column:
     return let(F.split(text, rule.regex, -1), lambda g: let(F.regexp_extract_all(text, regex, F.lit(0)), lambda m: let(F.regexp_extract_all(text, regex, F.lit(rule.part)), lambda p: placed(g, m, p))))
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with a column `found`: all rules' matches as an array of (start, kind, end) by start, then the rules' order.
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, into: str = "found") -> DataFrame:
+    """docs with a column `into`: all rules' matches as an array of (start, kind, end) by start, then the rules' order.
 
     A null or empty text has none. Every row of docs stays, repeated ones too, with all its columns; rows are told
     apart by doc_id and text, so a null or repeated doc_id does no harm. Matches of one rule don't overlap, those of
-    different rules may. docs may have any other columns but found, _hash and _mask."""
+    different rules may. docs may have any other columns, of any names but `into` and those that begin with __sp_."""
     queries = [trigram_query(r.regex) for r in rules]
     vocabulary = sorted(set().union(*map(_trigrams, queries)))
     bit = {g: k for k, g in enumerate(vocabulary)}
@@ -190,23 +190,23 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     wanted = None
     for q in queries:
         if q is not True:
-            wanted = _holds(q, bit, F.col("_mask")) if wanted is None else wanted | _holds(q, bit, F.col("_mask"))
-    with_hash = docs.withColumn("_hash", F.xxhash64("text"))
+            wanted = _holds(q, bit, F.col("__sp_mask")) if wanted is None else wanted | _holds(q, bit, F.col("__sp_mask"))
+    with_hash = docs.withColumn("__sp_hash", F.xxhash64("text"))
     if wanted is None:
-        joined = with_hash.withColumn("_mask", F.lit(None).cast("array<long>"))
+        joined = with_hash.withColumn("__sp_mask", F.lit(None).cast("array<long>"))
     else:
         index = postings(docs, vocabulary)
-        candidates = cut(index.groupBy("doc_id", "hash").agg(F.array(*masks).alias("_mask")).where(wanted))
+        candidates = cut(index.groupBy("doc_id", "hash").agg(F.array(*masks).alias("__sp_mask")).where(wanted))
         few = candidates.count() <= BROADCAST_ROWS
-        candidates = candidates.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_h"), "_mask")
-        same = with_hash["doc_id"].eqNullSafe(candidates["_id"]) & (with_hash["_hash"] == candidates["_h"])
-        joined = with_hash.join(F.broadcast(candidates) if few else candidates, same, "left").drop("_id", "_h")
+        candidates = candidates.select(F.col("doc_id").alias("__sp_id"), F.col("hash").alias("__sp_h"), "__sp_mask")
+        same = with_hash["doc_id"].eqNullSafe(candidates["__sp_id"]) & (with_hash["__sp_hash"] == candidates["__sp_h"])
+        joined = with_hash.join(F.broadcast(candidates) if few else candidates, same, "left").drop("__sp_id", "__sp_h")
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     each = []
     for k, (r, q) in enumerate(zip(rules, queries, strict=True)):
-        may = F.col("text").rlike(r.regex) if q is True else F.coalesce(_holds(q, bit, F.col("_mask")), F.lit(False))
+        may = F.col("text").rlike(r.regex) if q is True else F.coalesce(_holds(q, bit, F.col("__sp_mask")), F.lit(False))
         each.append(F.when(may, spans(F.col("text"), r, k)).otherwise(none))
-    return joined.withColumn("found", F.array_sort(F.concat(*each))).drop("_hash", "_mask")
+    return joined.withColumn(into, F.array_sort(F.concat(*each))).drop("__sp_hash", "__sp_mask")
 
 
 def written(found: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -228,9 +228,9 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         more = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.get(kinds, x["kind"]))
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(apart, more).otherwise(acc["out"]).alias("out"))
 
-    rest = F.aggregate("found", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    hit = F.size("found") > 0
-    out = scan(docs, rules).withColumn("_new", F.when(hit, rest).otherwise(text))
+    rest = F.aggregate("__sp_found", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    hit = F.size("__sp_found") > 0
+    out = scan(docs, rules, "__sp_found").withColumn("__sp_new", F.when(hit, rest).otherwise(text))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(hit, F.length("_new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.withColumn("text", F.col("_new")).select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(hit, F.length("__sp_new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.withColumn("text", F.col("__sp_new")).select(*docs.columns)

@@ -73,34 +73,20 @@ def title_pairs(titles: DataFrame, percent: int = 90) -> DataFrame:
     return pairs.withColumn("ratio", ratio_udf("a", "b")).where(F.col("ratio") >= percent).select("a", "b", "ratio")
 
 
-def earliest_independent(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """The nodes (place) that a greedy pass in order of place keeps, edges (a, b) joining those that exclude one another.
-
-    Each round keeps the nodes without an earlier neighbour that is undecided, and removes their neighbours. A round
-    is two joins; rounds are as many as the longest chain of decisions."""
-    both = cut(edges.select(F.greatest("a", "b").alias("late"), F.least("a", "b").alias("early")).distinct())
-    touched = both.select(F.col("late").alias("place")).unionByName(both.select(F.col("early").alias("place"))).distinct()
-    free = nodes.select("place").join(touched, "place", "left_anti")
-    kept, open_, live = [free], cut(touched), both
+def excluded(edges: DataFrame) -> DataFrame:
+    """The nodes (place) that a greedy pass in order of place removes; edges (a, b) join those that exclude one another.
+
+    Each round finds edges whose earlier node has no earlier neighbour that is undecided: it stays, and the later one
+    goes with all its edges. A round is three joins on what is undecided; rounds are as many as the longest chain of
+    decisions."""
+    live = cut(edges.select(F.greatest("a", "b").alias("late"), F.least("a", "b").alias("early")).distinct())
+    out = None
     while not live.isEmpty():
-        waiting = live.select(F.col("late").alias("place")).distinct()
-        now = cut(open_.join(waiting, "place", "left_anti"))
-        kept.append(now)
-        gone = live.join(now.withColumnRenamed("place", "early"), "early", "left_semi").select(F.col("late").alias("place")).distinct()
-        out = cut(gone.unionByName(now).distinct())
-        open_ = cut(open_.join(out, "place", "left_anti"))
-        live = cut(live.join(out.withColumnRenamed("place", "late"), "late", "left_anti").join(gone.withColumnRenamed("place", "early"), "early", "left_anti"))
-        if live.isEmpty():
-            kept.append(open_)
-            return _union(kept)
-    return _union(kept)
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.distinct()
+        waiting = live.select(F.col("late").alias("early")).distinct()
+        gone = cut(live.join(waiting, "early", "left_anti").select("late").distinct())
+        out = gone if out is None else out.unionByName(gone)
+        live = cut(live.join(gone, "late", "left_anti").join(gone.select(F.col("late").alias("early")), "early", "left_anti"))
+    return (live.select("late") if out is None else out).withColumnRenamed("late", "place")
 
 
 def fuzzy_dedup(df: DataFrame, percent: int = 90, key: str = "media_id", title: str = "title", score: str = "score") -> DataFrame:
@@ -115,7 +101,7 @@ def fuzzy_dedup(df: DataFrame, percent: int = 90, key: str = "media_id", title:
     a = heads.select(F.col("_t").alias("a"), F.col("place").alias("pa"))
     b = heads.select(F.col("_t").alias("b"), F.col("place").alias("pb"))
     edges = pairs.join(a, "a").join(b, "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"))
-    kept = earliest_independent(heads.select("place"), edges).select(F.col("place.place_key").alias("_kept"))
+    kept = heads.join(excluded(edges), "place", "left_anti").select(F.col("place_key").alias("_kept"))
     rest = named.where("_t <> ''").join(kept, F.col(key) == F.col("_kept"), "left_semi").select(*df.columns)
     return rest.unionByName(df.where(F.col(title).isNull() | (F.lower(title) == "")))
 
@@ -195,9 +181,9 @@ def components(edges: DataFrame) -> DataFrame:
         new = roots.join(step, roots["key"] == step["a"]).select("key", F.least("root", "r").alias("new"), "root")
         jump = new.join(roots.select(F.col("key").alias("k2"), F.col("root").alias("r2")), F.col("new") == F.col("k2"))
         new = cut(jump.select("key", F.least("new", "r2").alias("new"), "root"))
-        changed = new.where("new <> root").isEmpty()
+        settled = new.where("new <> root").isEmpty()
         roots = new.select("key", F.col("new").alias("root"))
-        if changed:
+        if settled:
             return roots
 
 

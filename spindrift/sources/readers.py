@@ -88,7 +88,7 @@ def write_parquet(df: DataFrame, path: str, by: str | None = None) -> None:
 def write_csv(df: DataFrame, path: str) -> None:
     """Lists, maps and structs as JSON."""
     nested = {f.name: F.to_json(f.name) for f in df.schema.fields if isinstance(f.dataType, (ArrayType, MapType, StructType))}
-    df.withColumns(nested).write.mode("overwrite").option("header", True).csv(path)
+    df.withColumns(nested).write.mode("overwrite").option("header", True).option("escape", "\"").csv(path)
 
 
 def read_csv_typed(spark: SparkSession, path: str, schema: str, lists: tuple[str, ...] = ()) -> DataFrame:

@@ -38,6 +38,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Ids up to which a list of them (16 MB as a hash table) is sent to every executor.
+BROADCAST_IDS = 500_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id is in ids (one column doc_id, null-safe), with all their columns.
+
+    A list of BROADCAST_IDS ids or fewer is broadcast, so texts don't move; a longer one meets docs in a join that
+    shuffles both."""
+    ids = cut(ids.select(F.col("doc_id").alias("__sp_gone")).distinct())
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("__sp_gone")), "left_anti")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

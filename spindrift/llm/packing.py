@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 #: Tokens of a sequence, pieces of a group (a group is one task's unit of work), and words kept by a task.
-LENGTH, GROUP, KEPT = 4096, 20_000, 150_000
+LENGTH, GROUP, KEPT = 4096, 20_000, 300_000
 
 
 class Words:
@@ -29,44 +30,43 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        # the method sees special tokens as ordinary only if told so; here their strings count as the file says
-        self.kept: dict[str, list[int]] = {}
+        self.kept: dict[str, bytes] = {}
 
-    def learn(self, words: list[str]) -> list[list[int]]:
+    def learn(self, words: list[str]) -> list[bytes]:
+        """The ids of each word as 32-bit integers. ASCII capitals are mostly lower-cased already, as the tokenizer does.
+
+        Punctuation at a word's end would multiply the words to encode: the core and the end are encoded once each."""
         if len(self.kept) > KEPT:
             self.kept.clear()
-        kept = self.kept
-        new = list({w for w in words if w not in kept})
-        # punctuation at a word's ends and letter case would multiply the words to encode; the core is encoded once
-        plain = [w for w in new if w.isalpha() and w.isascii()]
-        rest = [w for w in new if not (w.isalpha() and w.isascii())]
-        cores: dict[str, tuple[str, str]] = {}
-        for w in rest:
-            core = w.rstrip(".,;:!?")
-            if core and core != w and core.isalpha() and unicodedata.is_normalized("NFC", core):
-                cores[w] = (core, w[len(core) :])
-        odd = [w for w in rest if w not in cores]
-        need = {w.lower() for w in plain} | {c.lower() if c.isascii() else c for c, _ in cores.values()} | {t for _, t in cores.values()} | set(odd)
-        need = [w for w in need if w not in kept]
+        kept, need, parted = self.kept, set(), []
+        for w in words:
+            if w not in kept:
+                if w.isalpha() or not (core := w.rstrip(".,;:!?")).isalpha() or not unicodedata.is_normalized("NFC", core):
+                    need.add(w)
+                else:
+                    parted.append((w, core, w[len(core) :]))
+        need.update(x for _, *ends in parted for x in ends if x not in kept)
+        need = list(need)
         for at in range(0, len(need), 10_000):
             some = need[at : at + 10_000]
             for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                kept[w] = e.ids
-        for w in plain:
-            kept[w] = kept[w.lower()]
-        for w, (c, t) in cores.items():
-            kept[w] = kept[c.lower() if c.isascii() else c] + kept[t]
+                kept[w] = array("I", e.ids).tobytes()
+        for w, core, end in parted:
+            kept[w] = kept[core] + kept[end]
         return [kept[w] for w in words]
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and each text's number of ids."""
-        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        texts = pc.fill_null(texts, "")
+        # a special token's string counts as one in lower case only, so texts that may have one stay as they are
+        texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        split = pc.ascii_split_whitespace(texts)
         flat, bounds = split.flatten(), split.offsets.to_numpy()
         # runs of white space at the ends leave empty words, which have no ids
         coded = flat.dictionary_encode()
         ids = self.learn(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        pool = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        pool = np.frombuffer(b"".join(ids), np.uint32)
         starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         at = coded.indices.to_numpy()
         each = sizes[at] if len(at) else np.zeros(0, np.int64)
@@ -86,7 +86,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, length: int = LENGTH, key: s
             at = 0
             while at < len(texts):  # slices of bounded size, however long the texts
                 size = np.cumsum(pc.fill_null(pc.binary_length(texts.slice(at)), 0).to_numpy(zero_copy_only=False))
-                some = max(1, int(np.searchsorted(size, 4_000_000)))
+                some = max(1, int(np.searchsorted(size, 8_000_000)))
                 ids, counts = words(texts.slice(at, some))
                 rows: list[tuple[int, int, int, int, int]] = []
                 first = 0

@@ -59,6 +59,9 @@ def _both(kind: str, parts: list[Query]) -> Query:
     if kind == "or" and any(p is True for p in parts):
         return True
     some = [p for p in dict.fromkeys(parts) if p is not True]
+    if kind == "or":  # an alternative that asks for more than another adds nothing
+        asks = [{p} if isinstance(p, str) else set(p[1]) if p[0] == "and" else None for p in some]
+        some = [p for p, a in zip(some, asks, strict=True) if a is None or not any(b is not None and b < a for b in asks)]
     return True if not some else some[0] if len(some) == 1 else (kind, tuple(some))
 
 

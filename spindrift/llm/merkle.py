@@ -77,6 +77,19 @@ def differing(a: Column, b: Column) -> Column:
     return F.transform(F.when(same, F.array().cast("array<struct<section:int,paragraph:int,odd:boolean>>")).otherwise(plain), lambda m: F.struct(m["section"].alias("section"), m["paragraph"].alias("paragraph")))
 
 
+def _longs(values: list[int]) -> Column:
+    # a string that is split once, when the plan is made: thousands of literals would slow the planner
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>") if values else F.array().cast("array<bigint>")
+
+
+def _bucket(key: Column, bounds: list[int]) -> Column:
+    """How many of the bounds, which ascend, are not above the key: by every n-th of them, then by those between. 0 for null."""
+    step = max(1, int(len(bounds) ** 0.5))
+    top = F.size(F.filter(_longs(bounds[::step]), lambda b: b <= key))
+    low = F.size(F.filter(F.slice(_longs(bounds), F.greatest(top - 1, F.lit(0)) * step + 1, F.lit(step)), lambda b: b <= key))
+    return F.when(key.isNull() | (top == 0), F.lit(0)).otherwise((top - 1) * step + low)
+
+
 def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     """docs (doc_id, text, ...) with next_<column> of the next row by ascending doc_id, of the first row after the last.
 
@@ -88,20 +101,13 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     bounds: list[int] = []
     if buckets > 1 and counts[1]:
         marks = docs.select("doc_id").approxQuantile("doc_id", [k / buckets for k in range(1, buckets)], 1 / (8 * buckets))
-        bounds = sorted({int(m) for m in marks} - {counts[2]})
-    step = max(1, int(len(bounds) ** 0.5))
-
-    def literal(values: list[int]) -> Column:
-        # a string that is split once, when the plan is made: thousands of literals would slow the planner
-        return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>") if values else F.array().cast("array<bigint>")
-
+        # the sketch keeps doubles, which large ids don't fit: the bounds are the least ids that there are between its marks
+        between = docs.groupBy(_bucket(F.col("doc_id"), sorted({int(m) for m in marks})).alias("b")).agg(F.min("doc_id").alias("least"))
+        bounds = sorted({r["least"] for r in between.collect() if r["least"] is not None} - {counts[2]})
     key = F.col("doc_id")
-    top = F.size(F.filter(literal(bounds[::step]), lambda b: b <= key))
-    low = F.size(F.filter(F.slice(literal(bounds), F.greatest(top - 1, F.lit(0)) * step + 1, F.lit(step)), lambda b: b <= key))
-    bucket = F.when(key.isNull() | (top == 0), F.lit(0)).otherwise((top - 1) * step + low)
     first = key.isNull() if counts[0] > counts[1] else key == counts[2]
-    placed = docs.withColumn("_bucket", bucket)
-    bound = F.coalesce((F.col("_bucket") > 0) & (F.get(literal(bounds), F.col("_bucket") - 1) == key), F.lit(False))
+    placed = docs.withColumn("_bucket", _bucket(key, bounds))
+    bound = F.coalesce((F.col("_bucket") > 0) & (F.get(_longs(bounds), F.col("_bucket") - 1) == key), F.lit(False))
     copies = F.array_compact(
         F.array(
             F.struct(F.col("_bucket").alias("bucket"), F.lit(0).alias("part")),

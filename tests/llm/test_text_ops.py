@@ -210,7 +210,7 @@ def test_fingerprints_of_edges(spark):
 
 def test_next_rows_over_many_buckets(spark, monkeypatch):
     monkeypatch.setattr(merkle, "BUCKET", 7)
-    ids = random.Random(4).sample(range(-(10**12), 10**12), 200) + [5, 6, 7, 8, 10**17]
+    ids = random.Random(4).sample(range(-(10**12), 10**12), 200) + [5, 6, 7, 8] + list(range(10**17, 10**17 + 40))
     table = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string").repartition(5)
     got = {r["doc_id"]: r["next_text"] for r in merkle.with_next(table, ["text"]).collect()}
     ids.sort()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions.text import let
 
+from .dedup import cut
 from .vectors import min_max
 
 _STOP: list[str] = []
@@ -24,7 +25,7 @@ def stop_words() -> list[str]:
 
 def tokens(text: Column, longest: int = 1) -> Column:
     """Lower-cased words of two or more word characters that are no stop words, and their n-grams up to `longest`."""
-    stop = F.array(*map(F.lit, stop_words()))
+    stop = F.split(F.lit(" ".join(stop_words())), " ")  # one literal once planned
     plain = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"(\w\w+)"), F.lit(1)), lambda w: ~F.array_contains(stop, w))
 
     def grams(words: Column) -> Column:
@@ -59,7 +60,7 @@ def similar_items(df: DataFrame, item, n: int, key: str = "media_id", numbers: t
     """(key, score): the n items most like one by genres, studios and scaled numbers, itself left out; none for an unknown id.
 
     The item's few terms meet the others' through a join on term; numbers are added as they are to both lengths."""
-    weights = tfidf(df, key, features(F.col("genres"), F.col("studios")))
+    weights = cut(tfidf(df, key, features(F.col("genres"), F.col("studios"))))  # read three times
     mine = weights.where(F.col(key) == item).select("term", F.col("weight").alias("mine"))
     text = weights.join(mine, "term").groupBy(key).agg(F.sum(F.col("weight") * F.col("mine")).alias("text"))
     lengths = weights.groupBy(key).agg(F.sum(F.col("weight") * F.col("weight")).alias("text_size"))

@@ -15,10 +15,10 @@ Groups. Each class joins the group of the most central class among those it shar
 GROUP members is dealt into several), and is verified against that class. Links found so make components.
 
 Queries. A class queries a group if they share a matrix token, a member is of a larger component than its own, and
-sizes allow it. A set's row of the matrix is stored as a signature of BITS bits, a group's as the union of its members':
+sizes allow it. A set's row of the matrix is stored as a signature of BITS bits by its size, a group's as the union of its members':
 each bit of a query that the union lacks is a token that no member has. A group whose union leaves room for the
-threshold is opened, its members are bounded by their own signatures, and what is left is verified with whole sets.
-Pairs within a component need no verification, so a group of near copies costs a star and not its square."""
+threshold is opened, its members are bounded by their own signatures, and what is left is verified with whole sets:
+of a query's pairs with one component the likeliest first, the rest only where that has not joined the two. Pairs within a component need no verification, so a group of near copies costs a star and not its square."""
 
 from __future__ import annotations
 
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bitmap, cut, slot_of
+from .common import bitmap, cut, slot_of, without
 from .components import connected_components
 
 WORDS, PERCENT = 5, 80
@@ -39,8 +39,8 @@ WORDS, PERCENT = 5, 80
 CELLS, BLOCKS = 1 << 20, 64
 #: Members of a group, and queries that are held against it in one task.
 GROUP, QUERIES = 256, 512
-#: Bits of a set's signature, a row of the token-group matrix.
-BITS = 4096
+#: Least and most bits of a set's signature, its row of the token-group matrix; between them, eight a token or more.
+BITS = (1 << 10, 1 << 18)
 _MEMO = 200_000
 _MUL = (np.array([3, 5, 7, 11, 13, 17, 19, 23], np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -77,14 +77,23 @@ def _key(tokens: np.ndarray) -> int:
 
 
 def _signature(tokens: np.ndarray) -> bytes:
-    bits = np.zeros(BITS, np.uint8)
-    bits[(tokens >> np.uint64(44)).astype(np.int64) & (BITS - 1)] = 1
+    size = min(BITS[1], max(BITS[0], 1 << (8 * len(tokens) - 1).bit_length()))
+    bits = np.zeros(size, np.uint8)
+    bits[(tokens >> np.uint64(40)).astype(np.int64) & (size - 1)] = 1
     return np.packbits(bits).tobytes()
 
 
-def _without(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many bits of signature a are not in b: so many of a's tokens at least are not among b's. b may be many."""
-    return np.bitwise_count(a & ~b).sum(axis=-1, dtype=np.int64)
+def _folded(sign: np.ndarray, words: int) -> np.ndarray:
+    """A signature, or several in rows, of fewer words: a bit of the result is set if any that falls on it is."""
+    return sign if sign.shape[-1] == words else np.bitwise_or.reduce(sign.reshape(*sign.shape[:-1], -1, words), axis=-2)
+
+
+def _most(a: np.ndarray, n, b: np.ndarray, m) -> np.ndarray:
+    """The largest overlap that two sets, of n and m tokens, can have by their signatures: a bit of one that the other
+    lacks is a token that it lacks. b and m may be several."""
+    words = min(a.shape[-1], b.shape[-1])
+    a, b = _folded(a, words), _folded(b, words)
+    return np.minimum(n - np.bitwise_count(a & ~b).sum(axis=-1, dtype=np.int64), m - np.bitwise_count(b & ~a).sum(axis=-1, dtype=np.int64))
 
 
 def _least(n, percent: int):
@@ -192,12 +201,8 @@ def _may_link(percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Pairs (a, b, n, m, sign, other) whose signatures leave room for the threshold."""
         for p in batches:
-            if len(p):
-                a, b = (np.frombuffer(b"".join(p[c]), np.uint64).reshape(len(p), -1) for c in ("sign", "other"))
-                n, m = p["n"].to_numpy(), p["m"].to_numpy()
-                most = np.minimum(n - _without(a, b), m - _without(b, a))
-                p = p[100 * most >= percent * (n + m - most)]
-            yield p[["a", "b"]]
+            most = np.array([int(_most(np.frombuffer(x, np.uint64), n, np.frombuffer(y, np.uint64), m)) for x, n, y, m in zip(p["sign"], p["n"], p["other"], p["m"], strict=True)], np.int64)
+            yield p.loc[100 * most >= percent * (p["n"].to_numpy() + p["m"].to_numpy() - most), ["a", "b"]]
 
     return run
 
@@ -205,32 +210,35 @@ def _may_link(percent: int):
 def _open(percent: int):
     def run(members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         """Pairs of members and queries of the same groups that neither the group's bound nor their own excludes."""
-        none = pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        names = ["a", "b", "root_a", "root_b", "room"]
+        none = pd.DataFrame({c: pd.Series([], dtype="float64" if c == "room" else "int64") for c in names})
         if not len(members) or not len(queries):
             return none
         by = ["home", "part", "lot"]
-        members, queries = (x.drop_duplicates([*by, "key"]).sort_values(by, kind="stable") for x in (members, queries))
-        signs = np.frombuffer(b"".join(members["sign"]), np.uint64).reshape(len(members), -1)
-        sizes, keys, roots, weights = (members[c].to_numpy() for c in ("n", "key", "root", "weight"))
-        groups = list(zip(*(members[c].tolist() for c in by), strict=True))
-        first = [k for k in range(len(groups)) if not k or groups[k] != groups[k - 1]]
-        place = {groups[a]: (a, z) for a, z in zip(first, [*first[1:], len(groups)], strict=True)}
-        unions = np.bitwise_or.reduceat(signs, first, axis=0)
-        union_of = {groups[a]: u for a, u in zip(first, unions, strict=True)}
-        found: list[tuple[np.ndarray, np.ndarray]] = []
+        members, queries = (x.drop_duplicates([*by, "key"]) for x in (members, queries))
+        # within a group, members of one signature size; sets that can link have sizes of signature one step apart at most
+        shelves: dict[tuple, dict[int, list]] = {}
+        for row in members[[*by, "key", "n", "root", "weight", "sign"]].itertuples(index=False):
+            shelves.setdefault(row[:3], {}).setdefault(len(row[7]) // 8, []).append(row[3:])
+        held = {}
+        for group, shelf in shelves.items():
+            for words, rows in shelf.items():
+                signs = np.stack([np.frombuffer(r[4], np.uint64) for r in rows])
+                held.setdefault(group, {})[words] = (*(np.array([r[k] for r in rows], np.int64) for k in range(4)), signs, np.bitwise_or.reduce(signs, axis=0))
+        found = []
         for home, part, lot, key, n, root, weight, sign in queries[[*by, "key", "n", "root", "weight", "sign"]].itertuples(index=False):
             q = np.frombuffer(sign, np.uint64)
-            if (home, part, lot) not in place or n - int(_without(q, union_of[home, part, lot])) < _least(n, percent):
-                continue  # not even the union has enough of the query
-            own = slice(*place[home, part, lot])
-            most = np.minimum(n - _without(q, signs[own]), sizes[own] - _without(signs[own], q))
-            fits = 100 * most >= percent * (n + sizes[own] - most)
-            fits &= (weights[own] > weight) | ((weights[own] == weight) & (roots[own] > root))
-            if fits.any():
-                found.append((np.full(int(fits.sum()), key), keys[own][fits]))
-        if not found:
-            return none
-        return pd.DataFrame({"a": np.concatenate([a for a, _ in found]), "b": np.concatenate([b for _, b in found])})
+            for words, (keys, sizes, roots, weights, signs, union) in held.get((home, part, lot), {}).items():
+                least = min(words, len(q))
+                lacking = int(np.bitwise_count(_folded(q, least) & ~_folded(union, least)).sum())
+                if n - lacking < _least(n, percent):  # not even the union has enough of the query
+                    continue
+                most = _most(q, n, signs, sizes)
+                fits = 100 * most >= percent * (n + sizes - most)
+                fits &= (weights > weight) | ((weights == weight) & (roots > root))
+                if fits.any():
+                    found.append(pd.DataFrame({"a": key, "b": keys[fits], "root_a": root, "root_b": roots[fits], "room": most[fits] / (n + sizes[fits] - most[fits])}))
+        return pd.concat(found)[names] if found else none
 
     return run
 
@@ -304,9 +312,18 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     members = classes.join(lots, ["home", "part"]).withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1))).join(signs, "key")
     deal = F.pmod(F.xxhash64("home", "part", "lot"), F.lit(asked.count() // 2_000 + 1)).alias("deal")  # several groups go to one call
     members, queries = (x.select("*", deal).toDF(*x.columns, "deal") for x in (members, queries))
-    opened = members.groupBy("deal").cogroup(queries.groupBy("deal")).applyInPandas(_open(percent), "a long, b long")
-
-    links = links.unionByName(verified(cut(opened)))
+    opened = members.groupBy("deal").cogroup(queries.groupBy("deal")).applyInPandas(_open(percent), "a long, b long, root_a long, root_b long, room double")
+    opened = cut(opened)
+    # of a query's pairs with one component the likeliest goes first; the others only if the two are still apart
+    likeliest = Window.partitionBy("a", "root_b").orderBy(F.desc("room"), "b")
+    opened = cut(opened.withColumn("place", F.row_number().over(likeliest)))
+    links = cut(links.unionByName(verified(opened.where("place = 1").select("a", "b"))))
+    later = opened.where("place > 1")
+    if not later.isEmpty():
+        now = cut(connected_components(links))
+        mine, others = now.select(F.col("node").alias("a"), F.col("root").alias("now_a")), now.select(F.col("node").alias("b"), F.col("root").alias("now_b"))
+        apart = later.join(mine, "a", "left").join(others, "b", "left").where(~F.coalesce(F.col("now_a") == F.col("now_b"), F.lit(False)))
+        links = cut(links.unionByName(verified(cut(apart.select("a", "b")))))
     roots = cut(connected_components(links))
     ids = roots.join(firsts, roots["node"] == firsts["key"]).select("node", "root", "first")
     least = ids.groupBy("root").agg(F.min("first").alias("least"))
@@ -319,6 +336,5 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """docs without the rows whose component has a smaller doc_id: one document of each group stays, whole and with all its columns.
 
-    A row without words stays. Of rows that repeat a doc_id in one component, all stay or none."""
-    kept = jaccard_components(docs, words, percent).where("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    A row without words stays. Rows that repeat a doc_id all go if one of them does."""
+    return without(docs, jaccard_components(docs, words, percent).where("not (doc_id <=> component_id)"))

@@ -22,6 +22,7 @@ of a query's pairs with one component the likeliest first, the rest only where t
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -116,7 +117,7 @@ def _count(words: int):
         blocks = np.minimum(cells, 0xFFFF).astype("<u2").reshape(BLOCKS, -1)
         used = [k for k in range(BLOCKS) if blocks[k].any()]
         none = [None] * len(used)
-        yield _rows(none, none, none, none, used, [task % 16] * len(used), [blocks[k].tobytes() for k in used])
+        yield _rows(none, none, none, none, used, [task % 16] * len(used), [zlib.compress(blocks[k].tobytes(), 1) for k in used])
 
     return run
 
@@ -132,8 +133,8 @@ def _sum_cells(kind: str):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(CELLS // BLOCKS, np.int64)
         for c in group["cells"]:
-            total += np.frombuffer(c, kind)
-        return pd.DataFrame({"block": group["block"].iloc[:1], "cells": [np.minimum(total, 2**32 - 1).astype("<u4").tobytes()]})
+            total += np.frombuffer(zlib.decompress(c), kind)
+        return pd.DataFrame({"block": group["block"].iloc[:1], "cells": [zlib.compress(np.minimum(total, 2**32 - 1).astype("<u4").tobytes(), 1)]})
 
     return run
 
@@ -144,7 +145,7 @@ def _frequent(counted: DataFrame) -> np.ndarray:
     once = some.groupBy("block", "salt").applyInPandas(_sum_cells("<u2"), "block int, cells binary")
     cells = np.zeros((BLOCKS, CELLS // BLOCKS), np.int64)
     for k, c in once.groupBy("block").applyInPandas(_sum_cells("<u4"), "block int, cells binary").collect():
-        cells[k] = np.frombuffer(c, "<u4")
+        cells[k] = np.frombuffer(zlib.decompress(c), "<u4")
     mean = cells.mean()
     return cells.ravel() > mean + max(24, 6 * mean**0.5)
 

@@ -5,14 +5,17 @@ A host's pages are dealt into lots of about LOT pages (a hot host has many lots)
 1. Pages become tokens: tags with the tags they stand in, so that equal tags in different places differ.
 2. Tokens with the same occurrence vector (how often they occur on each page of the lot) are one class. Classes that
    occur on most pages and keep one order on each are valid; the class that occurs once a page is the template's frame.
-3. Other valid classes nest in the frame's slot that all their occurrences fall in. What stands in no class's token
-   is the content of a slot.
+3. Other classes nest in the frame's slot that their first occurrences fall in, a class for each slot. What stands in
+   no class's token is the content of a slot.
 4. Slots that hold a page's own text make its main part: those inside an article or main element where a page has
    any. Else it is the container that is reached from the root by the child with most of the lot's own text (what
    isn't on all of its pages, nor in links), as long as there is no such text beside the child.
+5. A slot of the frame or of a nested class is the template's if its text is the same on all pages that have the tag
+   (LEAST_PAGES different pages at least); that text goes, in the main part too. A tag whose own text differs
+   from page to page is content wherever it stands, so a paragraph with the path of the page's own ones stays.
 
 Menus, headers, footers, sidebars, notices, adverts, forms and reader comments go wherever they stand, by their tags,
-roles and class words. Text inside the main part is never dropped for being alike on several pages."""
+roles and class words."""
 
 from __future__ import annotations
 
@@ -30,6 +33,8 @@ from .common import cut
 
 #: Pages of a lot, about, and hosts up to which their numbers of lots (some 50 bytes each) are sent to every executor.
 LOT, BROADCAST_ROWS = 64, 100_000
+#: Different pages that tell a template's text from content at least.
+LEAST_PAGES = 3
 
 #: Elements and words.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -145,11 +150,13 @@ def tokenize(page: str | None) -> list[Node]:
 
 @dataclass
 class Template:
-    """The frame's tokens in order, the classes nested in each of its slots, and the path of the main container."""
+    """The frame's tokens in order, the classes nested in each of its slots, the path of the main container, and the
+    tokens whose slots hold the template's own text."""
 
     frame: list[str]
     nested: dict[int, list[tuple[str, ...]]]
     main: str
+    fixed: frozenset[str]
 
 
 def container(path: str) -> str:
@@ -160,6 +167,33 @@ def container(path: str) -> str:
     return ">".join(parts)
 
 
+def block(path: str) -> str:
+    """The path of the element that a text stands in, inline ones passed over."""
+    parts = path.split(">")
+    while len(parts) > 1 and parts[-1].partition(".")[0] in INLINE:
+        parts.pop()
+    return ">".join(parts)
+
+
+def _fixed(pages: list[list[Node]], tokens: set[str]) -> frozenset[str]:
+    """Those of the tokens whose slots hold the same text on all pages that have the token.
+
+    Equal pages count once: copies of one page don't make its content a template."""
+    held: dict[str, list[str]] = defaultdict(list)
+    different = {tuple((n.token, n.text) for n in nodes): nodes for nodes in pages}
+    for nodes in different.values():
+        texts: dict[str, list[str]] = defaultdict(list)
+        for n in nodes:
+            if n.text is None:
+                if n.token in tokens:
+                    texts[n.token] += []
+            elif (path := block(n.path)) in tokens:
+                texts[path].append(n.text)
+        for token, pieces in texts.items():
+            held[token].append(" ".join("".join(pieces).split()))
+    return frozenset(t for t, x in held.items() if len(x) >= LEAST_PAGES and 2 * len(x) > len(different) and x[0] and len(set(x)) == 1)
+
+
 def _slots(nodes: list[Node], frame: list[str]) -> list[int]:
     """The slot of each node: how many of the frame's tokens have come up, those that lack passed over."""
     place = {t: k for k, t in enumerate(frame)}
@@ -207,8 +241,12 @@ def deduce(pages: list[list[Node]]) -> Template:
             elif not n.dropped and not n.link and (piece := n.text.strip()):
                 pieces[container(n.path), piece].add(k)
     for v, tokens in classes.items():
-        if max(v) > 1 and len(slots := set().union(*(homes[t] for t in tokens))) == 1:
-            nested[slots.pop()].append(tuple(tokens))
+        apart: dict[int, list[str]] = defaultdict(list)  # equal vectors in different slots are different classes
+        for t in tokens:
+            if max(v) > 1:
+                apart[min(homes[t])].append(t)
+        for slot, some in apart.items():
+            nested[slot].append(tuple(some))
     # text that is on all of several pages is the template's, unless there is no other
     own = {key: at for key, at in pieces.items() if len(pages) < 3 or len(at) < len(pages)} or pieces
     mass: Counter[str] = Counter()
@@ -226,18 +264,19 @@ def deduce(pages: list[list[Node]]) -> Template:
         if 2 * below[child] < sum(below.values()):
             break
         main = child
-    return Template(frame, dict(nested), main)
+    fixed = _fixed(pages, {*frame, *(t for cs in nested.values() for c in cs for t in c)})
+    return Template(frame, dict(nested), main, fixed)
 
 
 def extract(nodes: list[Node], template: Template) -> str:
-    """A page's main text: its blocks, each with single spaces, joined by a space."""
+    """A page's main text: the content of the slots in its main part, each block with single spaces, joined by a space."""
     inside = any(n.main and not n.dropped and n.text is not None and not n.text.isspace() for n in nodes)
     out: list[str] = []
     for n in nodes:
         if n.text is None:
             if n.block:
                 out.append(" ")
-        elif not n.dropped and (n.main if inside else f"{container(n.path)}>".startswith(f"{template.main}>")):
+        elif not n.dropped and block(n.path) not in template.fixed and (n.main if inside else f"{container(n.path)}>".startswith(f"{template.main}>")):
             out.append(n.text)
     return " ".join("".join(out).split())
 

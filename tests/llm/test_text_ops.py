@@ -326,3 +326,15 @@ def test_frame_tokens_share_an_occurrence_vector():
     template = html_template.deduce(pages)
     assert ">html>body>div.m" in template.frame and any(">html>body>div.m>a" in c for cs in template.nested.values() for c in cs)
     assert html_template.extract(pages[1], template) == "word " * 20 + "1"
+
+
+@pytest.mark.parametrize(("open_", "close"), [("<article>", "</article>"), ("<main><div>", "</div></main>"), ("<div class='text'>", "</div>")])
+def test_text_of_the_template_goes_from_the_main_part(open_, close):
+    own = [f"<h1>Title {k}</h1><p>Own text of page {k}, with <b>words</b> {'and more ' * k}</p><p>It ends.</p>" for k in range(6)]
+    block = "<div class='xq'><p>Read also our guide</p><ul><li><a href='/g'>Guide</a><li>Tour</ul></div><p class='zz'>Offer of the <b>day</b></p>"
+    pages = [f"<html><body>{open_}{x}{block}{close}</body></html>" for x in own]
+    want = [" ".join(f"Title {k} Own text of page {k}, with words {'and more ' * k} It ends.".split()) for k in range(6)]
+    assert next(html_template.lots(iter([pages]))) == want
+    # a block on too few pages is content, and so is a page's text if its copies make up the host
+    assert next(html_template.lots(iter([[pages[0]] * 5])))[0].endswith("Read also our guide Guide Tour Offer of the day")
+    assert [x.endswith("Offer of the day") for x in next(html_template.lots(iter([[*pages[:1], *(x.replace(block, "") for x in pages[1:])]])))] == [True] + [False] * 5

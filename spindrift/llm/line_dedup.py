@@ -2,8 +2,9 @@
 
 Lines are what \\n splits; a line without a word (blank) takes no part. Equal lines are one class by a 64-bit hash.
 A class's set holds its shingles of SHINGLE code points (the whole line, if shorter). BANDS bands of ROWS minima
-each make candidates: in a band's bucket every line is held against the bucket's least and greatest class, so a
-bucket of any size costs two pairs a line. At a similarity of 0.8 two lines share no band once in 540 times, at 0.9
+each make candidates: in a band's bucket of up to SMALL classes all pairs are. In a larger one every line is first
+held against the bucket's least and greatest class; if that leaves more than one component there, the rest of the
+bucket's pairs are counted in blocks of about BLOCK lines, so any two lines that share a band are compared. At a similarity of 0.8 two lines share no band once in 540 times, at 0.9
 once in 10**5. Candidates are verified by whole sets; of each component the line that comes first, by doc_id and place, stays."""
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from .common import BROADCAST_IDS, cut
 from .components import connected_components
 
 SHINGLE, PERCENT, BANDS, ROWS = 7, 80, 12, 4
+#: Classes of a bucket whose pairs are all listed, and lines of a block about.
+SMALL, BLOCK = 64, 512
 _ODD = np.random.default_rng(11).integers(1 << 20, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _ADD = np.random.default_rng(12).integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
 _POWER = np.array([pow(0x01000193, k, 1 << 32) for k in range(64)], np.uint64).astype(np.uint32)
@@ -137,6 +140,65 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.loc[near, ["a", "b"]]
 
 
+def _apart(block: pd.DataFrame) -> pd.DataFrame:
+    """Similar lines (a, b) of a pair of blocks, besides those that root and the pairs before them already join.
+
+    Rows with `left` are held against rows with `right`. Common shingles are counted by hash for all pairs at once,
+    over the shingles of two lines or more; what comes near the threshold is verified by whole sets."""
+    texts = block["text"].tolist()
+    h, starts = shingle_hashes(texts)
+    owner = np.repeat(np.arange(len(texts)), np.diff(np.append(starts, len(h))))
+    keys = np.unique(h.astype(np.uint64) << np.uint64(32) | owner.astype(np.uint64))
+    owner, names = (keys & np.uint64(0xFFFFFFFF)).astype(np.int64), keys >> np.uint64(32)
+    sizes = np.bincount(owner, minlength=len(texts))
+    _, column, times = np.unique(names, return_inverse=True, return_counts=True)
+    shared = times > 1
+    place = np.cumsum(shared) - 1
+    owner, column = owner[shared[column]], place[column[shared[column]]]
+    left, right = np.flatnonzero(block["left"]), np.flatnonzero(block["right"])
+    common = np.zeros((len(left), len(right)), np.float32)
+    edges = np.searchsorted(column, np.arange(0, int(shared.sum()) + 4096, 4096))
+    for k, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        has = np.zeros((len(texts), 4096), np.float32)
+        has[owner[x:y], column[x:y] - 4096 * k] = 1
+        common += has[left] @ has[right].T
+    root = block["root"].to_numpy()
+    union = sizes[left][:, None] + sizes[right][None, :] - common
+    near = (100 * common >= (PERCENT - 1) * union) & (root[left][:, None] != root[right][None, :])
+    parent: dict[int, int] = {}
+
+    def find(r: int) -> int:
+        while (up := parent.get(r, r)) != r:
+            r = up
+        return r
+
+    out, line, roots, sets = [], block["line"].tolist(), root.tolist(), {}
+    for i, j in zip(*np.nonzero(near), strict=True):
+        i, j = int(left[i]), int(right[j])
+        ri, rj = find(roots[i]), find(roots[j])
+        if ri != rj:
+            a, b = (sets.setdefault(k, line_shingles(texts[k])) for k in (i, j))
+            both = len(a & b)
+            if 100 * both >= PERCENT * (len(a) + len(b) - both):
+                parent[max(ri, rj)] = min(ri, rj)
+                out.append((line[i], line[j]))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def _rest(large: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """Similar lines (a, b) of large buckets (line, band, n) that the roots so far leave apart; None if no bucket is left."""
+    tagged = large.join(roots, large["line"] == roots["node"], "left").select("line", "band", "n", F.coalesce("root", "line").alias("root"))
+    split = tagged.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"))
+    left = cut(tagged.join(split.where("x <> y").select("band"), "band", "left_semi"))
+    if left.isEmpty():
+        return None
+    k = F.ceil(F.col("n") / BLOCK)
+    mine = left.withColumns({"k": k, "mine": F.pmod(F.xxhash64("line"), k)}).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    mine = mine.select("line", "root", "band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine")
+    mine = mine.withColumns({"left": F.col("mine") == F.col("i"), "right": F.col("mine") == F.col("j")})
+    return mine.join(texts, "line").groupBy("band", "i", "j").applyInPandas(_apart, "a long, b long")
+
+
 def dropped_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """docs (doc_id, text, ...) to the lines that go, as (doc_id, hash, gone ARRAY<INT>), and all lines (doc_id, hash, no, line).
 
@@ -144,16 +206,23 @@ def dropped_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.xxhash64("text").alias("hash"), F.col("text").cast("string").alias("text"))
     lines = cut(rows.mapInArrow(_occurrences, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, hash long, no int, line long, bands array<long>"))
-    marks = lines.where("bands is not null").select("line", F.explode("bands").alias("band")).repartition("band")
+    marks = lines.where("bands is not null").select("line", F.explode("bands").alias("band")).repartition("band").dropDuplicates(["band", "line"])
     bucket = Window.partitionBy("band")
-    marks = marks.withColumns({"low": F.min("line").over(bucket), "high": F.max("line").over(bucket)}).where("low <> high")
-    pairs = marks.select("line", F.explode(F.array("low", "high")).alias("b")).where("line <> b")
-    pairs = cut(pairs.select(F.least("line", "b").alias("a"), F.greatest("line", "b").alias("b")).distinct())
+    marks = marks.withColumns({"low": F.min("line").over(bucket), "high": F.max("line").over(bucket), "n": F.count("*").over(bucket)})
+    marks = cut(marks.where("low <> high"))
+    large = marks.where(F.col("n") > SMALL)
+    star = large.select(F.col("line").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    small = marks.where(F.col("n") <= SMALL).groupBy("band").agg(F.collect_list("line").alias("all")).select("all", F.explode("all").alias("a"))
+    pairs = small.select("a", F.explode("all").alias("b")).where("a < b").unionByName(star)
+    pairs = cut(pairs.distinct())
     ends = pairs.select(F.col("a").alias("line")).unionByName(pairs.select(F.col("b").alias("line")))
     wanted = spark.sparkContext.broadcast(_own_bitmap(ends))
     texts = cut(docs.select(F.col("text").cast("string")).mapInArrow(_texts(wanted), "line long, text string").dropDuplicates(["line"]))
     held = pairs.join(texts.withColumnRenamed("line", "a"), "a").join(texts.select(F.col("line").alias("b"), F.col("text").alias("other")), "b")
-    roots = cut(connected_components(held.mapInPandas(_verify, "a long, b long")))
+    near = cut(held.mapInPandas(_verify, "a long, b long"))
+    roots = cut(connected_components(near))
+    if not large.isEmpty() and (rest := _rest(large, roots, texts)) is not None:
+        roots = cut(connected_components(near.unionByName(rest)))
 
     first = F.min(F.struct("doc_id", "hash", "no"))
     classes = cut(lines.groupBy("line").agg(first.alias("first"), F.count("*").alias("times")))

@@ -148,6 +148,33 @@ def test_line_recall_at_the_threshold():
     assert tried > 100 and met >= 0.98 * tried
 
 
+@pytest.mark.parametrize(("small", "block"), [(64, 512), (4, 16), (1000, 512)])
+def test_all_similar_lines_of_a_bucket_meet(spark, monkeypatch, small, block):
+    """Lines with one long shared passage: those that share a band and are similar become one, whatever else is there."""
+    monkeypatch.setattr(line_dedup, "SMALL", small, raising=False)
+    monkeypatch.setattr(line_dedup, "BLOCK", block, raising=False)
+    rng = random.Random(12)
+
+    def chars(n):
+        return [rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)]
+
+    shared, lines = "".join(chars(200)), []
+    for k in range(300):
+        own = chars(40)
+        lines.append(shared + "".join(own))
+        if k < 60:
+            own[20] = own[30] = "#"
+            lines.append(shared + "".join(own))
+    rng.shuffle(lines)
+    held = line_dedup.bands(lines)
+    sets = [line_dedup.line_shingles(x) for x in lines]
+    links = [(a, b) for a in range(len(lines)) for b in range(a) if (held[a] == held[b]).any() and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert len(links) >= 59
+    root = roots(len(lines), links)
+    got = {r["doc_id"] for r in line_dedup.dedup_lines(docs(spark, list(enumerate(lines)))).where("text <> ''").collect()}
+    assert got == set(root)
+
+
 def test_line_dedup_keeps_columns_and_rows(spark):
     table = docs(spark, [(1, "same line here\nown line one"), (2, "same line here"), (2, "same line here"), (None, "a line without id"), (3, None)])
     out = line_dedup.keep_lines(table)

@@ -1,8 +1,8 @@
 """Quality by Bradley-Terry pairwise ranking: scores from preference pairs, cut at a quantile of scores.
 
 A pair is a document labelled 1 and one labelled 0; the first is preferred. Weights are fitted by logistic loss on
-the difference of the two feature vectors. The cut is the quantile of the learning rows' scores at the share of
-label 0, and the score is placed so that the cut falls on THRESHOLD."""
+the difference of the two feature vectors, on SAMPLE rows at most. The cut is the quantile of all learning rows'
+scores at their share of label 0, and the score is placed so that the cut falls on THRESHOLD."""
 
 from __future__ import annotations
 
@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 from .common import cut, without
 
 THRESHOLD = 0.3
-#: Labelled rows that weights are fitted on at most (those with the lowest hashes), and preference pairs.
+#: Labelled rows that weights (not the cut) are fitted on at most, those with the lowest hashes, and preference pairs.
 SAMPLE, PAIRS = 20_000, 200_000
 RIDGE = 1.0
+#: Slots of a histogram of scores.
+SLOTS = 4096
 
 #: The features, in order.
 FEATURES = (
@@ -65,7 +67,7 @@ def featurize(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
 
 class Ranking:
-    """Weights, and where the scores are cut."""
+    """Weights, and where the scores are cut (placed by fit())."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, seed: int = 7) -> None:
         self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
@@ -83,10 +85,7 @@ class Ranking:
             if np.abs(step).max() < 1e-6:
                 break
         self.weights = w
-        scores = z @ w
-        # between the two scores next to the quantile, so no learning row lies on the cut
-        order, k = np.sort(scores), len(bad)
-        self.cut = float((order[k - 1] + order[k]) / 2)
+        self.cut = 0.0
 
     def standard(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x - self.mean) / self.scale, -8, 8)
@@ -95,22 +94,64 @@ class Ranking:
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Ranking | None:
     """A ranking from (doc_id, features, quality) rows; None unless both labels occur.
 
-    The `sample` rows with the lowest hashes of doc_id are used: the one part of this operator that is bounded."""
-    rows = labelled.where("quality in (0, 1)").orderBy(F.xxhash64("doc_id"), "quality").limit(sample).select("features", "quality").collect()
-    y = np.array([r["quality"] for r in rows])
-    if not len(rows) or len(set(y.tolist())) < 2:
+    Weights are fitted on the `sample` rows with the lowest hashes of doc_id (as many again of a label that these
+    lack): the one part of this operator that is bounded. The cut is taken over all rows."""
+    labelled = labelled.where("quality in (0, 1)")
+    count = {r["quality"]: r["n"] for r in labelled.groupBy("quality").agg(F.count("*").alias("n")).collect()}
+    if len(count) < 2:
         return None
-    return Ranking(np.array([r["features"] for r in rows]), y)
+    rows = labelled.orderBy(F.xxhash64("doc_id"), "quality").limit(sample).select("features", "quality").collect()
+    y = np.array([r["quality"] for r in rows])
+    for q in {0, 1} - set(y.tolist()):  # a label too rare for the sample
+        rows += labelled.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id")).limit(sample).select("features", "quality").collect()
+        y = np.array([r["quality"] for r in rows])
+    ranking = Ranking(np.array([r["features"] for r in rows]), y)
+    ranking.cut = _cut(labelled.select(total(F.col("features"), ranking).alias("s")), count[0])
+    return ranking
+
+
+def _cut(scores: DataFrame, below: int) -> float:
+    """The middle between the below-th least score (column s) and the next, so no learning row lies on the cut.
+
+    Exact, whatever the number of rows: histograms of SLOTS slots, each of the slot before, narrow the two places
+    down until a slot has few enough distinct scores to read."""
+    scores = cut(scores.groupBy("s").agg(F.count("*").alias("n")))
+
+    def kth(k: int) -> float:
+        """The k-th least score, from 1."""
+        held = scores
+        while True:
+            low, high, distinct = held.agg(F.min("s"), F.max("s"), F.count("*")).first()
+            if distinct <= SLOTS or low == high:
+                for s, n in held.orderBy("s").collect():
+                    k -= n
+                    if k <= 0:
+                        return s
+            slot = F.least(F.lit(SLOTS - 1), F.floor((F.col("s") - low) / (high - low) * SLOTS))
+            placed = held.withColumn("slot", slot)
+            for at, n in placed.groupBy("slot").agg(F.sum("n")).orderBy("slot").collect():
+                if k <= n:
+                    break
+                k -= n
+            held = placed.where(F.col("slot") == at).drop("slot")
+
+    return (kth(below) + kth(below + 1)) / 2
+
+
+def total(features: Column, ranking: Ranking) -> Column:
+    """The weighted sum of a feature vector."""
+    out = F.lit(0.0)
+    for k, (w, m, s) in enumerate(zip(ranking.weights.tolist(), ranking.mean.tolist(), ranking.scale.tolist(), strict=True)):
+        out = out + F.lit(w) * F.least(F.lit(8.0), F.greatest(F.lit(-8.0), (F.get(features, F.lit(k)) - m) / s))
+    return out
 
 
 def score(features: Column, ranking: Ranking | None) -> Column:
     """The score of a feature vector: 0 to 1, THRESHOLD at the cut. Without a ranking every score is 0.5."""
     if ranking is None:
         return F.lit(0.5)
-    total = F.lit(float(np.log(THRESHOLD / (1 - THRESHOLD)) - ranking.cut))
-    for k, (w, m, s) in enumerate(zip(ranking.weights.tolist(), ranking.mean.tolist(), ranking.scale.tolist(), strict=True)):
-        total = total + F.lit(w) * F.least(F.lit(8.0), F.greatest(F.lit(-8.0), (F.get(features, F.lit(k)) - m) / s))
-    return 1 / (1 + F.exp(-total))
+    place = float(np.log(THRESHOLD / (1 - THRESHOLD)) - ranking.cut)
+    return 1 / (1 + F.exp(-(total(features, ranking) + F.lit(place))))
 
 
 def classify(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> DataFrame:

@@ -278,6 +278,18 @@ def test_quality_edges(spark):
     assert pairwise_quality.classify(docs(spark, []), labels).collect() == []
 
 
+@pytest.mark.parametrize("slots", [4096, 3])
+def test_quality_cut_is_that_of_all_learning_rows(spark, monkeypatch, slots):
+    monkeypatch.setattr(pairwise_quality, "SLOTS", slots, raising=False)
+    rng = random.Random(8)
+    n = len(pairwise_quality.FEATURES)
+    rows = [(k, [rng.gauss(0, 1) + (y if j < 3 else 0) for j in range(n)], y) for k in range(600) for y in [int(rng.random() < 0.6)]]
+    labelled = spark.createDataFrame(rows, "doc_id long, features array<double>, quality int")
+    ranking = pairwise_quality.fit(labelled, sample=40)
+    out = [r["s"] for r in labelled.select(pairwise_quality.score(F.col("features"), ranking).alias("s")).collect()]
+    assert sum(s < pairwise_quality.THRESHOLD for s in out) == sum(y == 0 for _, _, y in rows)
+
+
 def test_language_of_held_out_documents(spark):
     out = queries.op6_langid(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert sum(r["lang"] == r["lang_pred"] for r in out) >= 0.97 * len(out)

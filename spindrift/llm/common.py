@@ -38,18 +38,33 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: Ids up to which a list of them (16 MB as a hash table) is sent to every executor.
+#: Rows up to which a list of their ids and hashes (24 MB as a hash table) is sent to every executor.
 BROADCAST_IDS = 500_000
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in ids (one column doc_id, null-safe), with all their columns.
+def text_hash() -> Column:
+    """What tells rows of one doc_id (or without any) apart, unless their texts are equal."""
+    return F.xxhash64("text")
 
-    A list of BROADCAST_IDS ids or fewer is broadcast, so texts don't move; a longer one meets docs in a join that
+
+def _met(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    rows = cut(rows.select(F.col("doc_id").alias("__sp_id"), F.col("hash").alias("__sp_h")).distinct())
+    few = rows.count() <= BROADCAST_IDS
+    same = F.col("doc_id").eqNullSafe(F.col("__sp_id")) & (F.col("__sp_hash") == F.col("__sp_h"))
+    return docs.withColumn("__sp_hash", text_hash()).join(F.broadcast(rows) if few else rows, same, how).drop("__sp_hash")
+
+
+def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """docs without those of the rows (doc_id, hash), null-safe, with all their columns; hash is text_hash().
+
+    A list of BROADCAST_IDS rows or fewer is broadcast, so texts don't move; a longer one meets docs in a join that
     shuffles both."""
-    ids = cut(ids.select(F.col("doc_id").alias("__sp_gone")).distinct())
-    few = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("__sp_gone")), "left_anti")
+    return _met(docs, rows, "left_anti")
+
+
+def only(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Those rows of docs that without() takes away."""
+    return _met(docs, rows, "left_semi")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

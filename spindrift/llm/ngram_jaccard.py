@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bitmap, cut, slot_of, without
+from .common import bitmap, cut, only, slot_of, text_hash, without
 from .components import connected_components
 
 WORDS, PERCENT = 5, 80
@@ -335,7 +335,20 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """docs without the rows whose component has a smaller doc_id: one document of each group stays, whole and with all its columns.
-
-    A row without words stays. Rows that repeat a doc_id all go if one of them does."""
-    return without(docs, jaccard_components(docs, words, percent).where("not (doc_id <=> component_id)"))
+    """docs with one row of each component, that with the smallest doc_id (null last), whole and with all its columns.
+
+    Rows are told apart by doc_id and text, so null and repeated doc_ids don't matter; of rows that are equal in both
+    one stays. A row without words stays, however often it is there."""
+    row = F.xxhash64("doc_id", "text")
+    found = jaccard_components(docs.select(row.alias("doc_id"), "text"), words, percent).where("n_shingles > 0")
+    found = found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("component")).distinct()
+    rows = docs.select("doc_id", text_hash().alias("hash"), row.alias("row")).groupBy("doc_id", "hash", "row").agg(F.count("*").alias("times"))
+    rows = cut(rows.join(found, "row"))
+    heads = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hash")).alias("head"))
+    stays = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("hash") == F.col("head.hash"))
+    rows = cut(rows.join(heads, "component").select("doc_id", "hash", "times", stays.alias("stays")))
+    again = rows.where("stays and times > 1")
+    if again.isEmpty():
+        return without(docs, rows.where("not stays"))
+    once = only(docs, again).withColumn("__sp_hash", text_hash()).dropDuplicates(["doc_id", "__sp_hash"]).drop("__sp_hash")
+    return without(docs, rows.where("not stays or times > 1")).unionByName(once)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, without
+from .common import cut, text_hash, without
 
 THRESHOLD = 0.3
 #: Labelled rows that weights (not the cut) are fitted on at most, those with the lowest hashes, and preference pairs.
@@ -161,15 +161,23 @@ def classify(docs: DataFrame, labels: DataFrame, learn: Column | None = None) ->
     label, or a label besides 0 and 1, are not learned from; a document with several rows of labels counts by their
     highest. Null, empty and blank texts have one feature vector and so one score. Repeated rows give repeated rows;
     columns besides doc_id and text are not read."""
-    vectors = cut(featurize(docs))
+    return _classified(docs, labels, learn).drop("hash")
+
+
+def _classified(docs: DataFrame, labels: DataFrame, learn: Column | None) -> DataFrame:
+    """classify() with each row's text_hash() beside its doc_id."""
+    keyed = docs.select(F.struct("doc_id", text_hash().alias("hash")).alias("row"), "text")
+    vectors = cut(featurize(keyed, "row").select("row.*", "features"))
     marks = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     if learn is not None:
         marks = marks.where(learn)
     ranking = fit(vectors.join(marks, "doc_id"))
     s = score(F.col("features"), ranking)
-    return vectors.select("doc_id", s.alias("score")).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    return vectors.select("doc_id", "hash", s.alias("score")).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> DataFrame:
-    """The rows of docs that classify() doesn't reject, whole and with all their columns."""
-    return without(docs, classify(docs, labels, learn).where("predicted = 0"))
+    """The rows of docs that classify() doesn't reject, whole and with all their columns.
+
+    Each row is judged by its own text, also where doc_ids are null or repeat."""
+    return without(docs, _classified(docs, labels, learn).where("predicted = 0"))

@@ -3,6 +3,8 @@
 import corpus_pipeline
 from pyspark.sql import functions as F
 
+from spindrift.llm import ngram_jaccard, pairwise_quality
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -32,3 +34,20 @@ def test_run_packs_what_the_stages_keep(spark):
     out = corpus_pipeline.run(spark, SF)
     by_bin = out.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"), F.count("*").alias("c")).collect()
     assert by_bin and all(r["n"] == r["end"] <= 4096 for r in by_bin)
+
+
+def test_decisions_are_by_row(spark):
+    """Null and repeated ids: a row goes for its own text, and of exact copies one stays."""
+    good, other = "a clean text of seven words here", "quite another text with its own words"
+    rows = [(None, good), (None, good), (None, other), (7, "bad"), (7, "some third text with seven good words"), (8, good), (9, other), (9, other), (None, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, n int")
+    kept = ngram_jaccard.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(7, "bad"), rows[4], (8, good), (9, other), (None, None), (None, None)], key=str)
+    learn = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    both = learn.join(labels.where("quality is not null"), "doc_id")
+    hot = both.select(F.lit(None).cast("long").alias("doc_id"), "text")
+    kept = {r["text"] for r in pairwise_quality.keep_good(learn.unionByName(hot), labels).where("doc_id is null").collect()}
+    out = pairwise_quality.classify(learn, labels).join(learn, "doc_id").join(both.select("doc_id"), "doc_id").collect()
+    assert kept == {r["text"] for r in out if r["predicted"] == 1} and len({r["predicted"] for r in out}) == 2

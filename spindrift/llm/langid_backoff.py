@@ -18,6 +18,8 @@ from .common import cut
 
 #: Words and n-grams of the model at most, the longest n-gram, and the least count of a known word.
 WORDS, GRAMS, LONGEST, LEAST = 60_000, 60_000, 4, 3
+#: Characters of a word that n-grams are taken from at once.
+PIECE = 61
 #: Word-likelihoods that a document's score adds up at most: a long text is no surer than this many words.
 SURE = 25
 
@@ -76,10 +78,18 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     words = docs.select(F.col(lang).cast("string").alias("lang"), F.explode(letter_words(F.col(text))).alias("word")).where("word <> ''")
     counts = cut(words.groupBy("word", "lang").agg(F.count("*").alias("c")))
     padded = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
-    n = F.sequence(F.lit(1), F.lit(LONGEST))
-    # of a very long run of letters the first 62 make n-grams; its word counts whole
-    grams = F.flatten(F.transform(n, lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length(padded), F.lit(64)) - k + 1)), lambda i: F.substring(padded, i, k))))
-    parts = counts.select("lang", "c", F.explode(grams).alias("gram")).groupBy("gram", "lang").agg(F.sum("c").alias("c"))
+    # n-grams are taken from pieces of PIECE characters, each with as many of the next as an n-gram reaches into it:
+    # a substring is as slow as the text before it is long
+    pieces = counts.select("lang", "c", F.split(padded, rf"(?<=\G.{{{PIECE}}})").alias("p"))
+    pieces = pieces.select("lang", "c", F.explode(F.transform("p", lambda x, i: F.struct(x.alias("x"), F.concat(x, F.coalesce(F.left(F.get("p", i + 1), F.lit(LONGEST - 1)), F.lit(""))).alias("y")))).alias("s"))
+    pieces = pieces.select("lang", "c", "s.y", F.length("s.x").alias("size")).where("size > 0")
+
+    def starts(k: Column) -> Column:
+        last = F.least(F.col("size"), F.length("y") - k + 1)
+        return F.when(last > 0, F.sequence(F.lit(1), F.greatest(F.lit(1), last))).otherwise(F.array().cast("array<int>"))
+
+    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(LONGEST)), lambda k: F.transform(starts(k), lambda i: F.substring("y", i, k))))
+    parts = pieces.select("lang", "c", F.explode(grams).alias("gram")).groupBy("gram", "lang").agg(F.sum("c").alias("c"))
     by_word, totals = _counted(counts, "word", WORDS, LEAST)
     by_gram, gram_totals = _counted(cut(parts), "gram", GRAMS, 1)
     langs = sorted(totals)

@@ -306,6 +306,14 @@ def test_language_edges(spark):
     assert langid_backoff.predict(docs(spark, []), model).collect() == []
 
 
+def test_grams_of_whole_words(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcé語") for _ in range(n)) for n in (1, 2, 3, 59, 60, 61, 62, 63, 64, 120, 121, 122, 183, 500)]
+    model = langid_backoff.fit(docs(spark, [(1, " ".join(words)), (2, "z" * 60000 + "yx")]))
+    want = {f"^{w}$"[i : i + n] for w in [*words, "z" * 60000 + "yx"] for n in range(1, 5) for i in range(len(w) + 3 - n)}
+    assert set(model.grams) == want
+
+
 # HTML
 
 PAGE = (

@@ -178,7 +178,7 @@ def tfidf_weights(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def text_tfidf_ngrams(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("lang = 'en'")
+    docs = table(spark, d, "documents")
     return rounded(content.similar_texts(docs, docs.agg(F.min("doc_id")).first()[0], 10, "doc_id", F.col("text")), "score", to=4)
 
 

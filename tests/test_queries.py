@@ -6,7 +6,9 @@ from decimal import Decimal
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from spindrift.operators import content
 from spindrift.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -43,3 +45,10 @@ def test_entry_has_rows_and_names_match(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert os.path.isfile("bench.py")
+
+
+def test_tfidf_reads_documents_of_all_languages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = content.similar_texts(docs, docs.agg(F.min("doc_id")).first()[0], 10, "doc_id", F.col("text")).collect()
+    got = catalogue.text_tfidf_ngrams(spark, SF).collect()
+    assert [(r["doc_id"], r["score"]) for r in got] == [(r["doc_id"], round(r["score"], 4)) for r in want]

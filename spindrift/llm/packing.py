@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
+import os
+import string
 import unicodedata
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,45 +16,88 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, kept_in_worker
 
-#: Tokens of a sequence, pieces of a group (a group is one task's unit of work), and words kept by a task.
-LENGTH, GROUP, KEPT = 4096, 20_000, 300_000
+#: Tokens of a sequence, and pieces of a group (a group is one task's unit of work).
+LENGTH, GROUP = 4096, 20_000
+#: Bytes of texts that are encoded together, words that go to the tokenizer as one text, and words that a worker keeps.
+SLICE, TOGETHER, KEPT = 8_000_000, 1_000, 250_000
+#: The tokenizer's pieces, and characters whose kind doesn't depend on a library's version of Unicode.
+PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|\pL+|\pN|[^\s\pL\pN]+"
+STABLE = "^[!-~\u00c0-\u0527\u3041-\u30ff\u4e00-\u9fd5\uac00-\ud7a3]*$"
 
 
 class Words:
-    """Token ids of texts by a `tokenizers` file whose pieces never span white space.
+    """Token ids of texts by a `tokenizers` file whose pieces are PIECE, and so never span white space.
 
-    Its distinct words are encoded once a batch; a bounded number of words is kept between batches."""
+    Each distinct word of a slice of texts is encoded once, without the punctuation at its end, which would multiply
+    the words; up to about KEPT words, and what one slice adds, are kept for the next slices."""
 
     def __init__(self, path: str) -> None:
+        # one thread: the library's own threads cost more than they gain on short words, and each keeps memory
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kept: dict[str, bytes] = {}
-
-    def learn(self, words: list[str]) -> list[bytes]:
-        """The ids of each word as 32-bit integers. ASCII capitals are mostly lower-cased already, as the tokenizer does.
-
-        Punctuation at a word's end would multiply the words to encode: the core and the end are encoded once each."""
-        if len(self.kept) > KEPT:
-            self.kept.clear()
-        kept, need, parted = self.kept, set(), []
-        for w in words:
-            if w not in kept:
-                if w.isalpha() or not (core := w.rstrip(".,;:!?")).isalpha() or not unicodedata.is_normalized("NFC", core):
-                    need.add(w)
+        self.clear()
+
+    def clear(self) -> None:
+        # a word's place in starts and sizes, which tell its ids in the pool; the empty word has none
+        self.place, self.pool = {"": 0}, np.zeros(0, np.uint32)
+        self.starts, self.sizes = np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def encode(self, forms: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words, one word after another in some order, and of each id its word.
+
+        Words are joined to texts of TOGETHER words, whose ids are dealt to the words by their numbers of pieces.
+        Words that lower case still changes, and lots whose pieces don't add up, are encoded one by one."""
+        words = pa.array(forms, pa.string())
+        plain = pc.and_(pc.match_substring_regex(words, STABLE), pc.equal(pc.utf8_lower(words), words))
+        pieces = pc.count_substring_regex(words, PIECE).to_numpy(zero_copy_only=False)
+        plain = plain.to_numpy(zero_copy_only=False) & (pieces > 0)
+        alone, whole = [np.flatnonzero(~plain)], np.flatnonzero(plain)
+        owners, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+        for at in range(0, len(whole), 10 * TOGETHER):
+            lots = [whole[a : a + TOGETHER] for a in range(at, min(at + 10 * TOGETHER, len(whole)), TOGETHER)]
+            texts = [" ".join([forms[k] for k in x.tolist()]) for x in lots]
+            for lot, e in zip(lots, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+                piece, owner = np.array(e.word_ids, np.int64), np.repeat(lot, pieces[lot])
+                if piece[-1] + 1 == len(owner):
+                    owners.append(owner[piece])
+                    ids.append(np.array(e.ids, np.uint32))
                 else:
-                    parted.append((w, core, w[len(core) :]))
-        need.update(x for _, *ends in parted for x in ends if x not in kept)
-        need = list(need)
-        for at in range(0, len(need), 10_000):
-            some = need[at : at + 10_000]
-            for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                kept[w] = array("I", e.ids).tobytes()
-        for w, core, end in parted:
-            kept[w] = kept[core] + kept[end]
-        return [kept[w] for w in words]
+                    alone.append(lot)
+        for k in np.concatenate(alone).tolist():
+            own = self.tokenizer.encode_batch_fast([forms[k]], add_special_tokens=False)[0].ids
+            owners.append(np.full(len(own), k))
+            ids.append(np.array(own, np.uint32))
+        return np.concatenate(ids), np.concatenate(owners)
+
+    def learn(self, words: list[str]) -> np.ndarray:
+        """Of each word the places of its core and of the punctuation at its end, one after the other."""
+        if len(self.place) > KEPT:
+            self.clear()
+        forms = [w if w.isascii() else unicodedata.normalize("NFC", w) for w in words]  # as the tokenizer does first
+
+        def core(w: str) -> str:
+            part = w.rstrip(string.punctuation)
+            return part if part and part[-1].isalnum() and "<|" not in w else w  # a special token's string isn't parted
+
+        cores = [w if w.isalnum() else core(w) for w in forms]
+        ends = [w[len(c) :] for w, c in zip(forms, cores, strict=True)]
+        new = list({*cores, *ends}.difference(self.place))
+        ids, owner = self.encode(new)
+        first = np.flatnonzero(np.diff(owner, prepend=-1))  # a word's ids stand together
+        starts = np.zeros(len(new), np.int64)
+        starts[owner[first]] = first + len(self.pool)
+        self.starts = np.concatenate([self.starts, starts])
+        self.sizes = np.concatenate([self.sizes, np.bincount(owner, minlength=len(new))])
+        self.pool = np.concatenate([self.pool, ids])
+        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
+        at = np.empty((len(words), 2), np.int64)
+        at[:, 0] = list(map(self.place.__getitem__, cores))
+        at[:, 1] = list(map(self.place.__getitem__, ends))
+        return at
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and each text's number of ids."""
@@ -64,15 +108,11 @@ class Words:
         flat, bounds = split.flatten(), split.offsets.to_numpy()
         # runs of white space at the ends leave empty words, which have no ids
         coded = flat.dictionary_encode()
-        ids = self.learn(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        pool = np.frombuffer(b"".join(ids), np.uint32)
-        starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        at = coded.indices.to_numpy()
-        each = sizes[at] if len(at) else np.zeros(0, np.int64)
+        at = self.learn(coded.dictionary.to_pylist())[coded.indices.to_numpy()].ravel()
+        each = self.sizes[at]
         ends = np.concatenate([[0], np.cumsum(each)])
-        take = np.repeat(starts[at] - ends[:-1], each) + np.arange(ends[-1]) if len(at) else np.zeros(0, np.int64)
-        return pool[take], np.diff(ends[bounds - bounds[0]])
+        take = np.repeat(self.starts[at] - ends[:-1], each) + np.arange(ends[-1])
+        return self.pool[take], np.diff(ends[2 * (bounds - bounds[0])])
 
 
 def pieces(docs: DataFrame, path: str, end_id: int, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -80,13 +120,13 @@ def pieces(docs: DataFrame, path: str, end_id: int, length: int = LENGTH, key: s
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(path)
+        words = kept_in_worker(f"words of {path}", lambda: Words(path))
         for batch in batches:
             texts = batch.column(1)
             at = 0
             while at < len(texts):  # slices of bounded size, however long the texts
                 size = np.cumsum(pc.fill_null(pc.binary_length(texts.slice(at)), 0).to_numpy(zero_copy_only=False))
-                some = max(1, int(np.searchsorted(size, 8_000_000)))
+                some = max(1, int(np.searchsorted(size, SLICE)))
                 ids, counts = words(texts.slice(at, some))
                 rows: list[tuple[int, int, int, int, int]] = []
                 first = 0

@@ -6,14 +6,13 @@ the replay runs on the matching pairs alone."""
 
 from __future__ import annotations
 
-import tempfile
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spindrift.functions.similarity import least_title, ratio_udf, title_similarity_udf, weighted_similarity
 from spindrift.functions.text import year_of
+from spindrift.storage import cut
 
 from .filters import first_by
 
@@ -21,17 +20,6 @@ from .filters import first_by
 PRIORITY = ("mal", "tmdb", "mangadex")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder, which ends its lineage."""
-    spark: SparkSession = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        path = spark.conf.get("spark.checkpoint.dir", None)
-        if path is None and not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(path or tempfile.mkdtemp(prefix="spindrift-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def keep_first(df: DataFrame, key: str, ordinal: str) -> DataFrame:
     return first_by(df, [key], [F.asc(ordinal)])
 

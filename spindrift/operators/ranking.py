@@ -2,18 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spindrift.storage import cut
+
+
+def running(df: DataFrame, order: list[Column], aggregate: Callable[[Column | str], Column], value: str, name: str, with_own: bool = True) -> DataFrame:
+    """df with the aggregate (max, min or sum) of a column over the rows up to each in one order of all rows.
+
+    Rows are dealt to ranges of the order. Each range is summed up by itself, and what comes before it is a table of a
+    row a range, so no task sees more than a range. Without with_own a row's own value is left out."""
+    ranged = cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    whole = ranged.groupBy("_range").agg(aggregate(value).alias("_whole"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = whole.select("_range", aggregate("_whole").over(earlier).alias("_before"))
+    near = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if with_own else -1)
+    # an array's aggregate without its nulls: null if neither has a value
+    both = F.filter(F.array(aggregate(value).over(near), F.col("_before")), lambda x: x.isNotNull())
+    joined = ranged.join(F.broadcast(before), "_range").withColumn("_both", both)
+    combine = {"max": F.array_max, "min": F.array_min}.get(aggregate.__name__, lambda a: F.when(F.size(a) > 0, F.aggregate(a, F.lit(0).cast(whole.schema["_whole"].dataType), lambda s, x: s + x)))
+    return joined.withColumn(name, combine(F.col("_both"))).drop("_range", "_before", "_both")
+
 
 def average_rank(df: DataFrame, column: str, name: str) -> DataFrame:
     """Descending rank, equal values sharing their mean; null for null.
 
-    Ranks come from counts by value: the values are summed up in order and joined back, so a task sorts distinct
-    values and not all rows."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_c"))
-    before = F.sum("_c").over(Window.orderBy(F.desc(column)).rowsBetween(Window.unboundedPreceding, -1))
-    ranks = counts.select(F.col(column).alias("_v"), (F.coalesce(before, F.lit(0)) + (F.col("_c") + 1) / 2).alias(name))
+    Ranks come from counts by value: the values are summed up in order, by ranges, and joined back."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_c"))
+    placed = running(counts, [F.desc("_v")], F.sum, "_c", "_upto")
+    ranks = placed.select("_v", (F.col("_upto") - (F.col("_c") - 1) / 2).alias(name))
     return df.join(ranks, df[column] == ranks["_v"], "left").drop("_v")
 
 
@@ -53,14 +73,15 @@ def top_per(df: DataFrame, key: str, order: list, k: int) -> DataFrame:
 
 def frontier(df: DataFrame, key: str = "id", at: str = "updated_at") -> DataFrame:
     """The rows whose id is above every id before them in time."""
-    before = F.max(key).over(Window.orderBy(at, key).rowsBetween(Window.unboundedPreceding, -1))
-    return df.withColumn("_top", before).where(F.col("_top").isNull() | (F.col(key) > F.col("_top"))).drop("_top")
+    tops = running(df, [F.asc(at), F.asc(key)], F.max, key, "_top", with_own=False)
+    return tops.where(F.col("_top").isNull() | (F.col(key) > F.col("_top"))).drop("_top")
 
 
 def created_before(df: DataFrame, key: str = "id", at: str = "updated_at") -> DataFrame:
     """Each row with created_at_before: the time of the first frontier row whose id is at least its own.
 
-    Ids come in order of creation, so an item was there when a later one was updated."""
-    edge = frontier(df.select(key, at), key, at).select(key, F.col(at).alias("_edge"))
-    ahead = F.first("_edge", ignorenulls=True).over(Window.orderBy(key).rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    return df.join(edge, key, "left").withColumn("created_at_before", ahead).drop("_edge")
+    Ids come in order of creation, so an item was there when a later one was updated. Frontier rows' times grow with
+    their ids, so the first one's is the least: a running minimum from the highest id down."""
+    edge = frontier(df.select(key, at), key, at).select(F.col(key).alias("_key"), F.col(at).alias("_edge"))
+    marked = df.join(edge, df[key] == edge["_key"], "left").drop("_key")
+    return running(marked, [F.desc(key)], F.min, "_edge", "created_at_before").drop("_edge")

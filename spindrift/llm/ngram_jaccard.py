@@ -33,15 +33,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bitmap, cut, only, slot_of, text_hash, without
-from .components import connected_components
+from spindrift.operators.components import connected_components
 
 WORDS, PERCENT = 5, 80
 #: Counters of the sketch, and blocks that it is summed in.
 CELLS, BLOCKS = 1 << 20, 64
 #: Members of a group, and queries that are held against it in one task.
 GROUP, QUERIES = 256, 512
-#: Least and most bits of a set's signature, its row of the token-group matrix; between them, eight a token or more.
-BITS = (1 << 10, 1 << 18)
+#: Least and most bits of a set's signature, its row of the token-group matrix; between them, four a token or more.
+BITS = (1 << 9, 1 << 18)
 _MEMO = 200_000
 _MUL = (np.array([3, 5, 7, 11, 13, 17, 19, 23], np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -78,7 +78,7 @@ def _key(tokens: np.ndarray) -> int:
 
 
 def _signature(tokens: np.ndarray) -> bytes:
-    size = min(BITS[1], max(BITS[0], 1 << (8 * len(tokens) - 1).bit_length()))
+    size = min(BITS[1], max(BITS[0], 1 << (4 * len(tokens) - 1).bit_length()))
     bits = np.zeros(size, np.uint8)
     bits[(tokens >> np.uint64(40)).astype(np.int64) & (size - 1)] = 1
     return np.packbits(bits).tobytes()

@@ -139,3 +139,18 @@ def valid_url(url: Column) -> Column:
     """Whether a url has a scheme and an authority; null for a null url."""
     has = F.try_parse_url(url, F.lit("PROTOCOL")).isNotNull() & F.try_parse_url(url, F.lit("AUTHORITY")).isNotNull()
     return F.when(url.isNotNull(), has)
+
+
+def approved(popularity: Column) -> Column:
+    """Whether an item has been let into the ranking: its popularity is not 0; unknown counts as let in."""
+    return ~popularity.eqNullSafe(F.lit(0))
+
+
+def public_picture(url: Column) -> Column:
+    """The picture's address at the public host, for one at the service's own."""
+    return F.replace(url, F.lit("api-"), F.lit(""))
+
+
+def age_hours(at: Column, now: Column) -> Column:
+    """Hours from one time to another, with their parts."""
+    return (F.unix_micros(now.cast("timestamp")) - F.unix_micros(at.cast("timestamp"))) / 3_600_000_000

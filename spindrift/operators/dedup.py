@@ -6,6 +6,8 @@ the replay runs on the matching pairs alone."""
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from spindrift.functions.similarity import least_title, ratio_udf, title_similar
 from spindrift.functions.text import year_of
 from spindrift.storage import cut
 
+from .components import connected_components
 from .filters import first_by
 
 #: Sources, the most trusted first.
@@ -31,33 +34,55 @@ def union_sources(spark: SparkSession, paths: list[str]) -> DataFrame:
     return read_existing(spark, paths)
 
 
-def _bigrams(text: Column) -> Column:
-    """Bigrams of a text with their number among its equal ones, so a repeated bigram counts as often."""
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(2)))
-    sorted_ = F.array_sort(grams)
-    return F.transform(sorted_, lambda g, i: F.concat(g, F.lit("\u0001"), (i - F.array_position(sorted_, g)).cast("string")))
+#: Characters of a gram at most.
+GRAM = 4
+
+
+def _least_lengths(spoilt: float) -> dict[int, int]:
+    """From which length on, for each size of grams, a title that loses its share of characters keeps one gram or more."""
+    return {q: math.ceil(q / (1 - q * spoilt)) + 1 for q in range(2, GRAM + 1) if q * spoilt < 1}
 
 
 def title_pairs(titles: DataFrame, percent: int = 90) -> DataFrame:
     """titles (title), distinct and not null, to (a, b, ratio), a < b, of those whose ratio reaches the percent. No pair is lost.
 
     At a ratio of r (half a point less, for rounding) at most (1 - r)(|a| + |b|) insertions and deletions part two
-    titles, each of which spoils two bigrams of a side at most. So among a title's rarest 2 d + 1 bigrams, d the most
-    that it can be apart from any match, is one that the other has among its own. Pairs go on by length and by the
-    bounded Levenshtein distance, which is no larger than d, and what is left is measured."""
+    titles, each of which spoils q of a side's grams of q characters at most. So among a title's rarest q d + 1 grams, d
+    the most that it can be apart from any match, is one that the other has among its own. Longer grams are rarer, so
+    each length has the longest that leave some unspoilt; a pair goes by its shorter title's, and a title whose shorter
+    matches have others gives both kinds. Pairs, of ids, go on by length and then, with their titles, by the bounded
+    Levenshtein distance, which is no larger than d; what is left is measured."""
     slack = (100 - percent + 0.5) / 100
-    reach = F.floor(slack * F.length("title") * (1 + (1 + slack) / (1 - slack)) + 1e-9)  # of the longest title that can match
-    grams = titles.select("title", F.explode(_bigrams(F.col("title"))).alias("gram"), reach.alias("d"))
-    counts = grams.groupBy("gram").agg(F.count("*").alias("of"))
-    w = Window.partitionBy("title").orderBy("of", "gram")
-    first = grams.join(counts, "gram").withColumn("place", F.row_number().over(w)).where(F.col("place") <= 2 * F.col("d") + 1)
-    left = first.select("gram", F.col("title").alias("a"))
-    right = first.select("gram", F.col("title").alias("b"))
-    la, lb = F.length("a"), F.length("b")
-    near = (F.col("a") < F.col("b")) & (F.abs(la - lb) <= slack * (la + lb))
-    pairs = left.join(right, "gram").where(near).select("a", "b").distinct()
-    bound = F.floor(slack * (la + lb) + 1e-9).cast("int")
-    pairs = pairs.withColumn("bound", bound).where(F.expr("levenshtein(a, b) <= bound"))
+    titles = titles.select("title")
+    most = slack * (1 + (1 + slack) / (1 - slack))  # of a title's length, apart from the longest title that can match
+    size, reach = F.length("title"), F.floor(most * F.length("title") + 1e-9).cast("int")
+    least = _least_lengths(most)
+
+    def longest(n: Column) -> Column:
+        out = F.lit(1)
+        for q in sorted(least):
+            out = F.when(n >= least[q], F.lit(q)).otherwise(out)
+        return out
+
+    shortest = F.floor(size * (1 - slack) / (1 + slack))
+    named = titles.withColumn("id", F.xxhash64("title"))  # grams carry ids: a title may be long
+    q = F.col("q")
+    pieces = F.transform(F.sequence(F.lit(1), F.greatest(size - q + 1, F.lit(1))), lambda i: F.substring("title", i, q))
+    sizes = named.select("id", "title", size.alias("n"), reach.alias("d"), F.explode(F.sequence(longest(shortest), longest(size))).alias("q"))
+    # a gram's second occurrence in a title is another gram than its first
+    times = sizes.select("id", "n", "d", "q", F.explode(pieces).alias("gram")).groupBy("id", "n", "d", "q", "gram").agg(F.count("*").alias("times"))
+    grams = times.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    counts = grams.groupBy("gram", "nth").agg(F.count("*").alias("of"))
+    w = Window.partitionBy("id", "q").orderBy("of", "gram", "nth")
+    first = grams.join(counts, ["gram", "nth"]).withColumn("place", F.row_number().over(w)).where(F.col("place") <= q * F.col("d") + 1)
+    first = cut(first.select("gram", "nth", "id", "n"))
+    left, right = first.withColumnsRenamed({"id": "x", "n": "nx"}), first.withColumnsRenamed({"id": "y", "n": "ny"})
+    near = (F.col("x") < F.col("y")) & (F.abs(F.col("nx") - F.col("ny")) <= slack * (F.col("nx") + F.col("ny")))
+    met = left.join(right, ["gram", "nth"]).where(near).select("x", "y").distinct()
+    pairs = met.join(named.select(F.col("id").alias("x"), F.col("title").alias("tx")), "x").join(named.select(F.col("id").alias("y"), F.col("title").alias("ty")), "y")
+    pairs = pairs.select(F.least("tx", "ty").alias("a"), F.greatest("tx", "ty").alias("b"))
+    bound = F.floor(slack * (F.length("a") + F.length("b")) + 1e-9).cast("int")
+    pairs = pairs.withColumn("bound", bound).where(F.expr("levenshtein(a, b, bound) >= 0"))
     return pairs.withColumn("ratio", ratio_udf("a", "b")).where(F.col("ratio") >= percent).select("a", "b", "ratio")
 
 
@@ -159,22 +184,6 @@ def replay(rows: list[tuple], edges: set[tuple]) -> set:
     return removed
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(key, root) of the edges' (a, b) components, root the least key, by passing on minima until none changes."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = cut(both)
-    roots = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "key"))
-    while True:
-        step = both.join(roots, both["b"] == roots["key"]).groupBy("a").agg(F.min("root").alias("r"))
-        new = roots.join(step, roots["key"] == step["a"]).select("key", F.least("root", "r").alias("new"), "root")
-        jump = new.join(roots.select(F.col("key").alias("k2"), F.col("root").alias("r2")), F.col("new") == F.col("k2"))
-        new = cut(jump.select("key", F.least("new", "r2").alias("new"), "root"))
-        settled = new.where("new <> root").isEmpty()
-        roots = new.select("key", F.col("new").alias("root"))
-        if settled:
-            return roots
-
-
 def cross_source_dedup(df: DataFrame, threshold: float = 90, key: str = "media_id") -> DataFrame:
     """Rows that the cross-source rule keeps, replayed in order of key within each component of matching records.
 
@@ -185,7 +194,7 @@ def cross_source_dedup(df: DataFrame, threshold: float = 90, key: str = "media_i
     edges = cut(cross_source_pairs(rows, threshold, key))
     if edges.isEmpty():
         return df
-    roots = components(edges)
+    roots = connected_components(edges).withColumnRenamed("node", "key")
     ends = edges.join(roots, edges["a"] == roots["key"]).select("root", "a", "b")
     kind = df.schema[key].dataType.simpleString()
 

@@ -153,3 +153,17 @@ def first_by(df: DataFrame, key: list[str], order: list) -> DataFrame:
     """One row of each key, the first in order. Unlike dropDuplicates, which row stays is defined."""
     w = Window.partitionBy(*key).orderBy(*order)
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+#: The fields that an expression of the vector store may name.
+ALLOWED = ("media_type", "genres", "score", "status")
+
+
+def allow_list(df: DataFrame, filters: dict | None) -> DataFrame:
+    """Equality on allowed fields alone, quotes taken out of texts; lists, None and other fields are passed over."""
+    for name, value in (filters or {}).items():
+        if name in ALLOWED and name in df.columns and value is not None and not isinstance(value, (list, tuple, set, dict)):
+            plain = value.replace('"', "").replace("'", "") if isinstance(value, str) else value
+            is_array = isinstance(df.schema[name].dataType, ArrayType)
+            df = df.where(F.array_contains(name, F.lit(plain)) if is_array else F.col(name) == F.lit(plain))
+    return df

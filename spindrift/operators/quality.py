@@ -84,3 +84,19 @@ def report(df: DataFrame, below: float = 0.6) -> DataFrame:
         F.array_join(odd, ",").alias("odd_types"), F.count_if(~F.col("score").between(0, 10)).alias("odd_scores"),
     )
     return main.crossJoin(F.broadcast(duplicate_count(df, "media_id")))  # each side is one row
+
+
+def problems(required: tuple[str, ...] = ("media_id", "title", "media_type"), allowed: tuple[str, ...] = ALLOWED_TYPES) -> Column:
+    """What a record lacks by the schema: its empty required fields, a type that isn't allowed, a score out of range."""
+    found = [F.when(F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == "", F.lit(f"no {c}")) for c in required]
+    found.append(F.when(~F.col("media_type").isin(*allowed), F.lit("odd media_type")))
+    found.append(F.when(~F.col("score").between(0, 10), F.lit("odd score")))
+    return F.array_compact(F.array(*found))
+
+
+def validate(df: DataFrame, required: tuple[str, ...] = ("media_id", "title", "media_type")) -> DataFrame:
+    """(problem, records): how many records have each problem; a column that isn't there is one of all records."""
+    lacking = [c for c in (*required, "score") if c not in df.columns]
+    if lacking:
+        return df.agg(F.count("*").alias("records")).select(F.explode(F.array(*(F.lit(f"no column {c}") for c in lacking))).alias("problem"), "records")
+    return df.select(F.explode(problems(required)).alias("problem")).groupBy("problem").agg(F.count("*").alias("records"))

@@ -99,3 +99,70 @@ def genres_of(catalogue: DataFrame, media_type: str | None = None) -> DataFrame:
     """Distinct genres in order."""
     rows = catalogue if media_type is None else catalogue.where(F.col("media_type") == media_type)
     return rows.select(F.explode("genres").alias("genre")).where("genre <> ''").distinct().orderBy("genre")
+
+
+def over_fetched(n: int, way: str) -> int:
+    """How many candidates each way of asking takes before its order is changed or some are left out."""
+    return {"hybrid": max(CANDIDATES, n), "filtered": 3 * n, "combined": 2 * n, "title": n + 1, "cross_media": 2 * n}[way]
+
+
+def like_title(vectors: DataFrame, catalogue: DataFrame, title: str, query: list[float] | DataFrame, k: int) -> DataFrame:
+    """(media_id, title, score): the k nearest to a title's vector, items of that very title left out."""
+    hits = nearest(vectors, query, over_fetched(k, "title")).select("vec_id", F.col("score").alias("similarity"))
+    rows = hydrate(hits, catalogue).where(F.col("title") != title)
+    return rows.select("media_id", "title", F.col("similarity").alias("score")).orderBy(F.desc("score"), "media_id").limit(k)
+
+
+def api_object(df: DataFrame) -> Column:
+    """A record as the service's clients get it: NaN as null, lists never null, studios (a list, or one name) in metadata."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+
+    def listed(c: str) -> Column:
+        empty = F.array().cast("array<string>")
+        if c not in kinds:
+            return empty
+        one = F.col(c) if kinds[c].startswith("array") else F.when(F.coalesce(F.col(c), F.lit("")) != "", F.array(F.col(c)))
+        return F.coalesce(one, empty)
+
+    def plain(c: str, to: str) -> Column:
+        value = F.col(c) if c in kinds else F.lit(None)
+        return (F.when(~F.isnan(value), value) if kinds.get(c) in ("double", "float") else value).cast(to)
+
+    fields = {"media_id": "string", "title": "string", "synopsis": "string", "main_picture": "string", "score": "double", "media_type": "string", "sub_type": "string", "status": "string", "release_date": "string"}
+    metadata = F.struct(listed("studios").alias("studios"), plain("source", "string").alias("source"), plain("episodes", "int").alias("episodes"))
+    return F.struct(*(plain(c, t).alias(c) for c, t in fields.items()), listed("genres").alias("genres"), metadata.alias("metadata"))
+
+
+def discover(vectors: DataFrame, catalogue: DataFrame, shelves: DataFrame, n: int = 6) -> DataFrame:
+    """(query_id, place, media_id, title): the first n items of each shelf, a table of ready queries (query_id, query)."""
+    from .vectors import nearest_batch
+
+    found = nearest_batch(vectors, shelves, n)
+    return hydrate(found, catalogue.select("media_id", "title")).select("query_id", "place", "media_id", "title")
+
+
+def toggled(watched: DataFrame, items: DataFrame, key: str = "media_id", order: str = "place") -> DataFrame:
+    """A watch list after each item was toggled: those that it has go, others are put in front. order counts from 0."""
+    added = items.join(watched, key, "left_anti").select(key, F.lit(-1).alias(order))
+    kept = watched.join(items, key, "left_anti").select(key, order)
+    return added.unionByName(kept)
+
+
+def scaled_neighbours(df: DataFrame, key: str, numbers: list[str], category: str, queries: list, k: int = 15, metric: str = "euclidean") -> DataFrame:
+    """(query_id, key, score, place): each query item's k nearest by scaled numbers and a 0/1 column a category.
+
+    metric is euclidean, or hamming: the share of columns that differ. The few query items are a join's small side, and
+    k rows a query leave each task."""
+    from spindrift.functions.similarity import euclidean, hamming
+
+    from .ranking import top_per
+    from .vectors import standard_scale
+
+    filled = df.select(key, category, *(F.col(c).cast("double").alias(c) for c in numbers))
+    kinds = [r[0] for r in filled.select(category).distinct().where(F.col(category).isNotNull()).orderBy(category).collect()]
+    flags = [F.when(F.col(category) == x, 1.0).otherwise(0.0) for x in kinds]
+    rows = standard_scale(filled, numbers).select(key, F.array(*(F.coalesce(F.col(c), F.lit(0.0)) for c in numbers), *flags).alias("v"))
+    asked = rows.where(F.col(key).isin(*queries)).select(F.col(key).alias("query_id"), F.col("v").alias("q"))
+    pairs = rows.join(F.broadcast(asked), F.col(key) != F.col("query_id"))  # as many rows as queries were given
+    measure = euclidean(F.col("v"), F.col("q")) if metric == "euclidean" else hamming(F.col("v"), F.col("q"))
+    return top_per(pairs.select("query_id", key, measure.alias("score")), "query_id", [F.asc("score"), F.asc(key)], k)

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spindrift.functions.similarity import cosine, dot, euclidean, norm
+from spindrift.functions.similarity import cosine, euclidean
 
 from .filters import payload
 from .ranking import top_per
@@ -32,39 +39,183 @@ def nearest(table: DataFrame, query: list[float] | DataFrame, k: int, metric: st
     return table.withColumn("score", measure).drop("query").orderBy(order, key).limit(k)
 
 
-def nearest_batch(table: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", block: int = 256) -> DataFrame:
+#: Bytes of query vectors that are sent to every task at once, and scores that a task holds at once.
+QUERY_BYTES, SCORES = 64 << 20, 4_000_000
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Equally long vectors as rows of doubles; null ones must be gone."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1)
+
+
+def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosine of each two rows, 0 where one has no length."""
+    size = np.sqrt((a * a).sum(axis=1))[:, None] * np.sqrt((b * b).sum(axis=1))[None, :]
+    return np.divide(a @ b.T, size, out=np.zeros_like(size), where=size > 0)
+
+
+def _best(queries: np.ndarray, own: np.ndarray, rows: np.ndarray, keys: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query, keys, scores) of each query's k best rows, and of rows that tie with the last; own is each query's key, left out.
+
+    Products of matrices tell which rows come into question; their scores are then summed up row by row, so equal
+    vectors have equal scores wherever they stand."""
+    step = max(1, SCORES // max(1, len(rows)))
+    sizes = np.sqrt((rows * rows).sum(axis=1))
+    for at in range(0, len(queries), step):
+        scores = _cosines(queries[at : at + step], rows)
+        scores[own[at : at + step, None] == keys[None, :]] = -np.inf
+        least = -np.partition(-scores, min(k, len(rows)) - 1, axis=1)[:, min(k, len(rows)) - 1]
+        for i in range(len(scores)):
+            some = np.flatnonzero((scores[i] >= least[i] - 1e-9) & (scores[i] > -np.inf))
+            q = queries[at + i]
+            size = sizes[some] * np.sqrt((q * q).sum())
+            exact = np.divide((rows[some] * q).sum(axis=1), size, out=np.zeros(len(some)), where=size > 0)
+            first = np.lexsort((keys[some], -exact))[:k]
+            yield at + i, keys[some][first], exact[first]
+
+
+def nearest_batch(table: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", limit: int = QUERY_BYTES) -> DataFrame:
     """(query_id, key, score, place): each query's k nearest rows by cosine, itself left out.
 
-    Queries (query_id, query) are put into blocks of vectors, and each block meets each row once: the pairs of a block
-    are formed and cut to the top k within the row's task, so what is shuffled is k rows a query and task."""
-    blocks = queries.select("query_id", "query", norm(F.col("query")).alias("size"), F.pmod(F.xxhash64("query_id"), F.lit(block)).alias("slot"))
-    grouped = blocks.groupBy("slot").agg(F.collect_list(F.struct("query_id", "query", "size")).alias("held"))
-    rows = table.select(key, "embedding", norm(F.col("embedding")).alias("length"))
-    pairs = rows.crossJoin(grouped).select(key, "embedding", "length", F.explode("held").alias("q")).where(F.col(key) != F.col("q.query_id"))
-    size = F.col("length") * F.col("q.size")
-    scored = pairs.select(F.col("q.query_id").alias("query_id"), key, F.when(size > 0, dot(F.col("embedding"), F.col("q.query")) / size).otherwise(0.0).alias("score"))
-    return top_per(scored, "query_id", [F.desc("score"), F.asc(key)], k)
+    Queries (query_id, query) go to every task in chunks of `limit` bytes, each of which is a pass over the table. A
+    task keeps k rows a query, whatever it reads, and only those are shuffled. Rows and queries without a vector are
+    left out; ids are whole numbers."""
+    asked = queries.where("query_id is not null and query is not null").select(F.col("query_id").cast("long"), F.col("query").cast("array<double>"))
+    size = asked.agg(F.sum(F.size("query") * 8 + 8).alias("b")).first()["b"] or 0
+    chunks, spark = size // limit + 1, table.sparkSession
+    rows = table.where(F.col("embedding").isNotNull()).select(F.col(key).cast("long").alias(key), F.col("embedding").cast("array<double>"))
+    parts = []
+    for n in range(chunks):
+        some = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(chunks)) == n).orderBy("query_id").toArrow()
+        if not len(some):
+            continue
+        ids, held = some.column(0).to_numpy(), _matrix(some.column(1).combine_chunks())
+        sent = spark.sparkContext.broadcast((ids, held))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            ids, held = sent.value
+            keys, scores = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
+            for batch in batches:
+                if not len(batch):
+                    continue
+                fresh = np.full((len(ids), k), -1, np.int64), np.full((len(ids), k), -np.inf)
+                for i, own, score in _best(held, ids, _matrix(batch.column(1)), batch.column(0).to_numpy(), k):
+                    fresh[0][i, : len(own)], fresh[1][i, : len(own)] = own, score
+                keys, scores = np.hstack([keys, fresh[0]]), np.hstack([scores, fresh[1]])
+                order = np.lexsort((keys, -scores), axis=1)[:, :k]
+                keys, scores = np.take_along_axis(keys, order, 1), np.take_along_axis(scores, order, 1)
+            real = scores > -np.inf
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, real.sum(axis=1))), pa.array(keys[real]), pa.array(scores[real])], names=["query_id", key, "score"])
+
+        parts.append(rows.mapInArrow(run, f"query_id long, {key} long, score double"))
+    found = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], f"query_id long, {key} long, score double")
+    return top_per(found, "query_id", [F.desc("score"), F.asc(key)], k)
 
 
-def approximate(table: DataFrame, query: list[float], k: int, key: str = "vec_id", planes: int = 5, tables: int = 8, seed: int = 5) -> DataFrame:
-    """The k nearest by cosine among the rows that share a hash of `planes` signs with the query in one of `tables`.
+#: Rows that an index's cells are found from at most, cells at most, rows of a cell that meet its queries in one task,
+#: and queries that tell how many cells to probe.
+SAMPLE, CELLS, CELL_ROWS, TRIALS = 20_000, 4096, 50_000, 200
 
-    Signs of random projections; every row is indexed. Narrower tables (fewer planes) raise recall and work."""
-    import numpy as np
 
+def _directions(vectors: np.ndarray) -> np.ndarray:
+    size = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+    return np.divide(vectors, size, out=np.zeros_like(vectors), where=size > 0)
+
+
+def _centres(sample: np.ndarray, cells: int, seed: int, rounds: int = 12) -> np.ndarray:
+    """Spherical k-means."""
     rng = np.random.default_rng(seed)
-    normals = rng.standard_normal((tables, planes, len(query)))
-    mine = ((normals @ np.asarray(query)) > 0).astype(int)
-    wanted = [int("".join(map(str, row)), 2) for row in mine]
-
-    def code(t: int) -> Column:
-        bits = [F.when(dot(F.col("embedding"), literal(normals[t, p].tolist())) > 0, 1 << (planes - 1 - p)).otherwise(0) for p in range(planes)]
-        return sum(bits[1:], bits[0])
-
-    near = code(0) == wanted[0]
-    for t in range(1, tables):
-        near |= code(t) == wanted[t]
-    return nearest(table.where(near), query, k, key=key)
+    x = _directions(sample)
+    centres = x[rng.choice(len(x), cells, replace=False)]
+    for _ in range(rounds):
+        of = (x @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, of, x)
+        centres = np.where((sums * sums).sum(axis=1, keepdims=True) > 0, _directions(sums), centres)
+    return centres
+
+
+def build_index(table: DataFrame, path: str, key: str = "vec_id", recall: float = 0.95, k: int = 10, seed: int = 5) -> None:
+    """Writes an index of all rows with a vector: path/rows, by cell, and path/cells (cell, centre, rows, probes).
+
+    Cells are found by k-means on SAMPLE rows at most; every row is then put into that of the nearest centre. How many
+    cells a query probes is measured: for TRIALS rows, as many as hold the share `recall` of their k true neighbours,
+    found by brute force over all rows."""
+    spark = table.sparkSession
+    rows = table.where(F.col("embedding").isNotNull())
+    vector = F.col("embedding").cast("array<double>")
+    some = rows.orderBy(F.xxhash64(key, F.lit(seed)), key).select(key, vector.alias("v")).limit(SAMPLE).toArrow()
+    if not len(some):
+        raise ValueError("no row has a vector")
+    sample = _matrix(some.column(1).combine_chunks())
+    centres = _centres(sample, max(1, min(CELLS, round(len(sample) ** 0.5))), seed)
+    sent = spark.sparkContext.broadcast(centres)
+
+    @F.pandas_udf("int")
+    def cell(vectors: pd.Series) -> pd.Series:
+        return pd.Series((np.stack(vectors.to_numpy()) @ sent.value.T).argmax(axis=1) if len(vectors) else [])
+
+    rows.withColumn("cell", cell(vector)).repartition("cell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/rows")
+    indexed = spark.read.parquet(f"{path}/rows")
+    trial = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(some.column(0).to_pylist()[:TRIALS], sample[:TRIALS], strict=True)], "query_id long, query array<double>")
+    true = nearest_batch(indexed, trial, k, key).join(indexed.select(key, "cell"), key).groupBy("query_id").agg(F.collect_list("cell").alias("cells")).collect()
+    ranks = []
+    at = {int(i): n for n, i in enumerate(some.column(0).to_pylist()[:TRIALS])}
+    for r in true:  # TRIALS rows
+        order = np.argsort(np.argsort(-(sample[at[r["query_id"]]] @ centres.T), kind="stable"), kind="stable")
+        ranks += [int(order[c]) for c in r["cells"]]
+    probes = int(np.sort(ranks)[max(0, math.ceil(recall * len(ranks)) - 1)]) + 1 if ranks else len(centres)
+    counts = {r["cell"]: r["n"] for r in indexed.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # CELLS rows at most
+    cells = [(c, centre.tolist(), counts.get(c, 0), probes) for c, centre in enumerate(centres)]
+    spark.createDataFrame(cells, "cell int, centre array<double>, rows long, probes int").coalesce(1).write.mode("overwrite").parquet(f"{path}/cells")
+
+
+def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int, key: str = "vec_id") -> DataFrame:
+    """(query_id, key, score, place): each query's k nearest rows among the cells that it probes, itself left out.
+
+    A cell's rows meet its queries in one call, a large cell's in parts, and only k rows a query and part go on."""
+    cells = spark.read.parquet(f"{path}/cells").orderBy("cell").collect()  # CELLS rows at most
+    centres, probes = np.array([r["centre"] for r in cells]), cells[0]["probes"]
+    sent = spark.sparkContext.broadcast(centres)
+
+    @F.pandas_udf("array<int>")
+    def near(vectors: pd.Series) -> pd.Series:
+        scores = np.stack(vectors.to_numpy()) @ sent.value.T if len(vectors) else np.zeros((0, 1))
+        return pd.Series(list(np.argsort(-scores, axis=1, kind="stable")[:, :probes].astype(np.int32)))
+
+    parts = F.element_at(F.create_map(*(F.lit(x) for r in cells for x in (r["cell"], r["rows"] // CELL_ROWS + 1))), F.col("cell"))
+    vector = F.col("query").cast("array<double>")
+    asked = queries.where("query is not null").select(F.col("query_id").cast("long"), vector.alias("query"), F.explode(near(vector)).alias("cell"))
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1)))
+    rows = spark.read.parquet(f"{path}/rows").select(F.col(key).cast("long").alias(key), F.col("embedding").cast("array<double>"), "cell")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64(key), parts.cast("long")))
+
+    def run(members: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        out = {"query_id": [], key: [], "score": []}
+        if len(members) and len(asked):
+            ids = asked["query_id"].to_numpy()
+            for i, keys, scores in _best(np.stack(asked["query"].to_numpy()), ids, np.stack(members["embedding"].to_numpy()), members[key].to_numpy(), k):
+                out["query_id"] += [ids[i]] * len(keys)
+                out[key] += keys.tolist()
+                out["score"] += scores.tolist()
+        return pd.DataFrame(out)
+
+    found = rows.groupBy("cell", "part").cogroup(asked.groupBy("cell", "part")).applyInPandas(run, f"query_id long, {key} long, score double")
+    return top_per(found, "query_id", [F.desc("score"), F.asc(key)], k)
+
+
+def save(table: DataFrame, path: str) -> None:
+    table.write.mode("overwrite").parquet(path)
+
+
+def clear(spark: SparkSession, path: str) -> None:
+    """The table at the path without its rows; its columns stay."""
+    spark.createDataFrame([], spark.read.parquet(path).schema).write.mode("overwrite").parquet(path)
+
+
+def count(spark: SparkSession, path: str) -> int:
+    return spark.read.parquet(path).count()
 
 
 def upsert(table: DataFrame, changes: DataFrame, key: str = "vec_id") -> DataFrame:

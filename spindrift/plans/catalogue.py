@@ -6,7 +6,6 @@ texts, urls, vectors and the ingest log. Each query reads whole tables."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from uuid import uuid4
 
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 from spindrift.functions import similarity, taxonomy, text
 from spindrift.operators import content, dedup, eda, filters, quality, ranking, recommend, vectors
 from spindrift.sources import normalize, readers
+from spindrift.storage import shared_dir
 from spindrift.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,8 +100,12 @@ def batch_knn_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def vector_knn_approximate(spark: SparkSession, d: str) -> DataFrame:
-    q = [float(x) for x in vector_of(spark, d, 0).first()["query"]]
-    return rounded(vectors.approximate(table(spark, d, "embeddings"), q, 10).select("vec_id", "score"), "score")
+    """Every vector whose id is divisible by 20 against the index of all."""
+    rows = table(spark, d, "embeddings")
+    path = f"{shared_dir(spark)}/index-{uuid4().hex}"
+    vectors.build_index(rows, path)
+    asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return rounded(vectors.search_index(spark, path, asked, 10), "score")
 
 
 @query("""select vec_id, case when vec_id % 3 = 0 then label + 100 else label end as label from embeddings union all select vec_id + 1000000, 7 from embeddings where vec_id < 10""")
@@ -486,11 +490,11 @@ def merge_datasets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _titled(spark: SparkSession, d: str) -> DataFrame:
-    """Items whose titles are the first five words of documents."""
-    words = F.regexp_replace(F.left(F.split("text", "\n")[0], F.lit(40)), r"\s+", " ")
+    """Items whose titles are the first sentences of documents, whole."""
+    sentence = F.trim(F.regexp_extract("text", r"^\s*([^.!?\n]*)", 1))
     n = F.col("doc_id")
     return table(spark, d, "documents").select(
-        n.alias("media_id"), words.alias("title"), F.col("lang").alias("media_type"), F.element_at(F.array(F.lit("mal"), F.lit("tmdb"), F.lit("mangadex"), F.lit(None)), (n % 4 + 1).cast("int")).alias("source"),
+        n.alias("media_id"), sentence.alias("title"), F.col("lang").alias("media_type"), F.element_at(F.array(F.lit("mal"), F.lit("tmdb"), F.lit("mangadex"), F.lit(None)), (n % 4 + 1).cast("int")).alias("source"),
         F.when(n % 9 != 0, (n % 101) / 10).alias("score"), F.concat((F.lit(2000) + n % 3).cast("string"), F.lit("-01-01")).alias("release_date"), (n % 13).alias("popularity"), (n % 7).alias("vote_count"),
     )
 
@@ -591,10 +595,7 @@ def windowed_events(spark: SparkSession, d: str) -> DataFrame:
 @query("select event_id as media_id, event_type as title from events")
 def stream_ingest_available_now(spark: SparkSession, d: str) -> DataFrame:
     """Streams the event table into a Parquet table twice on one checkpoint; the second run adds nothing."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    root = f"{shared or tempfile.gettempdir()}/ingest-{spark.sparkContext.applicationId}-{uuid4().hex}"
+    root = f"{shared_dir(spark)}/ingest-{uuid4().hex}"
     source = ingest.read_files(spark, f"{d}/[e]vents.parquet", table(spark, d, "events").schema)
     for _ in range(2):
         ingest.ingest(source, lambda b: b.select(F.col("event_id").alias("media_id"), F.col("event_type").alias("title")), f"{root}/table", f"{root}/checkpoint").awaitTermination()

@@ -69,14 +69,19 @@ def list_service(df: DataFrame, kind: str) -> DataFrame:
     shared = {
         "source": F.lit("mal"), "original_id": n("id"), "rank": opt("rank", "int"), "popularity": opt("popularity", "int"), "num_list_users": opt("num_list_users", "bigint"),
         "num_scoring_users": opt("num_scoring_users", "bigint"), "nsfw": unsafe(opt("nsfw", "string")), "sfw": ~unsafe(opt("nsfw", "string")),
+        "title_english": F.nullif(n("alternative_titles")["en"], F.lit("")) if "alternative_titles" in have else F.lit(None).cast("string"),
+        "title_japanese": F.nullif(n("alternative_titles")["ja"], F.lit("")) if "alternative_titles" in have else F.lit(None).cast("string"),
+        "title_synonyms": F.coalesce(n("alternative_titles")["synonyms"], F.array().cast("array<string>")) if "alternative_titles" in have else F.array().cast("array<string>"),
         "end_date": opt("end_date", "string"), "source_material": opt("source", "string"), "rating": opt("rating", "string"),
     }
     if kind == "anime":
         season = F.col("node.start_season") if "start_season" in have else None
+        aired = F.col("node.broadcast") if "broadcast" in have else None
         own = {
             "episodes": opt("num_episodes", "int"), "studios": names(n("studios")) if "studios" in have else F.array().cast("array<string>"),
             "season": season["season"] if season is not None else F.lit(None).cast("string"), "year": season["year"] if season is not None else F.lit(None).cast("int"),
             "average_episode_duration": opt("average_episode_duration", "int"),
+            "broadcast_day": aired["day_of_the_week"] if aired is not None else F.lit(None).cast("string"), "broadcast_time": aired["start_time"] if aired is not None else F.lit(None).cast("string"),
         }
     else:
         own = {"chapters": opt("num_chapters", "int"), "volumes": opt("num_volumes", "int"), "authors": authors(n("authors")) if "authors" in have else F.lit(None)}

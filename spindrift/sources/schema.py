@@ -54,3 +54,9 @@ def renamed(df: DataFrame) -> DataFrame:
         return df.withColumn("main_picture", F.col("main_picture_medium"))
     some = df.agg((F.count("main_picture") > 0).alias("_some"))  # one row
     return df.crossJoin(F.broadcast(some)).withColumn("main_picture", F.when(F.col("_some"), F.col("main_picture")).otherwise(F.col("main_picture_medium"))).drop("_some")
+
+
+def reordered(df: DataFrame, first: list[str], without: tuple[str, ...] = ()) -> DataFrame:
+    """df with the given columns first (those that it has), the rest as they are, some left out."""
+    named = [c for c in first if c in df.columns and c not in without]
+    return df.select(*named, *(c for c in df.columns if c not in named and c not in without))

@@ -68,8 +68,9 @@ def retry_plan(errors: DataFrame, message: str = "message", attempt: str = "atte
     return errors.withColumns({"category": kind, "retry": should_retry(kind, F.col(attempt)), "wait": backoff_seconds(kind, F.col(attempt))})
 
 
-def recent_errors(errors: DataFrame, n: int, at: str = "ts") -> DataFrame:
-    return errors.orderBy(F.desc(at)).limit(n)
+def recent_errors(errors: DataFrame, n: int, at: str = "ts", key: str = "event_id") -> DataFrame:
+    """The last n errors, the latest first; of one time, the highest key."""
+    return errors.orderBy(F.desc(at), F.desc(key)).limit(n)
 
 
 def windowed_counts(events: DataFrame, size: str = "1 hour", late: str = "2 hours") -> DataFrame:

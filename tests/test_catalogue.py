@@ -1,14 +1,16 @@
 """Operators without SQL twins, and the literal cases of text, filters, normalisers and deduplication."""
 
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from spindrift.functions import errors, similarity, taxonomy, text
-from spindrift.operators import content, dedup, filters, quality, ranking, vectors
-from spindrift.sources import normalize, readers, schema
-from spindrift.streaming import ingest
+from spindrift.operators import cache, content, dedup, filters, quality, ranking, recommend, vectors
+from spindrift.plans import catalogue
+from spindrift.sources import limits, normalize, readers, schema, services
+from spindrift.streaming import checkpoints, ingest, jobs
 
 
 def value(spark, column):
@@ -209,12 +211,188 @@ def test_neighbours(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     q = rows[7][1]
     exact = [r["vec_id"] for r in vectors.nearest(df, q, 10).collect()]
-    near = [r["vec_id"] for r in vectors.approximate(df, q, 10).collect()]
-    assert exact[0] == near[0] == 7 and len(set(exact) & set(near)) >= 7
+    assert exact[0] == 7 and len(set(exact)) == 10
     assert value(spark, similarity.cosine(F.array(F.lit(0.0)), F.array(F.lit(1.0)))) == 0.0
     assert len(similarity.mock_embedding("a", 8)) == 8 and similarity.mock_embedding("a", 8) == similarity.mock_embedding("a", 8)
 
 
+def brute_neighbours(rows, asked, k):
+    """(query, row, place) by plain cosines; ties go to the lower id."""
+    import math
+
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / (math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b)) or 1)
+    out = set()
+    for i, q in asked:
+        best = sorted(((-round(cosine(q, v), 9), j) for j, v in rows if j != i and v is not None))[:k]
+        out |= {(i, j, place) for place, (_, j) in enumerate(best, 1)}
+    return out
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 200])
+def test_batches_of_neighbours_equal_brute_force(spark, limit):
+    """Ties, equal vectors, vectors of no length and null ones; queries in one chunk and in many."""
+    rng = random.Random(4)
+    rows = [(k, [float(rng.randint(-3, 3)) for _ in range(4)]) for k in range(120)] + [(500, [1.0, 2.0, 3.0, 1.0]), (501, [1.0, 2.0, 3.0, 1.0]), (502, [0.0] * 4), (503, None)]
+    asked = [*rows[:10], rows[120], rows[122]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    queries = spark.createDataFrame([*asked, (9, None)], "query_id long, query array<float>")
+    got = {(r["query_id"], r["vec_id"], r["place"]) for r in vectors.nearest_batch(df, queries, 5, limit=limit).collect()}
+    assert got == brute_neighbours(rows, asked, 5)
+    assert vectors.nearest_batch(df, queries.where("false"), 5).collect() == []
+    assert vectors.nearest_batch(df.where("false"), queries, 5).collect() == []
+
+
+@pytest.mark.parametrize("shape", ["random", "clusters"])
+def test_index_recall(spark, tmp_path, shape, monkeypatch):
+    """All rows are indexed, and every row whose id is divisible by 20 finds 0.9 of its neighbours or more."""
+    monkeypatch.setattr(vectors, "CELL_ROWS", 40)
+    rng = random.Random(6)
+    centres = [[rng.gauss(0, 1) for _ in range(16)] for _ in range(12)]
+    make = lambda: [rng.gauss(0, 1) for _ in range(16)] if shape == "random" else [c + rng.gauss(0, 0.2) for c in rng.choice(centres)]
+    rows = [(k, make()) for k in range(1500)] + [(k, [1.0] * 16) for k in range(1500, 1900)]  # a hot cell
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    vectors.build_index(df, str(tmp_path))
+    assert spark.read.parquet(f"{tmp_path}/rows").count() == len(rows)
+    asked = df.where("vec_id % 20 = 0 and vec_id < 1500").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    true = {(r["query_id"], r["vec_id"]) for r in vectors.nearest_batch(df, asked, 10).collect()}
+    got = {(r["query_id"], r["vec_id"]) for r in vectors.search_index(spark, str(tmp_path), asked, 10).collect()}
+    assert len(true & got) >= 0.9 * len(true)
+    cells = spark.read.parquet(f"{tmp_path}/cells").collect()
+    if shape == "clusters":
+        assert cells[0]["probes"] < len(cells) / 2
+    hot = [(r["vec_id"], r["place"]) for r in vectors.search_index(spark, str(tmp_path), spark.createDataFrame([(1500, [1.0] * 16)], "query_id long, query array<double>"), 3).collect()]
+    assert sorted(hot) == [(1501, 1), (1502, 2), (1503, 3)]
+
+
+def test_index_recall_of_the_registered_query(spark):
+    d = "/root/testdata/sf0.01"
+    table = catalogue.table(spark, d, "embeddings")
+    asked = table.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    true = {(r["query_id"], r["vec_id"]) for r in vectors.nearest_batch(table, asked, 10).collect()}
+    got = {(r["query_id"], r["vec_id"]) for r in catalogue.vector_knn_approximate(spark, d).collect()}
+    assert len(true & got) >= 0.9 * len(true) and {q for q, _ in got} == {q for q, _ in true}
+
+
+# services, limits and upkeep
+
+
+def test_calls_of_the_services():
+    assert services.list_ranking("airing", size=50).page(2).url().startswith("https://api.myanimelist.net/v2/anime/ranking?ranking_type=airing&fields=id%2Ctitle")
+    assert services.list_ranking(size=50).page(2).params["offset"] == 100 and services.screen_popular().page(2).params["page"] == 3
+    for bad in (lambda: services.list_ranking("best"), lambda: services.list_season(2020, "autumn")):
+        with pytest.raises(ValueError):
+            bad()
+    filtered = services.manga_filtered(demographic=["seinen"], status=["ongoing"]).params
+    assert filtered["publicationDemographic[]"] == ["seinen"] and filtered["contentRating[]"] == ["safe", "suggestive"] and "originalLanguage[]" not in filtered
+    film = services.screen_filtered(region="KR", certification="R", votes=5, low=2.5, genres=[1, 2], year=2001).params
+    assert film["certification.lte"] == "R" and film["certification_country"] == "KR" and film["with_genres"] == "1,2" and film["primary_release_year"] == 2001 and "vote_average.lte" not in film
+    assert "certification.lte" not in services.screen_filtered("tv", certification="R", year=2001).params and services.screen_filtered("tv", year=2001).params["first_air_date_year"] == 2001
+
+
+def test_services_are_read_page_by_page(spark, tmp_path):
+    """Recorded answers of three pages, read by two tasks and normalised; what a service refuses is an error, unless the call is lenient."""
+    call = services.list_search("red", size=2)
+    for k in range(3):
+        answer = {"data": [{"node": {"id": 10 * k + i, "title": f"T{k}{i}", "media_type": "tv", "mean": 7.5}} for i in range(2)]}
+        (tmp_path / services.recorded(call.page(k))).write_text(json.dumps(answer))
+    got = services.read(spark, call, services.fixtures(str(tmp_path)), pages=4, tasks=2)
+    node = "node struct<id: long, title: string, media_type: string, mean: double>"
+    out = normalize.list_service(got.select(F.from_json("record", node).alias("r")).select("r.*"), "anime")
+    assert sorted(r["media_id"] for r in out.collect()) == sorted(f"anime-{10 * k + i}" for k in range(3) for i in range(2))
+    stats = services.manga_statistics("x")
+    (tmp_path / services.recorded(stats)).write_text('{"statistics": {"x": {"follows": 3}}}')
+    assert services.read(spark, stats, services.fixtures(str(tmp_path))).first()["record"] == '{"follows": 3}'
+
+    def refuse(call):
+        raise LookupError("403")
+
+    assert services.read(spark, services.list_suggestions(), refuse).collect() == []
+    with pytest.raises(Exception, match="403"):
+        services.read(spark, services.screen_popular(), refuse).collect()
+
+
+def test_token_bucket_and_retries():
+    now, slept = [0.0], []
+
+    def sleep(s):
+        slept.append(s)
+        now[0] += s
+
+    bucket = limits.TokenBucket(2, 1, clock=lambda: now[0], sleep=sleep)
+    assert [bucket.acquire() for _ in range(4)] == [0, 0, 0.5, 0.5]
+    now[0] += 10
+    assert [bucket.acquire() for _ in range(3)] == [0, 0, 0.5]
+    tries = []
+
+    def failing():
+        tries.append(1)
+        if len(tries) < 3:
+            raise TimeoutError
+        return "done"
+
+    waits = []
+    assert limits.retried(failing, sleep=waits.append) == "done" and waits == [2, 2]
+    with pytest.raises(ConnectionError):
+        limits.retried(lambda: (_ for _ in ()).throw(ConnectionError()), sleep=waits.append)
+    with pytest.raises(ValueError):
+        limits.retried(lambda: int("x"), sleep=lambda s: pytest.fail("a data error is not retried"))
+
+
+def test_checkpoint_upkeep(spark, tmp_path):
+    source, root = str(tmp_path / "in"), str(tmp_path / "checkpoints")
+    spark.range(5).select(F.col("id").alias("media_id")).write.parquet(f"{source}/a")
+    stream = ingest.read_files(spark, f"{source}/*", "media_id long")
+    ingest.ingest(stream, lambda b: b, str(tmp_path / "t"), f"{root}/one").awaitTermination()
+    found = checkpoints.listed(spark, root)
+    assert [(i.name, i.begun, i.finished, i.valid) for i in found] == [("one", 0, 0, True)] and 0 <= found[0].age_hours < 1
+    assert checkpoints.fresh(spark, f"{root}/one", 1) and not checkpoints.fresh(spark, f"{root}/one", -1)
+    (tmp_path / "checkpoints/one/metadata").write_text("{}")
+    assert checkpoints.info(spark, f"{root}/one").problems == ("unreadable metadata",)
+    (tmp_path / "checkpoints/one/.metadata.crc").unlink()
+    assert checkpoints.info(spark, f"{root}/one").problems == ("metadata without an id",)
+    assert checkpoints.clear(spark, f"{root}/one") and not checkpoints.clear(spark, f"{root}/one")
+    assert checkpoints.listed(spark, root) == [] == checkpoints.listed(spark, str(tmp_path / "nowhere"))
+    assert checkpoints.info(spark, f"{root}/one").problems == ("no metadata",)
+
+
+def test_results_are_kept_and_the_least_used_go(spark, tmp_path):
+    store = cache.ResultCache(spark, str(tmp_path), entries=2)
+    made = []
+
+    def make(n):
+        made.append(n)
+        return spark.range(n)
+
+    assert [store.get(k, lambda n=n: make(n)).count() for k, n in (("a", 1), ("b", 2), ("a", 9), ("c", 3), ("b", 4))] == [1, 2, 1, 3, 4]
+    assert made == [1, 2, 3, 4] and (store.hits, store.misses) == (1, 4)
+    assert cache.ResultCache(spark, str(tmp_path)).get("c", lambda: make(0)).count() == 3
+    store.clear()
+    assert list(tmp_path.iterdir()) == []
+
+
+def test_a_job_runs_once_at_a_time():
+    import threading
+
+    go = threading.Event()
+    job = jobs.Job("index", go.wait)
+    assert job.status()["state"] == "idle"
+    job.start()
+    with pytest.raises(jobs.AlreadyRunning):
+        job.start()
+    assert job.status()["state"] == "running"
+    go.set()
+    job.wait()
+    assert job.status()["state"] == "done"
+    job = jobs.Job("bad", lambda: 1 / 0)
+    job.start()
+    job.wait()
+    assert job.status() == {"name": "bad", "state": "failed", "error": "division by zero"}
+
+
+def test_over_fetching():
+    assert [recommend.over_fetched(10, w) for w in ("hybrid", "filtered", "combined", "title", "cross_media")] == [50, 30, 20, 11, 20] and recommend.over_fetched(80, "hybrid") == 80
+
+
 # deduplication
 
 
@@ -251,6 +429,24 @@ def test_title_pairs_lose_none(spark):
     assert got == {(a, b, plain_ratio(a, b)) for k, a in enumerate(t) for b in t[k + 1 :] if plain_ratio(a, b) >= 90}
 
 
+@pytest.mark.parametrize("percent", [90, 86, 75])
+def test_long_and_short_title_pairs_lose_none(spark, percent):
+    """Lengths on both sides of where longer grams are used."""
+    rng = random.Random(8)
+    t = []
+    for n in [1, 2, 3, 5, 8, 9, 10, 11, 12, 15, 40, 55, 58, 60, 62, 66, 75, 90, 200]:
+        base = [rng.choice("abcdefg ") for _ in range(n)]
+        for _ in range(8):
+            x = list(base)
+            for _ in range(rng.randint(0, max(1, n // 6))):
+                k = rng.randrange(len(x)) if x else 0
+                x[k : k + 1] = rng.choice([[], [rng.choice("abcdefg")], [rng.choice("abcdefg"), rng.choice("xyz")]])
+            t.append("".join(x))
+    t = sorted(set(filter(None, t)))
+    got = {(r["a"], r["b"]) for r in dedup.title_pairs(spark.createDataFrame([(x,) for x in t], "title string"), percent).collect()}
+    assert got == {(a, b) for k, a in enumerate(t) for b in t[k + 1 :] if plain_ratio(a, b) >= percent}
+
+
 def test_fuzzy_dedup_equals_the_greedy_loop(spark):
     rng = random.Random(3)
     rows = [(k, x, rng.choice([None, 1.0, 2.0, 3.0])) for k, x in enumerate(titles(4, 160))] + [(900, None, 9.0), (901, None, 9.0), (902, "", 1.0)]

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spindrift.operators import content
-from spindrift.plans import catalogue
+from spindrift.plans import catalogue, records  # noqa: F401  registers more queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

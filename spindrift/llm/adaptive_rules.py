@@ -1,22 +1,57 @@
 """Quality rules with adaptive thresholds, in DataFrame functions only.
 
-Each document's measures are integers (thousandths of a word's share, hundredths of a code point). A quantile sketch
-of each measure is kept per language and source: counts of values by their five highest bits, so a quantile is
-within a 32nd of its value. Sketches merge by adding counts, and are the same whatever the order of rows. A group
-of under SMALL documents takes its language's sketch, which is its sources' merged. A document fails a measure beyond
-the upper quartile plus FENCE times the quartiles' distance, where that is above the measure's floor."""
+Each rule is about a rate: a count by a length, as an integer (thousandths, or hundredths of a code point). A quantile
+sketch of each rate is kept per language and source: counts of values by their BITS highest bits, so a quantile is
+within a 64th of its value. Sketches merge by adding counts, and are the same whatever the order of rows. A group of
+under SMALL documents takes its language's sketch, which is its sources' merged, and if that is as small the sketch of
+all, so each group has thresholds of its own as far as it has documents to tell them by.
+
+A threshold is as far beyond the rule's quantile as that is from the median: 2 * quantile - median. Nothing else bounds
+it; in a group where the quantile of a rate is 0, any count is too many. A short text's rate is off by chance, so a
+document fails only if it is beyond the threshold by more than the rule's slack, in counts."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, let
 
 LEAST_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5
-SMALL, FENCE = 50, 3
-#: Each measure, and what no threshold goes below (above, for short_word, whose fence is the lower one).
-FLOORS = {"symbols": 300, "dup_lines": 300, "repeats": 100, "long_word": 1500, "short_word": 150}
+SMALL, BITS = 50, 7
+
+
+@dataclass(frozen=True)
+class Rule:
+    """A rate of scale * count / per, the percentage of documents below its quantile (a lower bound if under 50), and
+    the counts that chance may add."""
+
+    count: str
+    per: str
+    scale: int
+    percent: int
+    slack: int
+
+    @property
+    def rate(self) -> str:
+        return f"{self.scale} * {self.count} div greatest({self.per}, 1)"
+
+    @property
+    def inside(self) -> str:
+        """SQL of a document that keeps to the bound."""
+        sign, test = ("-", ">=") if self.percent < 50 else ("+", "<=")
+        return f"{self.scale} * {self.count} {test} {{bound}} * {self.per} {sign} {self.scale * self.slack}"
+
+
+RULES = {
+    "symbols": Rule("n_symbols", "n_words", 1000, 90, 3),
+    "dup_lines": Rule("n_dup_lines", "n_lines", 1000, 99, 1),
+    "repeats": Rule("n_repeat_words", "n_words", 1000, 99, WINDOW),
+    "long_word": Rule("word_chars", "n_words", 100, 90, 10),
+    "short_word": Rule("word_chars", "n_words", 100, 10, 10),
+}
 _NULL = "\u0000"
 
 
@@ -59,45 +94,38 @@ def measures(docs: DataFrame) -> DataFrame:
     )
     out = out.select("doc_id", "lang", "source", "w.*", "word_chars", "n_symbols", F.col("l.dup").alias("n_dup_lines"), F.col("l.n").alias("n_lines"))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    each = {
-        "symbols": "1000 * n_symbols div greatest(n_words, 1)",
-        "dup_lines": "1000 * n_dup_lines div greatest(n_lines, 1)",
-        "repeats": "1000 * n_repeat_words div greatest(n_words, 1)",
-        "long_word": "100 * word_chars div greatest(n_words, 1)",
-        "short_word": "100 * word_chars div greatest(n_words, 1)",
-    }
-    return out.withColumn("base_failed", failed).withColumns({f"m_{k}": F.expr(e) for k, e in each.items()})
+    return out.withColumn("base_failed", failed).withColumns({f"m_{k}": F.expr(r.rate) for k, r in RULES.items()})
 
 
 def sketches(measured: DataFrame) -> DataFrame:
     """(lang, source, measure, bucket, c): the sketches of the documents that don't fail the base rules."""
-    values = F.array(*(F.struct(F.lit(k).alias("measure"), F.col(f"m_{k}").alias("value")) for k in FLOORS))
+    values = F.array(*(F.struct(F.lit(k).alias("measure"), F.col(f"m_{k}").alias("value")) for k in RULES))
     rows = measured.where("not base_failed").select("lang", "source", F.explode(values).alias("x")).select("lang", "source", "x.measure", "x.value")
-    drop = F.greatest(F.length(F.bin("value")) - 5, F.lit(0))
-    rows = rows.withColumn("drop", drop).withColumn("bucket", F.expr("shiftleft(shiftright(value, drop), drop)"))
+    rows = rows.withColumn("drop", F.greatest(F.length(F.bin("value")) - BITS, F.lit(0))).withColumn("bucket", F.expr("shiftleft(shiftright(value, drop), drop)"))
     return rows.groupBy("lang", "source", "measure", "bucket").agg(F.count("*").alias("c"))
 
 
-def quantiles(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """(by, measure, n, low, high): quartiles of each sketch, after merging those that `by` doesn't tell apart."""
+def bounds(sketch: DataFrame, by: list[str]) -> DataFrame:
+    """(by, measure, n, bound) of each sketch, after merging those that `by` doesn't tell apart."""
     merged = sketch.groupBy(*by, "measure", "bucket").agg(F.sum("c").alias("c"))
     group = Window.partitionBy(*by, "measure")
-    run = merged.withColumns({"n": F.sum("c").over(group), "upto": F.sum("c").over(group.orderBy("bucket"))})
-    return run.groupBy(*by, "measure").agg(
-        F.max("n").alias("n"), F.min(F.when(F.expr("4 * upto >= n"), F.col("bucket"))).alias("low"), F.min(F.when(F.expr("4 * upto >= 3 * n"), F.col("bucket"))).alias("high")
-    )
+    percent = F.create_map(*(F.lit(x) for k, r in RULES.items() for x in (k, r.percent)))[F.col("measure")]
+    run = merged.withColumns({"n": F.sum("c").over(group), "upto": F.sum("c").over(group.orderBy("bucket")), "percent": percent})
+    # a bucket's highest value; equal values share a bucket, so those of the quantile itself are inside an upper bound
+    top = F.expr(f"bucket + shiftleft(1L, greatest(length(bin(bucket)) - {BITS}, 0)) - 1")
+    reached = F.expr("100 * upto >= percent * n")
+    edge = F.min(F.when(reached, F.when(F.col("percent") < 50, F.col("bucket")).otherwise(top)))
+    middle = F.min(F.when(F.expr("2 * upto >= n"), F.col("bucket")))
+    return run.groupBy(*by, "measure").agg(F.max("n").alias("n"), (2 * edge - middle).alias("bound"))
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
     """(lang, source, measure, bound) for every group of the sketch."""
-    own = quantiles(sketch, ["lang", "source"])
-    wide = quantiles(sketch, ["lang"]).select("lang", "measure", F.col("low").alias("l"), F.col("high").alias("h"))
-    both = own.join(wide, ["lang", "measure"]).withColumns({"low": F.when(F.col("n") < SMALL, F.col("l")).otherwise(F.col("low")), "high": F.when(F.col("n") < SMALL, F.col("h")).otherwise(F.col("high"))})
-    floor = F.create_map(*(F.lit(x) for k, v in FLOORS.items() for x in (k, v)))[F.col("measure")]
-    fence = F.expr(f"high + {FENCE} * (high - low)")
-    lower = F.expr(f"low - {FENCE} * (high - low)")
-    bound = F.when(F.col("measure") == "short_word", F.least(lower, floor)).otherwise(F.greatest(fence, floor))
-    return both.select("lang", "source", "measure", bound.cast("long").alias("bound"))
+    own = bounds(sketch, ["lang", "source"])
+    wide = bounds(sketch, ["lang"]).select("lang", "measure", F.col("n").alias("n_lang"), F.col("bound").alias("b_lang"))
+    whole = bounds(sketch, []).select("measure", F.col("bound").alias("b_all"))
+    bound = F.when(F.col("n") >= SMALL, F.col("bound")).when(F.col("n_lang") >= SMALL, F.col("b_lang")).otherwise(F.col("b_all"))
+    return own.join(wide, ["lang", "measure"]).join(whole, "measure").select("lang", "source", "measure", bound.cast("long").alias("bound"))
 
 
 def apply_rules(docs: DataFrame) -> DataFrame:
@@ -107,11 +135,10 @@ def apply_rules(docs: DataFrame) -> DataFrame:
     often as they occur, and share a verdict. A document of a group without sketch (all its documents fail the base
     rules) isn't kept, as it fails them. Columns besides doc_id, text, lang and source are not read."""
     measured = cut(measures(docs))
-    bounds = thresholds(sketches(measured)).groupBy("lang", "source").pivot("measure", list(FLOORS)).agg(F.first("bound"))
-    bounds = bounds.select("lang", "source", *(F.col(k).alias(f"b_{k}") for k in FLOORS))
-    joined = measured.join(bounds, ["lang", "source"], "left")
+    wide = thresholds(sketches(measured)).groupBy("lang", "source").pivot("measure", list(RULES)).agg(F.first("bound"))
+    wide = wide.select("lang", "source", *(F.col(k).alias(f"b_{k}") for k in RULES))
+    joined = measured.join(wide, ["lang", "source"], "left")
     ok = ~F.col("base_failed")
-    for k in FLOORS:
-        inside = F.col(f"m_{k}") >= F.col(f"b_{k}") if k == "short_word" else F.col(f"m_{k}") <= F.col(f"b_{k}")
-        ok = ok & F.coalesce(inside, F.lit(True))
+    for k, r in RULES.items():
+        ok = ok & F.coalesce(F.expr(r.inside.format(bound=f"b_{k}")), F.lit(True))
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", ok.alias("kept"))

@@ -50,8 +50,14 @@ def _leaves(print_: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """1 for equal roots, else twice the leaves in common by the leaves of both: 0 to 1."""
-    ratio = let(_leaves(a), lambda x: let(_leaves(b), lambda y: 2.0 * F.size(F.array_intersect(x, y)) / F.greatest(F.size(x) + F.size(y), F.lit(1))))
+    """1 for equal roots, else twice the distinct leaves in common by those of both, and less than 1: trees of the same
+    leaves in other places, or as often repeated, are not equal."""
+
+    def shared(x: Column, y: Column) -> Column:
+        n = F.size(x) + F.size(y)
+        return F.least(2.0 * F.size(F.array_intersect(x, y)) / F.greatest(n, F.lit(1)), 1 - 1 / (n + F.lit(1.0)))
+
+    ratio = let(_leaves(a), lambda x: let(_leaves(b), lambda y: shared(x, y)))
     return F.when(F.left(a, F.lit(64)) == F.left(b, F.lit(64)), F.lit(1.0)).otherwise(ratio)
 
 
@@ -121,11 +127,12 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """docs to (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next), a row for each row.
+    """docs to (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, edited_at), a row for each row.
 
     A null text is an empty one. The edited text has its last quarter replaced by the first as many code points of
     the next row's text. A table of one row is its own next; an empty table gives no rows. Repeated rows are next to
-    one another. Columns besides doc_id and text are not read."""
+    one another. edited_at is the first branch of the text's tree that the edited one's lacks, as section:paragraph from
+    0, null if it lacks none. Columns besides doc_id and text are not read."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     n = F.length("text")
     part = F.floor(n / 4).cast("int")
@@ -137,4 +144,5 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        let(F.get(differing(F.col("fingerprint"), F.col("edited_fingerprint")), F.lit(0)), lambda x: F.when(x.isNotNull(), F.concat_ws(":", x["section"], x["paragraph"]))).alias("edited_at"),
     )

@@ -54,27 +54,34 @@ def fingerprints() -> str:
 
     def near(a: str, b: str) -> str:
         x, y = leaves(a), leaves(b)
-        return f"case when left({a}, 64) = left({b}, 64) then 1.0::double else 2.0::double * len(list_intersect({x}, {y})) / greatest(len({x}) + len({y}), 1) end"
+        return f"case when left({a}, 64) = left({b}, 64) then 1.0::double else least(2.0::double * len(list_intersect({x}, {y})) / greatest(len({x}) + len({y}), 1), 1 - 1 / (len({x}) + len({y}) + 1.0::double)) end"
 
     return f"""
     with a as (select doc_id, coalesce(text, '') as text from documents),
     b as (select doc_id, text, length(text) as n, coalesce(lead(text) over (order by doc_id), first_value(text) over (order by doc_id)) as next_text from a),
     c as (select *, left(text, n - n // 4) || left(next_text, n // 4) as edited from b),
     t as (select *, {tree('text')} as ta, {tree('edited')} as te from c),
-    f as (select doc_id, n, edited, {print_('ta')} as fp, {print_('te')} as fe from t),
+    f as (select doc_id, n, edited, {print_('ta')} as fp, {print_('te')} as fe,
+        list_filter(flatten(list_transform(range(1, len(ta) + 1), lambda k: list_transform(range(1, len(ta[k]) + 1), lambda i: case when ta[k][i] is distinct from te[k][i] then (k - 1) || ':' || (i - 1) end))), lambda x: x is not null)[1] as edited_at from t),
     g as (select *, coalesce(lead(fp) over (order by doc_id), first_value(fp) over (order by doc_id)) as fn from f)
     select doc_id, n::bigint as n_chars, sha256(edited) as edited_sha256, fp as fingerprint, fe as edited_fingerprint,
-        {near('fp', 'fe')} as near_edited, {near('fp', 'fn')} as near_next from g"""
+        {near('fp', 'fe')} as near_edited, {near('fp', 'fn')} as near_next, edited_at from g"""
 
 
 def rules() -> str:
-    w, floors = adaptive_rules.WINDOW, adaptive_rules.FLOORS
-    bits = "length(bin(value))"
-    bound = " ".join(
-        f"when '{k}' then {f'least(low - {adaptive_rules.FENCE} * (high - low), {v})' if k == 'short_word' else f'greatest(high + {adaptive_rules.FENCE} * (high - low), {v})'}" for k, v in floors.items()
-    )
-    wide = "sum(c) over (partition by lang, measure, bucket)"
-    verdict = " and ".join(f"m.m_{k} {'>=' if k == 'short_word' else '<='} coalesce(b.b_{k}, m.m_{k})" for k in floors)
+    w, rules_, small = adaptive_rules.WINDOW, adaptive_rules.RULES, adaptive_rules.SMALL
+    drop = "greatest(length(bin({0})) - " + str(adaptive_rules.BITS) + ", 0)::int"
+    percent = "case measure " + " ".join(f"when '{k}' then {r.percent}" for k, r in rules_.items()) + " end"
+    rates = ", ".join(f"{r.scale} * {r.count} // greatest({r.per}, 1) as m_{k}" for k, r in rules_.items())
+    verdict = " and ".join(f"coalesce({r.inside.format(bound=f'b.b_{k}')}, true)" for k, r in rules_.items())
+
+    def bound(by: str) -> str:
+        """The bounds of sk's sketches, merged by the columns."""
+        return f"""select {by} measure, max(n) as n,
+            2 * min(case when p < 50 then bucket else bucket + (1::bigint << {drop.format("bucket")}) - 1 end) filter (100 * upto >= p * n) - min(bucket) filter (2 * upto >= n) as bound
+            from (select *, {percent} as p, sum(c) over (partition by {by} measure) as n, sum(c) over (partition by {by} measure order by bucket) as upto
+                  from (select {by} measure, bucket, sum(c) as c from sk group by all)) group by all"""
+
     return f"""
     with d as (select doc_id, coalesce(text, '') as text, coalesce(lang, chr(1)) as lang, coalesce(source, chr(1)) as source, {_WORDS} as words from documents),
     grams as (select doc_id, unnest(range(1, len(words) - {w - 2})) as i, words from d where len(words) > {w}),
@@ -84,20 +91,13 @@ def rules() -> str:
     base as (select d.doc_id, lang, source, len(words)::bigint as n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::bigint as word_chars,
         len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines,
         len(lines) as n_lines, coalesce(c.n, 0)::bigint as n_repeat_words from lined d left join covered c on c.doc_id = d.doc_id),
-    m as (select *, n_words < {adaptive_rules.LEAST_WORDS} or 100 * n_repeat_words > {adaptive_rules.REPEAT_PERCENT} * n_words as base_failed,
-        1000 * n_symbols // greatest(n_words, 1) as m_symbols, 1000 * n_dup_lines // greatest(n_lines, 1) as m_dup_lines, 1000 * n_repeat_words // greatest(n_words, 1) as m_repeats,
-        100 * word_chars // greatest(n_words, 1) as m_long_word, 100 * word_chars // greatest(n_words, 1) as m_short_word from base),
-    vals as (select lang, source, unnest({list(floors)}) as measure, unnest([{', '.join(f'm_{k}' for k in floors)}]) as value from m where not base_failed),
-    sk as (select lang, source, measure, (value >> greatest({bits} - 5, 0)::int) << greatest({bits} - 5, 0)::int as bucket, count(*) as c from vals group by all),
-    q as (select lang, source, measure, max(n) as n, min(bucket) filter (4 * upto >= n) as low, min(bucket) filter (4 * upto >= 3 * n) as high
-        from (select *, sum(c) over (partition by lang, source, measure) as n, sum(c) over (partition by lang, source, measure order by bucket) as upto from sk) group by all),
-    wide as (select lang, measure, bucket, sum(c) as c from sk group by all),
-    qw as (select lang, measure, min(bucket) filter (4 * upto >= n) as low, min(bucket) filter (4 * upto >= 3 * n) as high
-        from (select *, sum(c) over (partition by lang, measure) as n, sum(c) over (partition by lang, measure order by bucket) as upto from wide) group by all),
-    both_ as (select q.lang, source, q.measure, case when n < {adaptive_rules.SMALL} then qw.low else q.low end as low, case when n < {adaptive_rules.SMALL} then qw.high else q.high end as high
-        from q join qw on q.lang = qw.lang and q.measure = qw.measure),
-    bounds as (select lang, source, measure, case measure {bound} end as bound from both_),
-    b as (select lang, source, {', '.join(f"max(bound) filter (measure = '{k}') as b_{k}" for k in floors)} from bounds group by all)
+    m as (select *, n_words < {adaptive_rules.LEAST_WORDS} or 100 * n_repeat_words > {adaptive_rules.REPEAT_PERCENT} * n_words as base_failed, {rates} from base),
+    vals as (select lang, source, unnest({list(rules_)}) as measure, unnest([{', '.join(f'm_{k}' for k in rules_)}]) as value from m where not base_failed),
+    sk as (select lang, source, measure, (value >> {drop.format("value")}) << {drop.format("value")} as bucket, count(*) as c from vals group by all),
+    own as ({bound("lang, source,")}), wide as ({bound("lang,")}), whole as ({bound("")}),
+    each as (select own.lang, own.source, own.measure, case when own.n >= {small} then own.bound when wide.n >= {small} then wide.bound else whole.bound end as bound
+        from own join wide on own.lang = wide.lang and own.measure = wide.measure join whole on own.measure = whole.measure),
+    b as (select lang, source, {', '.join(f"max(bound) filter (measure = '{k}') as b_{k}" for k in rules_)} from each group by all)
     select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and {verdict} as kept
     from m left join b on b.lang = m.lang and b.source = m.source"""
 

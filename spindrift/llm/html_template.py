@@ -7,15 +7,17 @@ A host's pages are dealt into lots of about LOT pages (a hot host has many lots)
    occur on most pages and keep one order on each are valid; the class that occurs once a page is the template's frame.
 3. Other classes nest in the frame's slot that their first occurrences fall in, a class for each slot. What stands in
    no class's token is the content of a slot.
-4. Slots that hold a page's own text make its main part: those inside an article or main element where a page has
-   any. Else it is the container that is reached from the root by the child with most of the lot's own text (what
-   isn't on all of its pages, nor in links), as long as there is no such text beside the child.
+4. Slots that hold the pages' own text (what isn't on all of the lot's pages, nor in links) make the main part: the
+   container that is reached from the root by the child with most of that text, as long as there is none beside the
+   child. An article or main element narrows it down only if at least half of the lot's own text is in such elements.
 5. A slot of the frame or of a nested class is the template's if its text is the same on all pages that have the tag
    (LEAST_PAGES different pages at least); that text goes, in the main part too. A tag whose own text differs
    from page to page is content wherever it stands, so a paragraph with the path of the page's own ones stays.
 
-Menus, headers, footers, sidebars, notices, adverts, forms and reader comments go wherever they stand, by their tags,
-roles and class words."""
+Menus, footers, sidebars, notices, adverts, forms and reader comments go wherever they stand, by their tags, roles and
+class words; so do headers outside an article. Their texts may differ from page to page like an article's, so no template
+tells them apart. Words that an article's own parts may be named by too (header, related, search) count only if the
+whole class name is made of such words."""
 
 from __future__ import annotations
 
@@ -43,10 +45,11 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 DROPPED = frozenset("nav header footer aside form menu head script style noscript iframe template svg math object select button dialog textarea title input fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 CLASS_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead footer "
-    "sidebar aside cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup login search "
-    "share sharing social comment comments respond reply replies disqus discussion related recommended pagination pager toolbar widget widgets".split()
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo nav navbar navigation menu menubar breadcrumb breadcrumbs "
+    "sidebar cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription share sharing comment comments respond disqus pagination pager toolbar widget widgets".split()
 )
+SHARED_WORDS = frozenset("banner header masthead footer aside notice notices notification signup login search social reply replies discussion related recommended".split())
+PLACES = frozenset("site page global top bottom main bar box form list posts articles links stories section block area wrapper container left right".split())
 MAIN_CLASSES = frozenset("article-body article-content articlebody post-content post-body entry-content story-body main-content page-content".split())
 #: Elements of running text: a container is what stands above them.
 RUNNING = INLINE | frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table thead tbody tfoot tr td th caption figure figcaption br hr".split())
@@ -84,14 +87,16 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(next((g for g in m.groups()[1:] if g is not None), "")) for m in _ATTR.finditer(raw)}
 
 
-def _role(name: str, attributes: dict[str, str]) -> tuple[bool, bool, str]:
-    """Whether an element is dropped, whether it is a main part, and its class for its path."""
+def _role(name: str, attributes: dict[str, str], within: bool) -> tuple[bool, bool, str]:
+    """Whether an element is dropped, whether it is a main part, and its class for its path. within: it stands in a main part."""
     label = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()
-    words = {w for part in label.split() for w in (part, *re.split(r"[-_]+", part))}
+    names = [set(re.split(r"[-_]+", part)) for part in label.split()]
+    words = set().union(*names, label.split())
     role = attributes.get("role", "").lower()
     main = name in ("article", "main") or role in ("main", "article") or bool(words & MAIN_CLASSES) or attributes.get("itemprop", "").lower() == "articlebody"
-    dropped = name in DROPPED or role in ROLES or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true"
-    dropped |= bool(words & CLASS_WORDS) and name not in ("html", "body", "main") and not (main and not words & {"comment", "comments", "ad", "ads"})
+    dropped = (name in DROPPED and not (name == "header" and within)) or role in ROLES or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true"
+    noise = bool(words & CLASS_WORDS) or any(n & SHARED_WORDS and n <= SHARED_WORDS | PLACES for n in names)
+    dropped |= noise and name not in ("html", "body", "main") and not (main and not words & {"comment", "comments", "ad", "ads"})
     return dropped, main and not dropped, "-".join(re.findall(r"[\w-]+", attributes.get("class", "").lower()))
 
 
@@ -132,8 +137,8 @@ def tokenize(page: str | None) -> list[Node]:
             if stack[k].name not in INLINE and stack[k].name not in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
                 break
         attributes = _attributes(m[3])
-        dropped, main, cls = _role(name, attributes)
         up = stack[-1]
+        dropped, main, cls = _role(name, attributes, up.main)
         e = Element(name, f"{up.path}>{name}" + f".{cls}" * bool(cls), up.dropped or dropped, up.main or main, up.link or name == "a")
         tag(e.path, up, block)
         if name in VOID or m[3].rstrip().endswith("/"):
@@ -150,12 +155,13 @@ def tokenize(page: str | None) -> list[Node]:
 
 @dataclass
 class Template:
-    """The frame's tokens in order, the classes nested in each of its slots, the path of the main container, and the
-    tokens whose slots hold the template's own text."""
+    """The frame's tokens in order, the classes nested in each of its slots, the path of the main container, whether
+    article and main elements hold half of the own text, and the tokens whose slots hold the template's own text."""
 
     frame: list[str]
     nested: dict[int, list[tuple[str, ...]]]
     main: str
+    marked: bool
     fixed: frozenset[str]
 
 
@@ -233,13 +239,13 @@ def deduce(pages: list[list[Node]]) -> Template:
     frame = ordered([t for v, ts in classes.items() if max(v) == 1 for t in ts])
     nested: dict[int, list[tuple[str, ...]]] = defaultdict(list)
     homes: dict[str, set[int]] = defaultdict(set)
-    pieces: dict[tuple[str, str], set[int]] = defaultdict(set)
+    pieces: dict[tuple[str, str, bool], set[int]] = defaultdict(set)
     for k, nodes in enumerate(pages):
         for n, slot in zip(nodes, _slots(nodes, frame), strict=True):
             if n.text is None:
                 homes[n.token].add(slot)
             elif not n.dropped and not n.link and (piece := n.text.strip()):
-                pieces[container(n.path), piece].add(k)
+                pieces[container(n.path), piece, n.main].add(k)
     for v, tokens in classes.items():
         apart: dict[int, list[str]] = defaultdict(list)  # equal vectors in different slots are different classes
         for t in tokens:
@@ -250,8 +256,11 @@ def deduce(pages: list[list[Node]]) -> Template:
     # text that is on all of several pages is the template's, unless there is no other
     own = {key: at for key, at in pieces.items() if len(pages) < 3 or len(at) < len(pages)} or pieces
     mass: Counter[str] = Counter()
-    for (place, piece), at in own.items():
+    inside = 0
+    for (place, piece, in_main), at in own.items():
         mass[place] += len(piece) * len(at)
+        inside += len(piece) * len(at) * in_main
+    marked = inside > 0 and 2 * inside >= sum(mass.values())
     main = ""
     while not mass[main]:
         below: Counter[str] = Counter()
@@ -265,18 +274,28 @@ def deduce(pages: list[list[Node]]) -> Template:
             break
         main = child
     fixed = _fixed(pages, {*frame, *(t for cs in nested.values() for c in cs for t in c)})
-    return Template(frame, dict(nested), main, fixed)
+    return Template(frame, dict(nested), main, marked, fixed)
 
 
 def extract(nodes: list[Node], template: Template) -> str:
-    """A page's main text: the content of the slots in its main part, each block with single spaces, joined by a space."""
-    inside = any(n.main and not n.dropped and n.text is not None and not n.text.isspace() for n in nodes)
+    """A page's main text: the content of the slots in its main part, each block with single spaces, joined by a space.
+
+    A page without any text there, of another layout than its host's other pages, gives that of its article or main
+    element, and without one that of all its slots."""
+    texts = [n for n in nodes if n.text is not None and not n.dropped and not n.text.isspace()]
+
+    def below(n: Node) -> bool:
+        return f"{container(n.path)}>".startswith(f"{template.main}>")
+
+    own = [n for n in texts if block(n.path) not in template.fixed]
+    tests = [lambda n: n.main, below] if template.marked else [below, lambda n: n.main]
+    wanted = next((t for t in tests if any(map(t, own))), lambda n: True)
     out: list[str] = []
     for n in nodes:
         if n.text is None:
             if n.block:
                 out.append(" ")
-        elif not n.dropped and block(n.path) not in template.fixed and (n.main if inside else f"{container(n.path)}>".startswith(f"{template.main}>")):
+        elif not n.dropped and block(n.path) not in template.fixed and wanted(n):
             out.append(n.text)
     return " ".join("".join(out).split())
 

@@ -1,8 +1,10 @@
 """Language ID, word first: a known word scores by its log frequency in each language, an unseen one by character n-grams.
 
-Counts are taken over all words of all learning rows, on the executors. The model that goes to the driver and to
-every task is bounded by WORDS and GRAMS whatever the input; the least counts that keep within them come from a
-histogram of counts."""
+Counts are taken over all words of all learning rows, on the executors. A word is known if it makes up RARE_WORD or
+more of some language's words (and occurs LEAST times), an n-gram if it makes up RARE_GRAM or more of some language's
+n-grams; rarer words are scored by their n-grams, rarer n-grams by shorter ones. So the same words are known however
+large the corpus is, each language has its own, and of each language 1 / RARE_WORD words and 1 / RARE_GRAM n-grams at
+most go to the driver and to every task."""
 
 from __future__ import annotations
 
@@ -16,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Words and n-grams of the model at most, the longest n-gram, and the least count of a known word.
-WORDS, GRAMS, LONGEST, LEAST = 60_000, 60_000, 4, 3
+#: The least share of a language's words and n-grams, the longest n-gram, and the least count of a known word.
+RARE_WORD, RARE_GRAM, LONGEST, LEAST = 2e-6, 4e-6, 4, 3
 #: Characters of a word that n-grams are taken from at once.
 PIECE = 61
 #: Word-likelihoods that a document's score adds up at most: a long text is no surer than this many words.
@@ -25,18 +27,15 @@ SURE = 25
 
 
 class Model:
-    """Log frequencies by language, of words and n-grams."""
+    """Log frequencies by language, of words and n-grams. Counts are a row a word (or n-gram), a column a language."""
 
-    def __init__(self, langs: list[str], words: dict[str, list[int]], grams: dict[str, list[int]], totals: list[int], gram_totals: list[int]) -> None:
+    def __init__(self, langs: list[str], words: list[str], counts: np.ndarray, totals: np.ndarray, grams: list[str], gram_counts: np.ndarray, gram_totals: np.ndarray) -> None:
         self.langs = langs
-        self.words = {w: k for k, w in enumerate(words)}
-        self.word_logs = self._logs(list(words.values()), totals)
-        self.grams = {g: k for k, g in enumerate(grams)}
-        self.gram_logs = self._logs(list(grams.values()), gram_totals)
+        self.words, self.word_logs = {w: k for k, w in enumerate(words)}, self._logs(counts, totals)
+        self.grams, self.gram_logs = {g: k for k, g in enumerate(grams)}, self._logs(gram_counts, gram_totals)
 
-    def _logs(self, counts: list[list[int]], totals: list[int]) -> np.ndarray:
-        c = np.array(counts, np.float64).reshape(len(counts), len(self.langs))
-        return np.log((c + 0.5) / (np.array(totals, np.float64) + 0.5 * (len(counts) + 1)))
+    def _logs(self, counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
+        return np.log((counts + 0.5) / (totals + 0.5 * (len(counts) + 1)))
 
     def unseen(self, word: str) -> np.ndarray:
         """Mean log frequency of the longest known n-gram at each place of the word, zero for all if none is known."""
@@ -49,33 +48,24 @@ class Model:
         return self.gram_logs[rows].mean(axis=0) if rows else np.zeros(len(self.langs))
 
 
-def letter_words(text: Column) -> Column:
-    """The lower-cased runs of letters of a text."""
-    return F.split(F.lower(text), r"[^\p{L}]+")
+def letters(text: Column) -> Column:
+    """A text's lower-cased runs of letters, one space between them. Learning and prediction both read this."""
+    return F.regexp_replace(F.lower(text), r"[^\p{L}]+", " ")
 
 
-def _counted(counts: DataFrame, name: str, most: int, least: int) -> tuple[dict[str, dict[str, int]], dict[str, int]]:
-    """The most frequent values of a column by language, `most` at most, and each language's sum over all values."""
-    totals = {r["lang"]: int(r["c"]) for r in counts.groupBy("lang").agg(F.sum("c").alias("c")).collect()}
-    whole = counts.groupBy(name).agg(F.sum("c").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "c"))).alias("by"))
-    whole = cut(whole.where(F.col("all") >= least))
-    # counts by their five highest bits: some hundreds of rows
-    bits = F.length(F.bin("all"))
-    floor = F.expr("shiftleft(shiftright(`all`, greatest(bits - 5, 0)), greatest(bits - 5, 0))")
-    sizes = whole.withColumn("bits", bits).groupBy(floor.alias("f")).agg(F.count("*").alias("n")).collect()
-    kept, bound = 0, None
-    for f, n in sorted(((r["f"], r["n"]) for r in sizes), reverse=True):
-        if kept + n > most:
-            break
-        kept, bound = kept + n, f
-    rows = whole.where(F.col("all") >= bound).orderBy(F.desc("all"), name).collect() if bound is not None else []
-    return {r[name]: r["by"] for r in rows}, totals
+def _frequent(counts: DataFrame, name: str, langs: list[str], totals: dict[str, int], share: float, least: int) -> tuple[list[str], np.ndarray]:
+    """The values of a column that make up the share of some language's, and their counts by language."""
+    enough = F.col("c") >= F.create_map(*(F.lit(x) for k in langs for x in (k, max(least, share * totals[k]))))[F.col("lang")]
+    wanted = counts.where(enough).select(name).distinct()  # 1 / share of each language at most
+    each = [F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("c"))), F.lit(0)).alias(f"c{k}") for k, x in enumerate(langs)]
+    table = counts.join(F.broadcast(wanted), name, "left_semi").groupBy(name).agg(*each).orderBy(name).toArrow()
+    return table.column(0).to_pylist(), np.array([c.to_numpy() for c in table.columns[1:]], np.float64).T.reshape(-1, len(langs))
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     """A model of all rows of docs with a language and a text. Without any, the model has no languages."""
     docs = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    words = docs.select(F.col(lang).cast("string").alias("lang"), F.explode(letter_words(F.col(text))).alias("word")).where("word <> ''")
+    words = docs.select(F.col(lang).cast("string").alias("lang"), F.explode(F.split(letters(F.col(text)), " ")).alias("word")).where("word <> ''")
     counts = cut(words.groupBy("word", "lang").agg(F.count("*").alias("c")))
     padded = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
     # n-grams are taken from pieces of PIECE characters, each with as many of the next as an n-gram reaches into it:
@@ -90,14 +80,15 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
 
     grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(LONGEST)), lambda k: F.transform(starts(k), lambda i: F.substring("y", i, k))))
     parts = pieces.select("lang", "c", F.explode(grams).alias("gram")).groupBy("gram", "lang").agg(F.sum("c").alias("c"))
-    by_word, totals = _counted(counts, "word", WORDS, LEAST)
-    by_gram, gram_totals = _counted(cut(parts), "gram", GRAMS, 1)
-    langs = sorted(totals)
-
-    def table(by: dict[str, dict[str, int]]) -> dict[str, list[int]]:
-        return {w: [int(c.get(x, 0)) for x in langs] for w, c in by.items()}
-
-    return Model(langs, table(by_word), table(by_gram), [totals[x] for x in langs], [gram_totals.get(x, 0) for x in langs])
+    parts = cut(parts)
+    sums = [{r["lang"]: int(r["c"]) for r in x.groupBy("lang").agg(F.sum("c").alias("c")).collect()} for x in (counts, parts)]
+    langs = sorted(sums[0])
+    if not langs:
+        return Model([], [], np.zeros((0, 0)), np.zeros(0), [], np.zeros((0, 0)), np.zeros(0))
+    word_sums, gram_sums = (np.array([x.get(k, 0) for k in langs], np.float64) for x in sums)
+    words, word_counts = _frequent(counts, "word", langs, sums[0], RARE_WORD, LEAST)
+    grams, gram_counts = _frequent(parts, "gram", langs, sums[1], RARE_GRAM, 1)
+    return Model(langs, words, word_counts, word_sums, grams, gram_counts, gram_sums)
 
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -116,8 +107,7 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
             while at < len(texts):
                 size = np.cumsum(pc.fill_null(pc.binary_length(texts.slice(at)), 0).to_numpy(zero_copy_only=False))
                 some = max(1, int(np.searchsorted(size, 8_000_000)))
-                lower = pc.utf8_lower(pc.fill_null(texts.slice(at, some), ""))
-                split = pc.split_pattern_regex(lower, r"[^\pL]+")
+                split = pc.split_pattern(pc.fill_null(texts.slice(at, some), ""), " ")
                 flat, bounds = split.flatten(), split.offsets.to_numpy() - split.offsets[0].as_py()
                 coded = flat.dictionary_encode()
                 words = coded.dictionary.to_pylist()
@@ -145,6 +135,6 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
                 at += some
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "lang_pred", "score"])
 
-    docs = docs.select(key, *keep, F.col(text).cast("string").alias("_text"))
+    docs = docs.select(key, *keep, letters(F.col(text).cast("string")).alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[:-1])
     return docs.mapInArrow(run, schema + ", lang_pred string, score double")

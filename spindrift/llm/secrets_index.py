@@ -8,6 +8,7 @@ expression has no mandatory trigram (a run of hex digits) is held against every
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from re import _parser as sre
 
@@ -20,6 +21,8 @@ from .common import cut, let
 BROADCAST_ROWS = 100_000
 #: Alternatives of one literal stretch that a trigram query follows at most.
 _STRETCH = 64
+#: Matches that are folded before the next array is begun.
+CHUNK = 256
 
 
 def either_case(words: str) -> str:
@@ -159,22 +162,35 @@ def postings(docs: DataFrame, vocabulary: list[str], text: str = "text") -> Data
     return lower.select("doc_id", "hash", F.explode(found).alias("gram"))
 
 
+def _fold(items: Column, kind: str, step: Callable[[Column, Column], Column], finish: Callable[[Column], Column]) -> Column:
+    """A fold of items, a bound value, over (at, out): step gives the next of the two, out an array of the kind.
+
+    Folding copies out at each step, so it is done chunk by chunk, and the chunks' arrays are joined at the end."""
+    none, many = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
+
+    def chunk(acc: Column, k: Column) -> Column:
+        inner = F.aggregate(F.slice(items, k * CHUNK + 1, F.lit(CHUNK)), F.struct(acc["at"].alias("at"), none.alias("out")), step)
+        return let(inner, lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+    chunks = F.sequence(F.lit(0), F.floor((F.greatest(F.size(items), F.lit(1)) - 1) / CHUNK).cast("int"))
+    start = F.struct(F.lit(0).alias("at"), many.alias("out"))
+    return F.aggregate(chunks, start, chunk, lambda acc: finish(F.struct(acc["at"].alias("at"), F.flatten(acc["out"]).alias("out"))))
+
+
 def spans(text: Column, rule: Rule, kind: int) -> Column:
     """A rule's matches in a text: an array of (start, kind, end) in code points, by start."""
     regex = F.lit(rule.regex)
 
     def placed(gaps: Column, matches: Column, parts: Column) -> Column:
-        steps = F.zip_with(F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: F.struct(g.alias("gap"), m.alias("match"))), parts, lambda x, p: F.struct(x["gap"].alias("gap"), x["match"].alias("match"), p.alias("part")))
-        none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-        start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+        steps = F.zip_with(F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("match"))), parts, lambda x, p: F.struct(x["gap"].alias("gap"), x["match"].alias("match"), F.length(p).alias("part")))
 
         def step(acc: Column, x: Column) -> Column:
-            begin = acc["at"] + F.length(x["gap"])
-            end = begin + F.length(x["match"])
+            begin = acc["at"] + x["gap"]
+            end = begin + x["match"]
             span = F.array(F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
-            return F.struct(end.alias("at"), F.when(F.length(x["part"]) >= rule.least, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+            return F.struct(end.alias("at"), F.when(x["part"] >= rule.least, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-        return F.aggregate(steps, start, step, lambda acc: acc["out"])
+        return let(steps, lambda s: _fold(s, "struct<start:int,kind:int,end:int>", step, lambda acc: acc["out"]))
 
     return let(F.split(text, rule.regex, -1), lambda g: let(F.regexp_extract_all(text, regex, F.lit(0)), lambda m: let(F.regexp_extract_all(text, regex, F.lit(rule.part)), lambda p: placed(g, m, p))))
 
@@ -223,15 +239,17 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
     Rows without a match stay as they are; no row is dropped."""
     kinds = F.array(*(F.lit(f"[{r.kind}]") for r in rules))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     text = F.col("text")
 
     def step(acc: Column, x: Column) -> Column:
         apart = x["start"] >= acc["at"]
-        more = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.get(kinds, x["kind"]))
+        more = F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.get(kinds, x["kind"])))
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(apart, more).otherwise(acc["out"]).alias("out"))
 
-    rest = F.aggregate("__sp_found", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    def joined(acc: Column) -> Column:
+        return F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
+
+    rest = _fold(F.col("__sp_found"), "string", step, joined)
     hit = F.size("__sp_found") > 0
     out = scan(docs, rules, "__sp_found").withColumn("__sp_new", F.when(hit, rest).otherwise(text))
     if "n_chars" in docs.columns:

@@ -94,22 +94,29 @@ class Ranking:
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Ranking | None:
     """A ranking from (doc_id, features, quality) rows; None unless both labels occur.
 
-    Weights are fitted on the `sample` rows with the lowest hashes of doc_id (as many again of a label that these
+    Weights are fitted on the `sample` rows with the lowest hashes of their values (as many again of a label that these
     lack): the one part of this operator that is bounded. The cut is taken over all rows."""
     labelled = labelled.where("quality in (0, 1)")
     count = {r["quality"]: r["n"] for r in labelled.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     if len(count) < 2:
         return None
-    rows = labelled.orderBy(F.xxhash64("doc_id"), "quality").limit(sample).select("features", "quality").collect()
+    rows = _lowest(labelled, sum(count.values()), sample)
+    for q in {0, 1} - {r["quality"] for r in rows}:  # a label too rare for the sample
+        rows += _lowest(labelled.where(F.col("quality") == q), count[q], sample)
     y = np.array([r["quality"] for r in rows])
-    for q in {0, 1} - set(y.tolist()):  # a label too rare for the sample
-        rows += labelled.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id")).limit(sample).select("features", "quality").collect()
-        y = np.array([r["quality"] for r in rows])
     ranking = Ranking(np.array([r["features"] for r in rows]), y)
     ranking.cut = _cut(labelled.select(total(F.col("features"), ranking).alias("s")), count[0])
     return ranking
 
 
+def _lowest(labelled: DataFrame, n: int, sample: int) -> list:
+    """The `sample` rows of n with the lowest hashes. Rows are left out where they are by a bound on the hash that some
+    more than enough keep to, so tasks send about as many rows as are taken, however many tasks there are."""
+    place = F.pmod(F.xxhash64("doc_id", "quality", "features"), F.lit(1 << 30))
+    bound = min(1.0, (1.1 * sample + 200) / max(n, 1))
+    return labelled.withColumn("_place", place).where(F.col("_place") < bound * (1 << 30)).orderBy("_place", "doc_id").limit(sample).select("features", "quality").collect()
+
+
 def _cut(scores: DataFrame, below: int) -> float:
     """The middle between the below-th least score (column s) and the next, so no learning row lies on the cut.
 

@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from spindrift.llm import line_dedup, ngram_jaccard
-from spindrift.llm.components import connected_components
+from spindrift.operators import components
+from spindrift.operators.components import connected_components
 
+BLANK = " \t\n\x0b\x0c\r"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, n int, hash string, found string"
 
 
@@ -91,7 +93,14 @@ def test_empty_table_and_kept_rows(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 4, 5]
 
 
-def test_star_components(spark):
+@pytest.mark.parametrize("part", [1_000_000, 7])
+def test_star_components(spark, monkeypatch, part):
+    monkeypatch.setattr(components, "PART", part)
+    rng = random.Random(2)
+    many = [(rng.randint(1000, 1400), rng.randint(1000, 1400)) for _ in range(180)]
+    found = roots(1401, many)
+    got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(many, "a long, b long").repartition(3)).collect()}
+    assert got == {x: found[x] for a, b in many if a != b for x in (a, b)}
     edges = [(k, k + 1) for k in range(40)] + [(100, 200), (200, 100), (7, 7)]
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges + [(None, 5)], "a long, b long")).collect()}
     assert got == {k: 0 for k in range(41)} | {100: 100, 200: 100}
@@ -100,7 +109,7 @@ def test_star_components(spark):
 
 def brute_lines(rows):
     """Texts after line dedup, rows in order of id."""
-    lines = [(i, k, x) for i, t in rows for k, x in enumerate((t or "").split("\n")) if x and not x.isspace()]
+    lines = [(i, k, x) for i, t in rows for k, x in enumerate((t or "").split("\n")) if x.strip(BLANK)]
     classes = sorted({x for _, _, x in lines})
     sets = [line_dedup.line_shingles(x) for x in classes]
     links = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
@@ -111,7 +120,7 @@ def brute_lines(rows):
     out = []
     for i, t in rows:
         parts = (t or "").split("\n")
-        keep = [x for k, x in enumerate(parts) if not x or x.isspace() or first[root[x]] == (i, k)]
+        keep = [x for k, x in enumerate(parts) if not x.strip(BLANK) or first[root[x]] == (i, k)]
         out.append((i, None if t is None else "\n".join(keep)))
     return out
 
@@ -148,11 +157,10 @@ def test_line_recall_at_the_threshold():
     assert tried > 100 and met >= 0.98 * tried
 
 
-@pytest.mark.parametrize(("small", "block"), [(64, 512), (4, 16), (1000, 512)])
-def test_all_similar_lines_of_a_bucket_meet(spark, monkeypatch, small, block):
+@pytest.mark.parametrize("block", [512, 16])
+def test_all_similar_lines_of_a_bucket_meet(spark, monkeypatch, block):
     """Lines with one long shared passage: those that share a band and are similar become one, whatever else is there."""
-    monkeypatch.setattr(line_dedup, "SMALL", small, raising=False)
-    monkeypatch.setattr(line_dedup, "BLOCK", block, raising=False)
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
     rng = random.Random(12)
 
     def chars(n):

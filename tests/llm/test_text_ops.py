@@ -166,6 +166,18 @@ def test_every_secret_satisfies_its_query(spark):
         assert [r["kind"] for r in secrets_index.scan(one, (rule,)).first()["found"]] == [0], rule.kind
 
 
+def test_texts_of_many_matches(spark):
+    """More matches than a chunk of the fold has, and as many as fill chunks exactly."""
+    sizes = [1, 255, 256, 257, 512, 1500]
+    texts = [" ".join(f"é token=abcdef{k:04d} {'0a' * 13} AKIA{'A' * 17}" for k in range(n)) for n in sizes]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r for r in secrets_index.scan(df).collect()}
+    for k, t in enumerate(texts):
+        assert ",".join(f"{secrets_index.RULES[x['kind']].kind}:{x['start']}:{x['end']}" for x in out[k]["found"]) == brute_spans(t)
+    redacted = {r["doc_id"]: r["text"] for r in secrets_index.redact(df).collect()}
+    assert redacted == {k: " ".join(["é [assign] [hex] [access]"] * n) for k, n in enumerate(sizes)}
+
+
 def test_redaction_keeps_all_else(spark):
     table = docs(spark, SECRETS)
     out = {r["doc_id"]: r for r in secrets_index.redact(table).collect()}
@@ -257,6 +269,55 @@ def test_sketches_merge(spark):
     assert rows_of(merged) == rows_of(adaptive_rules.sketches(df).select("lang", "source", "measure", "bucket", "c"))
 
 
+def test_groups_of_different_shape_get_different_bounds(spark):
+    """Each rule rejects what is odd in its group, and only there; groups of few documents take wider ones."""
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    rows = []
+
+    def add(lang, source, text):
+        rows.append((len(rows), text, lang, source))
+        return len(rows) - 1
+
+    for _ in range(300):
+        add("en", "prose", " ".join(word(rng.randint(3, 7)) for _ in range(120)))
+        add("en", "code", " ".join(word(rng.randint(2, 4)) + "#" * rng.randint(0, 2) for _ in range(120)))
+    symbols = " ".join(word(5) + "#" for _ in range(120))
+    odd = [add("en", "prose", x) for x in (symbols, " ".join(word(14) for _ in range(120)), " ".join(word(1) for _ in range(120)), "\n".join([" ".join(word(5) for _ in range(10))] * 2 + [" ".join(word(5) for _ in range(40)) for _ in range(6)] + ["one two"] * 6))]
+    window = "these five words come again"
+    odd.append(add("en", "prose", " ".join([*(word(5) for _ in range(60)), window, *(word(5) for _ in range(20)), window, *(word(5) for _ in range(40))])))
+    usual = [add("en", "code", " ".join(word(3) + "#" for _ in range(120))), add("en", "few", " ".join(word(5) for _ in range(120)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = {r["doc_id"]: r for r in adaptive_rules.apply_rules(df).collect()}
+    assert not any(out[k]["base_failed"] for k in out)
+    assert [out[k]["kept"] for k in odd] == [False] * 5 and [out[k]["kept"] for k in usual] == [True] * 2
+    assert sum(r["kept"] for r in out.values()) >= 0.9 * len(out)
+    bounds = {(r["source"], r["measure"]): r["bound"] for r in adaptive_rules.thresholds(adaptive_rules.sketches(adaptive_rules.measures(df))).collect()}
+    assert all(bounds["prose", m] != bounds["code", m] for m in ("symbols", "long_word", "short_word"))
+    assert bounds["few", "symbols"] == adaptive_rules.bounds(adaptive_rules.sketches(adaptive_rules.measures(df)), ["lang"]).where("measure = 'symbols'").first()["bound"]
+
+
+def test_bounds_equal_brute_force(spark):
+    """2 * quantile - median of the values whose low bits are cleared (set, at an upper quantile)."""
+    rng = random.Random(2)
+    values = [rng.randint(0, 5000) ** 2 // 900 for _ in range(999)]
+    rows = [(k, "en", "s", False, *[v] * 5) for k, v in enumerate(values)]
+    names = ", ".join(f"m_{k} long" for k in adaptive_rules.RULES)
+    sketch = adaptive_rules.sketches(spark.createDataFrame(rows, f"doc_id long, lang string, source string, base_failed boolean, {names}"))
+    got = {r["measure"]: r["bound"] for r in adaptive_rules.thresholds(sketch).collect()}
+
+    def low(v):
+        drop = max(v.bit_length() - adaptive_rules.BITS, 0)
+        return v >> drop << drop, drop
+
+    ordered = sorted(low(v)[0] for v in values)
+    for k, r in adaptive_rules.RULES.items():
+        edge = ordered[-(-r.percent * len(values) // 100) - 1]
+        if r.percent >= 50:
+            edge += (1 << low(edge)[1]) - 1
+        assert got[k] == 2 * edge - ordered[-(-len(values) // 2) - 1], k
+
+
 # classifiers
 
 
@@ -267,6 +328,42 @@ def test_quality_ranks_held_out_documents(spark):
     assert sum(s >= 0.3 for s in good) >= 0.97 * len(good)
 
 
+def test_quality_equals_brute_force(spark):
+    """Weights at the least loss of pairs, scores and predictions by plain sums; ties of a label and of texts alike."""
+    import math
+
+    import numpy as np
+
+    table, marks = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    out = {r["doc_id"]: r for r in pairwise_quality.classify(table, marks).collect()}
+    labels = {r["doc_id"]: r["quality"] for r in marks.collect()}
+    x = {r["doc_id"]: np.array(pairwise_quality.features(r["text"])) for r in table.collect()}
+    ranking = pairwise_quality.fit(pairwise_quality.featurize(table).join(marks, "doc_id"))
+    learned = np.array([x[i] for i in labels if i in x])
+    assert np.allclose(ranking.mean, learned.mean(axis=0)) and np.allclose(ranking.scale, learned.std(axis=0))
+    z = {i: np.clip((f - learned.mean(axis=0)) / (learned.std(axis=0) + 1e-9), -8, 8) for i, f in x.items()}
+    # the mean loss over all pairs hardly falls anywhere near the weights, which were fitted on drawn pairs
+    good, bad = ([z[i] for i, q in labels.items() if q == want and i in x] for want in (1, 0))
+    pairs = np.array([a - b for a in good for b in bad])
+    loss = lambda w: float(np.log1p(np.exp(-np.clip(pairs @ w, -500, 500))).mean())
+    assert loss(ranking.weights) <= loss(np.zeros(len(ranking.weights))) / 5
+    totals = {i: sum(w * v for w, v in zip(ranking.weights.tolist(), f.tolist(), strict=True)) for i, f in z.items()}
+    order = sorted(totals[i] for i in labels if i in x)
+    below = sum(q == 0 for i, q in labels.items() if i in x)
+    cut = (order[below - 1] + order[below]) / 2
+    for i, t in totals.items():
+        want = 1 / (1 + math.exp(-(t - cut + math.log(0.3 / 0.7))))
+        assert out[i]["score"] == pytest.approx(want, abs=1e-6) and (abs(t - cut) < 1e-6 or out[i]["predicted"] == (t >= cut))
+
+
+@pytest.mark.parametrize("sample", [30, 400])
+def test_quality_sample_is_the_lowest_hashes(spark, sample):
+    rows = spark.range(1000).select(F.col("id").alias("doc_id"), F.array(F.col("id").cast("double")).alias("features"), (F.col("id") % 2).cast("int").alias("quality")).repartition(7)
+    got = sorted(r["features"][0] for r in pairwise_quality._lowest(rows, 1000, sample))
+    place = F.pmod(F.xxhash64("doc_id", "quality", "features"), F.lit(1 << 30))
+    assert got == sorted(r["features"][0] for r in rows.orderBy(place, "doc_id").limit(sample).collect()) and len(got) == sample
+
+
 def test_quality_edges(spark):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (2, None, 0), (None, 1, 0), (6, 0, 1), (99, 1, 0), (1, 0, 0)], "doc_id long, quality int, toxic int")
     out = pairwise_quality.classify(docs(spark), labels).collect()
@@ -306,6 +403,65 @@ def test_language_edges(spark):
     assert langid_backoff.predict(docs(spark, []), model).collect() == []
 
 
+def test_language_equals_brute_force(spark):
+    """Counts, known words and n-grams, and scores by plain loops over all rows."""
+    import math
+
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r["text"], r["lang"]) for r in table.select("text", "lang").collect() if r["text"] and r["lang"]]
+    words, grams = {}, {}
+    letters = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    for text, lang in rows:
+        for w in letters(text):
+            words.setdefault(w, {}).setdefault(lang, 0)
+            words[w][lang] += 1
+    for w, by in words.items():
+        p = f"^{w}$"
+        for n in range(1, langid_backoff.LONGEST + 1):
+            for i in range(len(p) - n + 1):
+                for lang, c in by.items():
+                    grams.setdefault(p[i : i + n], {}).setdefault(lang, 0)
+                    grams[p[i : i + n]][lang] += c
+    langs = sorted({lang for _, lang in rows})
+
+    def logs(counts, share, least):
+        totals = {x: sum(c.get(x, 0) for c in counts.values()) for x in langs}
+        known = {k: c for k, c in counts.items() if any(c.get(x, 0) >= max(least, share * totals[x]) for x in langs)}
+        return {k: [math.log((c.get(x, 0) + 0.5) / (totals[x] + 0.5 * (len(known) + 1))) for x in langs] for k, c in known.items()}
+
+    word_logs, gram_logs = logs(words, langid_backoff.RARE_WORD, langid_backoff.LEAST), logs(grams, langid_backoff.RARE_GRAM, 1)
+    got = {r["doc_id"]: r for r in langid_backoff.predict(table, langid_backoff.fit(table)).collect()}
+    for r in table.collect()[:60]:
+        total, n = [0.0] * len(langs), 0
+        for w in letters(r["text"] or ""):
+            n += 1
+            if w in word_logs:
+                own = word_logs[w]
+            else:
+                p = f"^{w}$"
+                found = [next((gram_logs[p[i : i + k]] for k in range(langid_backoff.LONGEST, 0, -1) if i + k <= len(p) and p[i : i + k] in gram_logs), None) for i in range(len(p))]
+                found = [x for x in found if x]
+                own = [sum(x[j] for x in found) / len(found) for j in range(len(langs))] if found else [0.0] * len(langs)
+            total = [a + b for a, b in zip(total, own, strict=True)]
+        if n:
+            x = [t / n * min(n, langid_backoff.SURE) for t in total]
+            best = max(range(len(langs)), key=lambda j: (x[j], -j))
+            assert got[r["doc_id"]]["lang_pred"] == langs[best]
+            assert got[r["doc_id"]]["score"] == pytest.approx(1 / sum(math.exp(v - x[best]) for v in x), abs=1e-6)
+
+
+def test_language_ties_case_and_long_words(spark):
+    """Equal likelihoods go to the first language by name; a word is learned and found in one lower case; n-grams reach a long word's end."""
+    learn = spark.createDataFrame([(1, "same same same", "b"), (2, "same same same", "a"), (3, "ΑΣ ΑΣ ΑΣ ΑΣ", "el"), (4, "x" * 200 + "qz", "b")], "doc_id long, text string, lang string")
+    model = langid_backoff.fit(learn)
+    out = {r["doc_id"]: r["lang_pred"] for r in langid_backoff.predict(spark.createDataFrame([(1, "same"), (2, "ΑΣ")], "doc_id long, text string"), model).collect()}
+    assert out == {1: "a", 2: "el"} and "xqz$" in model.grams
+    # one dominant language doesn't push out another's words
+    big = spark.range(300).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.concat(F.lit("w"), F.translate((F.col("id") * 40 + k).cast("string"), "0123456789", "abcdefghij")) for k in range(40) for _ in range(3)]).alias("text"), F.lit("big").alias("lang"))
+    model = langid_backoff.fit(big.unionByName(spark.createDataFrame([(1, "tiny " * 3, "small")], "doc_id long, text string, lang string")))
+    assert "tiny" in model.words and len(model.words) == 12001
+
+
 def test_grams_of_whole_words(spark):
     rng = random.Random(3)
     words = ["".join(rng.choice("abcé語") for _ in range(n)) for n in (1, 2, 3, 59, 60, 61, 62, 63, 64, 120, 121, 122, 183, 500)]
@@ -341,6 +497,57 @@ def test_odd_pages(spark):
     assert html_template.extract_pages(df.where("false")).collect() == []
 
 
+def test_article_parts_named_like_page_parts_stay():
+    pages = [
+        f"<html><body><div class='site-header'>Site {k}</div><article><header><h1>Title {k}</h1></header><div class='article-header'>By {k}</div><p>Text {k}</p>"
+        f"<section class='related-work'><p>Related {k}</p></section><div class='related-posts'>See {k}</div><div class='ad-slot'>Buy {k}</div></article><div id='footer'>End {k}</div></body></html>"
+        for k in range(5)
+    ]
+    assert next(html_template.lots(iter([pages]))) == [f"Title {k} By {k} Text {k} Related {k}" for k in range(5)]
+
+
+def test_neutral_pages_by_the_template_alone():
+    """Neither article or main elements nor telling class names: slots with the pages' own text make the article, and
+    an emptied template lets the host's own text through."""
+    rng = random.Random(9)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    bodies = [[text(rng.randint(20, 60)) for _ in range(rng.randint(1, 5))] for _ in range(12)]
+    pages = [
+        "<html><body><div class='q1'><div>Welcome to our place</div><p>Open from nine to five</p></div><div class='q2'>" + "".join(f"<p>{b}</p>" for b in body) + "<div class='q3'>Write to us</div></div><div class='q4'>All rights</div></body></html>"
+        for body in bodies
+    ]
+    want = [" ".join(b) for b in bodies]
+    assert next(html_template.lots(iter([pages]))) == want
+    nodes = [html_template.tokenize(p) for p in pages]
+    empty = html_template.Template([], {}, "", False, frozenset())
+    assert [html_template.extract(n, empty) for n in nodes] == [f"Welcome to our place Open from nine to five {w} Write to us All rights" for w in want]
+
+
+def test_a_teaser_in_an_article_element_is_not_the_article():
+    pages = [f"<html><body><div><article><p>Tip {k}</p></article></div><div><div class='b'><p>{f'long own text {k} ' * 30}</p><p>and {k}</p></div></div></body></html>" for k in range(6)]
+    assert next(html_template.lots(iter([pages]))) == [" ".join(f"{f'long own text {k} ' * 30} and {k}".split()) for k in range(6)]
+
+
+def test_equivalence_classes_equal_brute_force():
+    """Tokens of the frame and of each nested class have one occurrence vector, and every frequent token is in a class of its vector."""
+    rng = random.Random(4)
+    pages = []
+    for k in range(8):
+        rows = "".join(f"<tr><td class='a'>x{k}{i}</td><td class='b'><i>y{i}</i></td></tr>" for i in range(rng.randint(2, 5)))
+        pages.append(html_template.tokenize(f"<html><body><div class='h'>Head</div><table>{rows}</table><ul>{'<li>z</li>' * rng.randint(1, 3)}</ul><div class='t'><p>own {k}</p></div></body></html>"))
+    template = html_template.deduce(pages)
+
+    def vector(token):
+        return tuple(sum(n.text is None and n.token == token for n in nodes) for nodes in pages)
+
+    tokens = {n.token for nodes in pages for n in nodes if n.text is None}
+    assert {vector(t) for t in template.frame} == {(1,) * 8}
+    assert set(template.frame) == {t for t in tokens if max(vector(t)) == 1}
+    classes = [c for cs in template.nested.values() for c in cs]
+    assert all(len({vector(t) for t in c}) == 1 for c in classes)
+    assert {t for c in classes for t in c} == {t for t in tokens if max(vector(t)) > 1 and sum(x > 0 for x in vector(t)) > 4}
+
+
 def test_frame_tokens_share_an_occurrence_vector():
     pages = [html_template.tokenize(f"<html><body><div class='m'><a>x</a>{'<a>y</a>' * k}</div><div class='t'><p>{'word ' * 20}{k}</p></div></body></html>") for k in range(4)]
     template = html_template.deduce(pages)

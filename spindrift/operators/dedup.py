@@ -187,15 +187,25 @@ def replay(rows: list[tuple], edges: set[tuple]) -> set:
 def cross_source_dedup(df: DataFrame, threshold: float = 90, key: str = "media_id") -> DataFrame:
     """Rows that the cross-source rule keeps, replayed in order of key within each component of matching records.
 
-    Records of different components never meet, so the replay of a component is that of the whole. A null media type
-    or source is 'unknown'. df has key, title, media_type, source, score, release_date, and metadata.year if any."""
+    Records of different components never meet, so the replay of a component is that of the whole. Of records alike in
+    title, media type, year, priority of source and score the first stands for all: whatever removes it removes them,
+    and else it does itself, before their turn. So many copies of a title make no pairs among themselves. A null media
+    type or source is 'unknown'. df has key, title, media_type, source, score, release_date, and metadata.year if any."""
     fallback = F.col("metadata.year") if "metadata" in df.columns else F.lit(None).cast("int")
     rows = df.withColumns({"media_type": F.coalesce("media_type", F.lit("unknown")), "source": F.coalesce("source", F.lit("unknown")), "_year": year_of(F.col("release_date"), fallback)})
+    titled = rows.where("title is not null and title <> ''")
+    alike = [F.lower("title"), F.col("media_type"), F.col("_year"), source_priority(F.col("source")), F.coalesce("score", F.lit(0.0))]
+    heads = cut(titled.groupBy(*(c.alias(f"_{k}") for k, c in enumerate(alike))).agg(F.min(key).alias("key")).select("key"))
+    copies = titled.join(heads, titled[key] == heads["key"], "left_anti").select(F.col(key).alias("key"))
+    rows = titled.join(heads, titled[key] == heads["key"], "left_semi")
     edges = cut(cross_source_pairs(rows, threshold, key))
     if edges.isEmpty():
-        return df
-    roots = connected_components(edges).withColumnRenamed("node", "key")
-    ends = edges.join(roots, edges["a"] == roots["key"]).select("root", "a", "b")
+        return df.join(copies, df[key] == copies["key"], "left_anti")
+    # keys may be texts: components are found by hashes, and two that share one are replayed together all the same
+    found = cut(connected_components(edges.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))))
+    ends = edges.join(found, F.xxhash64("a") == found["node"]).select("root", "a", "b")
+    keys = edges.select(F.col("a").alias("key")).unionByName(edges.select(F.col("b").alias("key"))).distinct()
+    roots = keys.join(found, F.xxhash64("key") == found["node"]).select("key", "root")
     kind = df.schema[key].dataType.simpleString()
 
     def run(nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
@@ -208,6 +218,7 @@ def cross_source_dedup(df: DataFrame, threshold: float = 90, key: str = "media_i
     nodes = roots.join(rows.select(F.col(key).alias("key"), "source", "score"), "key")
     nodes, ends = (x.toDF(*x.columns) for x in (nodes, ends))  # both have columns of the same tables
     gone = nodes.groupBy("root").cogroup(ends.groupBy("root")).applyInPandas(run, f"key {kind}")
+    gone = gone.unionByName(copies)
     return df.join(gone, df[key] == gone["key"], "left_anti")
 
 

@@ -29,19 +29,27 @@ def shared_dir(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def cut(df: DataFrame) -> DataFrame:
+#: Rows of a batch that Python workers are sent.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def cut(df: DataFrame, batch: int | None = None) -> DataFrame:
     """df, written once to the shared checkpoint folder: its lineage ends there and a lost executor costs a reread.
 
-    The shuffles that it was made by are of no more use then, so their files go at once."""
+    The shuffles that it was made by are of no more use then, so their files go at once. Python workers get so many rows
+    at a time, where `batch` says: fewer than Spark's own number if rows may be long."""
     spark = df.sparkSession
     shared_dir(spark)
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    own = {CLEANUP: "true"} | ({BATCH: str(batch)} if batch else {})
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     try:
-        # a plan takes the setting when it is made
+        # a plan takes the settings when it is made
         return df.select("*").checkpoint(eager=True)
     finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)

@@ -461,7 +461,7 @@ def test_fuzzy_dedup_equals_the_greedy_loop(spark):
 
 def test_cross_source_equals_the_sequential_rule(spark):
     rng = random.Random(5)
-    rows = [(k, x, rng.choice(["tv", "movie", None]), rng.choice(["mal", "tmdb", "mangadex", "odd", None]), rng.choice([None, 1.0, 2.0]), rng.choice(["2000-01", "2001", "2002", None])) for k, x in enumerate(titles(6, 90))]
+    rows = [(k, x, rng.choice(["tv", "movie", None]), rng.choice(["mal", "tmdb", "mangadex", "odd", None]), rng.choice([None, 1.0, 2.0]), rng.choice(["2000-01", "2001", "2002", None])) for k, x in enumerate([*titles(6, 90), *["Untitled", "untitled"] * 30, "", "", None])]
     place = {"mal": 0, "tmdb": 1, "mangadex": 2}
     gone = set()
     for i, a in enumerate(rows):
@@ -471,13 +471,19 @@ def test_cross_source_equals_the_sequential_rule(spark):
             if b[0] in gone or (a[2] or "unknown") != (b[2] or "unknown"):
                 continue
             title = similarity.title_similarity(a[1], b[1])
+            if not a[1] or not b[1]:
+                continue
             if a[5] and b[5]:
                 title = 0.7 * title + 0.3 * {0: 100, 1: 80, 2: 50}[abs(int(a[5][:4]) - int(b[5][:4]))]
             if title >= 90:
                 pa, pb = place.get(a[3], 3), place.get(b[3], 3)
                 gone.add(b[0] if (pa < pb if pa != pb else (a[4] or 0) >= (b[4] or 0)) else a[0])
-    got = dedup.cross_source_dedup(spark.createDataFrame(rows, "media_id int, title string, media_type string, source string, score double, release_date string"))
+    kinds = "title string, media_type string, source string, score double, release_date string"
+    got = dedup.cross_source_dedup(spark.createDataFrame(rows, f"media_id int, {kinds}"))
     assert sorted(r["media_id"] for r in got.collect()) == [r[0] for r in rows if r[0] not in gone]
+    named = [(f"tv-{k:05d}", *r) for k, *r in rows]
+    got = dedup.cross_source_dedup(spark.createDataFrame(named, f"media_id string, {kinds}"))
+    assert sorted(r["media_id"] for r in got.collect()) == [f"tv-{r[0]:05d}" for r in rows if r[0] not in gone]
 
 
 @pytest.mark.parametrize(("apart", "least"), [(0, 86), (1, 95), (2, 108), (None, 90)])

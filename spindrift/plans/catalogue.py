@@ -403,10 +403,10 @@ def fallback_synopsis(spark: SparkSession, d: str) -> DataFrame:
     return items(spark, d).select("media_id", text.fallback_synopsis(F.col("synopsis"), F.col("title"), F.lit("Seinen"), F.col("genres")).alias("synopsis"))
 
 
-@query(ITEMS + "select media_id, array_to_string(list_transform(genres, lambda g: upper(g[1]) || lower(g[2:])), '|') as genres from items where genres[1] <> genres[2]")
+@query(ITEMS + ", t as (select media_id, list_transform(genres, lambda g: upper(g[1]) || lower(g[2:])) as g from items) select media_id, array_to_string(list_filter(g, lambda x, i: list_position(g, x) = i), '|') as genres from t")
 def title_case_genres(spark: SparkSession, d: str) -> DataFrame:
     raw = F.transform("genres", lambda g: F.concat(F.lit(" "), F.upper(g), F.lit(" ")))
-    return items(spark, d).where("genres[0] <> genres[1]").select("media_id", F.array_join(taxonomy.clean_genres(raw), "|").alias("genres"))
+    return items(spark, d).select("media_id", F.array_join(taxonomy.clean_genres(raw), "|").alias("genres"))
 
 
 _TAGS = "list_transform([p_partkey % 5, p_partkey % 7, p_partkey % 3], lambda k: ['Action', 'Isekai', 'Kids', 'School', 'Drama', 'Hentai', 'Unknown'][k + 1])"

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.storage import cut
+from spindrift.workers import tidy
 
 #: Edges of a part, which one task holds (some 60 MB).
 PART = 1_000_000
@@ -72,15 +73,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Spark can split. Rounds grow with the logarithm of a component's diameter; each ends in a checkpoint."""
     spark = edges.sparkSession
     e = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u <> v")
-    e = cut(e.mapInPandas(_parts, "u long, v long"))
+    e = cut(e.mapInPandas(tidy(_parts), "u long, v long"))
     left = e.count()
     if not left:
         return spark.createDataFrame([], "node long, root long")
     if left <= PART:
-        return _ends(cut(e.coalesce(1).mapInPandas(_parts, "u long, v long")))
+        return _ends(cut(e.coalesce(1).mapInPandas(tidy(_parts), "u long, v long")))
     mark = None
     while True:
-        e = cut(_small_star(_large_star(e)).mapInPandas(_parts, "u long, v long"))
+        e = cut(_small_star(_large_star(e)).mapInPandas(tidy(_parts), "u long, v long"))
         # the sum of 31-bit hashes tells whether the edge set has changed
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").bitwiseAND(2**31 - 1))).first()
         if now == mark:

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import sys
-import types
 from collections.abc import Callable
-from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,14 +15,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
 
-def kept_in_worker(name: str, make: Callable[[], Any]) -> Any:
-    """What make() gives, made once a Python worker and kept for its later tasks: tables that are dear to load.
-
-    Functions travel by value, so their modules' globals are new in each task; a module of the worker's own isn't."""
-    store = sys.modules.setdefault("__sp_kept", types.ModuleType("__sp_kept")).__dict__
-    return store[name] if name in store else store.setdefault(name, make())
-
-
 #: Rows up to which a list of their ids and hashes (24 MB as a hash table) is sent to every executor.
 BROADCAST_IDS = 500_000
 

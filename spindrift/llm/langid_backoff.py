@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.workers import tidy
+
 from .common import cut
 
 #: The least share of a language's words and n-grams, the longest n-gram, and the least count of a known word.
@@ -137,4 +139,4 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
 
     docs = docs.select(key, *keep, letters(F.col(text).cast("string")).alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[:-1])
-    return docs.mapInArrow(run, schema + ", lang_pred string, score double")
+    return docs.mapInArrow(tidy(run), schema + ", lang_pred string, score double")

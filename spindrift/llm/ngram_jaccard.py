@@ -32,8 +32,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bitmap, cut, only, slot_of, text_hash, without
 from spindrift.operators.components import connected_components
+from spindrift.workers import tidy
+
+from .common import bitmap, cut, only, slot_of, text_hash, without
 
 WORDS, PERCENT = 5, 80
 #: Counters of the sketch, and blocks that it is summed in.
@@ -43,6 +45,8 @@ GROUP, QUERIES = 256, 512
 #: Least and most bits of a set's signature, its row of the token-group matrix; between them, four a token or more.
 BITS = (1 << 9, 1 << 18)
 _MEMO = 200_000
+#: Texts that a worker is sent at once.
+LONG_ROWS = 2_000
 _MUL = (np.array([3, 5, 7, 11, 13, 17, 19, 23], np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -70,7 +74,8 @@ class Shingler:
         s ^= s >> np.uint64(29)
         s *= np.uint64(0xBF58476D1CE4E5B9)
         s ^= s >> np.uint64(32)
-        return np.unique(s)
+        s.sort()
+        return s[np.diff(s, prepend=~s[:1]) != 0]
 
 
 def _key(tokens: np.ndarray) -> int:
@@ -253,17 +258,17 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     is never a component's id unless no member has one. Columns besides doc_id and text are not read."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    counted = cut(docs.mapInArrow(_count(words), "doc_id long, n long, key long, sign binary, block int, salt int, cells binary"))
+    counted = cut(docs.mapInArrow(tidy(_count(words)), "doc_id long, n long, key long, sign binary, block int, salt int, cells binary"), LONG_ROWS)
     meta = counted.where("block is null").select("doc_id", "n", "key")
     frequent = spark.sparkContext.broadcast(np.packbits(_frequent(counted)).tobytes())
 
     # the matrix's tokens: those that two classes, of sizes that can link, have among their first
-    rows = docs.select("text").mapInArrow(_prefixes(words, percent, frequent), "token long, key long, n long")
+    rows = docs.select("text").mapInArrow(tidy(_prefixes(words, percent, frequent)), "token long, key long, n long")
     rows = rows.repartition("token").dropDuplicates(["token", "key"])
     # of a token's classes by size, each is kept if the next smaller or larger one is near enough in size to link
     sized = Window.partitionBy("token").orderBy("n")
     rows = rows.withColumns({"less": F.lag("n").over(sized), "more": F.lead("n").over(sized)})
-    rows = cut(rows.where(f"100 * less >= {percent} * n or 100 * n >= {percent} * more").select("token", "key", "n"))
+    rows = cut(rows.where(f"100 * less >= {percent} * n or 100 * n >= {percent} * more").select("token", "key", "n"), LONG_ROWS)
     degree = rows.groupBy("key").agg(F.count("*").alias("degree"))
     centre = F.max_by(F.struct("degree", "key", "n"), F.struct("degree", "key"))
     rows = rows.join(degree, "key")
@@ -282,9 +287,9 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
         """The pairs (a, b) that link, by their whole sets."""
         ends = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
         bits = spark.sparkContext.broadcast(bitmap(firsts.join(ends, "key", "left_semi"), "first"))
-        sets = docs.select("doc_id", "text", slot_of("doc_id").alias("slot")).mapInArrow(_sets(words, bits), "doc_id long, key long, tokens array<long>")
+        sets = docs.select("doc_id", "text", slot_of("doc_id").alias("slot")).mapInArrow(tidy(_sets(words, bits)), "doc_id long, key long, tokens array<long>")
         # a hash that only shares its bit with a wanted one adds a set that no pair asks for, or a second one of a class
-        sets = cut(sets.select("key", "tokens").repartition("key"))
+        sets = cut(sets.select("key", "tokens").repartition("key"), LONG_ROWS)
         mine, others = sets.withColumnsRenamed({"key": "a"}), sets.select(F.col("key").alias("b"), F.col("tokens").alias("others"))
         common = F.size(F.array_intersect("tokens", "others"))
         near = 100 * common >= percent * (F.size("tokens") + F.size("others") - common)
@@ -292,7 +297,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
 
     other = signs.select(F.col("key").alias("b"), F.col("sign").alias("other"))
     stars = stars.select(F.col("key").alias("a"), F.col("head").alias("b"), "n", "m").join(signs.withColumnRenamed("key", "a"), "a").join(other, "b")
-    links = cut(verified(cut(stars.mapInPandas(_may_link(percent), "a long, b long"))))
+    links = cut(verified(cut(stars.mapInPandas(tidy(_may_link(percent)), "a long, b long"))))
     roots = cut(connected_components(links))
 
     # groups, and the queries that the first links leave open

@@ -16,12 +16,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, kept_in_worker
+from spindrift.workers import kept_in_worker, tidy
+
+from .common import cut
 
 #: Tokens of a sequence, and pieces of a group (a group is one task's unit of work).
 LENGTH, GROUP = 4096, 20_000
+#: Texts that a worker is sent at once.
+LONG_ROWS = 2_500
 #: Bytes of texts that are encoded together, words that go to the tokenizer as one text, and words that a worker keeps.
-SLICE, TOGETHER, KEPT = 8_000_000, 1_000, 250_000
+SLICE, TOGETHER, KEPT = 8_000_000, 1_000, 600_000
 #: The tokenizer's pieces, and characters whose kind doesn't depend on a library's version of Unicode.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|\pL+|\pN|[^\s\pL\pN]+"
 STABLE = "^[!-~\u00c0-\u0527\u3041-\u30ff\u4e00-\u9fd5\uac00-\ud7a3]*$"
@@ -31,7 +35,7 @@ class Words:
     """Token ids of texts by a `tokenizers` file whose pieces are PIECE, and so never span white space.
 
     Each distinct word of a slice of texts is encoded once, without the punctuation at its end, which would multiply
-    the words; up to about KEPT words, and what one slice adds, are kept for the next slices."""
+    the words; up to about KEPT words, and what one slice adds, are kept for the task's next slices."""
 
     def __init__(self, path: str) -> None:
         # one thread: the library's own threads cost more than they gain on short words, and each keeps memory
@@ -139,8 +143,9 @@ def pieces(docs: DataFrame, path: str, end_id: int, length: int = LENGTH, key: s
                 take, *rest = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take)), *(pa.array(c, pa.int64()) for c in rest)], names=[key, "start", "length", "ids_crc32", "doc_tokens"])
                 at += some
+        words.clear()
 
-    return docs.select(F.col(key), F.col(text).cast("string")).mapInArrow(run, f"{key} {kind}, start long, length long, ids_crc32 long, doc_tokens long")
+    return docs.select(F.col(key), F.col(text).cast("string")).mapInArrow(tidy(run), f"{key} {kind}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -176,7 +181,7 @@ def pack(docs: DataFrame, path: str, end_id: int, length: int = LENGTH, group: i
     dealt at random into groups of about `group`, whose number grows with the input, and each group is packed by
     itself; sequence ids are the group's number times 2**32 plus the bin's. Repeated rows are packed each. Other
     columns of docs are not read."""
-    cutting = cut(pieces(docs, path, end_id, length, key, text))
+    cutting = cut(pieces(docs, path, end_id, length, key, text), LONG_ROWS)
     groups = max(1, math.ceil(cutting.count() / group))
     # the row's number in the checkpoint is fixed, so a lost task deals its rows to the same groups again
     dealt = cutting.withColumn("lot", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(4096)), F.lit(groups)))

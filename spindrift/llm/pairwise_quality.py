@@ -14,12 +14,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.workers import tidy
+
 from .common import cut, text_hash, without
 
 THRESHOLD = 0.3
 #: Labelled rows that weights (not the cut) are fitted on at most, those with the lowest hashes, and preference pairs.
 SAMPLE, PAIRS = 20_000, 200_000
 RIDGE = 1.0
+#: Texts that a worker is sent at once.
+LONG_ROWS = 2_000
 #: Slots of a histogram of scores.
 SLOTS = 4096
 
@@ -63,7 +67,7 @@ def featurize(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([features(t.as_py()) for t in batch.column(1)], pa.list_(pa.float64()))], names=[key, "features"])
 
-    return docs.select(F.col(key), F.col(text).cast("string")).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, features array<double>")
+    return docs.select(F.col(key), F.col(text).cast("string")).mapInArrow(tidy(run), f"{key} {docs.schema[key].dataType.simpleString()}, features array<double>")
 
 
 class Ranking:
@@ -174,7 +178,7 @@ def classify(docs: DataFrame, labels: DataFrame, learn: Column | None = None) ->
 def _classified(docs: DataFrame, labels: DataFrame, learn: Column | None) -> DataFrame:
     """classify() with each row's text_hash() beside its doc_id."""
     keyed = docs.select(F.struct("doc_id", text_hash().alias("hash")).alias("row"), "text")
-    vectors = cut(featurize(keyed, "row").select("row.*", "features"))
+    vectors = cut(featurize(keyed, "row").select("row.*", "features"), LONG_ROWS)
     marks = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     if learn is not None:
         marks = marks.where(learn)

@@ -1,11 +1,12 @@
 """Fuzzy line deduplication: MinHash over character shingles, banding, exact Jaccard, distributed union-find.
 
-Lines are what \\n splits; a line without a word (blank) takes no part. Equal lines are one class by a 64-bit hash.
-A class's set holds its shingles of SHINGLE code points (the whole line, if shorter). BANDS bands of ROWS minima
-each make candidates: in a band's bucket of up to SMALL classes all pairs are. In a larger one every line is first
-held against the bucket's least and greatest class; if that leaves more than one component there, the rest of the
-bucket's pairs are counted in blocks of about BLOCK lines, so any two lines that share a band are compared. At a similarity of 0.8 two lines share no band once in 540 times, at 0.9
-once in 10**5. Candidates are verified by whole sets; of each component the line that comes first, by doc_id and place, stays."""
+Lines are what \\n splits; a line without a word (blank: of the six separators of WORD alone) takes no part. Equal lines
+are one class by a 64-bit hash. A class's set holds its shingles of SHINGLE code points (the whole line, if shorter).
+BANDS bands of ROWS minima each make candidates. In a band's bucket every line is first held against the least class and
+the one before it in order; where that leaves a bucket in several components, all lines but those of the largest are then held
+against all of the bucket, in blocks of about BLOCK lines. So any two lines that share a band are compared, or joined
+already. At a similarity of 0.8 two lines share no band once in 540 times, at 0.9 once in 10**5. Candidates are verified
+by whole sets; of each component the line that comes first, by doc_id and place, stays."""
 
 from __future__ import annotations
 
@@ -15,15 +16,21 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.operators.components import connected_components
+from spindrift.workers import tidy
+
 from .common import BROADCAST_IDS, cut
-from .components import connected_components
 
 SHINGLE, PERCENT, BANDS, ROWS = 7, 80, 12, 4
-#: Classes of a bucket whose pairs are all listed, and lines of a block about.
-SMALL, BLOCK = 64, 512
+#: Texts that a worker is sent at once.
+LONG_ROWS = 1_000
+#: Lines of a block, about, and what a line may be made of without having a word.
+BLOCK, BLANK = 512, " \t\n\x0b\x0c\r"
+#: Characters of a block's lines whose sets are kept (some 100 bytes each).
+SETS = 400_000
 _ODD = np.random.default_rng(11).integers(1 << 20, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _ADD = np.random.default_rng(12).integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
 _POWER = np.array([pow(0x01000193, k, 1 << 32) for k in range(64)], np.uint64).astype(np.uint32)
@@ -68,7 +75,7 @@ def _line_hash(line: str) -> int:
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
     for batch in batches:
-        texts, docs, no, hashes = batch.column(2).to_pylist(), [], [], []
+        docs, no, hashes = [], [], []
         new: list[tuple[int, str]] = []
 
         def flush() -> pa.RecordBatch:
@@ -84,13 +91,13 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
         size = 0
-        for k, text in enumerate(texts):
-            for i, line in enumerate((text or "").split("\n")):
-                if not line or line.isspace():
+        for k, text in enumerate(batch.column(2)):
+            for i, line in enumerate((text.as_py() or "").split("\n")):
+                if not line.strip(BLANK):
                     continue
                 h = _line_hash(line)
                 if h not in seen:
-                    if len(seen) > 500_000:
+                    if len(seen) > 200_000:
                         seen.clear()
                     seen.add(h)
                     new.append((len(hashes), line))
@@ -98,25 +105,53 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 no.append(i)
                 hashes.append(h)
                 size += len(line)
-            if size > 8_000_000:
+            if size > 4_000_000:
                 yield flush()
                 docs, no, hashes, new, size = [], [], [], [], 0
         if hashes:
             yield flush()
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (band, line) in order to (band, line, low, before) of the bands of several lines, each line once; low is the
+    band's least line, before the one before (a band's first line has itself).
+
+    Nothing is held between batches but a band's least line, its last, and whether the first has gone out."""
+    at, low, last, waits = None, 0, 0, False
+    for batch in batches:
+        if not len(batch):
+            continue
+        band, line = (np.asarray(batch.column(k)) for k in (0, 1))
+        again = np.concatenate([[band[0] == at and line[0] == last], (band[1:] == band[:-1]) & (line[1:] == line[:-1])])
+        band, line = band[~again], line[~again]
+        if not len(band):
+            continue
+        first = np.concatenate([[band[0] != at], band[1:] != band[:-1]])
+        heads, group = np.flatnonzero(first), np.cumsum(first) - 1
+        lows = np.where(group >= 0, line[heads[np.maximum(group, 0)]] if len(heads) else low, low)
+        before = np.where(first, line, np.concatenate([[last], line[:-1]]))
+        goes = ~first
+        goes[:-1] |= first[:-1] & ~first[1:]
+        out = [x[goes] for x in (band, line, lows, before)]
+        if waits and not first[0]:
+            out = [np.concatenate([[x], y]) for x, y in zip((at, low, low, low), out, strict=True)]
+        waits = bool(first[-1])  # else the band's first line has gone out, with this batch or before
+        at, low, last = band[-1], lows[-1], line[-1]
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["band", "line", "low", "before"])
+
+
 def _texts(wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = wanted.value, set()
         for batch in batches:
             found: list[tuple[int, str]] = []
-            for text in batch.column(0).to_pylist():
-                for line in (text or "").split("\n"):
-                    if line and not line.isspace():
+            for text in batch.column(0):
+                for line in (text.as_py() or "").split("\n"):
+                    if line.strip(BLANK):
                         h = _line_hash(line)
                         slot = (h & (2**64 - 1)) >> 41  # the bit of a line's own hash
                         if bits[slot >> 3] >> (slot & 7) & 1 and h not in seen:
-                            if len(seen) > 500_000:
+                            if len(seen) > 200_000:
                                 seen.clear()
                             seen.add(h)
                             found.append((h, line))
@@ -130,32 +165,62 @@ def line_shingles(line: str, k: int = SHINGLE) -> set[str]:
     return {line[i : i + k] for i in range(len(line) - k + 1)} if len(line) >= k else {line}
 
 
+def _similar(a: set[str], b: set[str]) -> bool:
+    common = len(a & b)
+    return 100 * common >= PERCENT * (len(a) + len(b) - common)
+
+
+def _off(both):
+    """How far a count of common hashes may be off for two sets of so many shingles together, as unlike ones may share a hash."""
+    return 2 + both * both / (1 << 28)
+
+
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs (a, b, text, other) that are similar, by whole sets. Counts of common hashes tell first which can't be."""
     for batch in batches:
-        near = []
+        texts = list({*batch["text"], *batch["other"]})
+        place = dict(zip(texts, range(len(texts)), strict=True))
+        h, starts = shingle_hashes(texts)
+        owner = np.repeat(np.arange(len(texts), dtype=np.uint64), np.diff(np.append(starts, len(h))))
+        keys = owner << np.uint64(32) | h
+        keys.sort()
+        keys = keys[np.diff(keys, prepend=~keys[:1]) != 0]
+        ends = np.searchsorted(keys, np.arange(len(texts) + 1, dtype=np.uint64) << np.uint64(32))
+        hashes, near, last, held = keys.astype(np.uint32), [], None, set()
         for x, y in zip(batch["text"], batch["other"], strict=True):
-            a, b = line_shingles(x), line_shingles(y)
-            common = len(a & b)
-            near.append(100 * common >= PERCENT * (len(a) + len(b) - common))
+            i, j = place[x], place[y]
+            a, b = hashes[ends[i] : ends[i + 1]], hashes[ends[j] : ends[j + 1]]
+            both = len(a) + len(b)
+            common = np.count_nonzero(b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a)
+            slack = _off(both)
+            if 100 * (common + slack) < PERCENT * (both - common - slack):
+                near.append(False)
+                continue
+            if y != last:  # pairs mostly come by their second line
+                last, held = y, line_shingles(y)
+            near.append(_similar(line_shingles(x), held))
         yield batch.loc[near, ["a", "b"]]
 
 
 def _apart(block: pd.DataFrame) -> pd.DataFrame:
-    """Similar lines (a, b) of a pair of blocks, besides those that root and the pairs before them already join.
+    """Similar lines (a, b) of a part of a bucket, besides those that roots and the pairs before them already join.
 
-    Rows with `left` are held against rows with `right`. Common shingles are counted by hash for all pairs at once,
-    over the shingles of two lines or more; what comes near the threshold is verified by whole sets."""
+    Rows with `odd` are held against those without. Common shingles are counted by hash for all pairs at once, over the
+    shingles of odd lines that another has too; what comes near the threshold is verified by whole sets."""
     texts = block["text"].tolist()
     h, starts = shingle_hashes(texts)
+    odd = block["odd"].to_numpy()
     owner = np.repeat(np.arange(len(texts)), np.diff(np.append(starts, len(h))))
-    keys = np.unique(h.astype(np.uint64) << np.uint64(32) | owner.astype(np.uint64))
+    keys = h.astype(np.uint64) << np.uint64(32) | owner.astype(np.uint64)
+    keys.sort()
+    keys = keys[np.diff(keys, prepend=~keys[:1]) != 0]
     owner, names = (keys & np.uint64(0xFFFFFFFF)).astype(np.int64), keys >> np.uint64(32)
     sizes = np.bincount(owner, minlength=len(texts))
-    _, column, times = np.unique(names, return_inverse=True, return_counts=True)
-    shared = times > 1
+    column = np.cumsum(np.diff(names, prepend=names[:1]) != 0)  # keys are in order of names
+    shared = (np.bincount(column, odd[owner]) > 0) & (np.bincount(column) > 1)
     place = np.cumsum(shared) - 1
     owner, column = owner[shared[column]], place[column[shared[column]]]
-    left, right = np.flatnonzero(block["left"]), np.flatnonzero(block["right"])
+    left, right = np.flatnonzero(odd), np.flatnonzero(~odd)
     common = np.zeros((len(left), len(right)), np.float32)
     edges = np.searchsorted(column, np.arange(0, int(shared.sum()) + 4096, 4096))
     for k, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
@@ -163,8 +228,9 @@ def _apart(block: pd.DataFrame) -> pd.DataFrame:
         has[owner[x:y], column[x:y] - 4096 * k] = 1
         common += has[left] @ has[right].T
     root = block["root"].to_numpy()
-    union = sizes[left][:, None] + sizes[right][None, :] - common
-    near = (100 * common >= (PERCENT - 1) * union) & (root[left][:, None] != root[right][None, :])
+    both = sizes[left][:, None] + sizes[right][None, :]
+    slack = _off(both.astype(np.float64))
+    near = (100 * (common + slack) >= PERCENT * (both - common - slack)) & (root[left][:, None] != root[right][None, :])
     parent: dict[int, int] = {}
 
     def find(r: int) -> int:
@@ -172,31 +238,52 @@ def _apart(block: pd.DataFrame) -> pd.DataFrame:
             r = up
         return r
 
-    out, line, roots, sets = [], block["line"].tolist(), root.tolist(), {}
+    held: dict[int, set[str]] = {}
+    room = SETS
+
+    def shingles(k: int) -> set[str]:
+        """A line's set, kept while there is room."""
+        nonlocal room
+        if k in held:
+            return held[k]
+        if len(texts[k]) <= room:
+            room -= len(texts[k])
+            return held.setdefault(k, line_shingles(texts[k]))
+        return line_shingles(texts[k])
+
+    out, line, roots = [], block["line"].tolist(), root.tolist()
     for i, j in zip(*np.nonzero(near), strict=True):
         i, j = int(left[i]), int(right[j])
         ri, rj = find(roots[i]), find(roots[j])
-        if ri != rj:
-            a, b = (sets.setdefault(k, line_shingles(texts[k])) for k in (i, j))
-            both = len(a & b)
-            if 100 * both >= PERCENT * (len(a) + len(b) - both):
-                parent[max(ri, rj)] = min(ri, rj)
-                out.append((line[i], line[j]))
+        if ri != rj and _similar(shingles(i), shingles(j)):
+            parent[max(ri, rj)] = min(ri, rj)
+            out.append((line[i], line[j]))
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def _rest(large: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame | None:
-    """Similar lines (a, b) of large buckets (line, band, n) that the roots so far leave apart; None if no bucket is left."""
-    tagged = large.join(roots, large["line"] == roots["node"], "left").select("line", "band", "n", F.coalesce("root", "line").alias("root"))
-    split = tagged.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"))
-    left = cut(tagged.join(split.where("x <> y").select("band"), "band", "left_semi"))
+def _rest(marks: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """Similar lines (a, b) of buckets (band, line) that the roots so far leave in several components; None if there is no such bucket.
+
+    Lines of a bucket's largest component are joined; the others, odd ones, are held against all of the bucket's lines."""
+    tagged = cut(marks.join(roots, marks["line"] == roots["node"], "left").select("line", "band", F.coalesce("root", "line").alias("root")))
+    groups = tagged.groupBy("band", "root").agg(F.count("*").alias("c"))
+    split = groups.groupBy("band").agg(F.max(F.struct("c", "root")).alias("main"), F.sum("c").alias("n")).where("main.c < n and n > 3")  # of up to three lines, all have met
+    split = split.select("band", F.col("main.root").alias("main"), "n", (F.col("n") - F.col("main.c")).alias("odds"))
+    left = cut(tagged.join(split, "band"))
     if left.isEmpty():
         return None
-    k = F.ceil(F.col("n") / BLOCK)
-    mine = left.withColumns({"k": k, "mine": F.pmod(F.xxhash64("line"), k)}).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    mine = mine.select("line", "root", "band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine")
-    mine = mine.withColumns({"left": F.col("mine") == F.col("i"), "right": F.col("mine") == F.col("j")})
-    return mine.join(texts, "line").groupBy("band", "i", "j").applyInPandas(_apart, "a long, b long")
+    # lines often meet in many bands: buckets of one largest component are compared together, where that is less work
+    lines = left.select("main", "line", "root").distinct().groupBy("main").agg(F.count("*").alias("all"), F.count_if(F.col("root") != F.col("main")).alias("all_odds"))
+    work = split.groupBy("main").agg(F.sum(F.col("n") * F.col("odds")).alias("work"))
+    joint = lines.join(work, "main").where("all * all_odds <= work").select("main", "all", "all_odds")
+    left = left.join(joint, "main", "left").withColumn("together", F.col("all").isNotNull())
+    parts = {"blocks": F.ceil(F.coalesce("all", "n") / BLOCK), "odds": F.ceil(F.coalesce("all_odds", "odds") / BLOCK), "key": F.when(F.col("together"), F.col("main")).otherwise(F.col("band"))}
+    left = left.withColumns(parts).select("line", "root", "main", "together", "key", "blocks", "odds").distinct()
+    zero = F.lit(0).cast("long")
+    names = ["line", "root", "together", "key"]
+    whole = left.select(*names, F.pmod(F.xxhash64("line"), "blocks").alias("i"), F.explode(F.sequence(zero, F.col("odds") - 1)).alias("j"), F.lit(False).alias("odd"))
+    odd = left.where("root <> main").select(*names, F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("i"), F.pmod(F.xxhash64("line", F.lit(1)), "odds").alias("j"), F.lit(True).alias("odd"))
+    return whole.unionByName(odd).join(texts, "line").groupBy("together", "key", "i", "j").applyInPandas(_apart, "a long, b long")
 
 
 def dropped_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -205,32 +292,25 @@ def dropped_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     hash is xxhash64 of the text, which tells rows of one doc_id apart; gone has places among the text's lines, from 0."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.xxhash64("text").alias("hash"), F.col("text").cast("string").alias("text"))
-    lines = cut(rows.mapInArrow(_occurrences, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, hash long, no int, line long, bands array<long>"))
-    marks = lines.where("bands is not null").select("line", F.explode("bands").alias("band")).repartition("band").dropDuplicates(["band", "line"])
-    bucket = Window.partitionBy("band")
-    marks = marks.withColumns({"low": F.min("line").over(bucket), "high": F.max("line").over(bucket), "n": F.count("*").over(bucket)})
-    marks = cut(marks.where("low <> high"))
-    large = marks.where(F.col("n") > SMALL)
-    star = large.select(F.col("line").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    small = marks.where(F.col("n") <= SMALL).groupBy("band").agg(F.collect_list("line").alias("all")).select("all", F.explode("all").alias("a"))
-    pairs = small.select("a", F.explode("all").alias("b")).where("a < b").unionByName(star)
-    pairs = cut(pairs.distinct())
-    ends = pairs.select(F.col("a").alias("line")).unionByName(pairs.select(F.col("b").alias("line")))
-    wanted = spark.sparkContext.broadcast(_own_bitmap(ends))
-    texts = cut(docs.select(F.col("text").cast("string")).mapInArrow(_texts(wanted), "line long, text string").dropDuplicates(["line"]))
+    lines = cut(rows.mapInArrow(tidy(_occurrences), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, hash long, no int, line long, bands array<long>"), LONG_ROWS)
+    marks = lines.where("bands is not null").select(F.explode("bands").alias("band"), "line").repartition("band").sortWithinPartitions("band", "line")
+    marks = cut(marks.mapInArrow(tidy(_shared), "band long, line long, low long, before long"))
+    pairs = cut(marks.where("low <> line").select(F.explode(F.array_distinct(F.array("low", "before"))).alias("b"), F.col("line").alias("a")).distinct())
+    wanted = spark.sparkContext.broadcast(_own_bitmap(marks.select("line")))
+    texts = cut(docs.select(F.col("text").cast("string")).mapInArrow(tidy(_texts(wanted)), "line long, text string").dropDuplicates(["line"]), LONG_ROWS)
     held = pairs.join(texts.withColumnRenamed("line", "a"), "a").join(texts.select(F.col("line").alias("b"), F.col("text").alias("other")), "b")
-    near = cut(held.mapInPandas(_verify, "a long, b long"))
+    near = cut(held.mapInPandas(tidy(_verify), "a long, b long"), LONG_ROWS)
     roots = cut(connected_components(near))
-    if not large.isEmpty() and (rest := _rest(large, roots, texts)) is not None:
+    if (rest := _rest(marks.select("line", "band"), roots, texts)) is not None:
         roots = cut(connected_components(near.unionByName(rest)))
 
-    first = F.min(F.struct("doc_id", "hash", "no"))
-    classes = cut(lines.groupBy("line").agg(first.alias("first"), F.count("*").alias("times")))
-    joined = classes.join(roots, classes["line"] == roots["node"])
-    heads = joined.groupBy("root").agg(F.min("first").alias("head"))
-    fuzzy = joined.join(heads, "root").select("line", "head")
-    exact = classes.where("times > 1").join(fuzzy.select("line"), "line", "left_anti").select("line", F.col("first").alias("head"))
-    gone = lines.join(fuzzy.unionByName(exact), "line").where(~F.struct("doc_id", "hash", "no").eqNullSafe(F.col("head")))
+    # the lines that occur again, exactly or nearly; all others stay
+    again = lines.groupBy("line").agg(F.count("*").alias("times")).where("times > 1").join(roots, F.col("line") == roots["node"], "left_anti")
+    wanted = roots.select(F.col("node").alias("line"), "root").unionByName(again.select("line", F.col("line").alias("root")))
+    place = F.struct("doc_id", "hash", "no")
+    members = cut(lines.select("doc_id", "hash", "no", "line").join(wanted, "line").select("root", place.alias("place")))
+    heads = members.groupBy("root").agg(F.min("place").alias("head"))
+    gone = members.join(heads, "root").where(~F.col("place").eqNullSafe(F.col("head"))).select("place.*")
     return gone.groupBy("doc_id", "hash").agg(F.collect_set("no").alias("gone")), lines
 
 

@@ -157,6 +157,23 @@ def test_line_recall_at_the_threshold():
     assert tried > 100 and met >= 0.98 * tried
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 1000])
+def test_shared_bands_equal_brute_force(size):
+    """Bands that end with a batch, go on in the next, and come in many rows of one line."""
+    import pyarrow as pa
+
+    rng = random.Random(size)
+    rows = sorted((rng.randint(0, 30), rng.randint(0, 6)) for _ in range(120))
+    held = {}
+    for band, line in rows:
+        held.setdefault(band, set()).add(line)
+    want = sorted((b, x, min(xs), max((y for y in xs if y < x), default=x)) for b, xs in held.items() if len(xs) > 1 for x in xs)
+    batches = [pa.RecordBatch.from_pydict({"band": [b for b, _ in rows[k : k + size]], "line": [x for _, x in rows[k : k + size]]}) for k in range(0, len(rows), size)]
+    got = [tuple(r.values()) for b in line_dedup._shared(iter(batches)) for r in b.to_pylist()]
+    assert got == want
+    assert list(line_dedup._shared(iter([]))) == []
+
+
 @pytest.mark.parametrize("block", [512, 16])
 def test_all_similar_lines_of_a_bucket_meet(spark, monkeypatch, block):
     """Lines with one long shared passage: those that share a band and are similar become one, whatever else is there."""

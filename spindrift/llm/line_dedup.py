@@ -283,7 +283,15 @@ def _rest(marks: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame | N
     names = ["line", "root", "together", "key"]
     whole = left.select(*names, F.pmod(F.xxhash64("line"), "blocks").alias("i"), F.explode(F.sequence(zero, F.col("odds") - 1)).alias("j"), F.lit(False).alias("odd"))
     odd = left.where("root <> main").select(*names, F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("i"), F.pmod(F.xxhash64("line", F.lit(1)), "odds").alias("j"), F.lit(True).alias("odd"))
-    return whole.unionByName(odd).join(texts, "line").groupBy("together", "key", "i", "j").applyInPandas(_apart, "a long, b long")
+    # most blocks are small, so several go to one call
+    by = ["together", "key", "i", "j"]
+    dealt = whole.unionByName(odd).withColumn("deal", F.pmod(F.xxhash64(*by), F.lit(left.count() // BLOCK + 1)))
+
+    def several(blocks: pd.DataFrame) -> pd.DataFrame:
+        found = [_apart(block) for _, block in blocks.groupby(by, sort=False)]
+        return pd.concat(found)
+
+    return dealt.join(texts, "line").groupBy("deal").applyInPandas(several, "a long, b long")
 
 
 def dropped_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

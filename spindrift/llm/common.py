@@ -79,3 +79,26 @@ def bitmap(df: DataFrame, column: str, bits: int = 23) -> bytes:
 def slot_of(column: str, bits: int = 23) -> Column:
     """The bit that bitmap() sets for the column's value."""
     return F.shiftrightunsigned(F.xxhash64(column), 64 - bits)
+
+
+#: A key is heavy with more than one in so many of the rows; there are fewer of these than this, whatever the input.
+HEAVY = 1_000
+
+
+def heavy_keys(df: DataFrame, key: str) -> DataFrame:
+    """The keys with more than one in HEAVY of df's rows each: fewer than HEAVY rows, so they can be broadcast."""
+    least = df.count() / HEAVY
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > least).select(key)
+
+
+def dealt(left: DataFrame, right: DataFrame, heavy: DataFrame, key: str, salts: int, *by: str) -> tuple[DataFrame, DataFrame]:
+    """left and right with a column __sp_salt to join on beside the key: a heavy key's rows of left are dealt to `salts`
+    by the columns `by`, its rows of right are repeated for each; other keys have the salt 0. A null key has it too."""
+    marked = heavy.select(F.col(key).alias("__sp_heavy"), F.lit(True).alias("__sp_is"))
+
+    def known(df: DataFrame) -> DataFrame:
+        return df.join(F.broadcast(marked), F.col(key) == F.col("__sp_heavy"), "left")
+
+    one = F.when(F.col("__sp_is"), F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int")).otherwise(0)
+    all_ = F.explode(F.when(F.col("__sp_is"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
+    return known(left).withColumn("__sp_salt", one).drop("__sp_heavy", "__sp_is"), known(right).withColumn("__sp_salt", all_).drop("__sp_heavy", "__sp_is")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import adaptive_rules, merkle, secrets_index
+from . import adaptive_rules, collocations, host_reputation, interval_overlap, merkle, secrets_index
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
@@ -102,4 +102,92 @@ def rules() -> str:
     from m left join b on b.lang = m.lang and b.source = m.source"""
 
 
-ORACLE_SQL = {"op5_secrets": secrets(), "op7_merkle": fingerprints(), "op8_adaptive_rules": rules()}
+def phrases() -> str:
+    c = collocations
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    grams = " union all ".join(f"select lang, list_transform(range(1, len(w) - {k - 2}), lambda i: w[i:i + {k - 1}]) as g from p where len(w) >= {k}" for k in range(1, c.LONGEST + 1))
+    return f"""
+    with p as (select lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda w: w <> '') as w
+        from (select coalesce(lang, 'und') as lang, unnest(string_split_regex({lower}, '[.,;:!?\\x0A-\\x0D]')) as piece from documents)),
+    f as (select lang, g, count(*) as f from (select lang, unnest(g) as g from ({grams})) group by all),
+    total as (select lang, sum(f) as n from f where len(g) = 1 group by lang),
+    cand as (select lang, g, f as a from f where len(g) > 1 and f >= {c.LEAST}),
+    longer as (select lang, g[i:j] as g, max(a) as most from (select lang, g, a, unnest(range(1, len(g))) as i from cand), unnest(range(i + 1, i + 5)) as u(j)
+        where j <= len(g) and j - i + 1 < len(g) group by all),
+    kept as (select c.lang, c.g, c.a from cand c left join longer x on x.lang = c.lang and x.g = c.g where x.most is null or 100 * x.most < {c.PERCENT} * c.a),
+    cuts as (select k.lang, k.g, k.a, i, l.f as l, r.f as r, n, (1000::hugeint * k.a * n::hugeint) // (l.f::hugeint * r.f) as score
+        from (select *, unnest(range(1, len(g))) as i from kept) k join f l on l.lang = k.lang and l.g = k.g[1:i] join f r on r.lang = k.lang and r.g = k.g[i + 1:] join total on total.lang = k.lang),
+    best as (select *, row_number() over (partition by lang, g order by score, i) as no from cuts),
+    ranked as (select *, array_to_string(g, ' ') as phrase, row_number() over (partition by lang order by score desc, a desc, array_to_string(g, ' ')) as rank from best where no = 1)
+    select lang, rank::bigint as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score from ranked where rank <= {c.TOP}"""
+
+
+def intervals() -> str:
+    gap, slot = interval_overlap.GAP, interval_overlap.SLOT
+    return f"""
+    with c as (select client_id, epoch_us(ts) as m, coalesce(kind = 'error', false) as error from clicks where client_id is not null and ts is not null),
+    g as (select *, case when m - lag(m) over w <= {gap} then 0 else 1 end as begins from c window w as (partition by client_id order by m)),
+    h as (select *, sum(begins) over (partition by client_id order by m range unbounded preceding) as no from g),
+    i as (select client_id, no, min(m) as first, max(m) as last from h group by all),
+    session as (select i.client_id, i.first, i.first // {slot} as s2, case when exists (select 1 from h where h.client_id = i.client_id and h.no = i.no and h.m = i.last and h.error) then 9e18::bigint else i.last // {slot} end as e2 from i),
+    ends as (select sale_id, max(shipped_at) as shipped from sale_lines where shipped_at is not null group by sale_id),
+    sale as (select s.sale_id, s.client_id, epoch_us(sold_at) // {slot} as s1, case when coalesce(status = 'open', false) then 9e18::bigint else epoch_us(greatest(sold_at, coalesce(shipped, sold_at))) // {slot} end as e1
+        from sales s left join ends on ends.sale_id = s.sale_id where client_id is not null and sold_at is not null),
+    pairs as (select sale_id, s1, e1, s2, e2, first from sale join session on sale.client_id = session.client_id and s1 <= e2 and s2 <= e1)
+    select sale_id,
+        case when s1 < s2 then case when e1 < e2 then 'overlaps' when e1 = e2 then 'finished_by' else 'contains' end
+             when s1 = s2 then case when e1 < e2 then 'starts' when e1 = e2 then 'equals' else 'started_by' end
+             else case when e1 < e2 then 'during' when e1 = e2 then 'finishes' else 'overlapped_by' end end as relation,
+        count(*) as n_pairs, sum(case when e1 = 9e18::bigint and e2 = e1 then null else least(e1, e2) - greatest(s1, s2) + 1 end)::bigint as overlap_slots,
+        sum({_crc32("first::varchar")})::bigint as sessions_crc
+    from pairs group by 1, 2"""
+
+
+def _crc32(text: str) -> str:
+    """crc32 of ASCII text, bit by bit; the polynomial is that of the usual checksum."""
+    step = "case when d & 1 = 1 then xor(d >> 1, 3988292384::bigint) else d >> 1 end"
+    byte = f"list_reduce(range(0, 8), lambda d, x: {step}, xor(c, b))"
+    return f"xor(list_reduce(list_transform(string_split({text}, ''), lambda x: ascii(x)::bigint), lambda c, b: {byte}, 4294967295::bigint), 4294967295::bigint)"
+
+
+def urls() -> str:
+    h = host_reputation
+    ordered = sorted(h.RULES, key=lambda r: -len(r.host + r.path))
+    fits = [f"when (host = '{r.host}' or ends_with(host, '.{r.host}')) and starts_with(path, '{r.path}') then" for r in ordered]
+    rule = " ".join(f"{x} '{r.host}{r.path}'" for x, r in zip(fits, ordered, strict=True))
+    verdict = " ".join(f"{x} '{r.verdict}'" for x, r in zip(fits, ordered, strict=True))
+    two = f"list_contains([{', '.join(repr(x) for x in h.SUFFIXES)}], array_to_string(l[-2:], '.'))"
+
+    def level(rows: str, above: str, out: str) -> str:
+        spread = f"n * {above} * (1 - {above})"
+        r = f"(select case when sum({spread} * (n - 1)) > 0 then sum((good - n * {above}) ** 2 - {spread}) / sum({spread} * (n - 1)) else 0 end from {rows})"
+        weight = f"(select case when r > 0 then least({h.WEIGHTS[1]}, greatest({h.WEIGHTS[0]}, 1 / r - 1)) else {h.WEIGHTS[1]} end from (select {r} as r))"
+        return f"select *, (good + w * {above}) / (n + w) as {out} from (select *, {weight}::double as w from {rows})"
+
+    return f"""
+    with a as (select page_id, url, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) end as rest from pages),
+    p as (select page_id, url, translate(coalesce(regexp_extract(rest, '^([^/?#]*)', 1), ''), '{h.UPPER}', '{h.LOWER}') as host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path from a),
+    seen as (select host, case when coalesce(quality, 1) = 1 and coalesce(toxic, 0) = 0 then 1 else 0 end as good
+        from p join labels on doc_id = try_cast(regexp_extract(path, '/([0-9]{{1,18}})(?:[.][a-z]+)?/?$', 1) as bigint) where quality is not null or toxic is not null),
+    host as (select host, sum(n) as n, sum(good) as good from (select host, 0 as n, 0 as good from p union all select host, 1, good from seen) group by host),
+    named as (select host, n, good, string_split(host, '.') as l from host),
+    parts as (select host, n, good, case when {two} then array_to_string(l[-2:], '.') else l[-1] end as suffix, case when {two} then array_to_string(l[-3:], '.') else array_to_string(l[-2:], '.') end as domain from named),
+    s0 as (select suffix, sum(n) as n, sum(good) as good, (select (sum(good) + 1.0::double) / (sum(n) + 2) from parts) as above from parts group by suffix),
+    s1 as ({level("s0", "above", "by_suffix")}),
+    d0 as (select q.*, by_suffix from (select suffix, domain, sum(n) as n, sum(good) as good from parts group by all) q join s1 on s1.suffix = q.suffix),
+    d1 as ({level("d0", "by_suffix", "by_domain")}),
+    h0 as (select parts.*, by_domain from parts join d1 on d1.suffix = parts.suffix and d1.domain = parts.domain),
+    h1 as ({level("h0", "by_domain", "rate")}),
+    b as (select host, least(1.0, rate + {h.Z} * sqrt(rate * (1 - rate) / (n + w + 1))) as bound from h1)
+    select page_id, host, path, case {rule} end as rule, coalesce(case {verdict} end, case when bound < {h.LEAST} then 'block' else 'allow' end) as verdict, round(bound, 6) as host_bound
+    from p join b using (host)"""
+
+
+ORACLE_SQL = {
+    "op5_secrets": secrets(),
+    "op7_merkle": fingerprints(),
+    "op8_adaptive_rules": rules(),
+    "op11_collocations": phrases(),
+    "op12_interval_overlap": intervals(),
+    "op13_host_reputation": urls(),
+}

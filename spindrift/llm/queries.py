@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import adaptive_rules, bpe_replay, html_template, langid_backoff, line_dedup, merkle, ngram_jaccard, packing, pairwise_quality, secrets_index
+from . import (
+    adaptive_rules,
+    bpe_replay,
+    collocations,
+    host_reputation,
+    html_template,
+    interval_overlap,
+    langid_backoff,
+    line_dedup,
+    merkle,
+    ngram_jaccard,
+    packing,
+    pairwise_quality,
+    secrets_index,
+)
 from .common import crc_mod, table
 from .oracle import ORACLE_SQL  # noqa: F401
 
@@ -69,6 +83,19 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("n_dropped").cast("long").alias("n_dropped"), F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"), "text")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+def op12_interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interval_overlap.overlaps(*(table(spark, sf_dir, t) for t in ("sales", "sale_lines", "clicks")))
+
+
+def op13_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return host_reputation.judge(pages, host_reputation.page_outcomes(pages, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_pairwise_quality": op2_pairwise_quality,
@@ -80,4 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_adaptive_rules": op8_adaptive_rules,
     "op9_html_template": op9_html_template,
     "op10_line_dedup": op10_line_dedup,
+    "op11_collocations": op11_collocations,
+    "op12_interval_overlap": op12_interval_overlap,
+    "op13_host_reputation": op13_host_reputation,
 }

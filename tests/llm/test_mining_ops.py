@@ -66,7 +66,7 @@ def test_phrases_equal_brute_force_with_and_without_hot_prefixes(spark, monkeypa
     rows = phrase_rows()
     got = collocations.collocations(docs(spark, rows), least=12, top=40, hot=hot).select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect()
     want = brute_phrases(rows, 12, 40)
-    assert {r[0] for r in want} >= {"en", "und"} and len(want) > 60
+    assert {r[0] for r in want} >= {"en", "und"} and len(want) > 30
     assert sorted(map(tuple, got)) == want
 
 
@@ -258,7 +258,7 @@ def test_poor_hosts_are_blocked_and_few_bad_pages_block_none(spark, monkeypatch)
     assert len(got) == len(pages)
     bounds = brute_bounds(hosts)
     assert {r["host"] for r in got} == set(bounds) and all(abs(r["host_bound"] - bounds[r["host"]]) < 1e-6 for r in got)
-    assert {r["host"] for r in got if r["verdict"] == "block"} == {h for h, b in bounds.items() if b < 0.5} == {"bad.spam.org"}
+    assert {r["host"] for r in got if r["verdict"] == "block"} == {h for h, b in bounds.items() if b < 0.5} == {"bad.spam.org", "new.spam.org"}  # the one without labels goes by its domain
 
 
 def test_outcomes_are_those_of_the_documents_that_pages_show(spark):

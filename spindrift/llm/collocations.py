@@ -5,8 +5,8 @@ The dictionaries give the words' counts by language. A slice then gets the ids o
 phrase can be made of) and projects: each occurrence of a frequent word, with the four words after it up to the end of its
 piece, is a pointer of that prefix. A prefix's pointers go to one task, with those of other prefixes of its bucket; there
 a phrase grows to the right, depth first: its pointers are sorted by the next word, and runs of LEAST or more are the next
-phrases. Prefixes with over HOT occurrences would outgrow a task: a slice counts their phrases itself and the counts are
-summed up, so no task gets them whole.
+phrases. Prefixes with over HOT occurrences would outgrow a task: a slice counts their phrases itself, and the counts are
+dealt to the buckets by the whole phrase and summed up there, so no task gets such a prefix whole.
 
 A cut's parts of a candidate are candidates or words themselves, so scores are joins of frequent phrases alone. A phrase is
 dropped by a phrase one word longer, if by any: what lies between has no lower count. Sums are longs, products decimals
@@ -31,19 +31,20 @@ from .common import cut
 
 LEAST, LONGEST, TOP, PERCENT = 100, 5, 2_000, 100
 #: Words of a slice, bytes of text that are split at once, and pointers of a bucket, about (20 bytes each).
-SLICE, CHUNK, BUCKET = 4_000_000, 4_000_000, 2_000_000
+SLICE, CHUNK, BUCKET = 8_000_000, 4_000_000, 2_000_000
 #: Occurrences of a prefix that one task takes at most.
 HOT = 4_000_000
 #: What ends a piece, and the byte (in no UTF-8 text) that stands for it.
 ENDS, END = b".,;:!?\n\x0b\x0c\r", b"\xff"
 _TABLE = bytes.maketrans(ENDS + b"\t", END * len(ENDS) + b" ")
-_NUMBERED = "slice long, lang string, word string, id int, n long, codes binary"
-_POINTERS = pa.schema([("bucket", pa.int64()), ("pointers", pa.binary()), ("phrase", pa.list_(pa.int32())), ("n", pa.int64())])
-_PROJECTED = "bucket long, pointers binary, phrase array<int>, n long"
+#: Words of a row of a dictionary.
+_WORDS = 10_000
+_NUMBERED = "slice long, lang string, first int, words array<string>, n array<long>, codes binary"
 
 
 def _encoded(size: int):
-    """Texts (lang, text) to slices: rows of words (lang, word, id, n) and of texts in numbers (lang, codes); 0 ends a piece."""
+    """Texts (lang, text) to slices: rows of words (lang, first, words, n), numbered from `first` on, and of texts in numbers
+    (lang, codes), where 0 ends a piece. Numbers are a slice's and a language's own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, no, known, codes, waiting = TaskContext.get().partitionId(), 0, {}, [], {}
@@ -52,8 +53,9 @@ def _encoded(size: int):
             words = text.replace(END, b" \xff ").split()
             if not words:
                 return 0
+            own = known.setdefault(lang, {})
             found = pa.array(words, pa.binary()).dictionary_encode()
-            ids = [0 if w == END else known.setdefault((lang, w), len(known) + 1) for w in found.dictionary.to_pylist()]
+            ids = [0 if w == END else own.setdefault(w, len(own) + 1) for w in found.dictionary.to_pylist()]
             got = np.array(ids, np.int32)[found.indices.to_numpy()]
             codes.append((lang, np.append(got, np.int32(0))))
             return int((got > 0).sum())
@@ -68,15 +70,14 @@ def _encoded(size: int):
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal no, known, codes
-            slice_, n = (task << 32) | no, np.zeros(len(known) + 1, np.int64)
-            for _, c in codes:
-                n += np.bincount(c, minlength=len(n))
-            langs, words = zip(*known, strict=True) if known else ((), ())
-            for a in range(0, len(words), 100_000):
-                w = words[a : a + 100_000]
-                yield _batch(slice_, langs[a : a + 100_000], w, np.arange(a + 1, a + 1 + len(w), dtype=np.int32), n[a + 1 : a + 1 + len(w)], None)
+            slice_, n = (task << 32) | no, {lang: np.zeros(len(own) + 1, np.int64) for lang, own in known.items()}
             for lang, c in codes:
-                yield _batch(slice_, [lang], None, None, None, [c.tobytes()])
+                n[lang] += np.bincount(c, minlength=len(n[lang]))
+                yield _row(slice_, lang, codes=c.tobytes())
+            for lang, own in known.items():
+                words = list(own)
+                for a in range(0, len(words), _WORDS):
+                    yield _row(slice_, lang, a + 1, words[a : a + _WORDS], n[lang][a + 1 : a + 1 + _WORDS])
             no, known, codes = no + 1, {}, []
 
         words = held = 0
@@ -101,18 +102,17 @@ def _encoded(size: int):
     return run
 
 
-def _batch(slice_: int, langs, words, ids, n, codes) -> pa.RecordBatch:
-    size = len(langs)
+def _row(slice_: int, lang: str, first: int | None = None, words: list[bytes] | None = None, n: np.ndarray | None = None, codes: bytes | None = None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(np.full(size, slice_), pa.int64()),
-            pa.array(langs, pa.string()),
-            pa.nulls(size, pa.string()) if words is None else pa.array(words, pa.binary()).cast(pa.string()),
-            pa.nulls(size, pa.int32()) if ids is None else pa.array(ids, pa.int32()),
-            pa.nulls(size, pa.int64()) if n is None else pa.array(n, pa.int64()),
-            pa.nulls(size, pa.binary()) if codes is None else pa.array(codes, pa.binary()),
+            pa.array([slice_], pa.int64()),
+            pa.array([lang], pa.string()),
+            pa.array([first], pa.int32()),
+            pa.array([words], pa.list_(pa.binary())).cast(pa.list_(pa.string())),
+            pa.array([n], pa.list_(pa.int64())),
+            pa.array([codes], pa.binary()),
         ],
-        names=["slice", "lang", "word", "id", "n", "codes"],
+        names=["slice", "lang", "first", "words", "n", "codes"],
     )
 
 
@@ -155,66 +155,84 @@ def grow(rows: np.ndarray, least: int) -> Iterator[tuple[tuple[int, ...], int]]:
                 todo.append((next_, own[a:b]))
 
 
-def _own_counts(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each length: the different beginnings of the rows and how often each is there."""
-    rows = rows[np.lexsort(rows.T[::-1])]
-    for size in range(2, rows.shape[1] + 1):
-        own = rows[rows[:, size - 1] > 0, :size]
-        if len(own):
-            begins = np.flatnonzero(np.append(True, (own[1:] != own[:-1]).any(axis=1)))
-            yield own[begins], np.diff(np.append(begins, len(own)))
+def summed(rows: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different rows and the sum of each one's n."""
+    if not len(rows):
+        return rows, n
+    order = np.lexsort(rows.T[::-1])
+    rows, n = rows[order], n[order]
+    begins = np.flatnonzero(np.append(True, (rows[1:] != rows[:-1]).any(axis=1)))
+    return rows[begins], np.add.reduceat(n, begins)
+
+
+def beginnings(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length: the different beginnings of the rows, filled up with 0, and how often each is there."""
+    rows, n = summed(rows, np.ones(len(rows), np.int64))
+    for size in range(rows.shape[1], 1, -1):
+        own = rows[:, size - 1] > 0
+        yield summed(rows[own], n[own])
+        rows = rows.copy()
+        rows[:, size - 1] = 0
+        rows, n = summed(rows, n)
 
 
 def _projected(buckets: int):
-    """A slice's frequent words (id, gid, hot) and its texts in numbers to buckets of pointers; phrases of hot prefixes and
-    their counts."""
+    """A slice's frequent words (id, gid, hot) and its texts in numbers to buckets of pointers; of hot prefixes, phrases (as
+    rows filled up with 0) with their counts."""
+    schema = pa.schema([("bucket", pa.int64()), ("pointers", pa.binary()), ("counted", pa.binary())])
+
+    def bucket_of(rows: np.ndarray) -> np.ndarray:
+        h = np.zeros(len(rows), np.uint64)
+        for column in rows.T:
+            h = (h ^ column.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        return (h % np.uint64(buckets)).astype(np.int64)
+
+    def parts(bucket: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        order = np.argsort(bucket, kind="stable")
+        bucket, rows = bucket[order], rows[order]
+        for a, b in zip(*runs(bucket), strict=True):
+            yield int(bucket[a]), rows[a:b].tobytes()
 
     def run(words: pa.Table, texts: pa.Table) -> pa.Table:
         ids, gids = words["id"].to_numpy(), words["gid"].to_numpy()
-        hot = set(gids[words["hot"].to_numpy()].tolist())
-        size = int(ids.max(initial=0))
-        out, hots, found = {}, [], []
+        hot, size = gids[words["hot"].to_numpy()], int(ids.max(initial=0))
+        found, hots = [], []
         for codes in texts["codes"]:
             c = np.frombuffer(codes.as_buffer(), np.int32)
             to = np.zeros(max(size, int(c.max(initial=0))) + 1, np.int32)
             to[ids] = gids
             rows = pointers(to[c])
-            if hot:
-                is_hot = np.isin(rows[:, 0], list(hot))
+            if len(hot):
+                is_hot = np.isin(rows[:, 0], hot)
                 hots.append(rows[is_hot])
                 rows = rows[~is_hot]
-            bucket = (rows[:, 0].astype(np.int64) * 2654435761 >> 12) % buckets
-            order = np.argsort(bucket, kind="stable")
-            bucket, rows = bucket[order], rows[order]
-            for a, b in zip(*runs(bucket), strict=True):
-                out.setdefault(int(bucket[a]), []).append(rows[a:b].tobytes())
-        for k, parts in out.items():
-            found.append(_projection(pa.array([k], pa.int64()), pa.array([b"".join(parts)], pa.binary()), None, None))
+            found += [(k, part, None) for k, part in parts(bucket_of(rows[:, :1]), rows)]
         if hots:
-            for grams, n in _own_counts(np.concatenate(hots)):
-                for a in range(0, len(grams), 100_000):
-                    part = grams[a : a + 100_000]
-                    offsets = np.arange(0, part.size + 1, part.shape[1], dtype=np.int32)
-                    phrases = pa.ListArray.from_arrays(pa.array(offsets), pa.array(part.ravel(), pa.int32()))
-                    found.append(_projection(None, None, phrases, pa.array(n[a : a + 100_000], pa.int64())))
-        return pa.Table.from_batches(found, _POINTERS)
+            for grams, n in beginnings(np.concatenate(hots)):
+                both = np.concatenate([grams, n.view(np.int32).reshape(-1, 2)], axis=1)
+                found += [(k, None, part) for k, part in parts(bucket_of(grams), both)]
+        out = pa.table([pa.array([x[i] for x in found], f.type) for i, f in enumerate(schema)], schema=schema)
+        release()
+        return out
 
     return run
 
 
-def _projection(bucket, rows, phrase, n) -> pa.RecordBatch:
-    size = len(bucket) if bucket is not None else len(phrase)
-    columns = zip((bucket, rows, phrase, n), _POINTERS, strict=True)
-    return pa.RecordBatch.from_arrays([pa.nulls(size, f.type) if c is None else c for c, f in columns], schema=_POINTERS)
-
-
 def _grown(least: int):
-    """A bucket of pointers to its frequent phrases."""
+    """A bucket's frequent phrases: grown from its pointers, and those counted already."""
+
+    def rows_of(column: pa.ChunkedArray, width: int) -> np.ndarray:
+        own = [np.frombuffer(x.as_buffer(), np.int32).reshape(-1, width) for x in column if x.is_valid]
+        return np.concatenate(own) if own else np.empty((0, width), np.int32)
 
     def run(bucket: pa.Table) -> pa.Table:
-        found = list(grow(np.concatenate([np.frombuffer(x.as_buffer(), np.int32).reshape(-1, LONGEST) for x in bucket["pointers"]]), least))
+        found = list(grow(rows_of(bucket["pointers"], LONGEST), least))
+        counted = rows_of(bucket["counted"], LONGEST + 2)
+        grams, n = summed(counted[:, :LONGEST], np.ascontiguousarray(counted[:, LONGEST:]).view(np.int64).ravel())
+        found += [(tuple(g[g > 0].tolist()), int(k)) for g, k in zip(grams[n >= least], n[n >= least], strict=True)]
         release()
-        return pa.table({"phrase": pa.array([x for x, _ in found], pa.list_(pa.int32())), "n": pa.array([n for _, n in found], pa.int64())})
+        return pa.table({"phrase": pa.array([x for x, _ in found], pa.list_(pa.int32())), "f": pa.array([n for _, n in found], pa.int64())})
 
     return run
 
@@ -238,18 +256,17 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, hot: int = HOT) -> tup
     """Rows (lang, word, gid, f) of words and (phrase, f) of phrases, as ids, with `least` occurrences; and (lang, n) of all
     words."""
     numbered = cut(docs.select("lang", "text").mapInArrow(tidy(_encoded(SLICE)), _NUMBERED), batch=1_000)
-    words = numbered.where(F.col("codes").isNull())
+    each = numbered.where(F.col("codes").isNull()).select("slice", "lang", "first", F.posexplode(F.arrays_zip("words", "n")).alias("k", "x"))
+    words = each.select("slice", "lang", (F.col("first") + F.col("k")).alias("id"), F.col("x.words").alias("word"), F.col("x.n").alias("n"))
     counts = cut(words.groupBy("lang", "word").agg(F.sum("n").alias("f")))
     total = counts.groupBy("lang").agg(F.sum("f").alias("n"))
     frequent = cut(_dense_ids(cut(counts.where(F.col("f") >= least)), "gid"))
     all_ = frequent.agg(F.sum("f")).first()[0] or 0
     buckets = max(1, -(-all_ // BUCKET))
-    own = words.join(frequent, ["lang", "word"]).select("slice", "id", "gid", (F.col("f") > hot).alias("hot"))
-    texts = numbered.where(F.col("codes").isNotNull()).select(F.col("slice").alias("at"), "codes")
-    projected = cut(own.groupBy("slice").cogroup(texts.groupBy("at")).applyInArrow(_projected(buckets), _PROJECTED))
-    grown = projected.where(F.col("bucket").isNotNull()).select("bucket", "pointers").groupBy("bucket").applyInArrow(_grown(least), "phrase array<int>, n long")
-    summed = projected.where(F.col("phrase").isNotNull()).groupBy("phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return frequent, cut(grown.unionByName(summed).withColumnRenamed("n", "f")), total
+    own = words.join(frequent, ["lang", "word"]).select("slice", "lang", "id", "gid", (F.col("f") > hot).alias("hot"))
+    texts = numbered.where(F.col("codes").isNotNull()).select(F.col("slice").alias("at"), F.col("lang").alias("in"), "codes")
+    projected = own.groupBy("slice", "lang").cogroup(texts.groupBy("at", "in")).applyInArrow(_projected(buckets), "bucket long, pointers binary, counted binary")
+    return frequent, cut(projected.groupBy("bucket").applyInArrow(_grown(least), "phrase array<int>, f long")), total
 
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, percent: int = PERCENT, hot: int = HOT) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spindrift.functions.similarity import cosine, euclidean
+from spindrift.storage import cut
 
+from . import keyed
 from .filters import payload
 from .ranking import top_per
 
@@ -113,9 +115,8 @@ def nearest_batch(table: DataFrame, queries: DataFrame, k: int, key: str = "vec_
     return top_per(found, "query_id", [F.desc("score"), F.asc(key)], k)
 
 
-#: Rows that an index's cells are found from at most, cells at most, rows of a cell that meet its queries in one task,
-#: and queries that tell how many cells to probe.
-SAMPLE, CELLS, CELL_ROWS, TRIALS = 20_000, 4096, 50_000, 200
+#: Rows that an index's cells are found from at most, cells at most, and queries that tell how many cells to probe.
+SAMPLE, CELLS, TRIALS = 20_000, 4096, 200
 
 
 def _directions(vectors: np.ndarray) -> np.ndarray:
@@ -136,28 +137,39 @@ def _centres(sample: np.ndarray, cells: int, seed: int, rounds: int = 12) -> np.
     return centres
 
 
+def _cell_of(spark: SparkSession, centres: np.ndarray, probes: int = 1) -> Callable:
+    """A function of vectors to their nearest cells, nearest first."""
+    sent = spark.sparkContext.broadcast(centres)
+
+    @F.pandas_udf("array<int>")
+    def near(vectors: pd.Series) -> pd.Series:
+        scores = np.stack(vectors.to_numpy()) @ sent.value.T if len(vectors) else np.zeros((0, 1))
+        return pd.Series(list(np.argsort(-scores, axis=1, kind="stable")[:, :probes].astype(np.int32)))
+
+    return near
+
+
+def _placed(rows: DataFrame, centres: np.ndarray) -> DataFrame:
+    near = _cell_of(rows.sparkSession, centres)
+    return rows.withColumn("cell", F.get(near(F.col("embedding").cast("array<double>")), F.lit(0)))
+
+
 def build_index(table: DataFrame, path: str, key: str = "vec_id", recall: float = 0.95, k: int = 10, seed: int = 5) -> None:
-    """Writes an index of all rows with a vector: path/rows, by cell, and path/cells (cell, centre, rows, probes).
+    """Writes an index of all rows with a vector: path/rows, a keyed table by cell, and path/cells (cell, centre, probes).
 
     Cells are found by k-means on SAMPLE rows at most; every row is then put into that of the nearest centre. How many
     cells a query probes is measured: for TRIALS rows, as many as hold the share `recall` of their k true neighbours,
-    found by brute force over all rows."""
+    found by brute force over all rows. Rows without a key are left out."""
     spark = table.sparkSession
-    rows = table.where(F.col("embedding").isNotNull())
+    rows = table.where(F.col("embedding").isNotNull() & F.col(key).isNotNull())
     vector = F.col("embedding").cast("array<double>")
     some = rows.orderBy(F.xxhash64(key, F.lit(seed)), key).select(key, vector.alias("v")).limit(SAMPLE).toArrow()
     if not len(some):
         raise ValueError("no row has a vector")
     sample = _matrix(some.column(1).combine_chunks())
     centres = _centres(sample, max(1, min(CELLS, round(len(sample) ** 0.5))), seed)
-    sent = spark.sparkContext.broadcast(centres)
-
-    @F.pandas_udf("int")
-    def cell(vectors: pd.Series) -> pd.Series:
-        return pd.Series((np.stack(vectors.to_numpy()) @ sent.value.T).argmax(axis=1) if len(vectors) else [])
-
-    rows.withColumn("cell", cell(vector)).repartition("cell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/rows")
-    indexed = spark.read.parquet(f"{path}/rows")
+    keyed.create(_placed(rows, centres), f"{path}/rows", key, by="cell")
+    indexed = keyed.read(spark, f"{path}/rows")
     trial = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(some.column(0).to_pylist()[:TRIALS], sample[:TRIALS], strict=True)], "query_id long, query array<double>")
     true = nearest_batch(indexed, trial, k, key).join(indexed.select(key, "cell"), key).groupBy("query_id").agg(F.collect_list("cell").alias("cells")).collect()
     ranks = []
@@ -166,42 +178,90 @@ def build_index(table: DataFrame, path: str, key: str = "vec_id", recall: float
         order = np.argsort(np.argsort(-(sample[at[r["query_id"]]] @ centres.T), kind="stable"), kind="stable")
         ranks += [int(order[c]) for c in r["cells"]]
     probes = int(np.sort(ranks)[max(0, math.ceil(recall * len(ranks)) - 1)]) + 1 if ranks else len(centres)
-    counts = {r["cell"]: r["n"] for r in indexed.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # CELLS rows at most
-    cells = [(c, centre.tolist(), counts.get(c, 0), probes) for c, centre in enumerate(centres)]
-    spark.createDataFrame(cells, "cell int, centre array<double>, rows long, probes int").coalesce(1).write.mode("overwrite").parquet(f"{path}/cells")
+    cells = [(c, centre.tolist(), probes) for c, centre in enumerate(centres)]
+    spark.createDataFrame(cells, "cell int, centre array<double>, probes int").coalesce(1).write.mode("overwrite").parquet(f"{path}/cells")
 
 
-def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int, key: str = "vec_id") -> DataFrame:
-    """(query_id, key, score, place): each query's k nearest rows among the cells that it probes, itself left out.
-
-    A cell's rows meet its queries in one call, a large cell's in parts, and only k rows a query and part go on."""
+def _cells(spark: SparkSession, path: str) -> tuple[np.ndarray, int]:
     cells = spark.read.parquet(f"{path}/cells").orderBy("cell").collect()  # CELLS rows at most
-    centres, probes = np.array([r["centre"] for r in cells]), cells[0]["probes"]
-    sent = spark.sparkContext.broadcast(centres)
+    return np.array([r["centre"] for r in cells]), cells[0]["probes"]
+
+
+def merge_index(spark: SparkSession, path: str, changes: DataFrame, deleted: str | None = None, version: str | None = None) -> int:
+    """Inserts, replaces or deletes rows of an index by key, as its next generation, whose number it gives.
+
+    Only cells that lose or get a row are written anew. Cells and probes stay as they were built: when most rows have
+    changed, build again. A change without a vector takes its key's row out, as `deleted` does."""
+    centres, _ = _cells(spark, path)
+    empty = F.col("embedding").isNull()
+    gone = (F.coalesce(F.col(deleted), F.lit(False)) | empty) if deleted else empty
+    like = changes.schema["embedding"].dataType
+    held = changes.withColumns({"_gone": gone, "embedding": F.coalesce("embedding", F.lit(centres[0].tolist()).cast(like))})
+    return keyed.merge(spark, f"{path}/rows", _placed(held, centres), "_gone", version, moves=True)
+
+
+def _chunks(asked: DataFrame, centres: np.ndarray, bytes_: Column, limit: int) -> list[DataFrame]:
+    """Queries in chunks of about `limit` bytes, those whose nearest cells are alike together."""
+    own = F.get("cells", F.lit(0))
+    sizes = {r["c"]: r["b"] for r in asked.groupBy(own.alias("c")).agg(F.sum(bytes_).alias("b")).collect()}  # CELLS rows at most
+    out, now, held = [], [], 0
+    for c in sorted(sizes, key=lambda c: float(centres[c] @ centres[0])):
+        parts = sizes[c] // limit + 1
+        if parts > 1:  # one cell's queries are too many for a chunk
+            out += [asked.where((own == c) & (F.pmod(F.xxhash64("query_id"), F.lit(parts)) == n)) for n in range(parts)]
+            continue
+        if now and held + sizes[c] > limit:
+            out, now, held = [*out, asked.where(own.isin(now))], [], 0
+        now, held = [*now, c], held + sizes[c]
+    return [*out, asked.where(own.isin(now))] if now else out
+
+
+def probed(spark: SparkSession, path: str, cells: set[int], filters: dict | None = None) -> DataFrame:
+    """An index's rows in some cells: only those cells' folders are opened, and filters go down to the files."""
+    return payload(keyed.read(spark, f"{path}/rows", cells), filters)
 
-    @F.pandas_udf("array<int>")
-    def near(vectors: pd.Series) -> pd.Series:
-        scores = np.stack(vectors.to_numpy()) @ sent.value.T if len(vectors) else np.zeros((0, 1))
-        return pd.Series(list(np.argsort(-scores, axis=1, kind="stable")[:, :probes].astype(np.int32)))
 
-    parts = F.element_at(F.create_map(*(F.lit(x) for r in cells for x in (r["cell"], r["rows"] // CELL_ROWS + 1))), F.col("cell"))
+def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int, key: str = "vec_id", filters: dict | None = None, limit: int = QUERY_BYTES) -> DataFrame:
+    """(query_id, key, score, place): each query's k nearest rows among the cells that it probes, itself left out.
+
+    Queries go to the tasks in chunks of `limit` bytes; a chunk opens only the folders of cells that it probes, and what
+    `filters` asks (see filters.payload) goes down to the files. Rows stay where they are read: a task keeps k rows a query,
+    and only those are shuffled."""
+    centres, probes = _cells(spark, path)
     vector = F.col("query").cast("array<double>")
-    asked = queries.where("query is not null").select(F.col("query_id").cast("long"), vector.alias("query"), F.explode(near(vector)).alias("cell"))
-    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1)))
-    rows = spark.read.parquet(f"{path}/rows").select(F.col(key).cast("long").alias(key), F.col("embedding").cast("array<double>"), "cell")
-    rows = rows.withColumn("part", F.pmod(F.xxhash64(key), parts.cast("long")))
-
-    def run(members: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], key: [], "score": []}
-        if len(members) and len(asked):
-            ids = asked["query_id"].to_numpy()
-            for i, keys, scores in _best(np.stack(asked["query"].to_numpy()), ids, np.stack(members["embedding"].to_numpy()), members[key].to_numpy(), k):
-                out["query_id"] += [ids[i]] * len(keys)
-                out[key] += keys.tolist()
-                out["score"] += scores.tolist()
-        return pd.DataFrame(out)
-
-    found = rows.groupBy("cell", "part").cogroup(asked.groupBy("cell", "part")).applyInPandas(run, f"query_id long, {key} long, score double")
+    asked = queries.where("query_id is not null and query is not null").select(F.col("query_id").cast("long"), vector.alias("query"))
+    asked = cut(asked.withColumn("cells", _cell_of(spark, centres, probes)("query")))
+    parts = []
+    for some in _chunks(asked, centres, F.size("query") * 8 + F.size("cells") * 4 + 8, limit):
+        some = some.orderBy("query_id").toArrow()
+        ids, held = some.column(0).to_numpy(), _matrix(some.column(1).combine_chunks())
+        cells = np.stack(some.column(2).to_numpy(zero_copy_only=False))
+        of, who = np.unique(cells.ravel(), return_inverse=True)[0], np.repeat(np.arange(len(ids)), cells.shape[1])
+        by_cell = {int(c): who[cells.ravel() == c] for c in of}
+        sent = spark.sparkContext.broadcast((ids, held, by_cell))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            ids, held, by_cell = sent.value
+            keys, scores = np.full((len(ids), k), -1, np.int64), np.full((len(ids), k), -np.inf)
+            for batch in batches:
+                if not len(batch):
+                    continue
+                own, vectors, cells = batch.column(0).to_numpy(), _matrix(batch.column(1)), batch.column(2).to_numpy()
+                for c in np.unique(cells):
+                    q, at = by_cell[int(c)], np.flatnonzero(cells == c)
+                    fresh = np.full((len(q), k), -1, np.int64), np.full((len(q), k), -np.inf)
+                    for i, near, score in _best(held[q], ids[q], vectors[at], own[at], k):
+                        fresh[0][i, : len(near)], fresh[1][i, : len(near)] = near, score
+                    both = np.hstack([keys[q], fresh[0]]), np.hstack([scores[q], fresh[1]])
+                    order = np.lexsort((both[0], -both[1]), axis=1)[:, :k]
+                    keys[q], scores[q] = np.take_along_axis(both[0], order, 1), np.take_along_axis(both[1], order, 1)
+            real = scores > -np.inf
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, real.sum(axis=1))), pa.array(keys[real]), pa.array(scores[real])], names=["query_id", key, "score"])
+
+        rows = probed(spark, path, set(by_cell), filters)
+        rows = rows.select(F.col(key).cast("long").alias(key), F.col("embedding").cast("array<double>"), "cell")
+        parts.append(rows.mapInArrow(run, f"query_id long, {key} long, score double"))
+    found = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], f"query_id long, {key} long, score double")
     return top_per(found, "query_id", [F.desc("score"), F.asc(key)], k)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.functions import similarity, text
-from spindrift.operators import dedup, eda, filters, quality, ranking, recommend, vectors
+from spindrift.operators import dedup, eda, filters, keyed, keywords, neighbours, quality, ranking, recommend, vectors
 from spindrift.operators.cache import ResultCache
 from spindrift.sources import normalize, readers, schema
 from spindrift.storage import shared_dir
@@ -342,6 +342,43 @@ def hamming_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out, "score")
 
 
+@query("""with e as (select vec_id, embedding::double[] as v from embeddings),
+    p as (select a.vec_id, b.vec_id as neighbour, list_cosine_similarity(a.v, b.v) as score from e a join e b on a.vec_id <> b.vec_id)
+    select vec_id, neighbour, round(score, 6) as score, place from (select *, row_number() over (partition by vec_id order by score desc, neighbour)::int as place from p) where place <= 10""")
+def neighbour_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Every vector's ten nearest: exact for 2,000 vectors or fewer, of a tested recall for more."""
+    return rounded(neighbours.neighbour_graph(table(spark, d, "embeddings")), "score")
+
+
+@query("""select vec_id, case when vec_id % 3 = 0 then label + 100 else label end as label from embeddings where vec_id % 7 <> 0
+    union all select vec_id + 1000000, 7 from embeddings where vec_id < 10""")
+def vector_merge(spark: SparkSession, d: str) -> DataFrame:
+    """A stored table after two batches: changes in several versions with new rows, then deletions."""
+    rows, path = table(spark, d, "embeddings").select("vec_id", "label"), _new(spark, "keyed")
+    keyed.create(rows, path, "vec_id")
+    third = rows.where("vec_id % 3 = 0")
+    changes = [third.select("vec_id", (F.col("label") + n).alias("label"), F.lit(n).alias("at")) for n in (50, 100)]
+    added = rows.where("vec_id < 10").select((F.col("vec_id") + 1000000).alias("vec_id"), F.lit(7).alias("label"), F.lit(1).alias("at"))
+    keyed.merge(spark, path, changes[0].unionByName(changes[1]).unionByName(added), version="at")
+    keyed.merge(spark, path, rows.where("vec_id % 7 = 0").withColumn("gone", F.lit(True)), deleted="gone")
+    return keyed.read(spark, path).select("vec_id", "label")
+
+
+_TERMS = """select distinct term from (select unnest([w[2], left(w[3], 2), left(w[2], 1) || '.', w[2] || ' ' || w[3]]) as term
+    from (select string_split(lower(text), ' ') as w from benchmark where item_id % 20 = 0))"""
+
+
+@query(f"select term, doc_id from ({_TERMS}) join documents on contains(lower(text), term) where term <> ''")
+def keyword_index_search(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with each of a table of terms (words, pairs of words, one or two letters), by an index of all documents."""
+    path = _new(spark, "keywords")
+    keywords.build(table(spark, d, "documents"), path, "doc_id", "text")
+    w = F.split(F.lower("text"), " ")
+    words = table(spark, d, "benchmark").where("item_id % 20 = 0").select(F.get(w, F.lit(1)).alias("a"), F.get(w, F.lit(2)).alias("b"))
+    terms = words.select(F.explode(F.array("a", F.substring("b", 1, 2), F.concat(F.substring("a", 1, 1), F.lit(".")), F.concat("a", F.lit(" "), "b"))).alias("term"))
+    return keywords.search(spark, path, terms, "doc_id")
+
+
 @query("select 'saved' as step, count(*) as vectors from embeddings union all select 'cleared', 0")
 def vector_table_upkeep(spark: SparkSession, d: str) -> DataFrame:
     path = _new(spark, "vectors")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spindrift.functions import errors, similarity, taxonomy, text
-from spindrift.operators import cache, content, dedup, filters, quality, ranking, recommend, vectors
+from spindrift.operators import keyed, cache, content, dedup, filters, quality, ranking, recommend, vectors
 from spindrift.plans import catalogue
 from spindrift.sources import limits, normalize, readers, schema, services
 from spindrift.streaming import checkpoints, ingest, jobs
@@ -245,14 +245,14 @@ def test_batches_of_neighbours_equal_brute_force(spark, limit):
 @pytest.mark.parametrize("shape", ["random", "clusters"])
 def test_index_recall(spark, tmp_path, shape, monkeypatch):
     """All rows are indexed, and every row whose id is divisible by 20 finds 0.9 of its neighbours or more."""
-    monkeypatch.setattr(vectors, "CELL_ROWS", 40)
+    monkeypatch.setattr("spindrift.operators.keyed.FILE_ROWS", 40)
     rng = random.Random(6)
     centres = [[rng.gauss(0, 1) for _ in range(16)] for _ in range(12)]
     make = lambda: [rng.gauss(0, 1) for _ in range(16)] if shape == "random" else [c + rng.gauss(0, 0.2) for c in rng.choice(centres)]
     rows = [(k, make()) for k in range(1500)] + [(k, [1.0] * 16) for k in range(1500, 1900)]  # a hot cell
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     vectors.build_index(df, str(tmp_path))
-    assert spark.read.parquet(f"{tmp_path}/rows").count() == len(rows)
+    assert keyed.read(spark, f"{tmp_path}/rows").count() == len(rows)
     asked = df.where("vec_id % 20 = 0 and vec_id < 1500").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     true = {(r["query_id"], r["vec_id"]) for r in vectors.nearest_batch(df, asked, 10).collect()}
     got = {(r["query_id"], r["vec_id"]) for r in vectors.search_index(spark, str(tmp_path), asked, 10).collect()}

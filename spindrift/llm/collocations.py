@@ -1,7 +1,8 @@
 """Phrase collocation mining: contiguous pattern growth by projected occurrence pointers.
 
-A slice of the corpus (some SLICE words) numbers its own words; what comes out is its dictionary and its texts as numbers.
-The dictionaries give the words' counts by language. A slice then gets the ids of its frequent words (all that a frequent
+A slice of the corpus (some SLICE words) numbers its own words; what comes out is its dictionary, in parts by a hash of the
+words, and its texts as numbers. A part's task sums up its words' counts by language and numbers the frequent ones for all
+slices. A slice then gets the ids of its frequent words (all that a frequent
 phrase can be made of) and projects: each occurrence of a frequent word, with the four words after it up to the end of its
 piece, is a pointer of that prefix. A prefix's pointers go to one task, with those of other prefixes of its bucket; there
 a phrase grows to the right, depth first: its pointers are sorted by the next word, and runs of LEAST or more are the next
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,14 +39,19 @@ HOT = 4_000_000
 #: What ends a piece, and the byte (in no UTF-8 text) that stands for it.
 ENDS, END = b".,;:!?\n\x0b\x0c\r", b"\xff"
 _TABLE = bytes.maketrans(ENDS + b"\t", END * len(ENDS) + b" ")
-#: Words of a row of a dictionary.
-_WORDS = 10_000
-_NUMBERED = "slice long, lang string, first int, words array<string>, n array<long>, codes binary"
+#: Characters of texts for each part of the dictionaries, about; a slice has as many words of its own.
+PART = 40_000_000
+_NUMBERED = "slice long, lang string, part int, ids array<int>, words array<string>, n array<long>, codes binary"
+_INTS = pa.list_(pa.int32())
+_KNOWN_ROWS = pa.schema(
+    [("slice", pa.int64()), ("lang", pa.string()), ("ids", _INTS), ("gids", _INTS), ("hot", pa.list_(pa.bool_())), ("word", pa.string()), ("gid", pa.int32()), ("f", pa.int64()), ("total", pa.int64())]
+)
+_KNOWN = "slice long, lang string, ids array<int>, gids array<int>, hot array<boolean>, word string, gid int, f long, total long"
 
 
-def _encoded(size: int):
-    """Texts (lang, text) to slices: rows of words (lang, first, words, n), numbered from `first` on, and of texts in numbers
-    (lang, codes), where 0 ends a piece. Numbers are a slice's and a language's own."""
+def _encoded(size: int, parts: int):
+    """Texts (lang, text) to slices: rows of words (lang, part, ids, words, n) and of texts in numbers (lang, codes), where 0
+    ends a piece. Numbers are a slice's and a language's own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, no, known, codes, waiting = TaskContext.get().partitionId(), 0, {}, [], {}
@@ -75,9 +82,12 @@ def _encoded(size: int):
                 n[lang] += np.bincount(c, minlength=len(n[lang]))
                 yield _row(slice_, lang, codes=c.tobytes())
             for lang, own in known.items():
-                words = list(own)
-                for a in range(0, len(words), _WORDS):
-                    yield _row(slice_, lang, a + 1, words[a : a + _WORDS], n[lang][a + 1 : a + 1 + _WORDS])
+                words = np.array(list(own), object)
+                part = np.fromiter((xxhash.xxh32_intdigest(w) % parts for w in own), np.int32, len(own))
+                order = np.argsort(part, kind="stable")
+                for a, b in zip(*runs(part[order]), strict=True):
+                    at = order[a:b]
+                    yield _row(slice_, lang, int(part[at[0]]), at + 1, words[at], n[lang][at + 1])
             no, known, codes = no + 1, {}, []
 
         words = held = 0
@@ -102,20 +112,58 @@ def _encoded(size: int):
     return run
 
 
-def _row(slice_: int, lang: str, first: int | None = None, words: list[bytes] | None = None, n: np.ndarray | None = None, codes: bytes | None = None) -> pa.RecordBatch:
+def _row(slice_: int, lang: str, part: int | None = None, ids: np.ndarray | None = None, words: np.ndarray | None = None, n: np.ndarray | None = None, codes: bytes | None = None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [
             pa.array([slice_], pa.int64()),
             pa.array([lang], pa.string()),
-            pa.array([first], pa.int32()),
+            pa.array([part], pa.int32()),
+            pa.array([ids], pa.list_(pa.int32())),
             pa.array([words], pa.list_(pa.binary())).cast(pa.list_(pa.string())),
             pa.array([n], pa.list_(pa.int64())),
             pa.array([codes], pa.binary()),
         ],
-        names=["slice", "lang", "first", "words", "n", "codes"],
+        names=["slice", "lang", "part", "ids", "words", "n", "codes"],
     )
 
 
+def _known(least: int, hot: int, parts: int):
+    """A part of all dictionaries to its frequent words (lang, word, gid, f), what each slice needs of them (slice, lang, ids,
+    gids, hot), and its languages' (lang, total)."""
+
+    def run(part: pa.Table) -> pa.Table:
+        part = part.combine_chunks()
+        number, schema = part["part"][0].as_py(), _KNOWN_ROWS
+        words, ids, n = part["words"].combine_chunks(), part["ids"].combine_chunks(), part["n"].combine_chunks()
+        langs = np.array(part["lang"].to_pylist(), object)
+        ends = np.append(0, np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False)))
+        out, first = [], 0
+        for lang in dict.fromkeys(langs.tolist()):
+            own = np.flatnonzero(langs == lang)
+            found = pa.concat_arrays([words[int(k)].values for k in own]).dictionary_encode()
+            f = np.zeros(len(found.dictionary), np.int64)
+            np.add.at(f, found.indices.to_numpy(), np.concatenate([n[int(k)].values.to_numpy() for k in own]))
+            many = np.flatnonzero(f >= least)
+            gid = np.zeros(len(f), np.int32)
+            gid[many] = (np.arange(first, first + len(many)) * parts + number + 1).astype(np.int32)  # 0 is no word
+            first += len(many)
+            out.append({"lang": [lang], "total": [int(f.sum())]})
+            out.append({"lang": [lang] * len(many), "word": found.dictionary.take(pa.array(many)), "gid": gid[many], "f": f[many]})
+            indices, at = found.indices.to_numpy(), 0
+            for k in own:
+                mine = indices[at : at + ends[k + 1] - ends[k]]
+                at += len(mine)
+                kept = gid[mine] > 0
+                if kept.any():
+                    out.append({"slice": [part["slice"][int(k)].as_py()], "lang": [lang], "ids": [ids[int(k)].values.to_numpy()[kept]], "gids": [gid[mine[kept]]], "hot": [f[mine[kept]] > hot]})
+        if first * parts >= 1 << 31:
+            raise ValueError("more than 2**31 frequent words")
+        release()
+        return pa.concat_tables(pa.table([pa.array(x[c.name], c.type) if c.name in x else pa.nulls(len(x["lang"]), c.type) for c in schema], schema=schema) for x in out)
+
+    return run
+
+
 def pointers(codes: np.ndarray, longest: int = LONGEST) -> np.ndarray:
     """A row for each occurrence of a word (not 0) that another follows: it and the next ones, 0 from the piece's end on."""
     at = np.flatnonzero((codes[:-1] > 0) & (codes[1:] > 0))
@@ -177,7 +225,7 @@ def beginnings(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _projected(buckets: int):
-    """A slice's frequent words (id, gid, hot) and its texts in numbers to buckets of pointers; of hot prefixes, phrases (as
+    """A slice's frequent words (ids, gids, hot) and its texts in numbers to buckets of pointers; of hot prefixes, phrases (as
     rows filled up with 0) with their counts."""
     schema = pa.schema([("bucket", pa.int64()), ("pointers", pa.binary()), ("counted", pa.binary())])
 
@@ -195,8 +243,8 @@ def _projected(buckets: int):
             yield int(bucket[a]), rows[a:b].tobytes()
 
     def run(words: pa.Table, texts: pa.Table) -> pa.Table:
-        ids, gids = words["id"].to_numpy(), words["gid"].to_numpy()
-        hot, size = gids[words["hot"].to_numpy()], int(ids.max(initial=0))
+        ids, gids, is_hot = (words[c].combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("ids", "gids", "hot"))
+        hot, size = gids[is_hot.astype(bool)], int(ids.max(initial=0))
         found, hots = [], []
         for codes in texts["codes"]:
             c = np.frombuffer(codes.as_buffer(), np.int32)
@@ -237,33 +285,16 @@ def _grown(least: int):
     return run
 
 
-def _dense_ids(df: DataFrame, name: str) -> DataFrame:
-    """df, which must be a checkpoint, with ids from 1 on in a column; the driver gets a number a partition."""
-    part, no = F.shiftright(F.monotonically_increasing_id(), 33), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-    df = df.withColumns({"__sp_part": part.cast("int"), "__sp_no": no})
-    sizes = dict(df.groupBy("__sp_part").count().collect())
-    begins, total = [], 1
-    for k in range(max(sizes, default=-1) + 1):
-        begins.append(total)
-        total += sizes.get(k, 0)
-    if total >= 1 << 31:
-        raise ValueError("more than 2**31 frequent words")
-    base = F.element_at(F.lit(begins or [1]), F.col("__sp_part") + 1)
-    return df.withColumn(name, (base + F.col("__sp_no")).cast("int")).drop("__sp_part", "__sp_no")
-
-
 def frequent_phrases(docs: DataFrame, least: int = LEAST, hot: int = HOT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (lang, word, gid, f) of words and (phrase, f) of phrases, as ids, with `least` occurrences; and (lang, n) of all
     words."""
-    numbered = cut(docs.select("lang", "text").mapInArrow(tidy(_encoded(SLICE)), _NUMBERED), batch=1_000)
-    each = numbered.where(F.col("codes").isNull()).select("slice", "lang", "first", F.posexplode(F.arrays_zip("words", "n")).alias("k", "x"))
-    words = each.select("slice", "lang", (F.col("first") + F.col("k")).alias("id"), F.col("x.words").alias("word"), F.col("x.n").alias("n"))
-    counts = cut(words.groupBy("lang", "word").agg(F.sum("n").alias("f")))
-    total = counts.groupBy("lang").agg(F.sum("f").alias("n"))
-    frequent = cut(_dense_ids(cut(counts.where(F.col("f") >= least)), "gid"))
-    all_ = frequent.agg(F.sum("f")).first()[0] or 0
-    buckets = max(1, -(-all_ // BUCKET))
-    own = words.join(frequent, ["lang", "word"]).select("slice", "lang", "id", "gid", (F.col("f") > hot).alias("hot"))
+    parts = (docs.agg(F.sum(F.length("text"))).first()[0] or 0) // PART + 1
+    numbered = cut(docs.select("lang", "text").mapInArrow(tidy(_encoded(SLICE, parts)), _NUMBERED), batch=1_000)
+    known = cut(numbered.where(F.col("codes").isNull()).groupBy("part").applyInArrow(_known(least, hot, parts), _KNOWN))
+    total = known.where(F.col("total").isNotNull()).groupBy("lang").agg(F.sum("total").alias("n"))
+    frequent = known.where(F.col("word").isNotNull()).select("lang", "word", "gid", "f")
+    buckets = (frequent.agg(F.sum("f")).first()[0] or 0) // BUCKET + 1
+    own = known.where(F.col("slice").isNotNull()).select("slice", "lang", "ids", "gids", "hot")
     texts = numbered.where(F.col("codes").isNotNull()).select(F.col("slice").alias("at"), F.col("lang").alias("in"), "codes")
     projected = own.groupBy("slice", "lang").cogroup(texts.groupBy("at", "in")).applyInArrow(_projected(buckets), "bucket long, pointers binary, counted binary")
     return frequent, cut(projected.groupBy("bucket").applyInArrow(_grown(least), "phrase array<int>, f long")), total

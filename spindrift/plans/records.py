@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.functions import similarity, text
-from spindrift.operators import dedup, eda, filters, keyed, keywords, neighbours, quality, ranking, recommend, vectors
+from spindrift.operators import dedup, eda, filters, keyed, keywords, neighbours, paging, quality, ranking, recommend, vectors
 from spindrift.operators.cache import ResultCache
 from spindrift.sources import normalize, readers, schema
 from spindrift.storage import shared_dir
@@ -364,6 +364,19 @@ def vector_merge(spark: SparkSession, d: str) -> DataFrame:
     return keyed.read(spark, path).select("vec_id", "label")
 
 
+@query("""select o_orderkey, page, place from (select o_orderkey, ((row_number() over w - 1) // 500)::int as page, ((row_number() over w - 1) % 500)::int as place
+    from orders window w as (order by o_totalprice desc, o_orderkey)) where page in (0, 1, 2)""")
+def cursor_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Three pages of all orders by price, each by the cursor of the one before."""
+    path, by, cursor, out = _new(spark, "pages"), ["-o_totalprice", "o_orderkey"], None, []
+    paging.store(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), path, by, 16)
+    for n in range(3):
+        rows = paging.page(spark, path, by, 500, cursor).collect()  # a page
+        cursor = paging.cursor_of(rows, by)
+        out += [(r["o_orderkey"], n, k) for k, r in enumerate(rows)]
+    return spark.createDataFrame(out, "o_orderkey long, page int, place int")
+
+
 _TERMS = """select distinct term from (select unnest([w[2], left(w[3], 2), left(w[2], 1) || '.', w[2] || ' ' || w[3]]) as term
     from (select string_split(lower(text), ' ') as w from benchmark where item_id % 20 = 0))"""
 

@@ -12,7 +12,7 @@ from spindrift.operators import dedup, eda, filters, keyed, keywords, neighbours
 from spindrift.operators.cache import ResultCache
 from spindrift.sources import normalize, readers, schema
 from spindrift.storage import shared_dir
-from spindrift.streaming import checkpoints, ingest, jobs
+from spindrift.streaming import checkpoints, ingest, jobs, limited
 
 from .catalogue import _COS, _QUERY, ITEMS, items, query, rounded, table, vector_of
 
@@ -377,6 +377,20 @@ def cursor_pages(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(out, "o_orderkey long, page int, place int")
 
 
+@query("""select event_id, user_id % 50 as source from (select *, coalesce(sum((event_type = 'error')::int) over
+    (partition by user_id % 50 order by ts, event_id rows between unbounded preceding and 1 preceding), 0) as before from events) where before < 10""")
+def stateful_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """The event table in four deliveries, each with repeats of the one before and each met by a restarted stream."""
+    root = _new(spark, "limited")
+    rows = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 50).alias("source"), "event_type")
+    part = F.floor((F.dayofmonth("ts") - 1) / 8)
+    for n in range(4):
+        rows.where((part == n) | ((part == n - 1) & (F.col("event_id") % 10 == 0))).write.mode("append").parquet(f"{root}/in")
+        stream = ingest.read_files(spark, f"{root}/in", rows.schema, files=1_000)
+        limited.ingest(stream, f"{root}/out", "event_id", "ts", "source", F.col("event_type") == "error", f"{root}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{root}/out/rows").select("event_id", "source")
+
+
 _TERMS = """select distinct term from (select unnest([w[2], left(w[3], 2), left(w[2], 1) || '.', w[2] || ' ' || w[3]]) as term
     from (select string_split(lower(text), ' ') as w from benchmark where item_id % 20 = 0))"""
 

@@ -2,10 +2,12 @@
 
 Each batch of texts is a slice. Its texts are cut into chunks (an optional space and what follows up to the next
 white space, or white space alone), the chunks into the pattern's pieces, and the distinct pieces that are new to
-the task are encoded together: an inverted index holds the positions of every mergeable pair by rank, and the merges
-are replayed in rank order over all pieces at once. A merge looks only at the pairs to its left and right. Pieces of up
-to LONG bytes have the index in arrays, sorted by piece; longer ones have it in lists by rank, with a heap of ranks
-over one linked list, so a piece of n bytes costs n log n. Ids, their decimal form and the decoded bytes of a chunk are kept for a
+the task are encoded together. A merge looks only at the pairs to its left and right. Pieces of up to LONG bytes, the
+main path, have their pairs' positions in arrays, sorted by piece: each round merges every piece's own lowest rank, so
+one piece doesn't wait for lower ranks of others (an exit from rank order over all pieces; ids are the same, the README
+has figures). Longer pieces have an inverted index from pair to positions, by rank, with a heap of ranks over one linked
+list, and are replayed in rank order all at once, so a piece of n bytes costs n log n. Ids, their decimal form and the
+decoded bytes of a chunk are kept for a
 bounded number of chunks, so frequent chunks cost a look-up. Every text is a row; nothing is shuffled or gathered."""
 
 from __future__ import annotations

@@ -160,66 +160,83 @@ def cross_source_pairs(df: DataFrame, threshold: float = 90, key: str = "media_i
     return met.withColumn("similarity", sim).where(F.col("similarity") >= threshold).select(F.col("ka").alias("a"), F.col("kb").alias("b"), "similarity")
 
 
-def replay(rows: list[tuple], edges: set[tuple]) -> set:
-    """Keys that the sequential rule removes. rows: (key, source, score) in order; edges: matching (earlier, later) pairs.
-
-    A record that loses to a later one goes on removing later ones in its turn, as the rule has it."""
-    place = {s: k for k, s in enumerate(PRIORITY)}
-    later: dict = {}
-    info = {r[0]: r for r in rows}
-    for a, b in edges:
-        later.setdefault(a, []).append(b)
-    order = {r[0]: k for k, r in enumerate(rows)}
-    removed: set = set()
-    for key, source, score in rows:
-        if key in removed:
+def replay(heads: list[tuple], links: list[tuple]) -> list:
+    """Keys that the sequential rule keeps. heads: (key, class, (priority, -score)) in order of key, links: pairs of classes.
+
+    A record acts at its turn if no earlier acting record of its class or a linked one is as good; it stays if none of
+    theirs that is better comes later and is still there. A record that loses to a later one goes on removing later
+    ones in its turn, as the rule has it. Work and memory grow with heads times links of their class, not with pairs."""
+    near: dict = {c: {c} for _, c, _ in heads}
+    for a, b in links:
+        near[a].add(b)
+        near[b].add(a)
+    last = {c: (n, rank) for n, (_, c, rank) in enumerate(heads)}  # a class's best record is the last of its heads
+    best: dict = {}  # of the records that have acted in the class or beside it
+    kept = []
+    for n, (key, c, rank) in enumerate(heads):
+        if c in best and best[c] <= rank:
             continue
-        for other in sorted(later.get(key, ()), key=order.__getitem__):
-            if other in removed:
-                continue
-            _, source_b, score_b = info[other]
-            pa, pb = (place.get((s or "unknown").lower(), len(place)) for s in (source, source_b))
-            first = (score or 0) >= (score_b or 0) if source == source_b or pa == pb else pa < pb
-            removed.add(other if first else key)
-    return removed
+        for d in near[c]:
+            best[d] = min(best.get(d, rank), rank)
+        if not any(last[d][0] > n and last[d][1] < min(rank, best[d]) for d in near[c]):
+            kept.append(key)
+    return kept
 
 
-def cross_source_dedup(df: DataFrame, threshold: float = 90, key: str = "media_id") -> DataFrame:
-    """Rows that the cross-source rule keeps, replayed in order of key within each component of matching records.
+#: Into so many parts a class is dealt before its heads are found.
+DEALT = 64
+
+
+def _heads(rows: DataFrame) -> DataFrame:
+    """Rows (key, class, rank) that are better than all earlier ones of their class.
 
-    Records of different components never meet, so the replay of a component is that of the whole. Of records alike in
-    title, media type, year, priority of source and score the first stands for all: whatever removes it removes them,
-    and else it does itself, before their turn. So many copies of a title make no pairs among themselves. A null media
-    type or source is 'unknown'. df has key, title, media_type, source, score, release_date, and metadata.year if any."""
+    What isn't so among a part of a class isn't among all of it, so large classes are first thinned out in parts."""
+    for by in (["class", F.pmod(F.xxhash64("key"), F.lit(DEALT))], ["class"]):
+        before = Window.partitionBy(*by).orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.withColumn("before", F.min("rank").over(before)).where("before is null or rank < before").drop("before")
+    return rows
+
+
+def cross_source_dedup(df: DataFrame, threshold: float = 90, key: str = "media_id") -> DataFrame:
+    """Rows that the cross-source rule keeps, as if each record in order of key met all later ones.
+
+    Records alike in title, media type and year are a class: all of them match one another, and whatever matches one
+    matches all, so classes are linked, never records. Which of two records stays is an order (priority of source, then
+    score; the earlier of equals). Of a class without links the best stays, by an aggregate. Of a linked one only heads
+    count, records better than all earlier ones of the class: any other is removed before its turn, by what is there
+    when its head is or by its head. A component's heads are replayed by one task; they are few unless scores rise with keys. A
+    null media type or source is 'unknown', a null score 0. Rows without title or key stay. df has key, title,
+    media_type, source, score, release_date, and metadata.year if any."""
     fallback = F.col("metadata.year") if "metadata" in df.columns else F.lit(None).cast("int")
-    rows = df.withColumns({"media_type": F.coalesce("media_type", F.lit("unknown")), "source": F.coalesce("source", F.lit("unknown")), "_year": year_of(F.col("release_date"), fallback)})
-    titled = rows.where("title is not null and title <> ''")
-    alike = [F.lower("title"), F.col("media_type"), F.col("_year"), source_priority(F.col("source")), F.coalesce("score", F.lit(0.0))]
-    heads = cut(titled.groupBy(*(c.alias(f"_{k}") for k, c in enumerate(alike))).agg(F.min(key).alias("key")).select("key"))
-    copies = titled.join(heads, titled[key] == heads["key"], "left_anti").select(F.col(key).alias("key"))
-    rows = titled.join(heads, titled[key] == heads["key"], "left_semi")
-    edges = cut(cross_source_pairs(rows, threshold, key))
-    if edges.isEmpty():
-        return df.join(copies, df[key] == copies["key"], "left_anti")
-    # keys may be texts: components are found by hashes, and two that share one are replayed together all the same
-    found = cut(connected_components(edges.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))))
-    ends = edges.join(found, F.xxhash64("a") == found["node"]).select("root", "a", "b")
-    keys = edges.select(F.col("a").alias("key")).unionByName(edges.select(F.col("b").alias("key"))).distinct()
-    roots = keys.join(found, F.xxhash64("key") == found["node"]).select("key", "root")
-    kind = df.schema[key].dataType.simpleString()
-
-    def run(nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        nodes = nodes.sort_values("key")
-        scores = [None if pd.isna(s) else s for s in nodes["score"]]
-        gone = replay(list(zip(nodes["key"], nodes["source"], scores, strict=True)), set(zip(links["a"], links["b"], strict=True)))
-        return pd.DataFrame({"key": [k for k in nodes["key"] if k in gone]})
-
-    roots = roots.toDF(*roots.columns)
-    nodes = roots.join(rows.select(F.col(key).alias("key"), "source", "score"), "key")
-    nodes, ends = (x.toDF(*x.columns) for x in (nodes, ends))  # both have columns of the same tables
-    gone = nodes.groupBy("root").cogroup(ends.groupBy("root")).applyInPandas(run, f"key {kind}")
-    gone = gone.unionByName(copies)
-    return df.join(gone, df[key] == gone["key"], "left_anti")
+    kind = F.coalesce("media_type", F.lit("unknown"))
+    titled = df.where(F.col("title").isNotNull() & (F.col("title") != "") & F.col(key).isNotNull()).select(
+        F.col(key).alias("key"), F.lower("title").alias("title"), kind.alias("media_type"), year_of(F.col("release_date"), fallback).alias("_year"),
+        F.struct(source_priority(F.coalesce("source", F.lit("unknown"))).alias("p"), (-F.coalesce("score", F.lit(0.0))).alias("s")).alias("rank"),
+    )
+    alike = ["title", "media_type", "_year"]
+    classes = cut(titled.groupBy(*alike).agg(F.min("key").alias("class"), F.min(F.struct("rank", "key")).alias("best")))
+    links = cut(cross_source_pairs(classes, threshold, "class"))
+    linked = cut(links.select(F.explode(F.array("a", "b")).alias("class")).distinct())
+    kept = classes.join(linked, "class", "left_anti").select(F.col("best.key").alias("key"))
+    if not linked.isEmpty():
+        # keys may be texts: components are found by hashes, and two that share one are replayed together all the same
+        found = cut(connected_components(links.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))))
+        ends = links.join(found, F.xxhash64("a") == found["node"]).select("root", "a", "b")
+        roots = linked.join(found, F.xxhash64("class") == found["node"]).select("class", "root")
+        named = classes.select("class", *(F.col(c).alias(f"_{c}") for c in alike)).join(roots, "class")
+        same = [titled[c].eqNullSafe(named[f"_{c}"]) for c in alike]
+        members = titled.join(named, same[0] & same[1] & same[2]).select("key", "class", "rank", "root")
+        nodes = cut(_heads(members).select("root", "key", "class", "rank.p", "rank.s"))
+
+        def run(nodes: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
+            nodes = nodes.sort_values("key")
+            heads = list(zip(nodes["key"], nodes["class"], zip(nodes["p"], nodes["s"], strict=True), strict=True))
+            return pd.DataFrame({"key": replay(heads, list(zip(ends["a"], ends["b"], strict=True)))}, dtype=nodes["key"].dtype)
+
+        nodes, ends = (x.toDF(*x.columns) for x in (nodes, ends))  # both have columns of the same tables
+        kept = kept.unionByName(nodes.groupBy("root").cogroup(ends.groupBy("root")).applyInPandas(run, f"key {df.schema[key].dataType.simpleString()}"))
+    gone = titled.select("key").join(kept, "key", "left_anti").select(F.col("key").alias("__gone"))
+    return df.join(gone, df[key] == gone["__gone"], "left_anti")
 
 
 def merge_datasets(df: DataFrame, percent: int = 90, threshold: float = 90) -> DataFrame:

@@ -459,31 +459,66 @@ def test_fuzzy_dedup_equals_the_greedy_loop(spark):
     assert sorted(r["media_id"] for r in got.collect()) == sorted(r[0] for r in rows if r[0] not in gone)
 
 
-def test_cross_source_equals_the_sequential_rule(spark):
-    rng = random.Random(5)
-    rows = [(k, x, rng.choice(["tv", "movie", None]), rng.choice(["mal", "tmdb", "mangadex", "odd", None]), rng.choice([None, 1.0, 2.0]), rng.choice(["2000-01", "2001", "2002", None])) for k, x in enumerate([*titles(6, 90), *["Untitled", "untitled"] * 30, "", "", None])]
+def sequential(rows):
+    """Ids that the cross-source rule keeps of rows (id, title, type, source, score, date), in order, each against all later ones."""
     place = {"mal": 0, "tmdb": 1, "mangadex": 2}
     gone = set()
     for i, a in enumerate(rows):
         if a[0] in gone:
             continue
         for b in rows[i + 1 :]:
-            if b[0] in gone or (a[2] or "unknown") != (b[2] or "unknown"):
-                continue
-            title = similarity.title_similarity(a[1], b[1])
-            if not a[1] or not b[1]:
+            if b[0] in gone or (a[2] or "unknown") != (b[2] or "unknown") or not a[1] or not b[1]:
                 continue
+            title = 100 if a[1].lower() == b[1].lower() else similarity.title_similarity(a[1], b[1])
             if a[5] and b[5]:
-                title = 0.7 * title + 0.3 * {0: 100, 1: 80, 2: 50}[abs(int(a[5][:4]) - int(b[5][:4]))]
+                title = 0.7 * title + 0.3 * {0: 100, 1: 80, 2: 50}.get(abs(int(a[5][:4]) - int(b[5][:4])), 0)
             if title >= 90:
                 pa, pb = place.get(a[3], 3), place.get(b[3], 3)
                 gone.add(b[0] if (pa < pb if pa != pb else (a[4] or 0) >= (b[4] or 0)) else a[0])
-    kinds = "title string, media_type string, source string, score double, release_date string"
-    got = dedup.cross_source_dedup(spark.createDataFrame(rows, f"media_id int, {kinds}"))
-    assert sorted(r["media_id"] for r in got.collect()) == [r[0] for r in rows if r[0] not in gone]
+    return [r[0] for r in rows if r[0] not in gone]
+
+
+RECORD = "title string, media_type string, source string, score double, release_date string"
+
+
+@pytest.mark.parametrize("seed", [5, 6, 7])
+def test_cross_source_equals_the_sequential_rule(spark, seed):
+    rng = random.Random(seed)
+    rows = [(k, x, rng.choice(["tv", "movie", None]), rng.choice(["mal", "tmdb", "mangadex", "odd", None]), rng.choice([None, 1.0, 2.0, 3.0, 4.0]), rng.choice(["2000-01", "2001", "2002", None])) for k, x in enumerate([*titles(6, 90), *["Untitled", "untitled"] * 30, *["Untitled 2"] * 20, "", "", None])]
+    got = dedup.cross_source_dedup(spark.createDataFrame(rows, f"media_id int, {RECORD}"))
+    assert sorted(r["media_id"] for r in got.collect()) == sequential(rows)
     named = [(f"tv-{k:05d}", *r) for k, *r in rows]
-    got = dedup.cross_source_dedup(spark.createDataFrame(named, f"media_id string, {kinds}"))
-    assert sorted(r["media_id"] for r in got.collect()) == [f"tv-{r[0]:05d}" for r in rows if r[0] not in gone]
+    got = dedup.cross_source_dedup(spark.createDataFrame(named, f"media_id string, {RECORD}"))
+    assert sorted(r["media_id"] for r in got.collect()) == sequential(named)
+
+
+@pytest.mark.parametrize("rising", [False, True])
+def test_equal_titles_make_no_pairs(spark, rising):
+    """20,000 records of one title with different scores, linked with another title: a pair of each would be 2 * 10**8."""
+    spread = [(k, "The long way home" if k % 2 else "The long way home!", "tv", "mal", float(k if rising else k * 7919 % 20_011), "2001") for k in range(20_000)]
+    got = dedup.cross_source_dedup(spark.createDataFrame(spread, f"media_id int, {RECORD}"))
+    assert [r["media_id"] for r in got.collect()] == [max(spread, key=lambda r: (r[4], -r[0]))[0]]
+    few = [(*r[:4], r[4] % 97, *r[5:]) for r in spread[:400]]
+    got = dedup.cross_source_dedup(spark.createDataFrame(few, f"media_id int, {RECORD}"))
+    assert sorted(r["media_id"] for r in got.collect()) == sequential(few)
+
+
+def test_replay_equals_the_rule_on_random_graphs():
+    """Heads alone against all records, on graphs of classes that aren't transitive."""
+    for seed in range(300):
+        rng = random.Random(seed)
+        n = rng.randint(1, 6)
+        links = [(a, b) for a in range(n) for b in range(a) if rng.random() < 0.4]
+        rows = [(k, rng.randrange(n), (rng.randrange(2), rng.randrange(4))) for k in range(25)]
+        match = {*links, *((b, a) for a, b in links), *((a, a) for a in range(n))}
+        gone = set()
+        for i, a in enumerate(rows):
+            for b in rows[i + 1 :] if a[0] not in gone else []:
+                if b[0] not in gone and (a[1], b[1]) in match:
+                    gone.add(b[0] if a[2] <= b[2] else a[0])
+        heads = [r for k, r in enumerate(rows) if all(q[2] > r[2] for q in rows[:k] if q[1] == r[1])]
+        present = {c for _, c, _ in heads}
+        assert dedup.replay(heads, [x for x in links if {*x} <= present]) == [r[0] for r in rows if r[0] not in gone]
 
 
 @pytest.mark.parametrize(("apart", "least"), [(0, 86), (1, 95), (2, 108), (None, 90)])

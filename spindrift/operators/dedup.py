@@ -7,6 +7,7 @@ the replay runs on the matching pairs alone."""
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -43,6 +44,20 @@ def _least_lengths(spoilt: float) -> dict[int, int]:
     return {q: math.ceil(q / (1 - q * spoilt)) + 1 for q in range(2, GRAM + 1) if q * spoilt < 1}
 
 
+#: Longs of a title's character counts, each of eight counts of up to eight.
+COUNTS = 4
+
+
+def _counts(named: DataFrame) -> DataFrame:
+    """(id, c0, c1, ...): how often characters of each code modulo 8 * COUNTS occur, each count as so many of eight bits.
+
+    An insertion or deletion changes one count by one, so as many bits as two titles differ in part them at least."""
+    code = F.pmod(F.ascii("char"), F.lit(8 * COUNTS))
+    times = named.select("id", F.explode(F.split("title", "")).alias("char")).groupBy("id", code.alias("code")).agg(F.least(F.count("*"), F.lit(8)).cast("int").alias("times"))
+    bits = F.expr("shiftleft(shiftleft(1L, times) - 1, cast(8 * (code % 8) as int))")
+    return times.groupBy("id").agg(*(F.coalesce(F.bit_or(F.when(F.floor(F.col("code") / 8) == k, bits)), F.lit(0)).alias(f"c{k}") for k in range(COUNTS)))
+
+
 def title_pairs(titles: DataFrame, percent: int = 90) -> DataFrame:
     """titles (title), distinct and not null, to (a, b, ratio), a < b, of those whose ratio reaches the percent. No pair is lost.
 
@@ -50,8 +65,8 @@ def title_pairs(titles: DataFrame, percent: int = 90) -> DataFrame:
     titles, each of which spoils q of a side's grams of q characters at most. So among a title's rarest q d + 1 grams, d
     the most that it can be apart from any match, is one that the other has among its own. Longer grams are rarer, so
     each length has the longest that leave some unspoilt; a pair goes by its shorter title's, and a title whose shorter
-    matches have others gives both kinds. Pairs, of ids, go on by length and then, with their titles, by the bounded
-    Levenshtein distance, which is no larger than d; what is left is measured."""
+    matches have others gives both kinds. Pairs, of ids, go on by length and by their counts of characters, and then, with
+    their titles, by the bounded Levenshtein distance, which is no larger than d; what is left is measured."""
     slack = (100 - percent + 0.5) / 100
     titles = titles.select("title")
     most = slack * (1 + (1 + slack) / (1 - slack))  # of a title's length, apart from the longest title that can match
@@ -75,9 +90,12 @@ def title_pairs(titles: DataFrame, percent: int = 90) -> DataFrame:
     counts = grams.groupBy("gram", "nth").agg(F.count("*").alias("of"))
     w = Window.partitionBy("id", "q").orderBy("of", "gram", "nth")
     first = grams.join(counts, ["gram", "nth"]).withColumn("place", F.row_number().over(w)).where(F.col("place") <= q * F.col("d") + 1)
-    first = cut(first.select("gram", "nth", "id", "n"))
-    left, right = first.withColumnsRenamed({"id": "x", "n": "nx"}), first.withColumnsRenamed({"id": "y", "n": "ny"})
-    near = (F.col("x") < F.col("y")) & (F.abs(F.col("nx") - F.col("ny")) <= slack * (F.col("nx") + F.col("ny")))
+    counted = [f"c{k}" for k in range(COUNTS)]
+    first = cut(first.select("gram", "nth", "id", "n").join(_counts(named), "id"))
+    left, right = (first.withColumnsRenamed({c: f"{c}{side}" for c in ("n", *counted)} | {"id": side}) for side in ("x", "y"))
+    apart = reduce(Column.__add__, [F.bit_count(F.col(f"{c}x").bitwiseXOR(F.col(f"{c}y"))) for c in counted])
+    most_apart = slack * (F.col("nx") + F.col("ny"))
+    near = (F.col("x") < F.col("y")) & (F.abs(F.col("nx") - F.col("ny")) <= most_apart) & (apart <= most_apart)
     met = left.join(right, ["gram", "nth"]).where(near).select("x", "y").distinct()
     pairs = met.join(named.select(F.col("id").alias("x"), F.col("title").alias("tx")), "x").join(named.select(F.col("id").alias("y"), F.col("title").alias("ty")), "y")
     pairs = pairs.select(F.least("tx", "ty").alias("a"), F.greatest("tx", "ty").alias("b"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.functions import similarity, text
-from spindrift.operators import dedup, eda, filters, keyed, keywords, neighbours, paging, quality, ranking, recommend, vectors
+from spindrift.operators import dedup, eda, filters, intent, keyed, keywords, neighbours, paging, quality, ranking, recommend, vectors
 from spindrift.operators.cache import ResultCache
 from spindrift.sources import normalize, readers, schema
 from spindrift.storage import shared_dir
@@ -304,11 +304,45 @@ def search_semantic(spark: SparkSession, d: str) -> DataFrame:
     return rounded(recommend.search(table(spark, d, "embeddings"), items(spark, d), "ring", asked, 6, 4), "score")
 
 
-@query("select 'red ring' as search_terms, 0::bigint as genres, null::double as min_score, null as media_type")
+_ASKED = ITEMS + f""", asked as (select media_id as query_id, [title || ', finished, rated above ' || media_id % 11 || '.5 since ' || (1990 + media_id % 30), 'Some ' || title || ' of ' || lower(media_type) || ' type before ' || (1995 + media_id % 20),
+        'on hiatus and like ' || title || ': over ' || media_id % 13, title || ' from Mars in ' || (1990 + media_id % 30), null][media_id % 5 + 1] as text from items),
+    g as (select query_id, text, lower(coalesce(text, '')) as l from asked),
+    w as (select *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(l, 'rated above [0-9.]+|over [0-9]+', '|'), '(since|before|in) [0-9]+', '|'), '(economy|large|medium|promo|small|standard) type', '|'), 'finished|on hiatus', '|') as rest from g),
+    t as (select *, list_filter(regexp_extract_all(rest, '[a-z0-9]+'), lambda x: not list_contains({list(intent.FILLER)}, x)) as words from w),
+    s as (select *, case when l like '%rated above%' then regexp_extract(l, 'rated above ([0-9.]+)', 1)::double when l like '%over %' then regexp_extract(l, 'over ([0-9]+)', 1)::double end as score,
+        try_cast(regexp_extract(l, 'in ([0-9]+)$', 1) as int) as within, try_cast(regexp_extract(l, 'since ([0-9]+)', 1) as int) as since, try_cast(regexp_extract(l, 'before ([0-9]+)', 1) as int) as before from t),
+    known as (select list(distinct x) as known from (select unnest(genres) as x from items)),
+    intents as (select query_id, text, array_to_string(list_filter(words, lambda x: not list_contains(known, x)), ' ') as search_terms, list_sort(list_distinct(list_filter(words, lambda x: list_contains(known, x)))) as genres,
+        nullif(upper(regexp_extract(l, '([a-z]+) type', 1)), '') as media_type, case when l like '%finished%' then 'finished_airing' when l like '%on hiatus%' then 'On_Hiatus' end as status,
+        case when score <= 10 then score end as min_score, coalesce(since, within) as year_from, coalesce(before - 1, within) as year_to from s, known) """
+
+
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    """A text query a record, made of its columns."""
+    n = F.col("media_id")
+    texts = [
+        F.concat("title", F.lit(", finished, rated above "), n % 11, F.lit(".5 since "), 1990 + n % 30), F.concat(F.lit("Some "), "title", F.lit(" of "), F.lower("media_type"), F.lit(" type before "), 1995 + n % 20),
+        F.concat(F.lit("on hiatus and like "), "title", F.lit(": over "), n % 13), F.concat("title", F.lit(" from Mars in "), 1990 + n % 30),
+    ]
+    return items(spark, d).select(n.alias("query_id"), F.get(F.array(*texts), (n % 5).cast("int")).alias("text"))
+
+
+def _intents(spark: SparkSession, d: str) -> DataFrame:
+    short = spark.createDataFrame([("finished", "status", "finished_airing"), ("completed", "status", "finished_airing"), ("ongoing", "status", "currently_airing"), ("airing", "status", "currently_airing")], "phrase string, kind string, value string")
+    return intent.intents(_asked(spark, d), intent.lexicon(items(spark, d), short))
+
+
+@query(_ASKED + "select query_id, search_terms, array_to_string(genres, '|') as genres, media_type, status, min_score, year_from, year_to from intents")
 def query_intent(spark: SparkSession, d: str) -> DataFrame:
-    intent = recommend.interpret("red ring")
-    row = (intent["search_terms"], len(intent["genres"]), intent["min_score"], intent["media_type"])
-    return spark.createDataFrame([row], "search_terms string, genres long, min_score double, media_type string")
+    return _intents(spark, d).drop("text").withColumn("genres", F.array_join("genres", "|"))
+
+
+@query(_ASKED + """, asks as (select distinct genres as g, media_type as m, status as st, min_score as ms, year_from as yf, year_to as yt from intents),
+    met as (select asks.*, i.media_id, i.title, row_number() over (partition by g, m, st, ms, yf, yt order by i.score desc nulls last, i.media_id) as place from asks join items i on list_has_all(i.genres, g) and (m is null or i.media_type = m)
+        and (st is null or i.status = st) and (ms is null or i.score >= ms) and (yf is null or i.release_date[:4]::int >= yf) and (yt is null or i.release_date[:4]::int <= yt) qualify place <= 5)
+    select query_id, place, media_id, title from intents join met on genres = g and media_type is not distinct from m and status is not distinct from st and min_score is not distinct from ms and year_from is not distinct from yf and year_to is not distinct from yt""")
+def intent_search(spark: SparkSession, d: str) -> DataFrame:
+    return intent.search(_intents(spark, d), items(spark, d)).drop("text")
 
 
 @query(ITEMS + "select media_id, title, score from items where media_id = 12")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from spindrift.functions.text import valid_url
 
+from .ranking import running
+
 ALLOWED_TYPES = ("anime", "manga", "movie", "tv", "novel")
 CORE = ("title", "synopsis", "genres", "score", "main_picture")
 
@@ -50,11 +52,23 @@ def shares(df: DataFrame, column: str) -> DataFrame:
     return counts.crossJoin(F.broadcast(total)).select("value", "count", F.round(100 * F.col("count") / F.col("total"), 4).alias("percent"))  # total is one row
 
 
+def median(df: DataFrame, column: str) -> DataFrame:
+    """(median), one row, exact: counts by value are summed up in order, by ranges, so no task has all values. Null without values."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("c"))
+    total = counts.agg(F.sum("c").alias("n"))  # one row
+    placed = running(counts, [F.asc("v")], F.sum, "c", "upto").crossJoin(F.broadcast(total))
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("upto") >= place) & (F.col("upto") - F.col("c") < place), F.col("v")))
+
+    return placed.agg(((at(F.floor((F.col("n") + 1) / 2)) + at(F.floor(F.col("n") / 2) + 1)) / 2).alias("median"))
+
+
 def score_stats(df: DataFrame) -> DataFrame:
-    return df.agg(
-        F.count("score").alias("scored"), F.avg("score").alias("mean"), F.median("score").alias("median"), F.min("score").alias("low"),
-        F.max("score").alias("high"), F.avg(F.length("synopsis")).alias("synopsis_length"),
+    main = df.agg(
+        F.count("score").alias("scored"), F.avg("score").alias("mean"), F.min("score").alias("low"), F.max("score").alias("high"), F.avg(F.length("synopsis")).alias("synopsis_length"),
     )
+    return main.crossJoin(F.broadcast(median(df, "score")))  # each side is one row
 
 
 def duplicate_members(df: DataFrame, key: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.functions import similarity, text
-from spindrift.operators import dedup, eda, filters, intent, keyed, keywords, neighbours, paging, quality, ranking, recommend, vectors
+from spindrift.operators import dedup, eda, filters, intent, keyed, keywords, neighbours, paging, quality, ranking, recommend, sketches, vectors
 from spindrift.operators.cache import ResultCache
 from spindrift.sources import normalize, readers, schema
 from spindrift.storage import shared_dir
@@ -497,3 +497,23 @@ def background_index(spark: SparkSession, d: str) -> DataFrame:
     job.wait()
     state = job.status()
     return spark.createDataFrame([(state["name"], state["state"], vectors.count(spark, path))], "name string, state string, vectors long")
+
+
+_MAGNITUDE = "floor(abs(value) * 1000 + 0.5)::bigint"
+_HEX = "('0x' || substr(md5(user_id::varchar), {}, {}))::bigint"
+
+
+@query(f"""with e as (select event_type as source, {_MAGNITUDE} as m, value < 0 as minus, {_HEX.format(1, 3)} as register, {_HEX.format(4, 8)} as rest from events where ts >= timestamp '2024-01-08' and ts < timestamp '2024-01-22'),
+    b as (select *, greatest(length(bin(m)) - 8, 0) as shift from e), v as (select source, case when minus then -1 else 1 end * ((m >> shift << shift) + ((1::bigint << shift) - 1) / 2) / 1000 as v from b where m is not null),
+    q as (select source, count(*) as filled, round(quantile_disc(v, 0.5), 6) as median, round(quantile_disc(v, 0.9), 6) as high from v group by 1), r as (select source, count(*) as records from e group by 1),
+    t as (select source, register, max(case when rest = 0 then 33 else 33 - length(bin(rest)) end) as top from e where register is not null group by 1, 2), s as (select source, 4096 - count(*) as empty, sum(pow(2.0, -top)) as total from t group by 1),
+    d as (select source, empty, 0.7213 / (1 + 1.079 / 4096) * 4096 * 4096 / (total + empty) as raw from s)
+    select source, 'value' as field, records, filled, median, high, null::bigint as distinct_values from q join r using (source)
+    union all select source, 'user_id', records, null, null, null, round(case when raw <= 2.5 * 4096 and empty > 0 then 4096 * ln(4096 / empty) else raw end)::bigint from d join r using (source)""")
+def sketched_report(spark: SparkSession, d: str) -> DataFrame:
+    """Two weeks of the events, from sketches kept a type and day."""
+    folder = _new(spark, "sketches")
+    rows = table(spark, d, "events").select(F.col("event_type").alias("source"), F.date_format("ts", "yyyy-MM-dd").alias("day"), "value", "user_id")
+    sketches.keep(sketches.sketch(rows, ["source", "day"], ["value"], ["user_id"]), folder)
+    out = sketches.report(spark, folder, ["source"], {"median": 0.5, "high": 0.9}, "2024-01-08", "2024-01-21")
+    return out.withColumns({"median": F.round("median", 6), "high": F.round("high", 6)}).withColumnRenamed("distinct", "distinct_values")

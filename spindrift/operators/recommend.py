@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.functions.taxonomy import jaccard
+from spindrift.storage import cut
 
 from .filters import keyword, payload
 from .vectors import nearest
@@ -148,21 +151,52 @@ def toggled(watched: DataFrame, items: DataFrame, key: str = "media_id", order:
     return added.unionByName(kept)
 
 
-def scaled_neighbours(df: DataFrame, key: str, numbers: list[str], category: str, queries: list, k: int = 15, metric: str = "euclidean") -> DataFrame:
-    """(query_id, key, score, place): each query item's k nearest by scaled numbers and a 0/1 column a category.
+#: Query items and items that one call holds against each other (some 32 MB of distances).
+ASKED, HELD = 512, 8_192
+
 
-    metric is euclidean, or hamming: the share of columns that differ. The few query items are a join's small side, and
-    k rows a query leave each task."""
-    from spindrift.functions.similarity import euclidean, hamming
+def scaled_neighbours(df: DataFrame, key: str, numbers: list[str], category: str, queries: Column | list, k: int = 15, metric: str = "euclidean") -> DataFrame:
+    """(query_id, key, score, place): each query item's k nearest by scaled numbers and a 0/1 column a category.
 
+    queries tells the query items, as a condition or a list of ids; there may be any number. metric is euclidean, or
+    hamming: the share of columns that differ. Blocks of queries meet blocks of items, k rows a query leave each pair of
+    blocks. Scores are equal to nine places; of equal ones the smaller key is nearer. A null number is the mean; rows without
+    a key take no part."""
     from .ranking import top_per
     from .vectors import standard_scale
 
-    filled = df.select(key, category, *(F.col(c).cast("double").alias(c) for c in numbers))
+    filled = df.where(F.col(key).isNotNull()).select(key, category, *(F.col(c).cast("double").alias(c) for c in numbers))
     kinds = [r[0] for r in filled.select(category).distinct().where(F.col(category).isNotNull()).orderBy(category).collect()]
     flags = [F.when(F.col(category) == x, 1.0).otherwise(0.0) for x in kinds]
-    rows = standard_scale(filled, numbers).select(key, F.array(*(F.coalesce(F.col(c), F.lit(0.0)) for c in numbers), *flags).alias("v"))
-    asked = rows.where(F.col(key).isin(*queries)).select(F.col(key).alias("query_id"), F.col("v").alias("q"))
-    pairs = rows.join(F.broadcast(asked), F.col(key) != F.col("query_id"))  # as many rows as queries were given
-    measure = euclidean(F.col("v"), F.col("q")) if metric == "euclidean" else hamming(F.col("v"), F.col("q"))
-    return top_per(pairs.select("query_id", key, measure.alias("score")), "query_id", [F.asc("score"), F.asc(key)], k)
+    scaled = standard_scale(filled, numbers).select(key, F.array(*(F.coalesce(F.col(c), F.lit(0.0)) for c in numbers), *flags).alias("v"))
+    rows = cut(scaled)
+    asked = rows.where(queries if isinstance(queries, Column) else F.col(key).isin(*queries))
+    sizes = {"i": asked.count() // ASKED + 1, "j": rows.count() // HELD + 1}
+
+    def dealt(part: DataFrame, own: str, other: str) -> DataFrame:
+        """Each row in one block of its own side, and so once for every block of the other."""
+        return part.select(key, "v", F.pmod(F.xxhash64(key), F.lit(sizes[own])).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(sizes[other] - 1).cast("long"))).alias(other))
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"query_id": left[key][:0], key: right[key][:0], "score": np.empty(0)})
+        right = right.sort_values(key, ignore_index=True)
+        q, v = np.stack(left["v"]), np.stack(right["v"])
+        score = np.zeros((len(q), len(v)))
+        for c in range(q.shape[1]):  # a column at a time: no three-dimensional array
+            apart = q[:, c, None] - v[None, :, c]
+            score += apart**2 if metric == "euclidean" else apart != 0
+        score = np.round(np.sqrt(score) if metric == "euclidean" else score / q.shape[1], 9)
+        found = []
+        for n, own in enumerate(left[key]):
+            score[n, (right[key] == own).to_numpy()] = np.inf
+            order = np.argsort(score[n], kind="stable")[:k]  # rows are in order of key
+            order = order[np.isfinite(score[n, order])]
+            found.append(pd.DataFrame({"query_id": own, key: right[key].to_numpy()[order], "score": score[n, order]}))
+        return pd.concat(found, ignore_index=True).astype({"query_id": left[key].dtype, key: right[key].dtype})
+
+    kind = df.schema[key].dataType.simpleString()
+    left, right = dealt(asked, "i", "j"), dealt(rows, "j", "i")
+    left, right = (x.toDF(*x.columns) for x in (left, right))  # both have columns of the same table
+    met = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(best, f"query_id {kind}, `{key}` {kind}, score double")
+    return top_per(met, "query_id", [F.asc("score"), F.asc(key)], k)

@@ -2,13 +2,14 @@
 
 Each rule is about a rate: a count by a length, as an integer (thousandths, or hundredths of a code point). A quantile
 sketch of each rate is kept per language and source: counts of values by their BITS highest bits, so a quantile is
-within a 64th of its value. Sketches merge by adding counts, and are the same whatever the order of rows. A group of
-under SMALL documents takes its language's sketch, which is its sources' merged, and if that is as small the sketch of
-all, so each group has thresholds of its own as far as it has documents to tell them by.
+within a 64th of its value. Sketches merge by adding counts, and are the same whatever the order of rows; a language's
+is its sources' merged. Each quantile of a group is weighed by the group's documents against PRIOR documents of its
+language, whose quantile is weighed in the same way against that of all, so no group's size switches anything.
 
-A threshold is as far beyond the rule's quantile as that is from the median: 2 * quantile - median. Nothing else bounds
-it; in a group where the quantile of a rate is 0, any count is too many. A short text's rate is off by chance, so a
-document fails only if it is beyond the threshold by more than the rule's slack, in counts."""
+An upper threshold is the rule's quantile of all the group's rates or, where that is lower, the LOW-th percentile of
+those that aren't 0 (weighed against 0 in the end): in a group where nearly no document has symbols, a document may have
+fewer than those few that do. A short text's rate is off by chance, so a document fails if its count is beyond the
+threshold's by more than the square root of that, an interval that shrinks, as a rate, with the text's length."""
 
 from __future__ import annotations
 
@@ -20,19 +21,17 @@ from pyspark.sql import functions as F
 from .common import cut, let
 
 LEAST_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5
-SMALL, BITS = 50, 7
+BITS, PRIOR, LOW = 7, 20, 1
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A rate of scale * count / per, the percentage of documents below its quantile (a lower bound if under 50), and
-    the counts that chance may add."""
+    """A rate of scale * count / per, and the percentage of documents below its quantile (a lower bound if under 50)."""
 
     count: str
     per: str
     scale: int
     percent: int
-    slack: int
 
     @property
     def rate(self) -> str:
@@ -41,16 +40,18 @@ class Rule:
     @property
     def inside(self) -> str:
         """SQL of a document that keeps to the bound."""
-        sign, test = ("-", ">=") if self.percent < 50 else ("+", "<=")
-        return f"{self.scale} * {self.count} {test} {{bound}} * {self.per} {sign} {self.scale * self.slack}"
+        beyond = f"{self.scale} * {self.count} - {{bound}} * {self.per}"
+        if self.percent < 50:
+            beyond = f"{{bound}} * {self.per} - {self.scale} * {self.count}"
+        return f"{beyond} <= sqrt(cast({self.scale} * {{bound}} * {self.per} as double))"
 
 
 RULES = {
-    "symbols": Rule("n_symbols", "n_words", 1000, 90, 3),
-    "dup_lines": Rule("n_dup_lines", "n_lines", 1000, 99, 1),
-    "repeats": Rule("n_repeat_words", "n_words", 1000, 99, WINDOW),
-    "long_word": Rule("word_chars", "n_words", 100, 90, 10),
-    "short_word": Rule("word_chars", "n_words", 100, 10, 10),
+    "symbols": Rule("n_symbols", "n_words", 1000, 90),
+    "dup_lines": Rule("n_dup_lines", "n_lines", 1000, 98),
+    "repeats": Rule("n_repeat_words", "n_words", 1000, 99),
+    "long_word": Rule("word_chars", "n_words", 100, 95),
+    "short_word": Rule("word_chars", "n_words", 100, 5),
 }
 _NULL = "\u0000"
 
@@ -105,26 +106,35 @@ def sketches(measured: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "source", "measure", "bucket").agg(F.count("*").alias("c"))
 
 
-def bounds(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """(by, measure, n, bound) of each sketch, after merging those that `by` doesn't tell apart."""
+def quantiles(sketch: DataFrame, by: list[str]) -> DataFrame:
+    """(by, measure, n, edge, some, low) of each sketch, after merging those that `by` doesn't tell apart: its documents
+    and the rule's quantile, those whose rate isn't 0 and their LOW-th percentile (null without any)."""
     merged = sketch.groupBy(*by, "measure", "bucket").agg(F.sum("c").alias("c"))
     group = Window.partitionBy(*by, "measure")
     percent = F.create_map(*(F.lit(x) for k, r in RULES.items() for x in (k, r.percent)))[F.col("measure")]
-    run = merged.withColumns({"n": F.sum("c").over(group), "upto": F.sum("c").over(group.orderBy("bucket")), "percent": percent})
+    sums = {"n": F.sum("c").over(group), "some": F.sum(F.expr("if(bucket > 0, c, 0)")).over(group), "upto": F.sum("c").over(group.orderBy("bucket"))}
+    run = merged.withColumns(sums | {"percent": percent})
     # a bucket's highest value; equal values share a bucket, so those of the quantile itself are inside an upper bound
     top = F.expr(f"bucket + shiftleft(1L, greatest(length(bin(bucket)) - {BITS}, 0)) - 1")
-    reached = F.expr("100 * upto >= percent * n")
-    edge = F.min(F.when(reached, F.when(F.col("percent") < 50, F.col("bucket")).otherwise(top)))
-    middle = F.min(F.when(F.expr("2 * upto >= n"), F.col("bucket")))
-    return run.groupBy(*by, "measure").agg(F.max("n").alias("n"), (2 * edge - middle).alias("bound"))
+    top = F.when((F.col("percent") < 50) | (F.col("bucket") == 0), F.col("bucket")).otherwise(top)
+    edge = F.min(F.when(F.expr("100 * upto >= percent * n"), top))
+    low = F.min(F.when(F.expr(f"bucket > 0 and 100 * (upto - n + some) >= {LOW} * some"), F.col("bucket")))
+    return run.groupBy(*by, "measure").agg(F.max("n").alias("n"), edge.alias("edge"), F.max("some").alias("some"), low.alias("low"))
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
     """(lang, source, measure, bound) for every group of the sketch."""
-    own = bounds(sketch, ["lang", "source"])
-    wide = bounds(sketch, ["lang"]).select("lang", "measure", F.col("n").alias("n_lang"), F.col("bound").alias("b_lang"))
-    whole = bounds(sketch, []).select("measure", F.col("bound").alias("b_all"))
-    bound = F.when(F.col("n") >= SMALL, F.col("bound")).when(F.col("n_lang") >= SMALL, F.col("b_lang")).otherwise(F.col("b_all"))
+    own = quantiles(sketch, ["lang", "source"])
+    wide = quantiles(sketch, ["lang"]).withColumnsRenamed({c: f"{c}_lang" for c in ("n", "edge", "some", "low")})
+    whole = quantiles(sketch, []).withColumnsRenamed({c: f"{c}_all" for c in ("n", "edge", "some", "low")})
+
+    def weighed(n: str, value: str, prior: str) -> str:
+        return f"(({n} * coalesce({value}, 0) + {PRIOR} * {prior}) div ({n} + {PRIOR}))"
+
+    edge = weighed("n", "edge", weighed("n_lang", "edge_lang", "edge_all"))
+    low = weighed("some", "low", weighed("some_lang", "low_lang", weighed("some_all", "low_all", "0")))
+    lower = ", ".join(f"'{k}'" for k, r in RULES.items() if r.percent < 50)
+    bound = F.expr(f"case when measure in ({lower}) then {edge} else greatest({edge}, {low}) end")
     return own.join(wide, ["lang", "measure"]).join(whole, "measure").select("lang", "source", "measure", bound.cast("long").alias("bound"))
 
 

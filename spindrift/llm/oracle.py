@@ -69,19 +69,28 @@ def fingerprints() -> str:
 
 
 def rules() -> str:
-    w, rules_, small = adaptive_rules.WINDOW, adaptive_rules.RULES, adaptive_rules.SMALL
+    w, rules_, prior = adaptive_rules.WINDOW, adaptive_rules.RULES, adaptive_rules.PRIOR
     drop = "greatest(length(bin({0})) - " + str(adaptive_rules.BITS) + ", 0)::int"
     percent = "case measure " + " ".join(f"when '{k}' then {r.percent}" for k, r in rules_.items()) + " end"
     rates = ", ".join(f"{r.scale} * {r.count} // greatest({r.per}, 1) as m_{k}" for k, r in rules_.items())
     verdict = " and ".join(f"coalesce({r.inside.format(bound=f'b.b_{k}')}, true)" for k, r in rules_.items())
 
-    def bound(by: str) -> str:
-        """The bounds of sk's sketches, merged by the columns."""
-        return f"""select {by} measure, max(n) as n,
-            2 * min(case when p < 50 then bucket else bucket + (1::bigint << {drop.format("bucket")}) - 1 end) filter (100 * upto >= p * n) - min(bucket) filter (2 * upto >= n) as bound
-            from (select *, {percent} as p, sum(c) over (partition by {by} measure) as n, sum(c) over (partition by {by} measure order by bucket) as upto
+    lower = ", ".join(f"'{k}'" for k, r in rules_.items() if r.percent < 50)
+
+    def quantiles(by: str) -> str:
+        """Quantiles of sk's sketches, merged by the columns."""
+        return f"""select {by} measure, max(n) as n, max(some_) as some_,
+            min(case when p < 50 or bucket = 0 then bucket else bucket + (1::bigint << {drop.format("bucket")}) - 1 end) filter (100 * upto >= p * n) as edge,
+            coalesce(min(bucket) filter (bucket > 0 and 100 * (upto - n + some_) >= {adaptive_rules.LOW} * some_), 0) as low
+            from (select *, {percent} as p, sum(c) over (partition by {by} measure)::bigint as n, sum(c) over (partition by {by} measure order by bucket)::bigint as upto,
+                      coalesce(sum(c) filter (bucket > 0) over (partition by {by} measure), 0)::bigint as some_
                   from (select {by} measure, bucket, sum(c) as c from sk group by all)) group by all"""
 
+    def weighed(n: str, value: str, before: str) -> str:
+        return f"(({n} * {value} + {prior} * {before}) // ({n} + {prior}))"
+
+    edge = weighed("own.n", "own.edge", weighed("wide.n", "wide.edge", "whole.edge"))
+    low = weighed("own.some_", "own.low", weighed("wide.some_", "wide.low", weighed("whole.some_", "whole.low", "0")))
     return f"""
     with d as (select doc_id, coalesce(text, '') as text, coalesce(lang, chr(1)) as lang, coalesce(source, chr(1)) as source, {_WORDS} as words from documents),
     grams as (select doc_id, unnest(range(1, len(words) - {w - 2})) as i, words from d where len(words) > {w}),
@@ -94,8 +103,8 @@ def rules() -> str:
     m as (select *, n_words < {adaptive_rules.LEAST_WORDS} or 100 * n_repeat_words > {adaptive_rules.REPEAT_PERCENT} * n_words as base_failed, {rates} from base),
     vals as (select lang, source, unnest({list(rules_)}) as measure, unnest([{', '.join(f'm_{k}' for k in rules_)}]) as value from m where not base_failed),
     sk as (select lang, source, measure, (value >> {drop.format("value")}) << {drop.format("value")} as bucket, count(*) as c from vals group by all),
-    own as ({bound("lang, source,")}), wide as ({bound("lang,")}), whole as ({bound("")}),
-    each as (select own.lang, own.source, own.measure, case when own.n >= {small} then own.bound when wide.n >= {small} then wide.bound else whole.bound end as bound
+    own as ({quantiles("lang, source,")}), wide as ({quantiles("lang,")}), whole as ({quantiles("")}),
+    each as (select own.lang, own.source, own.measure, case when own.measure in ({lower}) then {edge} else greatest({edge}, {low}) end as bound
         from own join wide on own.lang = wide.lang and own.measure = wide.measure join whole on own.measure = whole.measure),
     b as (select lang, source, {', '.join(f"max(bound) filter (measure = '{k}') as b_{k}" for k in rules_)} from each group by all)
     select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and {verdict} as kept

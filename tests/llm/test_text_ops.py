@@ -294,28 +294,54 @@ def test_groups_of_different_shape_get_different_bounds(spark):
     assert sum(r["kept"] for r in out.values()) >= 0.9 * len(out)
     bounds = {(r["source"], r["measure"]): r["bound"] for r in adaptive_rules.thresholds(adaptive_rules.sketches(adaptive_rules.measures(df))).collect()}
     assert all(bounds["prose", m] != bounds["code", m] for m in ("symbols", "long_word", "short_word"))
-    assert bounds["few", "symbols"] == adaptive_rules.bounds(adaptive_rules.sketches(adaptive_rules.measures(df)), ["lang"]).where("measure = 'symbols'").first()["bound"]
+    # one document of its own counts little beside PRIOR ones of its language
+    lang = adaptive_rules.quantiles(adaptive_rules.sketches(adaptive_rules.measures(df)), ["lang"]).where("measure = 'symbols'").first()["edge"]
+    assert 0.9 * lang < bounds["few", "symbols"] < lang
 
 
 def test_bounds_equal_brute_force(spark):
-    """2 * quantile - median of the values whose low bits are cleared (set, at an upper quantile)."""
+    """Quantiles of values whose low bits are cleared (set, at an upper quantile), weighed by the documents behind them."""
     rng = random.Random(2)
-    values = [rng.randint(0, 5000) ** 2 // 900 for _ in range(999)]
-    rows = [(k, "en", "s", False, *[v] * 5) for k, v in enumerate(values)]
+    groups = {"even": [rng.randint(0, 5000) ** 2 // 900 for _ in range(999)], "sparse": [rng.randint(1, 900) * (rng.random() < 0.02) for _ in range(700)], "small": [7, 0, 300]}
+    rows = [(k, "en", s, False, *[v] * 5) for s, values in groups.items() for k, v in enumerate(values)]
     names = ", ".join(f"m_{k} long" for k in adaptive_rules.RULES)
     sketch = adaptive_rules.sketches(spark.createDataFrame(rows, f"doc_id long, lang string, source string, base_failed boolean, {names}"))
-    got = {r["measure"]: r["bound"] for r in adaptive_rules.thresholds(sketch).collect()}
+    got = {(r["source"], r["measure"]): r["bound"] for r in adaptive_rules.thresholds(sketch).collect()}
+    assert len(got) == 3 * len(adaptive_rules.RULES)
 
     def low(v):
         drop = max(v.bit_length() - adaptive_rules.BITS, 0)
-        return v >> drop << drop, drop
+        return v >> drop << drop, (1 << drop) - 1
 
-    ordered = sorted(low(v)[0] for v in values)
+    def quantile(values, percent, up):
+        v, more = low(sorted(values)[max(0, -(-percent * len(values) // 100) - 1)]) if values else (0, 0)
+        return v + more * up
+
+    def weighed(values, value, before):
+        return (len(values) * value + adaptive_rules.PRIOR * before) // (len(values) + adaptive_rules.PRIOR)
+
+    everything = [v for x in groups.values() for v in x]
+    for k, r in adaptive_rules.RULES.items():
+        up = r.percent >= 50
+        edge = quantile(everything, r.percent, up)  # one language, so its sketch is that of all
+        few = weighed(some := [v for v in everything if v], quantile(some, adaptive_rules.LOW, False), 0)
+        edge, few = weighed(everything, edge, edge), weighed(some, quantile(some, adaptive_rules.LOW, False), few)
+        for source, values in groups.items():
+            some_own = [v for v in values if v]
+            wanted = weighed(values, quantile(values, r.percent, up), edge)
+            if up:
+                wanted = max(wanted, weighed(some_own, quantile(some_own, adaptive_rules.LOW, False), few))
+            assert got[source, k] == wanted, (source, k)
+
+
+def test_each_rule_rejects_by_its_groups_bound(spark):
+    """On sf0.1 every rule rejects documents, no bound is 0, and sources of a language have bounds of their own."""
+    df = adaptive_rules.measures(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).where("not base_failed").cache()
+    bounds = adaptive_rules.thresholds(adaptive_rules.sketches(df)).groupBy("lang", "source").pivot("measure", list(adaptive_rules.RULES)).agg(F.first("bound")).cache()
     for k, r in adaptive_rules.RULES.items():
-        edge = ordered[-(-r.percent * len(values) // 100) - 1]
-        if r.percent >= 50:
-            edge += (1 << low(edge)[1]) - 1
-        assert got[k] == 2 * edge - ordered[-(-len(values) // 2) - 1], k
+        assert bounds.where(f"{k} <= 0").count() == 0, k
+        assert bounds.select(k).distinct().count() > 4, k
+        assert df.join(bounds, ["lang", "source"]).where(f"not ({r.inside.format(bound=k)})").count() > 0, k
 
 
 # classifiers

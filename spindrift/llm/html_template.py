@@ -59,24 +59,63 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
 
 
+class Place:
+    """Where something stands: a label (name and class) in the place above. Equal places of a lot's pages are one object,
+    so a page takes memory and time in proportion to its length, however deep its elements nest."""
+
+    __slots__ = ("above", "label", "name", "container", "block", "inner")
+
+    def __init__(self, above: Place | None = None, label: str = "") -> None:
+        self.above, self.label, self.name = above, label, label.partition(".")[0]
+        # the container that running text stands in, and the element that a text stands in, inline ones passed over
+        self.container: Place = above.container if above and self.name in RUNNING else self
+        self.block: Place = above.block if above and self.name in INLINE else self
+        self.inner: dict[str, Place] = {}
+
+    def within(self, label: str) -> Place:
+        if label not in self.inner:
+            self.inner[label] = Place(self, label)
+        return self.inner[label]
+
+    def all(self) -> list[Place]:
+        """This place and all in it, each after the one above."""
+        found = [self]
+        for place in found:  # grows as it goes
+            found.extend(place.inner.values())
+        return found
+
+    def __str__(self) -> str:
+        labels, at = [], self
+        while at:
+            labels.append(at.label)
+            at = at.above
+        return ">".join(reversed(labels))
+
+
+#: The label of a closing tag, a place in its element's.
+END = "/"
+
+
 @dataclass
 class Element:
-    """An open element: its name, its place (path of names and classes), and what it makes of its content."""
+    """An open element: its name, its place, what it makes of its content, and the place in the stack of the nearest
+    element, itself included, that isn't an inline one."""
 
     name: str
-    path: str
+    path: Place
     dropped: bool
     main: bool
     link: bool
+    near: int
 
 
 @dataclass
 class Node:
     """What stands in a page: an opening or closing tag (text None) or a piece of text."""
 
-    token: str
+    token: Place | None
     text: str | None
-    path: str
+    path: Place
     dropped: bool
     main: bool
     link: bool
@@ -100,19 +139,26 @@ def _role(name: str, attributes: dict[str, str], within: bool) -> tuple[bool, bo
     return dropped, main and not dropped, "-".join(re.findall(r"[\w-]+", attributes.get("class", "").lower()))
 
 
-def tokenize(page: str | None) -> list[Node]:
-    """A page's tags and texts in order. Unclosed elements end where their parent does; unknown closing tags are skipped."""
+def tokenize(page: str | None, root: Place | None = None) -> list[Node]:
+    """A page's tags and texts in order; pages that are compared share a root.
+
+    Unclosed elements end where their parent does; unknown closing tags are skipped."""
     page = page or ""
     nodes: list[Node] = []
-    stack = [Element("", "", False, False, False)]
+    stack = [Element("", root or Place(), False, False, False, 0)]
+    names: Counter[str] = Counter()
     at = 0
 
+    def close(depth: int) -> None:
+        names.subtract(e.name for e in stack[depth:])
+        del stack[depth:]
+
     def text(piece: str) -> None:
         if piece:
             e = stack[-1]
-            nodes.append(Node("", html.unescape(piece), e.path, e.dropped, e.main, e.link, False))
+            nodes.append(Node(None, html.unescape(piece), e.path, e.dropped, e.main, e.link, False))
 
-    def tag(token: str, e: Element, block: bool) -> None:
+    def tag(token: Place, e: Element, block: bool) -> None:
         nodes.append(Node(token, None, e.path, e.dropped, e.main, e.link, block))
 
     while m := _TOKEN.search(page, at):
@@ -124,31 +170,36 @@ def tokenize(page: str | None) -> list[Node]:
             continue
         name, block = m[2].lower(), m[2].lower() not in INLINE
         if m[1]:
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].name == name), 0)
-            # an inline element's end doesn't close the blocks that were opened in it
-            if depth and not (name in INLINE and any(e.name not in INLINE for e in stack[depth + 1 :])):
-                tag(f"/{stack[depth].path}", stack[depth - 1], block)
-                del stack[depth:]
+            depth = len(stack) - 1 if names[name] else 0
+            while depth and stack[depth].name != name:
+                # an inline element's end doesn't close the blocks that were opened in it
+                depth = 0 if name in INLINE and stack[depth].name not in INLINE else depth - 1
+            if depth:
+                tag(stack[depth].path.within(END), stack[depth - 1], block)
+                close(depth)
             continue
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].name in CLOSES.get(name, ()):
-                del stack[k:]
+        closes, k = CLOSES.get(name, ()), len(stack) - 1
+        while closes and (k := stack[k].near):  # inline elements, which no tag closes, are passed over
+            if stack[k].name in closes:
+                close(k)
                 break
-            if stack[k].name not in INLINE and stack[k].name not in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
+            if stack[k].name not in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
                 break
+            k -= 1
         attributes = _attributes(m[3])
         up = stack[-1]
         dropped, main, cls = _role(name, attributes, up.main)
-        e = Element(name, f"{up.path}>{name}" + f".{cls}" * bool(cls), up.dropped or dropped, up.main or main, up.link or name == "a")
+        e = Element(name, up.path.within(name + f".{cls}" * bool(cls)), up.dropped or dropped, up.main or main, up.link or name == "a", up.near if name in INLINE else len(stack))
         tag(e.path, up, block)
         if name in VOID or m[3].rstrip().endswith("/"):
             continue
         if name in RAW:  # its content is no markup
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
-            tag(f"/{e.path}", up, block)
+            tag(e.path.within(END), up, block)
             continue
         stack.append(e)
+        names[name] += 1
     text(page[at:])
     return nodes
 
@@ -158,49 +209,36 @@ class Template:
     """The frame's tokens in order, the classes nested in each of its slots, the path of the main container, whether
     article and main elements hold half of the own text, and the tokens whose slots hold the template's own text."""
 
-    frame: list[str]
-    nested: dict[int, list[tuple[str, ...]]]
-    main: str
+    frame: list[Place]
+    nested: dict[int, list[tuple[Place, ...]]]
+    main: Place
     marked: bool
-    fixed: frozenset[str]
-
+    fixed: frozenset[Place]
 
-def container(path: str) -> str:
-    """The path of the container that running text stands in."""
-    parts = path.split(">")
-    while len(parts) > 1 and parts[-1].partition(".")[0] in RUNNING:
-        parts.pop()
-    return ">".join(parts)
+    def __post_init__(self) -> None:
+        self.inside = frozenset(self.main.all())
 
 
-def block(path: str) -> str:
-    """The path of the element that a text stands in, inline ones passed over."""
-    parts = path.split(">")
-    while len(parts) > 1 and parts[-1].partition(".")[0] in INLINE:
-        parts.pop()
-    return ">".join(parts)
-
-
-def _fixed(pages: list[list[Node]], tokens: set[str]) -> frozenset[str]:
+def _fixed(pages: list[list[Node]], tokens: set[Place]) -> frozenset[Place]:
     """Those of the tokens whose slots hold the same text on all pages that have the token.
 
     Equal pages count once: copies of one page don't make its content a template."""
-    held: dict[str, list[str]] = defaultdict(list)
+    held: dict[Place, list[str]] = defaultdict(list)
     different = {tuple((n.token, n.text) for n in nodes): nodes for nodes in pages}
     for nodes in different.values():
-        texts: dict[str, list[str]] = defaultdict(list)
+        texts: dict[Place, list[str]] = defaultdict(list)
         for n in nodes:
             if n.text is None:
                 if n.token in tokens:
                     texts[n.token] += []
-            elif (path := block(n.path)) in tokens:
+            elif (path := n.path.block) in tokens:
                 texts[path].append(n.text)
         for token, pieces in texts.items():
             held[token].append(" ".join("".join(pieces).split()))
     return frozenset(t for t, x in held.items() if len(x) >= LEAST_PAGES and 2 * len(x) > len(different) and x[0] and len(set(x)) == 1)
 
 
-def _slots(nodes: list[Node], frame: list[str]) -> list[int]:
+def _slots(nodes: list[Node], frame: list[Place]) -> list[int]:
     """The slot of each node: how many of the frame's tokens have come up, those that lack passed over."""
     place = {t: k for k, t in enumerate(frame)}
     out, now = [], -1
@@ -211,66 +249,64 @@ def _slots(nodes: list[Node], frame: list[str]) -> list[int]:
     return out
 
 
-def deduce(pages: list[list[Node]]) -> Template:
-    """The template of a lot's pages."""
-    vectors: dict[str, list[int]] = defaultdict(lambda: [0] * len(pages))
+def deduce(pages: list[list[Node]], root: Place) -> Template:
+    """The template of a lot's pages, all tokenized with the root."""
+    vectors: dict[Place, dict[int, int]] = defaultdict(lambda: defaultdict(int))  # page to occurrences, none left out
     for k, nodes in enumerate(pages):
         for n in nodes:
             if n.text is None:
                 vectors[n.token][k] += 1
-    classes: dict[tuple[int, ...], list[str]] = defaultdict(list)
+    classes: dict[tuple[tuple[int, int], ...], list[Place]] = defaultdict(list)
     for token, v in vectors.items():
-        if 2 * sum(c > 0 for c in v) > len(pages):
-            classes[tuple(v)].append(token)
+        if 2 * len(v) > len(pages):
+            classes[tuple(v.items())].append(token)
+    often = {v: max(c for _, c in v) for v in classes}
 
-    def ordered(tokens: list[str]) -> list[str]:
+    def ordered(tokens: list[Place]) -> list[Place]:
         """Tokens that come once a page, in the order that all pages share; those that don't keep it are left out."""
-        wanted, orders = set(tokens), []
+        wanted, orders = dict.fromkeys(tokens), []
         for nodes in pages:
             seen = [n.token for n in nodes if n.text is None and n.token in wanted]
             orders.append({t: i for i, t in enumerate(seen)})
-        keep: list[str] = []
+        keep: list[Place] = []
         for t in sorted(wanted, key=lambda t: min(o.get(t, 1 << 30) for o in orders)):
             if not keep or all(o[keep[-1]] < o[t] for o in orders if t in o and keep[-1] in o):
                 keep.append(t)
         return keep
 
     # pages that were cut short lack the frame's last tokens, so the frame is what comes at most once and on most pages
-    frame = ordered([t for v, ts in classes.items() if max(v) == 1 for t in ts])
-    nested: dict[int, list[tuple[str, ...]]] = defaultdict(list)
-    homes: dict[str, set[int]] = defaultdict(set)
-    pieces: dict[tuple[str, str, bool], set[int]] = defaultdict(set)
+    frame = ordered([t for v, ts in classes.items() if often[v] == 1 for t in ts])
+    nested: dict[int, list[tuple[Place, ...]]] = defaultdict(list)
+    homes: dict[Place, set[int]] = defaultdict(set)
+    pieces: dict[tuple[Place, str, bool], set[int]] = defaultdict(set)
     for k, nodes in enumerate(pages):
         for n, slot in zip(nodes, _slots(nodes, frame), strict=True):
             if n.text is None:
                 homes[n.token].add(slot)
             elif not n.dropped and not n.link and (piece := n.text.strip()):
-                pieces[container(n.path), piece, n.main].add(k)
+                pieces[n.path.container, piece, n.main].add(k)
     for v, tokens in classes.items():
-        apart: dict[int, list[str]] = defaultdict(list)  # equal vectors in different slots are different classes
+        apart: dict[int, list[Place]] = defaultdict(list)  # equal vectors in different slots are different classes
         for t in tokens:
-            if max(v) > 1:
+            if often[v] > 1:
                 apart[min(homes[t])].append(t)
         for slot, some in apart.items():
             nested[slot].append(tuple(some))
     # text that is on all of several pages is the template's, unless there is no other
     own = {key: at for key, at in pieces.items() if len(pages) < 3 or len(at) < len(pages)} or pieces
-    mass: Counter[str] = Counter()
+    mass: Counter[Place] = Counter()
     inside = 0
     for (place, piece, in_main), at in own.items():
         mass[place] += len(piece) * len(at)
         inside += len(piece) * len(at) * in_main
     marked = inside > 0 and 2 * inside >= sum(mass.values())
-    main = ""
+    whole, main = Counter(mass), root
+    for place in reversed(root.all()):
+        if place.above and whole[place]:
+            whole[place.above] += whole[place]
     while not mass[main]:
-        below: Counter[str] = Counter()
-        for place, size in mass.items():
-            if place.startswith(f"{main}>"):
-                below[main + ">" + place[len(main) + 1 :].split(">", 1)[0]] += size
-        if not below:
-            break
-        child = max(below, key=lambda c: (below[c], c))
-        if 2 * below[child] < sum(below.values()):
+        child = max(main.inner.values(), key=lambda c: (whole[c], c.label), default=main)
+        if child is main or not whole[child] or 2 * whole[child] < whole[main]:
             break
         main = child
     fixed = _fixed(pages, {*frame, *(t for cs in nested.values() for c in cs for t in c)})
@@ -285,9 +321,9 @@ def extract(nodes: list[Node], template: Template) -> str:
     texts = [n for n in nodes if n.text is not None and not n.dropped and not n.text.isspace()]
 
     def below(n: Node) -> bool:
-        return f"{container(n.path)}>".startswith(f"{template.main}>")
+        return n.path.container in template.inside
 
-    own = [n for n in texts if block(n.path) not in template.fixed]
+    own = [n for n in texts if n.path.block not in template.fixed]
     tests = [lambda n: n.main, below] if template.marked else [below, lambda n: n.main]
     wanted = next((t for t in tests if any(map(t, own))), lambda n: True)
     out: list[str] = []
@@ -295,7 +331,7 @@ def extract(nodes: list[Node], template: Template) -> str:
         if n.text is None:
             if n.block:
                 out.append(" ")
-        elif not n.dropped and block(n.path) not in template.fixed and wanted(n):
+        elif not n.dropped and n.path.block not in template.fixed and wanted(n):
             out.append(n.text)
     return " ".join("".join(out).split())
 
@@ -313,8 +349,9 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     dealt = rows.join(F.broadcast(sizes) if few else sizes, "host").withColumn("lot", F.pmod(F.xxhash64("page_id", "url", "html"), F.col("lots")))
 
     def run(lot: pd.DataFrame) -> pd.DataFrame:
-        nodes = [tokenize(h) for h in lot["html"]]
-        template = deduce(nodes)
+        root = Place()
+        nodes = [tokenize(h, root) for h in lot["html"]]
+        template = deduce(nodes, root)
         texts = [extract(n, template) for n in nodes]
         return pd.DataFrame({"page_id": lot["page_id"], "url": lot["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
@@ -325,6 +362,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 def lots(frames: Iterator[list[str | None]]) -> Iterator[list[str]]:
     """The texts of each list of pages of one host, without Spark: for tests and single hosts."""
     for pages in frames:
-        nodes = [tokenize(p) for p in pages]
-        template = deduce(nodes)
+        root = Place()
+        nodes = [tokenize(p, root) for p in pages]
+        template = deduce(nodes, root)
         yield [extract(n, template) for n in nodes]

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import duckdb
@@ -523,6 +524,15 @@ def test_odd_pages(spark):
     assert html_template.extract_pages(df.where("false")).collect() == []
 
 
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "own text", "<b>" * 50_000 + "own text" + "<p>" * 50_000, "<b><div>" * 50_000 + "own text" + "</b>" * 50_000, "<i>" * 50_000 + "own text" + "</u>" * 50_000])
+def test_deep_pages_take_memory_by_their_length(page):
+    tracemalloc.start()
+    assert next(html_template.lots(iter([[page, "<p>other</p>"]])))[0] == "own text"
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6
+
+
 def test_article_parts_named_like_page_parts_stay():
     pages = [
         f"<html><body><div class='site-header'>Site {k}</div><article><header><h1>Title {k}</h1></header><div class='article-header'>By {k}</div><p>Text {k}</p>"
@@ -544,8 +554,9 @@ def test_neutral_pages_by_the_template_alone():
     ]
     want = [" ".join(b) for b in bodies]
     assert next(html_template.lots(iter([pages]))) == want
-    nodes = [html_template.tokenize(p) for p in pages]
-    empty = html_template.Template([], {}, "", False, frozenset())
+    root = html_template.Place()
+    nodes = [html_template.tokenize(p, root) for p in pages]
+    empty = html_template.Template([], {}, root, False, frozenset())
     assert [html_template.extract(n, empty) for n in nodes] == [f"Welcome to our place Open from nine to five {w} Write to us All rights" for w in want]
 
 
@@ -557,11 +568,11 @@ def test_a_teaser_in_an_article_element_is_not_the_article():
 def test_equivalence_classes_equal_brute_force():
     """Tokens of the frame and of each nested class have one occurrence vector, and every frequent token is in a class of its vector."""
     rng = random.Random(4)
-    pages = []
+    pages, root = [], html_template.Place()
     for k in range(8):
         rows = "".join(f"<tr><td class='a'>x{k}{i}</td><td class='b'><i>y{i}</i></td></tr>" for i in range(rng.randint(2, 5)))
-        pages.append(html_template.tokenize(f"<html><body><div class='h'>Head</div><table>{rows}</table><ul>{'<li>z</li>' * rng.randint(1, 3)}</ul><div class='t'><p>own {k}</p></div></body></html>"))
-    template = html_template.deduce(pages)
+        pages.append(html_template.tokenize(f"<html><body><div class='h'>Head</div><table>{rows}</table><ul>{'<li>z</li>' * rng.randint(1, 3)}</ul><div class='t'><p>own {k}</p></div></body></html>", root))
+    template = html_template.deduce(pages, root)
 
     def vector(token):
         return tuple(sum(n.text is None and n.token == token for n in nodes) for nodes in pages)
@@ -575,9 +586,10 @@ def test_equivalence_classes_equal_brute_force():
 
 
 def test_frame_tokens_share_an_occurrence_vector():
-    pages = [html_template.tokenize(f"<html><body><div class='m'><a>x</a>{'<a>y</a>' * k}</div><div class='t'><p>{'word ' * 20}{k}</p></div></body></html>") for k in range(4)]
-    template = html_template.deduce(pages)
-    assert ">html>body>div.m" in template.frame and any(">html>body>div.m>a" in c for cs in template.nested.values() for c in cs)
+    root = html_template.Place()
+    pages = [html_template.tokenize(f"<html><body><div class='m'><a>x</a>{'<a>y</a>' * k}</div><div class='t'><p>{'word ' * 20}{k}</p></div></body></html>", root) for k in range(4)]
+    template = html_template.deduce(pages, root)
+    assert ">html>body>div.m" in map(str, template.frame) and any(">html>body>div.m>a" in map(str, c) for cs in template.nested.values() for c in cs)
     assert html_template.extract(pages[1], template) == "word " * 20 + "1"
 
 

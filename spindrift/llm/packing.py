@@ -20,7 +20,7 @@ from spindrift.workers import kept_in_worker, tidy
 
 from .common import cut
 
-#: Tokens of a sequence, and pieces of a group (a group is one task's unit of work).
+#: Tokens of a sequence, and pieces of a group's documents, about (a group is one task's unit of work).
 LENGTH, GROUP = 4096, 20_000
 #: Texts that a worker is sent at once.
 LONG_ROWS = 2_500
@@ -120,7 +120,8 @@ class Words:
 
 
 def pieces(docs: DataFrame, path: str, end_id: int, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs to pieces (key, start, length, ids_crc32, doc_tokens): each document's ids and end_id, cut every `length` ids."""
+    """docs to pieces (key, start, length, ids_crc32, doc_tokens, row): each document's ids and end_id, cut every `length`
+    ids. row is the document's number, which its pieces share."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,11 +142,14 @@ def pieces(docs: DataFrame, path: str, end_id: int, length: int = LENGTH, key: s
                         part = own[s : s + length]
                         rows.append((at + k, s, len(part), zlib.crc32(part.tobytes()), n + 1))
                 take, *rest = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take)), *(pa.array(c, pa.int64()) for c in rest)], names=[key, "start", "length", "ids_crc32", "doc_tokens"])
+                documents = pa.array(take)
+                columns = [batch.column(0).take(documents), *(pa.array(c, pa.int64()) for c in rest), batch.column(2).take(documents)]
+                yield pa.RecordBatch.from_arrays(columns, names=[key, "start", "length", "ids_crc32", "doc_tokens", "row"])
                 at += some
         words.clear()
 
-    return docs.select(F.col(key), F.col(text).cast("string")).mapInArrow(tidy(run), f"{key} {kind}, start long, length long, ids_crc32 long, doc_tokens long")
+    rows = docs.select(F.col(key), F.col(text).cast("string"), F.monotonically_increasing_id())
+    return rows.mapInArrow(tidy(run), f"{key} {kind}, start long, length long, ids_crc32 long, doc_tokens long, row long")
 
 
 def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -177,14 +181,14 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
 def pack(docs: DataFrame, path: str, end_id: int, length: int = LENGTH, group: int = GROUP, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs to their pieces with sequence_id and offset; a sequence has at most `length` ids, gapless from offset 0.
 
-    A null or empty text is a document of end_id alone. Documents are cut only every `length` ids. The pieces are
-    dealt at random into groups of about `group`, whose number grows with the input, and each group is packed by
-    itself; sequence ids are the group's number times 2**32 plus the bin's. Repeated rows are packed each. Other
+    A null or empty text is a document of end_id alone. Documents are cut only every `length` ids, and are
+    dealt, each with all its pieces, at random into groups of about `group` pieces, whose number grows with the input;
+    each group is packed by itself; sequence ids are the group's number times 2**32 plus the bin's. Repeated rows are packed each. Other
     columns of docs are not read."""
     cutting = cut(pieces(docs, path, end_id, length, key, text), LONG_ROWS)
     groups = max(1, math.ceil(cutting.count() / group))
-    # the row's number in the checkpoint is fixed, so a lost task deals its rows to the same groups again
-    dealt = cutting.withColumn("lot", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(4096)), F.lit(groups)))
+    # a document's number in the checkpoint is fixed, so a lost task deals its rows to the same groups again
+    dealt = cutting.withColumn("lot", F.pmod(F.xxhash64("row", F.lit(4096)), F.lit(groups))).drop("row")
     kind = docs.schema[key].dataType.simpleString()
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:

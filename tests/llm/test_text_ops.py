@@ -6,6 +6,7 @@ import random
 import re
 import tracemalloc
 import zlib
+from pathlib import Path
 
 import duckdb
 import public_tokenizers
@@ -95,6 +96,24 @@ def test_packing_is_whole_and_gapless(spark):
     assert packing.pack(docs(spark, []), public_tokenizers.path(queries.WORD_BPE), queries.END_ID).collect() == []
 
 
+def test_packing_deals_documents(spark):
+    """Repeated rows and null ids are packed each; a document's pieces stay in one group, whatever the others do."""
+    rows = [*EDGES, *EDGES[6:9], (None, "word " * 9000), (None, "word " * 9000), (7, None), (7, None)]
+    got = packing.pack(docs(spark, rows), public_tokenizers.path(queries.WORD_BPE), queries.END_ID, group=2).collect()
+    tokens = {}
+    for r in got:
+        tokens.setdefault((r["doc_id"], r["doc_tokens"]), []).append(r)
+    for (_, size), pieces in tokens.items():
+        starts = [p["start"] for p in pieces]
+        copies = starts.count(0)
+        assert sorted(starts) == sorted([*range(0, size, packing.LENGTH)] * copies)  # gapless, as often as the row
+        assert sum(p["length"] for p in pieces) == size * copies
+        if copies == 1:
+            assert len({p["sequence_id"] >> 32 for p in pieces}) == 1
+    assert sum(r["start"] == 0 for r in got) == len(rows)
+    assert len({r["sequence_id"] >> 32 for r in got}) > 2
+
+
 def test_words_equal_the_library():
     import pyarrow as pa
     from tokenizers import Tokenizer
@@ -195,7 +214,8 @@ def test_redaction_keeps_all_else(spark):
 @pytest.mark.parametrize("name", list(oracle.ORACLE_SQL))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    for path in Path(SF).glob("*.parquet"):
+        con.execute(f"create view {path.stem} as select * from '{path}'")
     df = queries.QUERIES[name](spark, SF)
     cur = con.execute(oracle.ORACLE_SQL[name])
     cols = [c[0] for c in cur.description]

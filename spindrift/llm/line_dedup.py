@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from spindrift.operators.components import connected_components
 from spindrift.workers import tidy
 
-from .common import BROADCAST_IDS, cut
+from .common import BROADCAST_IDS, cut, let
 
 SHINGLE, PERCENT, BANDS, ROWS = 7, 80, 12, 4
 #: Texts that a worker is sent at once.
@@ -352,7 +352,8 @@ def dedup_lines(docs: DataFrame, into: str = "n_dropped") -> DataFrame:
         joined = keyed.join(gone, same(gone)).select(*whole.columns).unionByName(whole)
     else:
         joined = keyed.join(gone, same(gone), "left")
-    left = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__sp_gone", i))
+    # places are told apart by hashing, so that a text of many lines that all go takes time by their number
+    left = let(F.split("text", "\n", -1), lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__sp_gone"), lambda i: F.get(lines, i)))
     text = F.when(F.col("__sp_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
     return joined.withColumns({"text": text, into: F.coalesce(F.size("__sp_gone"), F.lit(0))}).select(*docs.columns, into)
 

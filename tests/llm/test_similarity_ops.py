@@ -214,3 +214,12 @@ def test_shingler_reads_exactly_the_six_separators(sizes):
     s = ngram_jaccard.Shingler()
     assert len(s("a b c\x1cd".encode())) == 1  # two words: one short sequence
     assert (s(b"A B\tC\x0bD\x0cE") == s(b"a b c d\r\ne")).all()
+
+
+def test_long_text_whose_lines_all_go(spark):
+    """100,000 lines that an earlier row has too: places are found by hashing, not each by a walk through all."""
+    text = "\n".join(f"line {k * 7919 % 1000003} of a long text" for k in range(100_000))
+    rows = [(1, text), (2, f"{text}\n\na new line that stays here")]
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[2]["text"].endswith("\na new line that stays here")
+    assert len(got[2]["text"].split("\n")) == 100_002 - got[2]["n_dropped"]

@@ -71,11 +71,12 @@ def repeated_words(words: Column) -> Column:
         placed = F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(let(F.array_sort(placed), repeats))
 
-    def hashed(w: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size(w) - (WINDOW - 1))
-        return let(F.transform(starts, lambda i: F.xxhash64(F.slice(w, i, F.lit(WINDOW)))), counted)
+    def hashed(h: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size(h) - WINDOW)
+        return let(F.transform(starts, lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(WINDOW)))), counted)
 
-    return F.when(F.size(words) > WINDOW, hashed(words)).otherwise(F.lit(0))
+    # each word is hashed once, and a window by its words' hashes
+    return F.when(F.size(words) > WINDOW, let(F.transform(words, lambda w: F.xxhash64(w)), hashed)).otherwise(F.lit(0))
 
 
 def measures(docs: DataFrame) -> DataFrame:

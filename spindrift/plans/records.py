@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.functions import similarity, text
-from spindrift.operators import dedup, eda, filters, intent, keyed, keywords, neighbours, paging, quality, ranking, recommend, sketches, vectors
+from spindrift.operators import dedup, eda, filters, intent, keyed, keyphrases, keywords, neighbours, paging, quality, ranking, recommend, sketches, vectors
 from spindrift.operators.cache import ResultCache
 from spindrift.sources import normalize, readers, schema
 from spindrift.storage import shared_dir
@@ -517,3 +517,9 @@ def sketched_report(spark: SparkSession, d: str) -> DataFrame:
     sketches.keep(sketches.sketch(rows, ["source", "day"], ["value"], ["user_id"]), folder)
     out = sketches.report(spark, folder, ["source"], {"median": 0.5, "high": 0.9}, "2024-01-08", "2024-01-21")
     return out.withColumns({"median": F.round("median", 6), "high": F.round("high", 6)}).withColumnRenamed("distinct", "distinct_values")
+
+
+@query()
+def document_keyphrases(spark: SparkSession, d: str) -> DataFrame:
+    """Five phrases of each document, by the ranks of its words among their neighbours. Tests hold it against a plain ranking."""
+    return keyphrases.keyphrases(table(spark, d, "documents"), "doc_id", F.col("text"))

@@ -31,10 +31,8 @@ LONG_ROWS, SLICE = 1_000, 500_000
 
 
 def marked_words(text: Column) -> Column:
-    """Lower-cased words in order; stop words, single characters and punctuation that parts phrases are empty strings."""
-    stop = F.split(F.lit(" ".join(stop_words())), " ")  # one literal once planned
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{M}\p{N}]+|[.,;:!?()\n]"), F.lit(0))
-    return F.transform(found, lambda w: F.when((F.length(w) < 2) | F.array_contains(stop, w), F.lit("")).otherwise(w))
+    """Lower-cased words in order, and punctuation that parts phrases."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{M}\p{N}]+|[.,;:!?()\n]"), F.lit(0))
 
 
 def ranks(codes: np.ndarray, texts: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,24 +58,34 @@ def ranks(codes: np.ndarray, texts: np.ndarray, words: int) -> tuple[np.ndarray,
 def picked(phrases: dict[str, float], n: int) -> list[tuple[str, float]]:
     """n phrases one by one: WEIGHT * weight (as a share of the best) less (1 - WEIGHT) * most words shared with a picked one
     (as a share of both phrases' words); of equal ones the first in order."""
-    left = {p: (w, set(p.split(" ")), 0.0) for p, w in sorted(phrases.items())}
-    top, out = max(phrases.values(), default=1.0), []
-    while left and len(out) < n:
-        best = max(left, key=lambda p: round(WEIGHT * left[p][0] / top - (1 - WEIGHT) * left[p][2], DIGITS))
-        weight, own, _ = left.pop(best)
-        out.append((best, weight))
-        left = {p: (w, ws, max(near, len(ws & own) / len(ws | own))) for p, (w, ws, near) in left.items()}
+    order, top = sorted(phrases, key=lambda p: (-phrases[p], p)), max(phrases.values(), default=1.0)
+    out: list[tuple[str, float]] = []
+    taken: dict[str, set[str]] = {}
+    while len(out) < min(n, len(order)):
+        best, most = "", -1.0
+        for p in order:
+            share = WEIGHT * phrases[p] / top
+            if round(share, DIGITS) < most:  # nor can any lighter phrase be worth more
+                break
+            if p not in taken:
+                own = set(p.split(" "))
+                near = max((len(own & x) / len(own | x) for x in taken.values()), default=0.0)
+                worth = round(share - (1 - WEIGHT) * near, DIGITS)
+                if worth > most or (worth == most and p < best):
+                    best, most = p, worth
+        taken[best] = set(best.split(" "))
+        out.append((best, phrases[best]))
     return out
 
 
-def _slice(tokens: pa.ListArray, n: int) -> list[list[tuple[str, float]]]:
-    """Each text's phrases."""
+def _slice(tokens: pa.ListArray, n: int, stop: frozenset[str]) -> list[list[tuple[str, float]]]:
+    """Each text's phrases. Single characters and stop words have no code."""
     sizes = pc.list_value_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = tokens.flatten().dictionary_encode()
     words = flat.dictionary.to_pylist()
     codes, texts = flat.indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(sizes)), sizes)
-    if "" in words:
-        codes[codes == words.index("")] = -1
+    gone = np.array([len(w) < 2 or w in stop for w in words], bool)  # once a different word
+    codes[gone[codes]] = -1
     nodes, rank = ranks(codes, texts, len(words))
     out, at = [], 0
     for size in sizes.tolist():
@@ -102,7 +110,7 @@ def keyphrases(df: DataFrame, key: str, text: Column, n: int = 5) -> DataFrame:
 
     A null or empty text, and one of stop words alone, has none. Repeated rows have each their own; other columns are
     not read. Of words of equal rank, and phrases of equal worth, the first in order of code points goes first."""
-    kind = df.schema[key].dataType.simpleString()
+    kind, stop = df.schema[key].dataType.simpleString(), frozenset(stop_words())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,7 +119,7 @@ def keyphrases(df: DataFrame, key: str, text: Column, n: int = 5) -> DataFrame:
             while at < len(sizes):
                 done = sizes[at - 1] if at else 0
                 end = max(at + 1, int(np.searchsorted(sizes, done + SLICE, "right")))
-                found = [(at + k, p + 1, *x) for k, xs in enumerate(_slice(batch.column(1).slice(at, end - at), n)) for p, x in enumerate(xs)]
+                found = [(at + k, p + 1, *x) for k, xs in enumerate(_slice(batch.column(1).slice(at, end - at), n, stop)) for p, x in enumerate(xs)]
                 at = end
                 if found:
                     rows, places, phrases, weights = zip(*found, strict=True)

@@ -62,13 +62,18 @@ def intents(queries: DataFrame, phrases: DataFrame, longest: int = LONGEST) -> D
     n, words = F.size("_words"), F.col("_words")
     none = F.array().cast("array<int>")
     starts = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(none)
-    runs = rows.select("query_id", "text", "_words", F.explode(starts).alias("at"))
-    runs = runs.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(longest)))).where(F.col("at") + F.col("n") <= n)
-    runs = runs.select("query_id", "text", "at", "n", F.array_join(F.slice(words, F.col("at") + 1, F.col("n")), " ").alias("phrase"))
-    met = runs.join(phrases, "phrase").groupBy("query_id", "text").agg(F.array_sort(F.collect_list(F.struct("at", (-F.col("n")).alias("n"), "kind", "value"))).alias("_met"))
-    keyed = met.select(F.col("query_id").alias("_id"), F.col("text").alias("_text"), "_met")
-    rows = rows.join(keyed, F.col("query_id").eqNullSafe(F.col("_id")) & F.col("text").eqNullSafe(F.col("_text")), "left")
+    # a query goes through the join with its runs and is put together once: joined back to itself, it is twice as many
+    # rows, and Spark, which goes by the files' sizes, may take one side for small and send it to the driver
+    held = ["_words", *(f"_{name}" for name in GRAMMAR)]
+    runs = rows.select("query_id", "text", *held, F.explode_outer(starts).alias("at"))
+    runs = runs.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(longest)))).where((F.col("at") + F.col("n") <= n) | (F.col("at").isNull() & (F.col("n") == 1)))
+    # a query's words go with its first run alone
+    once = F.coalesce(F.col("at"), F.lit(0)) + F.col("n") == 1
+    runs = runs.select("query_id", "text", "at", "n", F.array_join(F.slice(words, F.col("at") + 1, F.col("n")), " ").alias("phrase"), *(F.when(once, F.col(c)).alias(c) for c in held))
     kind = "array<struct<at:int,n:int,kind:string,value:string>>"
+    named_run = F.when(F.col("kind").isNotNull(), F.struct("at", (-F.col("n")).alias("n"), "kind", "value"))
+    met = runs.join(phrases, "phrase", "left").groupBy("query_id", "text")
+    rows = met.agg(F.array_sort(F.collect_list(named_run)).alias("_met"), *(F.any_value(c, True).alias(c) for c in held))
     empty = F.struct(F.lit(0).alias("end"), F.array().cast(kind).alias("taken"))
 
     def take(state: Column, run: Column) -> Column:

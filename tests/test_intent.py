@@ -77,3 +77,10 @@ def test_search_equals_a_scan_of_all_records(spark):
         fits.sort(key=lambda r: (r[5] is None, -(r[5] or 0), r[0]))
         want |= {(q["query_id"], n + 1, r[0]) for n, r in enumerate(fits[:3])}
     assert {(r["query_id"], r["place"], r["media_id"]) for r in intent.search(found, catalogue, 3).collect()} == want
+
+
+def test_queries_are_not_joined_back_to_themselves(spark):
+    """A join of all queries with all queries may be planned with one side sent to the driver: files are smaller than rows."""
+    found = intent.intents(spark.createDataFrame([(1, "action")], "query_id int, text string"), lexicon(spark))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1

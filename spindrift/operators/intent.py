@@ -5,10 +5,15 @@ that Catalyst broadcasts or shuffles, and of the runs found the leftmost, then l
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.functions.text import year_of
+from spindrift.storage import cut
+
+from .ranking import top_per
 
 #: Kinds of phrases, the first wins where a phrase has several, and words that say nothing by themselves.
 KINDS = ("genre", "media_type", "status")
@@ -99,24 +104,44 @@ def intents(queries: DataFrame, phrases: DataFrame, longest: int = LONGEST) -> D
     )
 
 
+#: What a search may ask for beside genres and a least score; which of them it does is its kind, of these bits.
+ASKS = {"media_type": 1, "status": 2, "year": 4}
 FILTERS = ("genres", "media_type", "status", "min_score", "year_from", "year_to")
 
 
+def firsts(catalogue: DataFrame, kinds: list[int], order: list[Column], k: int) -> DataFrame:
+    """Each kind's classes of records, of the k first each: alike in genres and in what the kind asks for, which is null elsewhere."""
+    genres = F.array_sort(F.array_distinct(F.coalesce("genres", F.array().cast("array<string>"))))
+    year = year_of(F.col("release_date"), F.lit(None).cast("int"))
+    records = catalogue.select("media_id", "title", genres.alias("genres"), "media_type", "status", "score", year.alias("year"), F.explode(F.array(*map(F.lit, kinds)).cast("array<int>")).alias("kind"))
+    for c, bit in ASKS.items():  # a record without what is asked for is none
+        wanted = F.col("kind").bitwiseAND(bit) != 0
+        records = records.where(~wanted | F.col(c).isNotNull()).withColumn(c, F.when(wanted, F.col(c)))
+    return top_per(records, ["kind", "genres", *ASKS], order, k).drop("place")
+
+
 def search(found: DataFrame, catalogue: DataFrame, k: int = 5) -> DataFrame:
     """intents() to (query_id, text, place, media_id, title): the k records of each query's filters, by score (null last) and id.
 
-    A record has all the genres, and a score or year where one is asked for. Queries with the same filters are one
-    search, so its work grows with different filters; a search meets records by its first genre alone, and each task keeps k
-    rows of it before they are shuffled."""
+    A record has all the genres, and a score or year where one is asked for. Queries with the same filters are one search.
+    Of records alike in what a search asks for (the set of genres; type, status and year where they are asked for) only the
+    k first can be among its own, whatever least score it names. So searches meet such classes, by first genre, type and
+    status, never all records: work grows with different searches times different classes."""
+    found = cut(found)  # read twice
     asked = found.select(*FILTERS).distinct()
     key = F.md5(F.to_json(F.struct(*FILTERS)))
-    asked = asked.select(key.alias("search"), F.coalesce(F.get("genres", F.lit(0)), F.lit("")).alias("first"), *(F.col(c).alias(f"_{c}") for c in FILTERS))
-    own = F.array_distinct(F.concat(F.array(F.lit("")), F.coalesce("genres", F.array().cast("array<string>"))))
-    records = catalogue.select("media_id", "title", "genres", "media_type", "status", "score", year_of(F.col("release_date"), F.lit(None).cast("int")).alias("year"), F.explode(own).alias("first"))
-    met = asked.join(records, "first")
-    for wanted, has in (("_media_type", F.col("media_type") == F.col("_media_type")), ("_status", F.col("status") == F.col("_status")), ("_min_score", F.col("score") >= F.col("_min_score")), ("_year_from", F.col("year") >= F.col("_year_from")), ("_year_to", F.col("year") <= F.col("_year_to"))):
+    said = {"media_type": F.col("media_type"), "status": F.col("status"), "year": F.coalesce("year_from", "year_to")}
+    kind = reduce(Column.__add__, [F.when(said[c].isNotNull(), bit).otherwise(0) for c, bit in ASKS.items()])
+    asked = cut(asked.select(key.alias("search"), kind.alias("kind"), F.coalesce(F.get("genres", F.lit(0)), F.lit("")).alias("first"), *(F.col(c).alias(f"_{c}") for c in FILTERS)))
+    kinds = [r["kind"] for r in asked.select("kind").distinct().collect()]  # eight at most
+    order = [F.desc_nulls_last("score"), F.asc("media_id")]
+    classes = firsts(catalogue, kinds, order, k)
+    classes = classes.withColumn("first", F.explode(F.concat(F.array(F.lit("")), F.array_distinct("genres"))))
+    equal = [F.col("a.first") == F.col("c.first"), F.col("a.kind") == F.col("c.kind"), F.col("_media_type").eqNullSafe(F.col("media_type")), F.col("_status").eqNullSafe(F.col("status"))]
+    # classes may be as many as records: Spark goes by the size of their files, and isn't to send them to the driver
+    met = asked.alias("a").join(classes.alias("c").hint("merge"), equal)
+    for wanted, has in (("_min_score", F.col("score") >= F.col("_min_score")), ("_year_from", F.col("year") >= F.col("_year_from")), ("_year_to", F.col("year") <= F.col("_year_to"))):
         met = met.where(F.col(wanted).isNull() | has)
     met = met.where((F.size("_genres") == 0) | (F.size(F.array_except("_genres", "genres")) == 0))
-    place = F.row_number().over(Window.partitionBy("search").orderBy(F.desc_nulls_last("score"), "media_id"))
-    top = met.select("search", "media_id", "title", "score").withColumn("place", place).where(F.col("place") <= k).drop("score")
+    top = top_per(met.select("search", "media_id", "title", "score"), "search", order, k).drop("score")
     return found.withColumn("search", key).join(top, "search").select("query_id", "text", "place", "media_id", "title")

@@ -66,9 +66,9 @@ def page(df: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
-def top_per(df: DataFrame, key: str, order: list, k: int) -> DataFrame:
+def top_per(df: DataFrame, key: str | list[str], order: list, k: int) -> DataFrame:
     """The first k rows of each key, with their place."""
-    return df.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("place") <= k)
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(*([key] if isinstance(key, str) else key)).orderBy(*order))).where(F.col("place") <= k)
 
 
 def frontier(df: DataFrame, key: str = "id", at: str = "updated_at") -> DataFrame:

@@ -3,6 +3,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from spindrift.operators import intent
 
 CATALOGUE = "media_id int, title string, genres array<string>, media_type string, status string, score double, release_date string"
@@ -84,3 +86,15 @@ def test_queries_are_not_joined_back_to_themselves(spark):
     found = intent.intents(spark.createDataFrame([(1, "action")], "query_id int, text string"), lexicon(spark))
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1
+
+
+def test_searches_meet_classes_of_records(spark):
+    """Many records alike in all that is asked for: no join makes a row for each record and search."""
+    rows = [(n, f"t{n}", ["Action"], "tv", "finished", float(n % 10), "2001") for n in range(2_000)]
+    catalogue = spark.createDataFrame(rows, CATALOGUE)
+    texts = [f"action tv type since {1900 + n}" for n in range(100)]
+    found = intent.intents(spark.createDataFrame(list(enumerate(texts)), "query_id int, text string"), lexicon(spark))
+    got = {(r["query_id"], r["place"], r["media_id"]) for r in intent.search(found, catalogue, 3).collect()}
+    assert got == {(q, p + 1, m) for q in range(100) for p, m in enumerate((9, 19, 29))}
+    order = [F.desc_nulls_last("score"), F.asc("media_id")]
+    assert intent.firsts(catalogue, [0, 1, 5], order, 3).count() == 9

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -45,17 +46,26 @@ def display_similarity(distance: Column, top: Column) -> Column:
     return F.when(top == 0, F.lit(1.0)).otherwise(F.round(1 - distance / top, 4))
 
 
-def common_subsequence(a: str, b: str) -> int:
-    """Length of the longest common subsequence, by bits: a machine word's worth of columns a step."""
+def subsequence_with(a: str) -> Callable[[str], int]:
+    """A function of texts to the length of the longest subsequence in common with one, by bits: a machine word's worth of columns a step."""
     where: dict[str, int] = {}
     for k, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << k
     full = (1 << len(a)) - 1
-    row = full
-    for c in b:
-        hit = row & where.get(c, 0)
-        row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
+
+    def alike(b: str) -> int:
+        row = full
+        for c in b:
+            hit = row & where.get(c, 0)
+            row = ((row + hit) | (row - hit)) & full
+        return len(a) - row.bit_count()
+
+    return alike
+
+
+def common_subsequence(a: str, b: str) -> int:
+    """Length of the longest common subsequence."""
+    return subsequence_with(a)(b)
 
 
 def ratio(a: str | None, b: str | None) -> int:
@@ -76,11 +86,6 @@ def title_similarity(a: str | None, b: str | None) -> int:
     return 100 if a == b and a else max(ratio(a, b), ratio(token_sorted(a), token_sorted(b)))
 
 
-@pandas_udf(IntegerType())
-def ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
-
-
 @pandas_udf(IntegerType())
 def title_similarity_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([title_similarity(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")

@@ -1,19 +1,20 @@
 """Deduplication of a catalogue: by id, by fuzzy title, and across sources.
 
 The greedy rule (each record that is still there, in order, removes later ones that match it) is replayed exactly,
-without comparing all pairs: equal titles are one class, classes meet through a prefix of their rarest bigrams, and
-the replay runs on the matching pairs alone."""
+without a row for each pair: equal titles are one class, classes of like lengths meet in blocks, and the replay runs
+on the matching pairs alone."""
 
 from __future__ import annotations
 
 import math
-from functools import reduce
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spindrift.functions.similarity import least_title, ratio_udf, title_similarity_udf, weighted_similarity
+from spindrift.functions.similarity import least_title, subsequence_with, title_similarity_udf, weighted_similarity
 from spindrift.functions.text import year_of
 from spindrift.storage import cut
 
@@ -35,73 +36,105 @@ def union_sources(spark: SparkSession, paths: list[str]) -> DataFrame:
     return read_existing(spark, paths)
 
 
-#: Characters of a gram at most.
-GRAM = 4
+#: Titles of a block at least and at most, and blocks that a level of lengths is rather dealt into than have larger ones.
+BLOCK, MOST_BLOCK, BLOCKS = 1_024, 32_768, 16
+#: Partitions that pairs of blocks are dealt to at most.
+PARTITIONS = 2_000
+#: Bins of counts that title pairs are told apart by: of characters, roughly and finely, and of pairs of characters.
+ROUGH, FINE, COUPLES = 8, 32, 128
 
 
-def _least_lengths(spoilt: float) -> dict[int, int]:
-    """From which length on, for each size of grams, a title that loses its share of characters keeps one gram or more."""
-    return {q: math.ceil(q / (1 - q * spoilt)) + 1 for q in range(2, GRAM + 1) if q * spoilt < 1}
+def _counts(titles: list[str]) -> tuple[np.ndarray, ...]:
+    """(bins, titles) counts of each title's characters by code modulo ROUGH and FINE, and of its neighbouring ones by hash."""
+    codes = np.frombuffer("".join(titles).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    of = np.repeat(np.arange(len(titles)), [len(t) for t in titles])
+    inside = of[1:] == of[:-1]
+    couples = ((codes[:-1] * 1_000_003 + codes[1:]) * 2_654_435_761 >> 15) % COUPLES
 
+    def binned(bins: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+        return np.bincount(bins * len(titles) + of, minlength=n * len(titles)).reshape(n, -1).astype(np.int32)
 
-#: Longs of a title's character counts, each of eight counts of up to eight.
-COUNTS = 4
+    return binned(codes % ROUGH, of, ROUGH), binned(codes % FINE, of, FINE), binned(couples[inside], of[1:][inside], COUPLES)
 
 
-def _counts(named: DataFrame) -> DataFrame:
-    """(id, c0, c1, ...): how often characters of each code modulo 8 * COUNTS occur, each count as so many of eight bits.
+def _met(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The titles of two blocks (side 0 and 1), or of one (side 0), to the pairs (a, b, ratio) between them that reach the percent."""
+    slack = (100 - percent + 0.5) / 100
 
-    An insertion or deletion changes one count by one, so as many bits as two titles differ in part them at least."""
-    code = F.pmod(F.ascii("char"), F.lit(8 * COUNTS))
-    times = named.select("id", F.explode(F.split("title", "")).alias("char")).groupBy("id", code.alias("code")).agg(F.least(F.count("*"), F.lit(8)).cast("int").alias("times"))
-    bits = F.expr("shiftleft(shiftleft(1L, times) - 1, cast(8 * (code % 8) as int))")
-    return times.groupBy("id").agg(*(F.coalesce(F.bit_or(F.when(F.floor(F.col("code") / 8) == k, bits)), F.lit(0)).alias(f"c{k}") for k in range(COUNTS)))
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        sides = [sorted(part["title"][part["side"] == k], key=len) for k in (0, 1)]
+        own = not sides[1]
+        left, right = sides[0], sides[0] if own else sides[1]
+        out: dict[str, list] = {"a": [], "b": [], "ratio": []}
+        if left and right:
+            of_left = _counts(left)
+            of_right = of_left if own else _counts(right)
+            sizes = np.array([len(t) for t in right])
+            for i, a in enumerate(left):
+                n = len(a)
+                first = i + 1 if own else int(np.searchsorted(sizes, n * (1 - slack) / (1 + slack) - 1e-6))
+                last = int(np.searchsorted(sizes, n * (1 + slack) / (1 - slack) + 1e-6, "right"))
+                if first >= last:
+                    continue
+                some = np.arange(first, last)
+                for k, changed in enumerate((1, 1, 3)):  # an insertion or deletion changes so many of the counts by one
+                    held = of_right[k][:, first:last] if k == 0 else of_right[k][:, some]
+                    apart = np.abs(held - of_left[k][:, i, None]).sum(axis=0)
+                    some = some[apart <= changed * slack * (n + sizes[some]) + 1e-9]
+                    if not len(some):
+                        break
+                else:
+                    alike = subsequence_with(a)
+                    for j in some.tolist():
+                        b = right[j]
+                        r = round(200 * alike(b) / (n + len(b)))
+                        if r >= percent:
+                            out["a"].append(min(a, b))
+                            out["b"].append(max(a, b))
+                            out["ratio"].append(r)
+        return pd.DataFrame(out).astype({"a": object, "b": object, "ratio": "int32"})
+
+    return run
 
 
 def title_pairs(titles: DataFrame, percent: int = 90) -> DataFrame:
     """titles (title), distinct and not null, to (a, b, ratio), a < b, of those whose ratio reaches the percent. No pair is lost.
 
-    At a ratio of r (half a point less, for rounding) at most (1 - r)(|a| + |b|) insertions and deletions part two
-    titles, each of which spoils q of a side's grams of q characters at most. So among a title's rarest q d + 1 grams, d
-    the most that it can be apart from any match, is one that the other has among its own. Longer grams are rarer, so
-    each length has the longest that leave some unspoilt; a pair goes by its shorter title's, and a title whose shorter
-    matches have others gives both kinds. Pairs, of ids, go on by length and by their counts of characters, and then, with
-    their titles, by the bounded Levenshtein distance, which is no larger than d; what is left is measured."""
+    At a ratio of r (half a point less, for rounding) at most (1 - r)(|a| + |b|) insertions and deletions part two titles,
+    so their lengths are within a factor. Titles are dealt to levels of lengths, each the factor wide, so only those of
+    one level or of neighbouring ones can match, and a level to blocks; each two such blocks meet in one task. There pairs
+    are told apart by length, then by counts of characters and of neighbouring ones, an array at a time, and only what is left is
+    measured. A task holds two blocks; a title goes to as many tasks as its level and the next have blocks. The number
+    of comparisons grows with the square of titles alike in length, each of some nanoseconds; no pair makes a row."""
     slack = (100 - percent + 0.5) / 100
-    titles = titles.select("title")
-    most = slack * (1 + (1 + slack) / (1 - slack))  # of a title's length, apart from the longest title that can match
-    size, reach = F.length("title"), F.floor(most * F.length("title") + 1e-9).cast("int")
-    least = _least_lengths(most)
-
-    def longest(n: Column) -> Column:
-        out = F.lit(1)
-        for q in sorted(least):
-            out = F.when(n >= least[q], F.lit(q)).otherwise(out)
-        return out
-
-    shortest = F.floor(size * (1 - slack) / (1 + slack))
-    named = titles.withColumn("id", F.xxhash64("title"))  # grams carry ids: a title may be long
-    q = F.col("q")
-    pieces = F.transform(F.sequence(F.lit(1), F.greatest(size - q + 1, F.lit(1))), lambda i: F.substring("title", i, q))
-    sizes = named.select("id", "title", size.alias("n"), reach.alias("d"), F.explode(F.sequence(longest(shortest), longest(size))).alias("q"))
-    # a gram's second occurrence in a title is another gram than its first
-    times = sizes.select("id", "n", "d", "q", F.explode(pieces).alias("gram")).groupBy("id", "n", "d", "q", "gram").agg(F.count("*").alias("times"))
-    grams = times.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
-    counts = grams.groupBy("gram", "nth").agg(F.count("*").alias("of"))
-    w = Window.partitionBy("id", "q").orderBy("of", "gram", "nth")
-    first = grams.join(counts, ["gram", "nth"]).withColumn("place", F.row_number().over(w)).where(F.col("place") <= q * F.col("d") + 1)
-    counted = [f"c{k}" for k in range(COUNTS)]
-    first = cut(first.select("gram", "nth", "id", "n").join(_counts(named), "id"))
-    left, right = (first.withColumnsRenamed({c: f"{c}{side}" for c in ("n", *counted)} | {"id": side}) for side in ("x", "y"))
-    apart = reduce(Column.__add__, [F.bit_count(F.col(f"{c}x").bitwiseXOR(F.col(f"{c}y"))) for c in counted])
-    most_apart = slack * (F.col("nx") + F.col("ny"))
-    near = (F.col("x") < F.col("y")) & (F.abs(F.col("nx") - F.col("ny")) <= most_apart) & (apart <= most_apart)
-    met = left.join(right, ["gram", "nth"]).where(near).select("x", "y").distinct()
-    pairs = met.join(named.select(F.col("id").alias("x"), F.col("title").alias("tx")), "x").join(named.select(F.col("id").alias("y"), F.col("title").alias("ty")), "y")
-    pairs = pairs.select(F.least("tx", "ty").alias("a"), F.greatest("tx", "ty").alias("b"))
-    bound = F.floor(slack * (F.length("a") + F.length("b")) + 1e-9).cast("int")
-    pairs = pairs.withColumn("bound", bound).where(F.expr("levenshtein(a, b, bound) >= 0"))
-    return pairs.withColumn("ratio", ratio_udf("a", "b")).where(F.col("ratio") >= percent).select("a", "b", "ratio")
+    titles = titles.select("title", F.floor(F.log(F.greatest(F.length("title"), F.lit(1))) / math.log((1 + slack) / (1 - slack) * 1.0001)).cast("int").alias("level"))
+    titles = cut(titles)
+    sizes = {r["level"]: r["n"] for r in titles.groupBy("level").agg(F.count("*").alias("n")).collect()}  # grows with the longest length's logarithm
+    dealt = {k: -(-n // min(MOST_BLOCK, max(BLOCK, -(-n // BLOCKS)))) for k, n in sizes.items()}
+    spark = titles.sparkSession
+    if not dealt:
+        return spark.createDataFrame([], "a string, b string, ratio int")
+    blocks = F.create_map(*(F.lit(x) for k, n in dealt.items() for x in (k, n)))
+    near = titles.withColumn("n", blocks[F.col("level")]).withColumn("next", F.coalesce(blocks[F.col("level") + 1], F.lit(0))).withColumn("before", F.coalesce(blocks[F.col("level") - 1], F.lit(0)))
+    near = near.withColumn("p", F.pmod(F.xxhash64("title"), F.col("n")).cast("int"))
+
+    def upto(n: Column, of: Callable[[Column], Column]) -> Column:
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), of)).otherwise(F.array().cast("array<struct<level:int,p:int,other:int,q:int,side:int>>"))
+
+    def meeting(level: Column, p: Column, other: Column, q: Column, side: Column | int) -> Column:
+        return F.struct(level.alias("level"), p.alias("p"), other.alias("other"), q.alias("q"), (F.lit(side) if isinstance(side, int) else side).alias("side"))
+
+    level, p = F.col("level"), F.col("p")
+    places = F.concat(
+        upto(F.col("n"), lambda q: meeting(level, F.least(p, q), level, F.greatest(p, q), F.when(p <= q, 0).otherwise(1))),
+        upto(F.col("next"), lambda q: meeting(level, p, level + 1, q, 0)),
+        upto(F.col("before"), lambda q: meeting(level - 1, q, level, p, 1)),
+    )
+    parts = near.select("title", F.explode(places).alias("m")).select("title", "m.*")
+    # a fixed number of partitions: by their bytes, which are few, Spark would put them all into one task
+    many = sum(n * (n + 1) // 2 + n * dealt.get(k + 1, 0) for k, n in dealt.items())
+    meet = ["level", "p", "other", "q"]
+    return parts.repartition(min(2 * many, PARTITIONS), *meet).groupBy(*meet).applyInPandas(_met(percent), "a string, b string, ratio int")
 
 
 def excluded(edges: DataFrame) -> DataFrame:

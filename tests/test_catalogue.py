@@ -524,3 +524,15 @@ def test_replay_equals_the_rule_on_random_graphs():
 @pytest.mark.parametrize(("apart", "least"), [(0, 86), (1, 95), (2, 108), (None, 90)])
 def test_least_titles(apart, least):
     assert similarity.least_title(90, apart) == least
+
+
+def test_title_pairs_make_no_row_for_each_pair_that_meets(spark, monkeypatch):
+    """Titles in several blocks are all compared, without a join of what they share."""
+    monkeypatch.setattr(dedup, "BLOCK", 7)
+    rng = random.Random(8)
+    stems = ["".join(rng.choices("abc ", k=rng.randint(8, 14))).strip() for _ in range(12)]
+    titles = sorted({s[:k] + rng.choice("abcx") + s[k + 1 :] for s in stems for k in (1, 3, 5)})
+    out = dedup.title_pairs(spark.createDataFrame([(t,) for t in titles], "title string"), 86)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    want = {(a, b, similarity.ratio(a, b)) for i, a in enumerate(titles) for b in titles[i + 1 :] if similarity.ratio(a, b) >= 86}
+    assert {tuple(r) for r in out.collect()} == want and want

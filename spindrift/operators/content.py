@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions.text import let
 
+from . import alike
 from .dedup import cut
 from .vectors import min_max
 
@@ -79,7 +80,4 @@ def similar_items(df: DataFrame, item, n: int, key: str = "media_id", numbers: t
 
 def similar_texts(df: DataFrame, item, n: int, key: str, text: Column, longest: int = 2) -> DataFrame:
     """(key, score): the n rows whose (1..longest)-gram TF-IDF is most like one row's."""
-    weights = tfidf(df, key, text, longest)
-    mine = weights.where(F.col(key) == item).select("term", F.col("weight").alias("mine"))
-    met = weights.where(F.col(key) != item).join(mine, "term")
-    return met.groupBy(key).agg(F.sum(F.col("weight") * F.col("mine")).alias("score")).orderBy(F.desc("score"), key).limit(n)
+    return alike.most_alike(df, item, n, key, text, longest, stop_words())

@@ -1,7 +1,9 @@
 """Keyphrases against a plain ranking of each text's words, and odd tables."""
 
+import random
 import re
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
@@ -75,3 +77,35 @@ def test_odd_texts(spark):
 def test_phrases_differ():
     weights = {"deep sea": 4.0, "deep sea fish": 3.9, "old harbour": 3.0}
     assert [p for p, _ in kp.picked(weights, 2)] == ["deep sea", "old harbour"]
+
+
+def test_few_phrases_are_spelled_and_none_is_missed(monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["red", "fox", "sea", "old", "of"]) + rng.choice(["", str(rng.randrange(400))]) + rng.choice(["", "", ","]) for _ in range(4_000)) for _ in range(3)]
+    texts += ["word " * 3_000, "", "deep sea, " * 500 + "old harbour, red fox"]
+    tokens = pa.array([re.findall(r"[^\W_]+|[.,;:!?()\n]", x) for x in texts])
+    seen, picked = [], kp.picked
+    monkeypatch.setattr(kp, "picked", lambda phrases, *a: seen.append(len(phrases)) or picked(phrases, *a))
+    got = {}
+    for first, n in ((24, 5), (1, 5), (10**9, 5), (1, 60), (10**9, 60)):
+        monkeypatch.setattr(kp, "FIRST", first, raising=False)
+        got[first, n] = kp._slice(tokens, n, frozenset(stop_words()))
+        assert first > 24 or n > 5 or max(seen) < 400
+    assert got[24, 5] == got[1, 5] == got[10**9, 5] and got[1, 60] == got[10**9, 60]
+    for have, text in zip(got[24, 5], texts, strict=True):
+        assert [p for p, _ in have] == [p for p, _ in plain(text, 5)]
+
+
+def test_phrases_not_given_are_asked_for_where_they_may_be_picked():
+    weights = {"deep sea": 4.0, "deep sea fish": 3.9}
+    assert kp.picked(weights, 2, 3.0) is None
+    assert [p for p, _ in kp.picked(weights, 1, 3.0)] == ["deep sea"]
+
+
+def test_words_of_near_texts_are_those_of_the_built_in_function(spark):
+    every = "".join(f" x{chr(c)}y{chr(c)}{chr(c)} {chr(c)}" for c in range(kp.NEAR + 1) if max(map(ord, chr(c).lower())) <= kp.NEAR)
+    df = spark.createDataFrame([(1, every), (2, "ÄÖ straße, ＡＢ"), (3, ""), (4, every + "я 中文")], "doc_id long, text string")
+    rows = df.select("text", F.lower("text").alias("low"), kp.marked_words(F.col("text")).alias("words")).collect()
+    plain = pa.array([r["low"] if max(map(ord, r["low"] + " ")) <= kp.NEAR else None for r in rows])
+    assert plain.null_count == 2
+    assert kp._tokens(plain, pa.array([r["words"] if p is None else None for r, p in zip(rows, plain.to_pylist(), strict=True)])).to_pylist() == [r["words"] for r in rows]

@@ -3,6 +3,7 @@
 import json
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -536,3 +537,50 @@ def test_title_pairs_make_no_row_for_each_pair_that_meets(spark, monkeypatch):
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
     want = {(a, b, similarity.ratio(a, b)) for i, a in enumerate(titles) for b in titles[i + 1 :] if similarity.ratio(a, b) >= 86}
     assert {tuple(r) for r in out.collect()} == want and want
+
+
+def test_titles_of_like_letters_are_told_apart_many_at_once(spark, monkeypatch):
+    """800 titles of the same syllables: only pairs that are nearly alike are measured one by one, and none is lost."""
+    rng = random.Random(4)
+    words = ["the", "thion", "er", "and", "ingly", "on", "hea", "st"]
+    titles = sorted({" ".join(rng.choices(words, k=rng.choice([9, 9, 9, 24, 60, 90]) if n % 50 else 160)) for n in range(800)})
+    titles += [t[:k] + "x" + t[k + 1 :] for t in titles[::40] for k in (2, len(t) // 2)]
+    measured = []
+
+    def counted(a):
+        alike = similarity.subsequence_with(a)
+        return lambda b: measured.append(1) or alike(b)
+
+    monkeypatch.setattr(dedup, "subsequence_with", counted)
+    part = pd.DataFrame({"title": titles, "kind": "", "year": dedup.UNKNOWN, "side": 0, "level": 1, "p": 0, "other": 1, "q": 0})
+    got = {tuple(r) for r in dedup._met({None: 86})(part).itertuples(index=False)}
+    met = [(a, b) for i, a in enumerate(sorted(titles)) for b in sorted(titles)[i + 1 :] if len(a) <= 1.4 * len(b) and len(b) <= 1.4 * len(a)]
+    want = {(a, b, r) for a, b in met if (r := similarity.ratio(a, b)) >= 86}
+    assert got == want and len(want) >= 20
+    assert len(measured) < 0.05 * len(met)
+
+
+def test_title_pairs_by_kind_and_years_apart(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "BLOCK", 11)
+    rng = random.Random(9)
+    rows = [(k, t, rng.choice("ab"), rng.choice([2000, 2001, 2002, 2009, None])) for k, t in enumerate(titles(10, 160))]
+    needs = {0: 80, 1: 90, None: 85, 2: 101, dedup.FAR: 100}
+    df = spark.createDataFrame(rows, "id int, title string, kind string, year int")
+    got = sorted(tuple(r) for r in dedup.title_pairs(df, needs).collect())
+    want = []
+    for i, (a, s, kind, year) in enumerate(rows):
+        for b, t, other, there in rows[i + 1 :]:
+            apart = None if None in (year, there) else abs(year - there)
+            r = similarity.ratio(s, t)
+            if kind == other and r >= needs.get(apart, needs[dedup.FAR]):
+                want.append((a, b, r))
+    assert got == sorted(want) and want
+
+
+def test_components_are_replayed_in_several_calls(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "HEADS", 3)
+    rng = random.Random(12)
+    rows = [(k, x, rng.choice(["tv", "movie"]), rng.choice(["mal", "tmdb", None]), rng.choice([None, 1.0, 2.0, 3.0]), rng.choice(["2000", "2001", None])) for k, x in enumerate(titles(13, 120))]
+    out = dedup.cross_source_dedup(spark.createDataFrame(rows, f"media_id int, {RECORD}"))
+    assert sorted(r["media_id"] for r in out.collect()) == sequential(rows)
+    assert "root" not in out._jdf.queryExecution().optimizedPlan().toString().split("FlatMapCoGroupsInPandas")[1].split("[")[1].split("]")[0]

@@ -44,36 +44,62 @@ CELLS, BLOCKS = 1 << 20, 64
 GROUP, QUERIES = 256, 512
 #: Least and most bits of a set's signature, its row of the token-group matrix; between them, four a token or more.
 BITS = (1 << 9, 1 << 18)
-_MEMO = 200_000
 #: Texts that a worker is sent at once.
 LONG_ROWS = 2_000
 _MUL = (np.array([3, 5, 7, 11, 13, 17, 19, 23], np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers, changed in place so that each bit depends on all."""
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(32)
+    return x
+
+
+def _odd(n: int, seed: int) -> np.ndarray:
+    """n odd numbers that look like random ones, always the same."""
+    x = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)
+    return _mixed(_mixed(x)) | np.uint64(1)
+
+
+#: Whether a byte is between words, and a number for it in a word: A-Z as a-z. Numbers of places in a word.
+_GAP = np.isin(np.arange(256), [32, *range(9, 14)])
+_BYTE, _PLACES = _odd(256, 1), _odd(256, 2)
+_BYTE[65:91] = _BYTE[97:123]
+_BYTE[_GAP] = 0
+
+
+def _hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash of each word, all at once: the sum over its bytes of the byte's number times the place's, mixed."""
+    codes = np.frombuffer(text, np.uint8)
+    word = ~_GAP[codes]
+    starts = np.flatnonzero(np.diff(word, prepend=False) & word)
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    lengths = np.diff(starts, append=len(codes))
+    place = np.arange(starts[0], len(codes)) - np.repeat(starts, lengths)
+    longest = int(lengths.max())
+    places = _PLACES if longest <= len(_PLACES) else _odd(longest, 2)
+    return _mixed(np.add.reduceat(_BYTE[codes[starts[0] :]] * places[place], starts - starts[0]))
+
+
 class Shingler:
-    """Texts to sorted arrays of shingle hashes. Keeps the hashes of a bounded number of words."""
+    """Texts to sorted arrays of shingle hashes."""
 
     def __init__(self, words: int = WORDS) -> None:
-        self.words, self.memo = words, {}
+        self.words = words
 
     def __call__(self, text: bytes | None) -> np.ndarray:
-        # bytes.split() takes the six separators of WORD and no others; bytes.lower() lowers A-Z alone
-        words = (text or b"").lower().split()
-        if len(words) < self.words:
-            return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), 7)] if words else [], np.uint64)
-        memo = self.memo
-        if len(memo) > _MEMO:
-            memo.clear()
-        for w in set(words).difference(memo):
-            memo[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+        h = _hashes(text or b"")
+        if len(h) < self.words:
+            # bytes.split() takes the six separators of WORD and no others; bytes.lower() lowers A-Z alone
+            return np.array([xxhash.xxh3_64_intdigest(b" ".join(text.lower().split()), 7)] if len(h) else [], np.uint64)
         n = len(h) - self.words + 1
         s = h[:n] * _MUL[0]
         for k in range(1, self.words):
             s += h[k : k + n] * _MUL[k]
-        s ^= s >> np.uint64(29)
-        s *= np.uint64(0xBF58476D1CE4E5B9)
-        s ^= s >> np.uint64(32)
+        s = _mixed(s)
         s.sort()
         return s[np.diff(s, prepend=~s[:1]) != 0]
 

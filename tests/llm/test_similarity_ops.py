@@ -216,6 +216,18 @@ def test_shingler_reads_exactly_the_six_separators(sizes):
     assert (s(b"A B\tC\x0bD\x0cE") == s(b"a b c d\r\ne")).all()
 
 
+def test_words_of_a_text_are_hashed_at_once(monkeypatch):
+    """No call and no memory a word; hashes tell words apart by bytes and places, also long ones and beside any separators."""
+    calls = []
+    real = ngram_jaccard.xxhash.xxh3_64_intdigest
+    monkeypatch.setattr(ngram_jaccard.xxhash, "xxh3_64_intdigest", lambda *x: calls.append(x) or real(*x))
+    words = ["ab", "ba", "a", "aa", "aaa", "a" * 300, "a" * 299 + "b", "b" + "a" * 299, "\x00", "a\x00", "\x00a", "é", *(f"w{k}" for k in range(2_000))]
+    s = ngram_jaccard.Shingler(1)
+    assert len(s(f"  {'\n\t '.join(words)}\x0b".encode())) == len(words)
+    assert (s(b"A bc aa") == s(b"\x0caa  a\rBC")).all() and len(s(b" \n")) == len(s(None)) == len(s(b"")) == 0
+    assert not calls
+
+
 def test_long_text_whose_lines_all_go(spark):
     """100,000 lines that an earlier row has too: places are found by hashing, not each by a walk through all."""
     text = "\n".join(f"line {k * 7919 % 1000003} of a long text" for k in range(100_000))
